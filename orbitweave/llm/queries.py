@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, packing, sharding
+from orbitweave.llm import decontaminate, packing, quality, sharding
 from orbitweave.llm.common import table, written
 
 N_SHARDS = 40
@@ -31,6 +31,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # the text is left out of the written rows
+    return quality.assess(docs, keep=["doc_id"]).select("doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl")
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = [1.0] * N_SHARDS
@@ -46,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_perplexity_quality": op8_perplexity_quality,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }
 
