@@ -8,12 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, packing, quality, sharding
-from orbitweave.llm.common import table, written
+from orbitweave.llm import decontaminate, packing, quality, sharding, toxicity
+from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
 
 
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_of("doc_id") % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -50,6 +58,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_crf_toxicity": op2_crf_toxicity,
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_perplexity_quality": op8_perplexity_quality,
