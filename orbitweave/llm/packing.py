@@ -33,15 +33,21 @@ from orbitweave.llm.common import arrow_map, texts_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Hash ranges in which the pieces of one length are ranked.
-BUCKETS = 64
+BUCKETS = 16
 
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which are not of it.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\\x1c-\\x1f]")
 
+#: A Latin word whose lower-casing and composition need no context, and the marks after it. Its ids
+#: are those of the lower-cased letters and then those of the marks.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?#*$%&]*)")
+JOINED = 4000
+
 _tokenizers: dict[str, object] = {}
+_ends: dict[str, np.ndarray] = {}
 _cache: dict[str, dict[str, bytes]] = {}
 
 
@@ -55,6 +61,9 @@ def tokenizer(path: str):
 
         _tokenizers[path] = Tokenizer.from_file(path)
         _cache[path] = {}
+        ids = _tokenizers[path].get_vocab()
+        _ends[path] = np.zeros(max(ids.values()) + 1, bool)
+        _ends[path][[i for w, i in ids.items() if w.endswith("</w>")]] = True
     return _tokenizers[path]
 
 
@@ -65,14 +74,31 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    new = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(new), 50_000):
-        part = new[at : at + 50_000]
-        for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+    _learn(list({w for words in split for w in words if w not in cache}), model, cache, _ends[path])
     return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
 
 
+def _learn(new: list[str], model, cache: dict[str, bytes], is_end: np.ndarray) -> None:
+    """Adds the ids of words to the cache. Plain words go to the tokenizer together, and their ids
+    are parted at the tokens that end a word; all others go one by one."""
+    parted = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))]
+    plain = list({b for _, b, _ in parted if b not in cache})
+    for at in range(0, len(plain), JOINED):
+        part = plain[at : at + JOINED]
+        ids = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends, raw, last = 4 * (np.flatnonzero(is_end[ids]) + 1), ids.tobytes(), 0
+        if len(ends) != len(part):
+            raise ValueError("the tokenizer has no ends of words")
+        for w, end in zip(part, ends.tolist(), strict=True):
+            cache[w] = raw[last:end]
+            last = end
+    single = [w for w in {*new, *(t for _, _, t in parted if t)} - {w for w, _, _ in parted} if w not in cache]
+    for w, e in zip(single, model.encode_batch_fast(single, add_special_tokens=False), strict=True):
+        cache[w] = np.array(e.ids, "<u4").tobytes()
+    for w, b, t in parted:
+        cache[w] = cache[b] + cache[t] if t else cache[b]
+
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
