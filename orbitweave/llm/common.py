@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitweave import workers
+
 #: Rows in an Arrow batch. Texts can be 100 KB and more, so batches are kept short.
 BATCH_ROWS = 500
 
 
 def session_for_texts(spark: SparkSession) -> None:
     """Keeps Arrow batches short enough for long texts; a smaller setting of the session stays."""
+    workers.prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -97,11 +99,3 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], bytes_at_least: int) -> I
     if held:
         got = pa.Table.from_batches(held).combine_chunks().to_batches()
         yield got[0] if got else held[0]
-
-
-def env_cores(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") and os.path.exists(path)

@@ -8,12 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, packing, quality, sharding, toxicity
+from orbitweave.llm import decontaminate, langid, packing, quality, sharding, toxicity
 from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
 
 
+def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc32_of("doc_id") % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +65,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_centroid_language": op1_centroid_language,
         "op2_crf_toxicity": op2_crf_toxicity,
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
