@@ -88,7 +88,7 @@ def pair_counts(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start:
 def features(word: str) -> list[str]:
     """Of a token: itself, its beginnings and its end."""
     out = ["w:" + word]
-    for k in (3, 4, 5):
+    for k in range(3, 9):
         if len(word) > k:
             out.append(f"p{k}:" + word[:k])
     if len(word) > 3:

@@ -37,6 +37,8 @@ FIT_WORDS = 4000
 SPAN = 0.5
 CACHE_WORDS = 500_000
 THRESHOLD = 0.3
+#: How much commoner a marking word or beginning is in toxic documents.
+RATIO = 20
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _fold = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -94,7 +96,7 @@ def _ratio(k1: np.ndarray, n1: float, k0: np.ndarray, n0: float) -> np.ndarray:
 
 def marks(word: str) -> list[str]:
     """What is counted of a word: itself and its beginning of four or more characters."""
-    return ["w:" + word, *(f"p{k}:" + word[:k] for k in (4, 5) if len(word) > k)]
+    return ["w:" + word, *(f"p{k}:" + word[:k] for k in range(4, 9) if len(word) > k)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: dict[int, int] | None = None, fit_docs: int = FIT) -> Model:
@@ -126,35 +128,49 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     found = arrow_map(rows.select("_text", "_y"), counted, "f string, k0 bigint, k1 bigint").groupBy("f").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    # the rate among toxic documents must be ten times that among others; at most a sample's features
+    # the rate among toxic documents must be RATIO times that among others; a bounded sample's features
     found = written(found, "marks")
     n_features = found.count()
-    got = found.where((F.col("k1") >= 3) & (F.col("k1") * n0 > 10 * F.col("k0") * n1)).toPandas()
+    got = found.where((F.col("k1") >= 3) & (F.col("k1") * n0 > RATIO * (F.col("k0") + 0.5) * n1)).toPandas()
     strong = got[_ratio(got.k1.to_numpy(float), n1, got.k0.to_numpy(float), n0) > 2 * np.log(max(2, n_features)) + 4]
     toxic = set(strong.f)
-    some = rows.withColumn("_h", F.xxhash64("_id"))
-    taken = [r for y in (1, 0) for r in some.where((F.col("_y") == y) & (F.length("_text") < 8 * FIT_WORDS)).orderBy("_h", "_id").limit(fit_docs).collect()]
-    texts, ys = [words_of(r["_text"] or "") for r in taken], np.array([r["_y"] for r in taken])
-    keep = [i for i, d in enumerate(texts) if 0 < len(d) <= FIT_WORDS]
-    texts, ys = [texts[i] for i in keep], ys[keep]
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hard = [y == 0 and any(f in toxic for w in set(words_of(t)) for f in marks(w)) for t, y in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hard)], names=["_id", "_text", "_y", "_hard"])
+
+    id_type = dict(rows.dtypes)["_id"]
+    some = arrow_map(rows.select("_id", "_text", "_y"), flagged, f"_id {id_type}, _text string, _y int, _hard boolean").withColumn("_h", F.xxhash64("_id"))
+    some = written(some, "flagged")
+    sizes = {(r["_y"], r["_hard"]): r["n"] for r in some.groupBy("_y", "_hard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts, ys, weights = [], [], []
+    for y, hard in ((1, False), (0, False), (0, True)):
+        # the other documents with a mark teach what a mark alone does not say
+        part = some.where((F.col("_y") == y) & (F.col("_hard") == hard) & (F.length("_text") < 8 * FIT_WORDS)).orderBy("_h", "_id").limit(fit_docs)
+        own = [d for d in (words_of(r["_text"] or "") for r in part.collect()) if 0 < len(d) <= FIT_WORDS]
+        texts += own
+        ys += [y] * len(own)
+        weights += [sizes[y, hard] / len(own)] * len(own) if own else []
+    ys, weights = np.array(ys), np.array(weights)
     tags = [np.array([y == 1 and any(f in toxic for f in marks(w)) for w in d], float) for d, y in zip(texts, ys, strict=True)]
     tagger = crf.fit(texts, tags)
     model = Model(tagger, (0.0, 0.0, 0.0))
     top, total, _, _ = summaries(texts, model, {}, [np.zeros((0, 3))])
-    model.curve = _curve(np.stack([np.ones(len(top)), top, np.log1p(total)], 1), ys, float(odds))
+    model.curve = _curve(np.stack([np.ones(len(top)), top, np.log1p(total)], 1), ys, weights / weights.mean(), float(odds))
     return model
 
 
-def _curve(x: np.ndarray, y: np.ndarray, odds: float, l2: float = 0.05) -> tuple[float, float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, odds: float, l2: float = 0.05) -> tuple[float, float, float]:
     """Logistic regression by Newton's method; the intercept is moved from the sample's share of
     toxic documents to the corpus's."""
     w = np.zeros(3)
     ridge = l2 * np.diag([1e-3, 1, 1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
-        w = w + np.linalg.solve(h, x.T @ (y - p) - ridge @ w)
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+        h = (x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge @ w)
+    share = min(max((weight * y).sum() / weight.sum(), 1e-6), 1 - 1e-6)
     return float(w[0] + odds - np.log(share / (1 - share))), float(w[1]), float(w[2])
 
 
