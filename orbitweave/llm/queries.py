@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, langid, packing, quality, sharding, toxicity
+from orbitweave.llm import decontaminate, langid, near_dups, packing, quality, sharding, toxicity
 from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
@@ -52,6 +52,10 @@ def op8_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, keep=["doc_id"]).select("doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl")
 
 
+def op9_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = [1.0] * N_SHARDS
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_perplexity_quality": op8_perplexity_quality,
+        "op9_odd_sketch_near_dups": op9_odd_sketch_near_dups,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }
 
