@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, html_text, langid, near_dups, packing, quality, sharding, toxicity
+from orbitweave.llm import decontaminate, html_text, langid, licences, near_dups, packing, quality, sharding, toxicity
 from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
@@ -36,6 +36,10 @@ def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).withColumn("stated_licences", F.concat_ws(",", "stated_licences"))
+
+
 def op6_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_centroid_language": op1_centroid_language,
         "op2_crf_toxicity": op2_crf_toxicity,
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
+        "op5_licence_digests": op5_licence_digests,
         "op6_two_pass_html": op6_two_pass_html,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_perplexity_quality": op8_perplexity_quality,
@@ -86,4 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_licence_digests": licences.oracle_sql(),
+    }
