@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, html_text, langid, licences, near_dups, packing, quality, sharding, toxicity
+from orbitweave.llm import decontaminate, html_text, langid, licences, near_dups, packing, quality, sharding, toxicity, warc
 from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
@@ -36,6 +36,11 @@ def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")), keep=["page_id"])
+    return records.withColumn("block", F.decode("block", "UTF-8"))
+
+
 def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).withColumn("stated_licences", F.concat_ws(",", "stated_licences"))
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_centroid_language": op1_centroid_language,
         "op2_crf_toxicity": op2_crf_toxicity,
         "op3_fm_index_decontamination": op3_fm_index_decontamination,
+        "op4_warc_derivatives": op4_warc_derivatives,
         "op5_licence_digests": op5_licence_digests,
         "op6_two_pass_html": op6_two_pass_html,
         "op7_best_fit_packing": op7_best_fit_packing,
