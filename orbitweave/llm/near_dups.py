@@ -2,16 +2,17 @@
 
 1. Signatures, one pass over the texts: the set of distinct word shingles (64-bit hashes), SAMPLES
    MinHash values, BANDS x ROWS of them as band hashes, and all of them folded into an odd sketch:
-   a parity bitmap of BITS bits, in which each sample flips one. Documents with equal sets (exact
+   a parity bitmap of BITS bits, in which each sample flips one. A second bitmap of SET_BITS bits
+   does the same with the whole set, without the samples' error. Documents with equal sets (exact
    copies among them) become one node, the smallest id, before anything is paired.
-2. Nodes that share a band hash form a bucket. Each bucket names one pivot - another one in every
-   band - and every member is paired with the pivot only, so pairs grow with members, never with
-   their square. The population count of two sketches' XOR estimates the similarity and drops
-   what is clearly below; the rest is confirmed on the full sets.
+2. Nodes that share a band hash form a bucket. Each bucket names PIVOTS pivots - others in every
+   band - and every member is paired with the pivots only, so pairs grow with members, never with
+   their square. The population counts of the XOR of two sketches, and of two set bitmaps, estimate
+   the similarity and drop what is clearly below; the rest is confirmed on the full sets.
 3. Confirmed links give components, by label propagation with pointer jumping.
-4. What pivots can't tell - members of a bucket that are not in its pivot's component - is compared
-   with all members, in blocks of BLOCK, sketches first and then full sets, pairs already refuted
-   left out. With that every pair of a bucket is decided: it is linked, refuted, or inside one
+4. What pivots can't tell - members of a bucket outside its commonest component - is compared with
+   all members, in blocks of BLOCK, each pair in the first bucket that it shares, bitmaps first and
+   then full sets, pairs already refuted left out. With that every pair of a bucket is decided: it is linked, refuted, or inside one
    component already. Components are then closed again.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^5)^24 < 1e-6, and its
@@ -36,8 +37,12 @@ from orbitweave.llm.common import arrow_map, mix64, texts_of, word_hashes, writt
 
 WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, ROWS, BITS = 200, 24, 5, 512
+#: Bits of the parity bitmap of the whole set.
+SET_BITS = 1024
 #: How far below the threshold an estimate may be and still be checked.
 SLACK = 0.17
+#: Pivots of a bucket.
+PIVOTS = 2
 BLOCK = 1024
 #: Ids that are sent to all executors at most; with more, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -45,6 +50,8 @@ SLICE_BYTES = 4_000_000
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 SKETCH = [f"s{k}" for k in range(BITS // 64)]
+WHOLE = [f"t{k}" for k in range(SET_BITS // 64)]
+BITMAPS = [*SKETCH, *WHOLE]
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +87,16 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(x)
 
 
+def parity(flips: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bitmaps of n owners, (n, bits / 64) int64: a bit is set if it was flipped an odd number of
+    times. flips: hashes whose highest bits name the bit."""
+    bit = (flips >> np.uint64(64 - int(bits).bit_length() + 1)).astype(np.int64)
+    count = np.bincount(owner * bits + bit, minlength=n * bits).reshape(n, bits)
+    return np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of non-empty sets: band hashes (n, BANDS) and odd sketches (n, BITS / 64), both int64."""
+    """Of non-empty sets: band hashes (n, BANDS) and the words of both bitmaps, all int64."""
     starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
     x = np.concatenate(sets)
     low = np.empty((len(sets), SAMPLES), np.uint64)
@@ -96,10 +111,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for r in range(ROWS):
             h = mix64(h + low[:, b * ROWS + r])
         bands[:, b] = h
-    bit = (mix64(low + FACTOR) >> np.uint64(64 - int(BITS).bit_length() + 1)).astype(np.int64)
-    flips = np.bincount((np.arange(len(sets))[:, None] * BITS + bit).ravel(), minlength=len(sets) * BITS).reshape(len(sets), BITS)
-    sketch = np.packbits((flips & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-    return bands.view(np.int64), sketch
+    n = len(sets)
+    sketch = parity(mix64(low + FACTOR).ravel(), np.repeat(np.arange(n), SAMPLES), n, BITS)
+    whole = parity(mix64(x ^ np.uint64(0x5851F42D4C957F2D)), np.repeat(np.arange(n), [len(s) for s in sets]), n, SET_BITS)
+    return bands.view(np.int64), np.concatenate((sketch, whole), axis=1)
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -112,18 +127,18 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(size)
             k1, k2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-            sketch = np.zeros((len(sets), BITS // 64), np.int64)
+            bitmaps = np.zeros((len(sets), len(BITMAPS)), np.int64)
             bands = [None] * len(sets)
             for at in range(0, len(some), 256):
                 part = some[at : at + 256]
                 own = [sets[i] for i in part]
-                b, sketch[part] = signatures(own)
+                b, bitmaps[part] = signatures(own)
                 for i, row, s in zip(part, b, own, strict=True):
                     bands[i] = row
                     k1[i], k2[i] = np.array([s.sum(), mix64(s).sum()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(len(SKETCH)))], names=["doc_id", "n", "k1", "k2", "bands", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.array(bands, pa.list_(pa.int64())), *(pa.array(bitmaps[:, k]) for k in range(len(BITMAPS)))], names=["doc_id", "n", "k1", "k2", "bands", *BITMAPS])
 
-    return arrow_map(docs, run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH))
+    return arrow_map(docs, run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in BITMAPS))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -144,14 +159,19 @@ def most_flips(percent: int) -> int:
 
 
 def alike(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two sides allow a link."""
-    flips = sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in SKETCH), F.lit(0))
+    """Whether sizes and bitmaps of two sides allow a link. A link's sets differ in d shingles at
+    most; the count of odd bits has the mean and spread below, and 5.5 spreads are allowed."""
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (flips <= most_flips(percent))
+    flips, whole = (sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in names), F.lit(0)) for names in (SKETCH, WHOLE))
+    d = (na + nb) * F.lit((100 - percent) / (100 + percent))
+    mean = F.lit(SET_BITS / 2) * (F.lit(1.0) - F.exp(d * F.lit(-2 / SET_BITS)))
+    fall = F.exp(d * F.lit(-4 / SET_BITS))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.lit(SET_BITS / 4) * (F.lit(1.0) - fall) - d * fall))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (flips <= most_flips(percent)) & (whole <= mean + F.lit(5.5) * spread + F.lit(2.0))
 
 
 def side(slim: DataFrame, name: str) -> DataFrame:
-    return slim.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH)))
+    return slim.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *BITMAPS)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,35 +206,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     able = signs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # equal sets are one node: counted before anything is paired, partly before the shuffle
     heads = written(able.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "heads")
-    nodes = written(able.join(heads, ["k1", "k2"]).where(F.col("doc_id") == F.col("node")).select("node", "n", "bands", *SKETCH).dropDuplicates(["node"]), "nodes")
-
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
-    # the pivot is the member whose id, XORed with the bucket's hash, is smallest: any of them
-    buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("_x")).where(F.col("size") > 1)
-    members = written(exploded.join(buckets.select("bucket", "size", F.col("_x").bitwiseXOR(F.col("bucket")).alias("pivot")), "bucket"), "members")
-    slim = nodes.select("node", "n", *SKETCH).join(members.select("node").distinct(), "node", "left_semi")
+    nodes = written(able.join(heads, ["k1", "k2"]).where(F.col("doc_id") == F.col("node")).select("node", "n", "bands", *BITMAPS).dropDuplicates(["node"]), "nodes")
+
+    exploded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    # pivots are the members whose ids, XORed with hashes of the bucket, are smallest: any of them
+    masks = [F.col("bucket"), *(F.xxhash64("bucket", F.lit(k)) for k in range(1, PIVOTS))]
+    buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *(F.min(F.col("node").bitwiseXOR(m)).alias(f"_x{k}") for k, m in enumerate(masks))).where(F.col("size") > 1)
+    pivots = F.array(*(F.col(f"_x{k}").bitwiseXOR(m) for k, m in enumerate(masks)))
+    members = written(exploded.join(buckets.select("bucket", "size", pivots.alias("pivots")), "bucket"), "members")
+    slim = nodes.select("node", "n", "bands", *BITMAPS).join(members.select("node").distinct(), "node", "left_semi")
     slim = written(slim, "slim")
     ids = slim.select(F.col("node").alias("doc_id"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = written(full_sets(source.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), words).dropDuplicates(["node"]), "sets")
 
-    pairs = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = members.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")).where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = written(pairs.join(side(slim, "a"), "a").join(side(slim, "b"), "b").where(alike("a", "b", percent)).select("a", "b"), "pairs")
     links = written(confirmed(pairs, sets, percent), "links")
     labels = components(links)
 
-    # members outside the component of their bucket's pivot, against all members of the bucket
+    # members outside the commonest component of their bucket, against all members of the bucket
     own = labels.select("node", F.col("component").alias("_c"))
-    marked = members.join(own, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
-    marked = marked.join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("_p")), "pivot", "left").withColumn("_p", F.coalesce("_p", "pivot"))
-    marked = written(marked.withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "marked")
+    marked = members.select("bucket", "band", "size", "node").join(own, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
+    common = marked.groupBy("bucket", "_c").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max(F.struct("_n", "_c"))["_c"].alias("_p"))
+    marked = written(marked.join(common, "bucket").withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "marked")
     rest = marked.where(F.col("_c") != F.col("_p"))
     open_buckets = rest.select("bucket").distinct()
-    one = rest.join(slim, "node").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.col("_c").alias("a_c"), F.col("node").alias("a"), F.col("n").alias("a_n"), *(F.col(s).alias(f"a_{s}") for s in SKETCH))
+    one = rest.join(slim, "node").select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.col("_c").alias("a_c"), F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("n", "bands", *BITMAPS)))
     two = marked.join(open_buckets, "bucket", "left_semi").join(slim, "node").select(
-        "bucket", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int").alias("block"), F.col("_c").alias("b_c"), F.col("node").alias("b"), F.col("n").alias("b_n"), *(F.col(s).alias(f"b_{s}") for s in SKETCH))
-    more = one.join(two, (one["bucket"] == two["bucket"]) & (one["block"] == two["block"]) & (F.col("a_c") != F.col("b_c")) & alike("a", "b", percent))
+        "bucket", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int").alias("block"), F.col("_c").alias("b_c"), (F.col("_c") != F.col("_p")).alias("b_rest"), F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("n", "bands", *BITMAPS)))
+    here = ~F.arrays_overlap(F.slice("a_bands", F.lit(1), F.col("band")), F.slice("b_bands", F.lit(1), F.col("band")))
+    more = one.join(two, (one["bucket"] == two["bucket"]) & (one["block"] == two["block"]) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_rest") | (F.col("a") < F.col("b"))) & alike("a", "b", percent) & here)
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     added = written(confirmed(more, sets, percent), "links")
     if not added.isEmpty():
