@@ -5,6 +5,7 @@ costs no more than many short ones."""
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,7 @@ def messages(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np
     t, s = np.exp(transition), np.exp(start)
     step = [np.where(begin, s[0], t[0, 0]), np.where(begin, s[1], t[0, 1]) * x, np.where(begin, s[0], t[1, 0]), np.where(begin, s[1], t[1, 1]) * x]
     m = [np.ascontiguousarray(y.reshape(blocks, width).T) for y in step]
+    del step, x
     p = [m[0][0], m[1][0], m[2][0], m[3][0]]
     for k in range(1, width):
         a, b, c, d = m[0][k], m[1][k], m[2][k], m[3][k]
@@ -61,7 +63,7 @@ def messages(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np
         z = u + v
         u, v = u / z, v / z
     flat = lambda y: y.transpose(2, 1, 0).reshape(-1, 2)[:n]
-    return flat(alpha), flat(beta), [y[:n] for y in step]
+    return flat(alpha), flat(beta), [y.T.reshape(-1)[:n] for y in m]
 
 
 def marginals(e: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -120,7 +122,7 @@ class Tagger:
 
 def fit(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 60, l2: float = 1.0, least: int = 2) -> Tagger:
     """Maximum-likelihood weights by Adam over all tokens. docs: words of each; tags: 0 or 1 of
-    each word. Features seen fewer than least times are left out."""
+    each word. Features that no word seen least times has are left out."""
     words = sorted({w for d in docs for w in d})
     number = {w: i for i, w in enumerate(words)}
     word = np.array([number[w] for d in docs for w in d], np.int64)
@@ -130,11 +132,19 @@ def fit(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 60, l2: flo
     if not y.sum():
         return Tagger()
     seen = np.bincount(word, minlength=len(words))
+    # features of words seen once stay out: few tokens could teach them, and they are most of all
     names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for i, w in enumerate(words) for f in features(w)]
-    row, col = np.array(pairs).T
-    often = np.bincount(col, seen[row], len(names)) >= least
-    row, col = row[often[col]], col[often[col]]
+    rows, cols = array("i"), array("i")
+    for i in np.flatnonzero(seen >= least).tolist():
+        for f in features(words[i]):
+            rows.append(i)
+            cols.append(names.setdefault(f, len(names)))
+    for i in np.flatnonzero(seen < least).tolist():
+        for f in features(words[i]):
+            if f in names:
+                rows.append(i)
+                cols.append(names[f])
+    row, col = np.array(rows, np.int64), np.array(cols, np.int64)
     inner = np.flatnonzero(~first)
     tagger = Tagger(bias=float(np.log(y.mean() / (1 - y.mean()))))
     n_f = len(names)

@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from orbitweave.llm import crf
 from orbitweave.llm.common import arrow_map, texts_of, written
 
-#: Documents of each label from which words and beginnings are counted, and to which the chain
-#: model is fitted.
-SAMPLE, FIT = {1: 4000, 0: 8000}, 700
+#: Documents of each label from which words and beginnings are counted, and toxic documents to
+#: which the chain model is fitted (with twice as many others, and as many others that hold
+#: a marking word).
+SAMPLE, FIT = {1: 4000, 0: 8000}, 350
 #: Longer documents are left out of the fit of the chain model, not of the counts or of scoring.
-FIT_WORDS = 4000
+FIT_WORDS = 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
+#: Fainter marginals do not count in a document's sum, or long texts would collect them.
+FAINT = 0.2
 CACHE_WORDS = 500_000
 THRESHOLD = 0.3
 #: How much commoner a marking word or beginning is in toxic documents.
@@ -81,7 +84,7 @@ def summaries(docs: list[list[str]], model: Model, cache: dict, scores: list) ->
     top, total = np.zeros(len(docs)), np.zeros(len(docs))
     if len(p):
         starts = np.array([e - len(d) for e, d in zip(ends, docs, strict=True)])[some]
-        top[some], total[some] = np.maximum.reduceat(p, starts), np.add.reduceat(np.where(p > 1e-3, p, 0), starts)
+        top[some], total[some] = np.maximum.reduceat(p, starts), np.add.reduceat(np.where(p > FAINT, p, 0), starts)
     return top, total, p, ends
 
 
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts, ys, weights = [], [], []
     for y, hard in ((1, False), (0, False), (0, True)):
         # the other documents with a mark teach what a mark alone does not say
-        part = some.where((F.col("_y") == y) & (F.col("_hard") == hard) & (F.length("_text") < 8 * FIT_WORDS)).orderBy("_h", "_id").limit(fit_docs)
+        part = some.where((F.col("_y") == y) & (F.col("_hard") == hard) & (F.length("_text") < 8 * FIT_WORDS)).orderBy("_h", "_id").limit(fit_docs * (1 if y or hard else 2))
         own = [d for d in (words_of(r["_text"] or "") for r in part.collect()) if 0 < len(d) <= FIT_WORDS]
         texts += own
         ys += [y] * len(own)
