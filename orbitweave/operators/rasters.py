@@ -19,7 +19,7 @@ def is_valid(v: Column, dummy: float | None = None) -> Column:
 
 
 def percentile_stretch(pixels: DataFrame, dummy: float | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Adds u8: v between the image's exact percentiles as 0 to 255, truncated; invalid pixels 0. An
+    """Adds u8: v between the image's exact percentiles as 0 to 255, truncated (after nine places, so that a last bit does not count); invalid pixels 0. An
     image of one value, or without valid pixels, does not divide by 0."""
     v = F.col("v").cast("double")
     stats = pixels.where(is_valid(F.col("v"), dummy)).groupBy("image_id").agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_p"))
@@ -27,7 +27,7 @@ def percentile_stretch(pixels: DataFrame, dummy: float | None = None, low: float
     lo = F.col("_p")[0]
     hi = F.when(F.col("_p")[1] <= lo, lo + 1).otherwise(F.col("_p")[1])
     scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - lo) / (hi - lo))) * 255
-    return joined.withColumn("u8", F.when(is_valid(F.col("v"), dummy), F.floor(scaled).cast("int")).otherwise(0)).drop("_p")
+    return joined.withColumn("u8", F.when(is_valid(F.col("v"), dummy), F.floor(F.round(scaled, 9)).cast("int")).otherwise(0)).drop("_p")
 
 
 def decimated(pixels: DataFrame, step: int) -> DataFrame:
