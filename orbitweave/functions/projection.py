@@ -111,7 +111,8 @@ def from_cartesian(x: Column, y: Column, z: Column, radius_m: float = SPHERE_RAD
     """Latitude, longitude in [0, 360), elevation; null at the centre."""
     r = F.sqrt(x * x + y * y + z * z)
     safe = F.when(r > 0, r)
-    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z / safe)))), F.when(r > 0, normalize_longitude(F.degrees(F.atan2(y, x)))), safe - F.lit(float(radius_m))
+    sine = z / safe
+    return F.degrees(F.asin(F.when(sine > 1, 1.0).when(sine < -1, -1.0).otherwise(sine))), F.when(r > 0, normalize_longitude(F.degrees(F.atan2(y, x)))), safe - F.lit(float(radius_m))
 
 
 def terrain_point(latitude: Column, longitude: Column, elevation_m: Column, reason: Column | None = None) -> Column:

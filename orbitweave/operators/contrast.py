@@ -55,16 +55,32 @@ def edges(image: np.ndarray) -> np.ndarray:
 
 
 def stretched(image: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Values between two percentiles as 0 to 255; zeros if these are equal."""
     a, b = np.percentile(image, (low, high))
-    return np.clip((image - a) / max(b - a, 1.0 if b <= a else b - a) * 255, 0, 255)
+    return np.clip((image - a) * 255 / (b - a), 0, 255) if b > a else np.zeros_like(image, float)
+
+
+# Weights of the image, of its detail and of its edges, and of the background.
+IMAGE, DETAIL, EDGES, SHARPEN, MIDDLE, SIGMA = 0.78, 0.18, 0.04, 0.35, 128.0, 9.0
+
+
+def detail(equal: np.ndarray, amount: float) -> np.ndarray:
+    """What stands out of the blurred background, around the middle gray."""
+    return (1 + amount) * equal - amount * blurred(equal, SIGMA) + MIDDLE
 
 
 def local_contrast(image: np.ndarray) -> np.ndarray:
-    """8-bit values with local contrast, for matching images under different light."""
-    e = equalised(image)
-    flat = np.clip(1.35 * e - 0.35 * blurred(e, 9.0) + 0.0, 0, 255) * 0.5 + np.clip(e - blurred(e, 9.0) + 128, 0, 255) * 0.5
-    mixed = 0.78 * flat + 0.18 * stretched(edges(flat), 5, 99)
-    return np.clip(0.96 * mixed + 0.04 * image, 0, 255).astype(np.uint8)
+    """8-bit values with local contrast, for matching images under different light: mostly the image
+    itself, some of its equalised detail, a little of its edges."""
+    d = np.floor(np.clip(detail(np.floor(equalised(image)), SHARPEN), 0, 255))
+    parts = (1 - EDGES) * (IMAGE * image + DETAIL * d) + EDGES * stretched(edges(d), 5, 99)
+    return np.clip(parts, 0, 255).astype(np.uint8)
+
+
+def preview_contrast(image: np.ndarray) -> np.ndarray:
+    """Equalised detail of a preview, stretched from its least to its largest value."""
+    d = detail(np.floor(equalised(image)), 0.5)
+    return (d - d.min()) / (d.max() - d.min()) * 255 if d.max() > d.min() else np.zeros_like(d)
 
 
 def enhanced(pixels: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def decode_tiff(raw: bytes) -> tuple[np.ndarray, dict[int, tuple]]:
 def decode(path: str, raw: bytes, layout: dict | None = None) -> np.ndarray:
     """An image by its suffix, or a binary by its label's layout."""
     if layout:
-        return decode_raw(raw, layout["lines"], layout["samples"], layout["dtype"], layout.get("byte_offset") or 0)
+        return decode_raw(raw, int(layout["lines"]), int(layout["samples"]), layout["dtype"], int(layout.get("byte_offset") or 0))
     low = path.lower()
     if low.endswith(".png"):
         return decode_png(raw)
@@ -155,7 +155,7 @@ def read_tiles(spark: SparkSession, path: str, layouts: DataFrame | None = None,
         for rows in frames:
             for p, raw, layout in zip(rows["path"], rows["content"], rows["layout"], strict=True):
                 try:
-                    a = decode(p, bytes(raw), dict(layout) if layout is not None and layout["lines"] is not None else None).astype(float)
+                    a = decode(p, bytes(raw), dict(layout) if layout is not None and layout["lines"] == layout["lines"] and layout["lines"] is not None else None).astype(float)
                 except (ValueError, KeyError, zlib.error, struct.error):
                     continue
                 for i in range(0, a.shape[0], tile):
