@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,6 @@ from pyspark.sql import functions as F
 from orbitweave import workers
 from orbitweave.functions import geometry as g
 
-RECORD_AGGS = ("inlier", "reprojection_error", "confidence")
-
 
 def rmse(e: Column) -> Column:
     return F.sqrt(F.avg(e * e))
@@ -74,14 +74,19 @@ def hull_points(x, y) -> list[tuple[float, float]]:
     return half(p) + half(p[::-1])
 
 
-def hull_coverage(points: DataFrame, x: str, y: str, shape: tuple[int, int] = (1024, 1024), parts: int = 64) -> DataFrame:
+def hull_coverage(points: DataFrame, x: str, y: str, shape: tuple[int, int] = (1024, 1024)) -> DataFrame:
     """Per pair the share of the image that the points' convex hull covers (0 under three points).
-    Hulls of parts of a pair's rows are taken first; the hull of their corners is the pair's."""
+    Hulls of each batch of rows are taken where the rows are; only their corners are shuffled, and
+    the hull of a pair's corners is the pair's."""
     workers.prepare(points.sparkSession)
 
-    def corners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = hull_points(rows["x"], rows["y"])
-        return pd.DataFrame({"pair_id": key[0], "n": len(rows), "x": [p[0] for p in h], "y": [p[1] for p in h]}).assign(n=lambda d: [len(rows)] + [0] * (len(d) - 1))
+    def corners(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for pair, own in rows.groupby("pair_id"):
+                h = hull_points(own["x"], own["y"])
+                out += [(pair, len(own) if k == 0 else 0, *p) for k, p in enumerate(h)]
+            yield pd.DataFrame(out, columns=["pair_id", "n", "x", "y"])
 
     def area(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = hull_points(rows["x"], rows["y"])
@@ -89,6 +94,5 @@ def hull_coverage(points: DataFrame, x: str, y: str, shape: tuple[int, int] = (1
         a = abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(h, h[1:] + h[:1], strict=True))) / 2 if n >= 3 and len(h) >= 3 else 0.0
         return pd.DataFrame({"pair_id": [key[0]], "n": [n], "convex_hull_fraction": [a / (shape[0] * shape[1])]})
 
-    some = points.where(g.finite(F.col(x), F.col(y))).select("pair_id", F.col(x).alias("x"), F.col(y).alias("y"), F.pmod(F.xxhash64(x, y), F.lit(parts)).alias("part"))
-    partial = some.groupBy("pair_id", "part").applyInPandas(corners, "pair_id long, n long, x double, y double")
-    return partial.groupBy("pair_id").applyInPandas(area, "pair_id long, n long, convex_hull_fraction double")
+    some = points.where(g.finite(F.col(x), F.col(y))).select("pair_id", F.col(x).alias("x"), F.col(y).alias("y"))
+    return some.mapInPandas(corners, "pair_id long, n long, x double, y double").groupBy("pair_id").applyInPandas(area, "pair_id long, n long, convex_hull_fraction double")

@@ -132,7 +132,7 @@ def test_metrics(spark):
     got = {r["pair_id"]: r for r in metrics.registration_metrics(df, (200, 200)).collect()}
     assert (got[1]["ransac_inliers"], got[1]["inlier_ratio"], got[1]["median_reprojection_error_px"], got[1]["occupied_grid_cells"]) == (3, 0.75, 2.0, 3)
     assert got[1]["rmse_reprojection_error_px"] == pytest.approx(math.sqrt(14 / 3)) and got[2]["rmse_reprojection_error_px"] is None and got[2]["occupied_grid_cells"] == 0
-    hull = {r["pair_id"]: r["convex_hull_fraction"] for r in metrics.hull_coverage(df, "reference_x", "reference_y", (200, 200), parts=2).collect()}
+    hull = {r["pair_id"]: r["convex_hull_fraction"] for r in metrics.hull_coverage(df, "reference_x", "reference_y", (200, 200)).collect()}
     assert hull == {1: pytest.approx(5000 / 40000), 2: 0.0}
     m = metrics.registration_metrics(df, (200, 200))
     assert rows(m.select("pair_id", metrics.quality_gate(m, 3.0, least=3).alias("q"))) == [(1, True), (2, False)]
