@@ -9,7 +9,8 @@
    band - and every member is paired with the pivots only, so pairs grow with members, never with
    their square. The population counts of the XOR of two sketches, and of two set bitmaps, estimate
    the similarity and drop what is clearly below; the rest is confirmed on the full sets.
-3. Confirmed links give components, by label propagation with pointer jumping.
+3. Confirmed links give components: nodes go to their smallest neighbours, and edges are drawn anew
+   between what is left, until none are.
 4. What pivots can't tell - members of a bucket outside its commonest component - is compared with
    all members, in blocks of BLOCK, each pair in the first bucket that it shares, bitmaps first and
    then full sets, pairs already refuted left out. With that every pair of a bucket is decided: it is linked, refuted, or inside one
@@ -183,19 +184,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b): (node, component), the smallest node reachable, for all nodes of edges. Each
-    round takes the smallest label of the neighbours and then that label's own label; labels are
-    written between rounds."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    """edges (a, b): (node, component), the smallest node reachable, for all nodes of edges. In each
+    round a node goes to its smallest neighbour's smallest neighbour; then edges are drawn between
+    the nodes that are left, and those inside one vanish. Edges and labels are written between
+    rounds; both shrink or stay, never grow."""
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct().withColumn("component", F.col("node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_new"))
-        jump = labels.select(F.col("node").alias("_new"), F.col("component").alias("_jump"))
-        labels = written(step.join(jump, "_new").select("node", "_old", F.least("_new", "_jump").alias("component")), "labels")
-        if labels.where(F.col("_old") != F.col("component")).isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        low = written(both.groupBy("a").agg(F.min("b").alias("_n")).select(F.col("a").alias("old"), F.least("a", "_n").alias("new")), "steps")
+        jump = low.join(low.select(F.col("old").alias("_o"), F.col("new").alias("_n")), F.col("new") == F.col("_o")).select("old", F.col("_n").alias("new"))
+        jump = written(jump, "steps")
+        labels = labels.join(jump, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        labels = written(labels, "labels")
+        left = jump.select(F.col("old").alias("a"), F.col("new").alias("_a"))
+        right = jump.select(F.col("old").alias("b"), F.col("new").alias("_b"))
+        edges = edges.join(left, "a").join(right, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        edges = written(edges, "edges")
+        if edges.isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -240,10 +247,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = one.join(two, (one["bucket"] == two["bucket"]) & (one["block"] == two["block"]) & (F.col("a_c") != F.col("b_c")) & (~F.col("b_rest") | (F.col("a") < F.col("b"))) & alike("a", "b", percent) & here)
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     added = written(confirmed(more, sets, percent), "links")
-    if not added.isEmpty():
-        labels = components(links.unionByName(added))
+    # the new links join components as they are
+    ends = added.join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
+    joined = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))) if not added.isEmpty() else None
 
     named = heads.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("_component"))
+    if joined is not None:
+        named = named.join(joined.select(F.col("node").alias("_component"), F.col("component").alias("_joined")), "_component", "left").select("k1", "k2", F.coalesce("_joined", "_component").alias("_component"))
     component = F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     out = signs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
