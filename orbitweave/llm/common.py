@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave import workers
+from orbitweave.storage import shared_folder, table, written
+
+__all__ = ["arrow_map", "batch_of", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "table", "texts_of", "word_hashes", "written"]
 
 #: Rows in an Arrow batch. Texts can be 100 KB and more, so batches are kept short.
 BATCH_ROWS = 500
@@ -26,35 +26,12 @@ def session_for_texts(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where the session has none (a
-    single-machine run or a test), a local folder is made and used."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = Path(tempfile.gettempdir(), "orbitweave-shared").resolve().as_uri()
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again. That cuts the lineage: a lost
-    executor costs a re-read of the file, not a recomputation, and non-deterministic row ids are
-    fixed once and for all. The files belong to the shared folder's owner, who clears it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_of(column: Column | str) -> Column:
     """Unsigned CRC-32 of a value's text; null stays null."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty string."""
     return [x if x is not None else "" for x in column.to_pylist()]

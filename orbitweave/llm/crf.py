@@ -109,8 +109,13 @@ class Tagger:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(n, 3): what each word adds to its own score, to the next token's and to the last's."""
-        none = (0.0, 0.0, 0.0)
-        return np.array([np.sum([self.weights.get(f, none) for f in features(w)], axis=0) for w in words]).reshape(-1, 3)
+        get, out = self.weights.get, np.zeros((len(words), 3))
+        for i, w in enumerate(words):
+            # most words have no weighted feature at all
+            for x in map(get, features(w)):
+                if x is not None:
+                    out[i] += x
+        return out
 
     def emissions(self, word: np.ndarray, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         e = scores[word, 0] + self.bias

@@ -6,7 +6,9 @@ blocks with many stop words are text; blocks without stop words outside an artic
 boilerplate; the rest - short blocks, and longer ones of middling stop-word density - is ambiguous.
 Pass two gives an ambiguous block the label of its nearest decided neighbours: inside an article
 (article, main, or an element that is named as one) the neighbours there alone count and a tie, or
-none, is text; outside, both sides must be text.
+none, is text; outside an article of a page that has one, both sides must be text; on a page
+without one the nearer side decides, and a tie, or none, is text. A page without any stop word (a
+language without a list) keeps what is not boilerplate by structure or links.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one line feed in page order. Markup that is cut off, unclosed or wrongly nested is read
@@ -45,7 +47,9 @@ ROLES = set("navigation banner contentinfo complementary search dialog alertdial
 #: Words in class or id that name what is not the article.
 NAMES = set("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion sidebar aside widget widgets cookie cookies consent gdpr notice notices notification alert banner comment comments commentlist disqus respond reply replies social share sharing related recommended newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation pagination pager toolbar footer masthead skip login signup".split())
 HEADER = {"header", "heading", "head"}
-OWN = set("article entry post content main story body text page title".split())
+OWN = set("article entry post content main maincontent story body text page title".split())
+#: Names that make an element an article if nothing else is said of it.
+CONTAINERS = set("article entry post content main maincontent story".split())
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z" % "|".join(RAW),
@@ -80,6 +84,8 @@ def role_of(name: str, attrs: str, inside: bool) -> str:
             words = {w.lower() for w in _parts.findall(f"{said.get('class', '')} {said.get('id', '')}")}
             if name not in ARTICLE and (words & NAMES or words & HEADER and not words & OWN and not inside and name not in INLINE):
                 return "around"
+            if words & CONTAINERS and words <= OWN and name not in INLINE and not name.startswith("h"):
+                return "article"
             if said.get("role", "").lower() in ("main", "article") or said.get("itemprop", "") == "articleBody" or words & {"article", "entry", "post", "story"} and words & {"content", "body", "text"}:
                 return "article"
     return "article" if name in ARTICLE else ""
@@ -180,33 +186,46 @@ def decide(block: Block) -> str:
     return "around"
 
 
-def nearest(found: list[Block], order: range) -> list[str | None]:
-    """For each block the label of the decided block last seen in that order: of the same article,
-    or of the page for a block in none."""
-    out: list[str | None] = [None] * len(found)
-    page: str | None = None
-    own: dict[int, str] = {}
+def nearest(found: list[Block], order: range) -> list[tuple[int, str] | None]:
+    """For each block the place and label of the decided block last seen in that order: of the same
+    article, or of the page for a block in none."""
+    out: list[tuple[int, str] | None] = [None] * len(found)
+    page: tuple[int, str] | None = None
+    own: dict[int, tuple[int, str]] = {}
     for i in order:
         b = found[i]
         out[i] = own.get(b.article) if b.article else page
         if b.label:
-            page = b.label
+            page = i, b.label
             if b.article and not b.around:
-                own[b.article] = b.label
+                own[b.article] = i, b.label
     return out
 
 
+def inherited(i: int, b: Block, before: tuple[int, str] | None, after: tuple[int, str] | None, has_article: bool) -> str:
+    """Pass two for one ambiguous block."""
+    labels = [x[1] for x in (before, after) if x]
+    if b.article:
+        return "around" if labels == ["around", "around"] else "text"
+    if has_article:
+        return "text" if labels == ["text", "text"] else "around"
+    if before and after and before[1] != after[1]:
+        near = before if i - before[0] < after[0] - i else after if after[0] - i < i - before[0] else None
+        return near[1] if near else "text"
+    return labels[0] if labels else "text"
+
+
 def main_text(html: str) -> str:
     found = blocks(html)
     for b in found:
         b.label = decide(b)
-    # pass two: the nearest decided block on either side, inside the same article if in one
+    has_article = any(b.article for b in found)
+    if not has_article and not any(b.label == "text" for b in found):
+        for b in found:
+            b.label = "around" if b.around or b.linked > LINKS * len(b.text) else "text"
     before, after = nearest(found, range(len(found))), nearest(found, range(len(found) - 1, -1, -1))
-    for b, near in zip(found, zip(before, after, strict=True), strict=True):
-        if not b.label and b.article:
-            b.label = "around" if near == ("around", "around") else "text"
-        elif not b.label:
-            b.label = "text" if near == ("text", "text") else "around"
+    for i, b in enumerate(found):
+        b.label = b.label or inherited(i, b, before[i], after[i], has_article)
     return "\n".join(b.text for b in found if b.label == "text")
 
 

@@ -33,7 +33,7 @@ from orbitweave.llm.common import arrow_map, texts_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Hash ranges in which the pieces of one length are ranked.
 BUCKETS = 16
 

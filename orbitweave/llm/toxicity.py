@@ -31,14 +31,14 @@ from orbitweave.llm.common import arrow_map, texts_of, written
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
 #: a marking word).
-SAMPLE, FIT = {1: 4000, 0: 8000}, 350
+SAMPLE, FIT = {1: 4000, 0: 8000}, 300
 #: Longer documents are left out of the fit of the chain model, not of the counts or of scoring.
 FIT_WORDS = 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
 #: Fainter marginals do not count in a document's sum, or long texts would collect them.
 FAINT = 0.2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.3
 #: How much commoner a marking word or beginning is in toxic documents.
 RATIO = 20

@@ -98,7 +98,12 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-
 def test_html_blocks():
     assert html_text.main_text(PAGE) == "Title & more\nFirst paragraph of the text that is here for you.\nShort.\none item\nLast one here"
     prose = "the cat sat on the mat and it was good for the dog to be in the house of the man " * 3
-    assert html_text.main_text(f"<p>{prose}</p><p>short one</p><p>{prose}</p><p>Menu</p>") == f"{prose.strip()}\nshort one\n{prose.strip()}"
+    # without an article: short blocks go with the nearer decided side, links are no text
+    assert html_text.main_text(f"<h1>Title</h1><p>{prose}</p><p>short one</p><p>{prose}</p><p>end</p><p><a href=x>Menu</a></p>") == f"Title\n{prose.strip()}\nshort one\n{prose.strip()}\nend"
+    assert html_text.main_text(f"<nav><p>a</p></nav><p>b</p><p>c</p><p>d</p><p>{prose}</p>") == f"c\nd\n{prose.strip()}"
+    assert html_text.main_text(f"<p>stray</p><article><p>{prose}</p></article><p>stray</p>") == prose.strip()
+    assert html_text.main_text("<div id='header'>Site</div><div id='content'><p>x y</p><div class='share'>Share</div></div><div id='sidebar'><p>z</p></div>") == "x y"
+    assert html_text.main_text("<p>Ciao mondo questa pagina ha molte parole italiane senza nulla di inglese o altro ancora ecco</p><p>fine</p>").endswith("ecco\nfine")
     for odd in ("", "text", "<", "<p", "<!-- x", "<script>x", "</p></p>", "<a href='>'>x</a>", "&#x110000;", "\x00<p>\ud800</p>", "<nav><p>x</nav>"):
         html_text.main_text(odd)
     assert html_text.main_text("<article>" + "<p>x" * 5000) == "\n".join("x" * 5000)
