@@ -101,3 +101,20 @@ def search(rows: DataFrame, query: str, order: str, page: int = 1, per_page: int
     hits = rows.where(t.row_matches([F.col(c) for c in rows.columns], query))
     upto = hits.orderBy(order).limit(page * per_page)
     return upto.withColumn("display", F.row_number().over(Window.orderBy(order))).where(F.col("display") > (page - 1) * per_page)
+
+
+def dimensions(shape: Column) -> Column:
+    """An array [height, width, ...] as a struct; null where either is missing."""
+    h, w = F.try_element_at(shape, F.lit(1)), F.try_element_at(shape, F.lit(2))
+    return F.when(h.isNotNull() & w.isNotNull(), F.struct(h.cast("int").alias("height"), w.cast("int").alias("width")))
+
+
+def image_metadata(files: DataFrame) -> DataFrame:
+    """What a run document says of an image: id '<run>:<role>', format by suffix, size, dimensions
+    (the decoded ones, else those that the run reports). files: run_id, role, path, length, decoded
+    and reported (arrays), sensor."""
+    suffix = F.upper(F.regexp_extract("path", "\\.([^./\\\\]+)$", 1))
+    size = F.coalesce(dimensions(F.col("decoded")), dimensions(F.col("reported")))
+    return files.select(
+        "run_id", "role", F.concat_ws(":", "run_id", "role").alias("image_id"), t.basename(F.col("path")).alias("filename"), F.nullif(suffix, F.lit("")).alias("format"),
+        size["width"].alias("width"), size["height"].alias("height"), F.col("length").alias("file_size"), F.coalesce("sensor", F.lit("unavailable")).alias("sensor"), "path")

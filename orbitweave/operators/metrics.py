@@ -96,3 +96,14 @@ def hull_coverage(points: DataFrame, x: str, y: str, shape: tuple[int, int] = (1
 
     some = points.where(g.finite(F.col(x), F.col(y))).select("pair_id", F.col(x).alias("x"), F.col(y).alias("y"))
     return some.mapInPandas(corners, "pair_id long, n long, x double, y double").groupBy("pair_id").applyInPandas(area, "pair_id long, n long, convex_hull_fraction double")
+
+
+def attempt_counters(passes: DataFrame, by: str = "pair_id") -> DataFrame:
+    """Sums over matcher passes of each pair, the largest keypoint counts, the mean descriptor
+    distance over all matches (null without any), and whether any pass used physical geometry.
+    passes: forward, reverse and mutual counts, source_keypoints, reference_keypoints,
+    distance_sum, n_distances, physical."""
+    return passes.groupBy(by).agg(
+        F.count(F.lit(1)).alias("passes"), F.sum("forward").alias("raw_forward_matches"), F.sum("reverse").alias("raw_reverse_matches"), F.sum("mutual").alias("mutual_matches"),
+        F.max("source_keypoints").alias("source_keypoints"), F.max("reference_keypoints").alias("reference_keypoints"),
+        F.try_divide(F.sum("distance_sum"), F.sum("n_distances")).alias("mean_descriptor_distance"), F.coalesce(F.bool_or("physical"), F.lit(False)).alias("physical_geometry_used"))

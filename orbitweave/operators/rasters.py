@@ -126,3 +126,18 @@ def resample_points(rows: DataFrame, columns: DataFrame) -> DataFrame:
     is what is asked for. rows (i, y), columns (j, x); the shorter side is small by nature and is
     broadcast."""
     return rows.join(F.broadcast(columns))
+
+
+def geographic_pixel(latitude: Column, longitude: Column, tie: tuple[float, float, float, float], scale: tuple[float, float]) -> tuple[Column, Column]:
+    """Pixel of a raster in degrees with north up. tie: (i, j, longitude, latitude) of one pixel;
+    scale: degrees per pixel in x and y."""
+    i, j, lon0, lat0 = tie
+    return (longitude - F.lit(float(lon0))) / F.lit(float(scale[0])) + F.lit(float(i)), (F.lit(float(lat0)) - latitude) / F.lit(float(scale[1])) + F.lit(float(j))
+
+
+def elevation_geographic(points: DataFrame, dem: DataFrame, tie: tuple[float, float, float, float], scale: tuple[float, float], height: int, width: int, radius_m: float = 1_737_400.0, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
+    """Elevations from a raster in degrees whose values are radii in metres: positive values are
+    valid, and the reference radius is taken off."""
+    x, y = geographic_pixel(F.col(latitude), F.col(longitude), tie, scale)
+    got = elevation_at(points, dem, x, y, height, width, 5e-324, float("inf"), float("-inf"))
+    return got.withColumn("elevation_m", F.col("elevation_m") - F.lit(float(radius_m)))

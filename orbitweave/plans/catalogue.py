@@ -22,7 +22,7 @@ from orbitweave.operators import rasters as ra
 from orbitweave.operators import refinement as rf
 from orbitweave.operators import robust as rb
 from orbitweave.plans.views import TRUE_H, ctes, view
-from orbitweave.sources import labels, orbit
+from orbitweave.sources import labels, orbit, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -550,6 +550,37 @@ def q_phase_shift(spark, sf_dir):
     return got.select("pair_id", r("refined_reference_x", 3).alias("refined_reference_x"), r("refined_reference_y", 3).alias("refined_reference_y"), r("subpixel_diagnostic", 3).alias("subpixel_diagnostic"), "refine_status")
 
 
+@query(f"""{ctes('corr')} SELECT pair_id, count(*) AS passes, sum(match_id % 50)::BIGINT AS raw_forward_matches, sum(match_id % 40)::BIGINT AS raw_reverse_matches, sum(match_id % 30)::BIGINT AS mutual_matches, max(match_id % 2500) AS source_keypoints, max(match_id % 2400) AS reference_keypoints,
+ {q('sum(CASE WHEN match_id % 4 > 0 THEN confidence END) / nullif(sum(CASE WHEN match_id % 4 > 0 THEN 1 END), 0)')} AS mean_descriptor_distance, bool_or(match_id % 97 = 0) AS physical_geometry_used FROM corr GROUP BY pair_id""")
+def q_attempt_counters(spark, sf_dir):
+    i = F.col("match_id")
+    some = i % 4 > 0
+    passes = view(spark, sf_dir, "corr").select("pair_id", (i % 50).alias("forward"), (i % 40).alias("reverse"), (i % 30).alias("mutual"), (i % 2500).alias("source_keypoints"), (i % 2400).alias("reference_keypoints"), F.when(some, F.col("confidence")).alias("distance_sum"), F.when(some, 1).alias("n_distances"), (i % 97 == 0).alias("physical"))
+    return m.attempt_counters(passes).withColumn("mean_descriptor_distance", r("mean_descriptor_distance"))
+
+
+@query(f"""{ctes('corr', 'pixels')}, w AS (SELECT match_id, round_even((source_x / 100 - 1) / 0.25E0 + 2, 0)::BIGINT AS px, round_even((9 - source_y / 120) / 0.25E0 + 1, 0)::BIGINT AS py FROM corr)
+SELECT match_id, CASE WHEN p.v > 0 THEN p.v - 1000.0 END AS elevation_m, coalesce(p.v > 0, false) AS valid, CASE WHEN p.v > 0 THEN 'ok' WHEN px >= 0 AND px < 32 AND py >= 0 AND py < 32 THEN 'invalid_dem_value' ELSE 'outside_dem_coverage' END AS reason FROM w LEFT JOIN pixels p ON p.image_id = 1 AND p.x = px AND p.y = py""")
+def q_geographic_dem(spark, sf_dir):
+    points = view(spark, sf_dir, "corr").select("match_id", (F.col("source_y") / 120).alias("latitude"), (F.col("source_x") / 100).alias("longitude"))
+    dem = view(spark, sf_dir, "pixels").where("image_id = 1")
+    return ra.elevation_geographic(points, dem, (2, 1, 1.0, 9.0), (0.25, 0.25), 32, 32, 1000.0).select("match_id", "elevation_m", "valid", "reason")
+
+
+@query(f"""{ctes('corr')}, {TOPK} SELECT p.pair_id, p.match_id, p.grid_row, p.grid_col, {q('c.source_x')} AS source_x, {q('c.source_x * 0.75')} AS preview_source_x, {q('c.reference_y * 0.5')} AS preview_reference_y FROM picked p JOIN corr c USING (match_id)""")
+def q_uniform_grid_rows(spark, sf_dir):
+    got = tables.uniform_grid(c.grid_select(view(spark, sf_dir, "corr")), *SCALE)
+    return got.select("pair_id", "match_id", "grid_row", "grid_col", *(r(x).alias(x) for x in ("source_x", "preview_source_x", "preview_reference_y")))
+
+
+@query("""SELECT md5(CAST(page_id AS VARCHAR)) || ':source' AS image_id, regexp_extract(url, '([^/]*)$', 1) AS filename, nullif(upper(regexp_extract(url, '\.([^./]+)$', 1)), '') AS format, CASE WHEN page_id % 3 = 0 THEN 640 WHEN page_id % 3 = 1 THEN 320 END AS width, length(html) AS file_size FROM pages""")
+def q_image_metadata(spark, sf_dir):
+    i = F.col("page_id")
+    none = F.lit(None).cast("array<int>")
+    files = view(spark, sf_dir, "pages").select(F.md5(i.cast("string").cast("binary")).alias("run_id"), F.lit("source").alias("role"), F.col("url").alias("path"), F.length("html").cast("long").alias("length"), F.when(i % 3 == 0, F.array(F.lit(480), F.lit(640))).otherwise(none).alias("decoded"), F.when(i % 3 != 2, F.array(F.lit(240), F.lit(320))).otherwise(F.array(F.lit(1))).alias("reported"), F.lit(None).cast("string").alias("sensor"))
+    return d.image_metadata(files).select("image_id", "filename", "format", "width", "file_size")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -90,3 +90,51 @@ def report(metrics: DataFrame) -> DataFrame:
         line("candidate matches", F.col("candidate_matches").cast("string")), line("inliers", F.col("ransac_inliers").cast("string")), line("inlier ratio", t.percent_text(F.col("inlier_ratio"))),
         line("RMSE", t.unit_text(F.col("rmse_reprojection_error_px"), "px")), line("mean confidence", t.cell_text(F.col("mean_match_confidence"))), line("occupied cells", F.concat_ws(" of ", F.col("occupied_grid_cells").cast("string"), F.col("total_grid_cells").cast("string"))))
     return metrics.select("pair_id", body.alias("report"))
+
+
+# Columns of the grid file, in order.
+UNIFORM_GRID = ["match_id", "grid_row", "grid_col", "source_x", "source_y", "reference_x", "reference_y", "confidence", "preview_source_x", "preview_source_y", "preview_reference_x", "preview_reference_y"]
+
+
+def uniform_grid(celled: DataFrame, source_scale: float = 1.0, reference_scale: float = 1.0) -> DataFrame:
+    """The grid file's rows from selected matches with cells: native points, and the same in preview
+    pixels."""
+    return celled.withColumns({"preview_source_x": F.col("source_x") * source_scale, "preview_source_y": F.col("source_y") * source_scale, "preview_reference_x": F.col("reference_x") * reference_scale, "preview_reference_y": F.col("reference_y") * reference_scale}).select(*(["pair_id"] if "pair_id" in celled.columns else []), *UNIFORM_GRID)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files that a path or glob names; the contents are not read."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", "length")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, length long")
+
+
+def elevation_sources(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(ordinal, kind, path, label): terrain rasters in the order in which they are tried - those of
+    the manifest whose label and data both exist, then GeoTIFFs by path. manifest may be empty."""
+    there = files.select(F.col("path").alias("_f"))
+    rows = manifest.join(there, F.col("dtm_path") == F.col("_f"), "left_semi").join(there, F.col("dtm_label_path") == F.col("_f"), "left_semi")
+    rows = rows.select(F.lit(0).alias("_k"), F.lit("polar_dtm").alias("kind"), F.col("dtm_path").alias("path"), F.col("dtm_label_path").alias("label"))
+    tiffs = files.where(F.lower("path").rlike("\\.tiff?$")).select(F.lit(1).alias("_k"), F.lit("geotiff").alias("kind"), "path", F.lit(None).cast("string").alias("label"))
+    from pyspark.sql import Window
+
+    # a project's terrain files are a short list
+    return rows.unionByName(tiffs).withColumn("ordinal", F.row_number().over(Window.orderBy("_k", "path"))).drop("_k")
+
+
+def inputs(images: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """Everything that is known of an image by its path: catalogue row (by image or browse path),
+    native raster, geometry grid and label, each only if the file exists. images: image_id, path;
+    catalog: ordinal and the columns of CATALOG; files: path."""
+    from orbitweave.operators.lookups import any_key_lookup
+
+    rows = any_key_lookup(images, "path", catalog, ["image_path", "browse_path"], "ordinal")
+    rows = rows.withColumn("native_path", F.coalesce("catalog_image_path", "path"))
+    rows = rows.withColumns({"geometry_path": t.geometry_path(F.col("native_path")), "label_path": t.label_path(F.col("native_path"))})
+    there = files.select("path").distinct()
+    for c in ("geometry_path", "label_path"):
+        rows = rows.join(there.select(F.col("path").alias("_f")), F.col(c) == F.col("_f"), "left").withColumn(c, F.col("_f")).drop("_f")
+    return rows.select(*images.columns, "native_path", "label_path", "geometry_path", F.col("catalog_product_id").alias("product_id"), F.col("catalog_sensor").alias("sensor"))

@@ -126,3 +126,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").columns == ["window_start", "status", "runs", "mean_seconds"]
+
+
+def test_inputs(spark, tmp_path):
+    for p in ("data/c/data/x_d_img_1.img", "data/c/geometry/x_g_grd_1.csv", "data/c/data/x_d_img_1.xml", "dem/b.tif", "dem/a.TIFF", "dtm/1.lbl", "dtm/1.img", "dtm/2.lbl"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    files = tables.listing(spark, str(tmp_path / "*" / "*")).unionByName(tables.listing(spark, str(tmp_path / "data" / "*" / "*" / "*"))).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    assert tables.listing(spark, str(tmp_path / "none")).count() == 0
+    root = str(tmp_path)
+    manifest = spark.createDataFrame([(f"{root}/dtm/1.lbl", f"{root}/dtm/1.img"), (f"{root}/dtm/2.lbl", f"{root}/dtm/2.img")], tables.MANIFEST)
+    got = tables.elevation_sources(manifest, files).orderBy("ordinal").collect()
+    assert [(r["kind"], r["path"].removeprefix(root)) for r in got] == [("polar_dtm", "/dtm/1.img"), ("geotiff", "/dem/a.TIFF"), ("geotiff", "/dem/b.tif")]
+    assert tables.elevation_sources(manifest.limit(0), files).count() == 2
+    catalog = spark.createDataFrame([(1, f"{root}/data/c/data/x_d_img_1.img", "/b.png", "prod", "cam")], "ordinal int, " + tables.CATALOG)
+    images_ = spark.createDataFrame([(1, "/b.png"), (2, "/other.png")], "image_id int, path string")
+    rows_ = {r["image_id"]: r for r in tables.inputs(images_, catalog, files).collect()}
+    assert rows_[1]["geometry_path"].endswith("x_g_grd_1.csv") and rows_[1]["label_path"].endswith(".xml") and rows_[1]["sensor"] == "cam"
+    assert rows_[2]["native_path"] == "/other.png" and rows_[2]["label_path"] is None and rows_[2]["product_id"] is None
