@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orbitweave import workers
 from orbitweave.storage import shared_folder, table, written
 
-__all__ = ["arrow_map", "batch_of", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "table", "texts_of", "word_hashes", "written"]
+__all__ = ["arrow_map", "batch_of", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "spans_of_size", "table", "texts_of", "word_hashes", "written"]
 
 #: Rows in an Arrow batch. Texts can be 100 KB and more, so batches are kept short.
 BATCH_ROWS = 500
@@ -37,6 +37,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def spans_of_size(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of at most that many characters together (a longer text is alone),
+    so that the words of a batch of long texts are not all in memory at once."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over record batches; function takes and gives an iterator of batches."""
     session_for_texts(df.sparkSession)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, texts_of, written
+from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -110,7 +110,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), token_ids(texts_of(batch.column(1)), path), strict=True):
+            texts = texts_of(batch.column(1))
+            tokens = (ids for a, b in spans_of_size(texts) for ids in token_ids(texts[a:b], path))
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens, strict=True):
                 ids = np.concatenate((ids, end))
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm import crf
-from orbitweave.llm.common import arrow_map, texts_of, written
+from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
 
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
@@ -190,12 +190,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         cache, scores = {}, [np.zeros((0, 3))]
         for batch in batches:
             texts = texts_of(batch.column(at))
-            docs = [words_of(t) for t in texts]
-            if len(cache) > CACHE_WORDS:
-                cache, scores = {}, [np.zeros((0, 3))]
-            top, total, p, ends = summaries(docs, model, cache, scores)
-            spans = [_spans(t, p[e - len(d) : e]) if x >= SPAN else [] for t, d, e, x in zip(texts, docs, ends, top, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at_kept), pa.array(model.score(top, total)), pa.array(spans, spans_type)], names=[*keep, "toxic_score", "toxic_spans"])
+            score, spans = np.zeros(len(texts)), []
+            for a, b in spans_of_size(texts):
+                docs = [words_of(t) for t in texts[a:b]]
+                if len(cache) > CACHE_WORDS:
+                    cache, scores = {}, [np.zeros((0, 3))]
+                top, total, p, ends = summaries(docs, model, cache, scores)
+                score[a:b] = model.score(top, total)
+                spans += [_spans(t, p[e - len(d) : e]) if x >= SPAN else [] for t, d, e, x in zip(texts[a:b], docs, ends, top, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at_kept), pa.array(score), pa.array(spans, spans_type)], names=[*keep, "toxic_score", "toxic_spans"])
 
     schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep)
     return arrow_map(docs, run, schema + "toxic_score double, toxic_spans array<struct<start: bigint, end: bigint, p: double>>")

@@ -167,6 +167,20 @@ def test_model_is_a_distribution():
     assert one[0] == pytest.approx(model.log_p(quality.grams(quality.symbols("w1 w2 w3"))).sum()) and two[1] == 0
 
 
+def test_slices_of_a_text(monkeypatch):
+    some = ["a  b", " \n ab  ", "", "Über " * 9, "x"]
+    whole = [quality.grams(quality.symbols(x)).tolist() for x in some]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert [[int(c) for part in quality.gram_slices(x) for c in part] for x in some] == whole
+
+
+def test_ranges_of_texts():
+    from orbitweave.llm.common import spans_of_size
+
+    assert list(spans_of_size(["aaa", "b", "cc", "ddddddd", ""], 4)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(spans_of_size([])) == []
+
+
 def test_quality_keeps_prose_and_drops_noise(spark, odd, empty):
     prose = [(i, x, "en") for i, x in enumerate(texts(8, 60, vocabulary=400)) if len(x.split()) >= 50]
     noise = [(900, " ".join(x + "###" for x in texts(9, 1, vocabulary=400)[0].split() or ["a"]) + " $$$ *** " * 60, "en")]
