@@ -573,7 +573,7 @@ def q_uniform_grid_rows(spark, sf_dir):
     return got.select("pair_id", "match_id", "grid_row", "grid_col", *(r(x).alias(x) for x in ("source_x", "preview_source_x", "preview_reference_y")))
 
 
-@query("""SELECT md5(CAST(page_id AS VARCHAR)) || ':source' AS image_id, regexp_extract(url, '([^/]*)$', 1) AS filename, nullif(upper(regexp_extract(url, '\.([^./]+)$', 1)), '') AS format, CASE WHEN page_id % 3 = 0 THEN 640 WHEN page_id % 3 = 1 THEN 320 END AS width, length(html) AS file_size FROM pages""")
+@query("""SELECT md5(CAST(page_id AS VARCHAR)) || ':source' AS image_id, regexp_extract(url, '([^/]*)$', 1) AS filename, nullif(upper(regexp_extract(url, '\\.([^./]+)$', 1)), '') AS format, CASE WHEN page_id % 3 = 0 THEN 640 WHEN page_id % 3 = 1 THEN 320 END AS width, length(html) AS file_size FROM pages""")
 def q_image_metadata(spark, sf_dir):
     i = F.col("page_id")
     none = F.lit(None).cast("array<int>")
