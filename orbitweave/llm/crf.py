@@ -109,13 +109,16 @@ class Tagger:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(n, 3): what each word adds to its own score, to the next token's and to the last's."""
-        get, out = self.weights.get, np.zeros((len(words), 3))
-        for i, w in enumerate(words):
-            # most words have no weighted feature at all
+        get, out = self.weights.get, []
+        for w in words:
+            own = before = after = 0.0
             for x in map(get, features(w)):
                 if x is not None:
-                    out[i] += x
-        return out
+                    own += x[0]
+                    before += x[1]
+                    after += x[2]
+            out.append((own, before, after))
+        return np.array(out, float).reshape(-1, 3)
 
     def emissions(self, word: np.ndarray, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         e = scores[word, 0] + self.bias
