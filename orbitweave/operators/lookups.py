@@ -80,10 +80,11 @@ def nearest_in_time(probes: DataFrame, records: DataFrame, by: str, time: str =
 
 def nearest_grid_point(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """points with longitude and latitude of the nearest grid point (pixel, scan), ties to the
-    lowest idx. The grid is a bounded side file; it is held in blocks of BLOCK_ROWS, each scanned
-    by numpy, and the best of all blocks is kept by an aggregation-free fold."""
+    lowest idx. Of grid points at one place only the lowest idx can win, so the others go first;
+    the rest is held in blocks of BLOCK_ROWS, each scanned by numpy, and the best of all blocks is
+    kept by an aggregation-free fold."""
     workers.prepare(points.sparkSession)
-    rows = grid.select("idx", "pixel", "scan", "longitude", "latitude")
+    rows = grid.groupBy("pixel", "scan").agg(F.min(F.struct("idx", "longitude", "latitude")).alias("_g")).select("_g.idx", "pixel", "scan", "_g.longitude", "_g.latitude")
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     schema = points.schema

@@ -422,6 +422,14 @@ def q_nearest_geolocation(spark, sf_dir):
     return lk.nearest_grid_point(view(spark, sf_dir, "corr").select("match_id", "source_x", "source_y"), grid, "source_x", "source_y").select("match_id", "longitude", "latitude")
 
 
+@query()
+def q_nearest_geolocation_all(spark, sf_dir):
+    # all orders are the grid; a cross join in SQL is too slow on whole tables
+    o = F.col("o_orderkey")
+    grid = view(spark, sf_dir, "orders").select(o.alias("idx"), (o * 37 % 1024).cast("double").alias("pixel"), (o * 53 % 1024).cast("double").alias("scan"), (o % 360).cast("double").alias("longitude"), (o % 90).cast("double").alias("latitude"))
+    return lk.nearest_grid_point(view(spark, sf_dir, "corr").select("match_id", "source_x", "source_y"), grid, "source_x", "source_y").select("match_id", "longitude", "latitude")
+
+
 @query(f"""{ctes('series', 'probe')}, k AS (SELECT p.series_id, p.probe_id, s.record_number, abs(epoch_us(s.time) - epoch_us(p.time)) AS gap, row_number() OVER (PARTITION BY p.series_id, p.probe_id ORDER BY abs(epoch_us(s.time) - epoch_us(p.time)), s.time, s.record_number) AS k FROM probe p JOIN series s USING (series_id))
 SELECT series_id, probe_id, record_number, gap / 1e6 AS gap_seconds FROM k WHERE k = 1""")
 def q_asof_nearest(spark, sf_dir):
