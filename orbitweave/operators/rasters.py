@@ -4,6 +4,8 @@ are invalid; invalid pixels never enter statistics."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,12 @@ def area_resized(pixels: DataFrame, factor: int = 2, dummy: float | None = None)
     return pixels.where(is_valid(F.col("v"), dummy)).groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg(F.col("v").cast("double")).alias("v"))
 
 
-def blended(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Pixels of both images of a pair: weighted mean and absolute difference. a, b: (y, x, v)."""
-    both = a.select("y", "x", F.col("v").cast("double").alias("a")).join(b.select("y", "x", F.col("v").cast("double").alias("b")), ["y", "x"])
-    return both.select("y", "x", (F.lit(weight) * F.col("a") + F.lit(1 - weight) * F.col("b")).alias("blend"), F.abs(F.col("a") - F.col("b")).alias("difference"))
+def blended(a: DataFrame, b: DataFrame, weight: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Pixels of both images of a pair: weighted mean and absolute difference. a, b: (y, x, v), and
+    the columns by that tell pairs apart."""
+    at = [*by, "y", "x"]
+    both = a.select(*at, F.col("v").cast("double").alias("a")).join(b.select(*at, F.col("v").cast("double").alias("b")), at)
+    return both.select(*at, (F.lit(weight) * F.col("a") + F.lit(1 - weight) * F.col("b")).alias("blend"), F.abs(F.col("a") - F.col("b")).alias("difference"))
 
 
 def minmax(pixels: DataFrame) -> DataFrame:
@@ -62,17 +66,19 @@ def frame(spark, height: int, width: int) -> DataFrame:
     return spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
 
 
-def warped(pixels: DataFrame, inverse: list[float], height: int, width: int) -> DataFrame:
+def warped(pixels: DataFrame, inverse: list[float], height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
     """Perspective warp with bilinear weights: for each output pixel the input point under the
     inverse homography; input pixels outside the image, or missing, count as 0. pixels: (y, x, v)
-    of one image."""
+    of one image, or of many told apart by the columns by."""
     out = frame(pixels.sparkSession, height, width)
+    if by:
+        out = pixels.select(*by).distinct().crossJoin(out)
     sx, sy = g.project(F.col("x").cast("double"), F.col("y").cast("double"), inverse)
     at = out.withColumns({"_sx": sx, "_sy": sy}).withColumns({"_ix": F.floor("_sx"), "_iy": F.floor("_sy")})
     corners = F.array(*(F.struct((F.col("_ix") + dx).alias("x"), (F.col("_iy") + dy).alias("y"), (F.abs(F.lit(1.0 - dx) - (F.col("_sx") - F.col("_ix"))) * F.abs(F.lit(1.0 - dy) - (F.col("_sy") - F.col("_iy")))).alias("w")) for dx in (0, 1) for dy in (0, 1)))
-    wanted = at.select("y", "x", F.explode(corners).alias("_c")).select("y", "x", F.col("_c")["x"].alias("_cx"), F.col("_c")["y"].alias("_cy"), F.col("_c")["w"].alias("_w"))
-    source = pixels.select(F.col("x").alias("_cx"), F.col("y").alias("_cy"), F.col("v").cast("double").alias("_v"))
-    return wanted.join(source, ["_cx", "_cy"], "left").groupBy("y", "x").agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("v"))
+    wanted = at.select(*by, "y", "x", F.explode(corners).alias("_c")).select(*by, "y", "x", F.col("_c")["x"].alias("_cx"), F.col("_c")["y"].alias("_cy"), F.col("_c")["w"].alias("_w"))
+    source = pixels.select(*by, F.col("x").alias("_cx"), F.col("y").alias("_cy"), F.col("v").cast("double").alias("_v"))
+    return wanted.join(source, [*by, "_cx", "_cy"], "left").groupBy(*by, "y", "x").agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("v"))
 
 
 def elevation_at(points: DataFrame, dem: DataFrame, x: Column, y: Column, height: int, width: int, least: float, most: float, dummy: float) -> DataFrame:

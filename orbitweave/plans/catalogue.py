@@ -217,6 +217,14 @@ def q_adaptive_fallback(spark, sf_dir):
     return c.with_fallback(primary, half, radius=1e-6).select("match_id", "pair_id")
 
 
+@query()
+def q_adaptive_fallback_all(spark, sf_dir):
+    # both passes from all rows at the operator's radius; the greedy merge is not to be had in SQL
+    rows = view(spark, sf_dir, "corr").drop("event_type")
+    half = rows.where("confidence >= 0.6").withColumns({x: F.col(x) * 0.5 for x in c.POINTS}).withColumn("match_id", F.col("match_id") + 10_000_000)
+    return c.with_fallback(rows.where("confidence >= 0.97"), half).select("match_id", "pair_id")
+
+
 @query(f"""{ctes('corr')} SELECT match_id, CASE WHEN confidence >= 0.75 THEN 'classical' WHEN match_id % 3 = 0 AND match_id % 2 = 0 THEN 'dem_physical' ELSE 'classical_fallback' END AS branch FROM corr""")
 def q_refine_branch(spark, sf_dir):
     return view(spark, sf_dir, "corr").select("match_id", g.refinement_branch(F.col("confidence"), F.col("match_id") % 3 == 0, F.col("match_id") % 2 == 0).alias("branch"))
@@ -342,7 +350,7 @@ def wave(latitude: np.ndarray, longitude: np.ndarray) -> np.ndarray:
 @query()
 def q_ray_dem(spark, sf_dir):
     i = F.col("event_id")
-    rays = view(spark, sf_dir, "events").where(i % 9 == 4).select("event_id", F.lit(2_000_000.0).alias("ox"), ((i % 17) * 1000).cast("double").alias("oy"), ((i % 11) * 2000).cast("double").alias("oz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    rays = view(spark, sf_dir, "events").select("event_id", F.lit(2_000_000.0).alias("ox"), ((i % 17) * 1000).cast("double").alias("oy"), ((i % 11) * 2000).cast("double").alias("oz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
     got = rf.terrain_hits(rays, wave)
     return got.select("event_id", r("hit_x", 3).alias("hit_x"), r("hit_elevation_m", 3).alias("hit_elevation_m"), "hit_status")
 
@@ -369,6 +377,13 @@ def q_blend_absdiff(spark, sf_dir):
     return ra.blended(p.where("image_id = 1"), p.where("image_id = 2")).select("y", "x", r("blend").alias("blend"), r("difference").alias("difference"))
 
 
+@query(f"{ctes('pixels')} SELECT a.image_id, a.y, a.x, {q('0.5 * a.v + 0.5 * b.v')} AS blend, {q('abs(a.v - b.v)::DOUBLE')} AS difference FROM pixels a JOIN pixels b ON a.y = b.y AND a.x = b.x AND b.image_id = a.image_id + 1")
+def q_blend_absdiff_all(spark, sf_dir):
+    # each image with the one after it
+    p = view(spark, sf_dir, "pixels")
+    return ra.blended(p, p.withColumn("image_id", F.col("image_id") - 1), by=["image_id"]).select("image_id", "y", "x", r("blend").alias("blend"), r("difference").alias("difference"))
+
+
 @query(f"""{ctes('pixels')}, o AS (SELECT (i // 32)::BIGINT AS y, (i % 32)::BIGINT AS x FROM range(1024) r(i)), s AS (SELECT y, x, 0.9E0 * x + 0.05E0 * y + 1.3E0 AS sx, -0.04E0 * x + 0.95E0 * y + 0.7E0 AS sy FROM o),
 f AS (SELECT *, floor(sx)::BIGINT AS ix, floor(sy)::BIGINT AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s), p AS (SELECT * FROM pixels WHERE image_id = 1)
 SELECT f.y, f.x, {q('coalesce(a.v, 0) * (1 - fx) * (1 - fy) + coalesce(b.v, 0) * fx * (1 - fy) + coalesce(c.v, 0) * (1 - fx) * fy + coalesce(d.v, 0) * fx * fy', 4)} AS v
@@ -378,6 +393,15 @@ def q_warp_bilinear(spark, sf_dir):
     return ra.warped(p, [0.9, 0.05, 1.3, -0.04, 0.95, 0.7, 0, 0, 1], 32, 32).withColumn("v", r("v", 4))
 
 
+@query(f"""{ctes('pixels')}, o AS (SELECT image_id, (i // 32)::BIGINT AS y, (i % 32)::BIGINT AS x FROM (SELECT DISTINCT image_id FROM pixels), range(1024) r(i)), s AS (SELECT image_id, y, x, 0.9E0 * x + 0.05E0 * y + 1.3E0 AS sx, -0.04E0 * x + 0.95E0 * y + 0.7E0 AS sy FROM o),
+f AS (SELECT *, floor(sx)::BIGINT AS ix, floor(sy)::BIGINT AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s)
+SELECT f.image_id, f.y, f.x, {q('coalesce(a.v, 0) * (1 - fx) * (1 - fy) + coalesce(b.v, 0) * fx * (1 - fy) + coalesce(c.v, 0) * (1 - fx) * fy + coalesce(d.v, 0) * fx * fy', 4)} AS v
+FROM f LEFT JOIN pixels a ON a.image_id = f.image_id AND a.x = ix AND a.y = iy LEFT JOIN pixels b ON b.image_id = f.image_id AND b.x = ix + 1 AND b.y = iy LEFT JOIN pixels c ON c.image_id = f.image_id AND c.x = ix AND c.y = iy + 1 LEFT JOIN pixels d ON d.image_id = f.image_id AND d.x = ix + 1 AND d.y = iy + 1""")
+def q_warp_bilinear_all(spark, sf_dir):
+    p = view(spark, sf_dir, "pixels").select("image_id", "y", "x", "v")
+    return ra.warped(p, [0.9, 0.05, 1.3, -0.04, 0.95, 0.7, 0, 0, 1], 32, 32, by=["image_id"]).withColumn("v", r("v", 4))
+
+
 LOOK = f"""{ctes('corr', 'pixels')}, w AS (SELECT match_id, round_even(source_x / 25, 0)::BIGINT AS px, round_even(source_y / 25, 0)::BIGINT AS py FROM corr),
 j AS (SELECT w.*, p.v, (px >= 0 AND px < 32 AND py >= 0 AND py < 32) AS within FROM w LEFT JOIN pixels p ON p.image_id = 1 AND p.x = px AND p.y = py),
 e AS (SELECT match_id, coalesce(within AND v >= 0 AND v <= 4000, false) AS valid, within, v FROM j)"""
@@ -550,10 +574,10 @@ def q_metric_format(spark, sf_dir):
 
 @query()
 def q_phase_shift(spark, sf_dir):
-    p = view(spark, sf_dir, "pixels").where("image_id < 8").withColumn("v", F.greatest(F.lit(0), "v"))
+    p = view(spark, sf_dir, "pixels").withColumn("v", F.greatest(F.lit(0), "v"))
     src = p.select(F.col("image_id").alias("pair_id"), "y", "x", "v")
     ref = src.withColumn("x", F.col("x") + 2)
-    points = spark.range(8).select(F.col("id").alias("pair_id"), F.col("id").alias("match_id"), F.lit(15.0).alias("source_x"), F.lit(15.0).alias("source_y"), F.lit(15.0).alias("reference_x"), F.lit(15.0).alias("reference_y"))
+    points = p.select("image_id").distinct().select(F.col("image_id").alias("pair_id"), F.col("image_id").alias("match_id"), F.lit(15.0).alias("source_x"), F.lit(15.0).alias("source_y"), F.lit(15.0).alias("reference_x"), F.lit(15.0).alias("reference_y"))
     got = rf.refine(points, src, ref)
     return got.select("pair_id", r("refined_reference_x", 3).alias("refined_reference_x"), r("refined_reference_y", 3).alias("refined_reference_y"), r("subpixel_diagnostic", 3).alias("subpixel_diagnostic"), "refine_status")
 
