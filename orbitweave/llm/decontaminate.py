@@ -7,7 +7,9 @@ backwards for all test phrases at once, occurrences are located by sampled suffi
 overlapping ones are merged into removal spans. There is no shuffle: only the phrases travel.
 
 The benchmark's phrases go to the executors in blocks of at most BLOCK_BYTES of item text; a larger
-benchmark takes several passes, whose spans are merged, so what is broadcast stays bounded.
+benchmark takes several passes, whose spans are merged, so what is broadcast stays bounded. Removal cuts the merged spans
+of all passes at once, and takes the passes again over the documents that it cut until no phrase is
+left, so the blocks do not show in the result.
 
 Defined results: null and empty texts have no words and are never hit; items without words have no
 phrase; an item without an id can hit but is not named; equal items each count; repeated
@@ -36,6 +38,7 @@ BLOCK_BYTES = 16_000_000
 #: A-Z to a-z; every other ASCII character but 0-9 and a-z to a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
+FOUND = ["n_words", "items", "spans"]
 HITS = "n_words bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
 
 
@@ -184,18 +187,48 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
     total = source.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    kept = docs.columns
+    at = docs.columns.index(text)
+    if blocks == 1 or not remove:
+        return _searched(docs, at, source, blocks, remove)
+    # spans of all blocks on one text, then the cut, then all blocks again on what was cut
+    found = _searched(docs, at, source, blocks, False)
+    out, todo = found.where(F.size("spans") == 0), found.where(F.size("spans") > 0).withColumns({f"_{c}": F.col(c) for c in FOUND})
+    while not todo.isEmpty():
+        # the found columns of the first round stand after the text's own, those of this round last
+        cut = _cut(todo.drop("n_words", "items").select(*(F.col(c) for c in docs.columns), *(F.col(f"_{c}") for c in FOUND), "spans"), at)
+        found = _searched(written(cut, "decontaminate"), at, source, blocks, False)
+        clean_now = found.where(F.size("spans") == 0)
+        out = out.unionByName(clean_now.drop(*FOUND).withColumnsRenamed({f"_{c}": c for c in FOUND}))
+        todo = found.where(F.size("spans") > 0)
+    return out
+
+
+def _searched(docs: DataFrame, at: int, source: DataFrame, blocks: int, remove: bool) -> DataFrame:
+    """docs with the columns FOUND over all blocks of items; remove is for one block alone."""
     out = docs.withColumns({"n_words": F.lit(0).cast("bigint"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start: bigint, end: bigint>>")})
     for k in range(blocks):
         part = source if blocks == 1 else source.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
         rows = part.collect()  # at most about block_bytes of text
-        held = spark.sparkContext.broadcast(Phrases([(r["i"], r["t"]) for r in rows]))
-        out = _pass(out, kept.index(text), held, remove)
+        held = docs.sparkSession.sparkContext.broadcast(Phrases([(r["i"], r["t"]) for r in rows]))
+        out = _pass(out, at, held, remove)
         if blocks > 1:
             out = written(out, "decontaminate")
+            held.unpersist()
     return out
 
 
+def _cut(docs: DataFrame, at: int) -> DataFrame:
+    """docs without the words of spans, their last column, and without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = list(batch.columns)[:-1], batch.column(batch.num_columns - 1).to_pylist()
+            columns[at] = pa.array([without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return arrow_map(docs, run, docs.drop("spans").schema)
+
+
 def _pass(docs: DataFrame, at: int, held, remove: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = held.value
@@ -208,7 +241,7 @@ def _pass(docs: DataFrame, at: int, held, remove: bool) -> DataFrame:
                 items.append(sorted({*i, *i0}))
                 if s0:
                     spot = np.array(sorted([*s, *((x["start"], x["end"]) for x in s0)]))
-                    spans.append(s if remove else merged(spot[:, 0], spot[:, 1]))
+                    spans.append(merged(spot[:, 0], spot[:, 1]))
                 else:
                     spans.append(s)
                 cleaned.append(clean(text, s, phrases) if remove and s else None)

@@ -80,6 +80,19 @@ def test_decontamination_cuts_until_clean(spark):
     assert got[1].split() == ["x", "y"] and got[2] == "clean text" and got[3] is None
 
 
+def test_decontamination_removes_the_same_in_one_block_and_in_several(spark):
+    w = lambda x, a, b: " ".join(f"{x}{i}" for i in range(a, b))
+    # phrases of two items that overlap; one item inside a copy of another, both ways round; all cut
+    items = [w("a", 0, 12), w("a", 6, 12) + " " + w("b", 0, 8), w("c", 0, 12), w("d", 0, 12)]
+    docs = ["x " + w("a", 0, 12) + " " + w("b", 0, 8) + " y", "x " + w("c", 0, 6) + " " + items[3] + " " + w("c", 6, 12) + " y", "x " + w("d", 0, 6) + " " + items[2] + " " + w("d", 6, 12) + " y", items[0], items[3], "clean text", None, "clean text"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one, several = (sorted(map(tuple, decontaminate.scan(d, b, remove=True, block_bytes=n).collect())) for n in (decontaminate.BLOCK_BYTES, 20))
+    assert one == several
+    assert [r[1].split() if r[1] is not None else None for r in one] == [["x", "y"]] * 3 + [[], []] + [["clean", "text"], None, ["clean", "text"]]
+    assert all(r[4] for r in one[:5])
+
+
 def test_long_text_is_cut_into_overlapping_segments():
     words = [f"v{i % 7}" for i in range(500)]
     phrases = decontaminate.Phrases([("a", " ".join(words[95:105]))])
