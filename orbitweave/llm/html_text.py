@@ -12,14 +12,16 @@ language without a list) keeps what is not boilerplate by structure or links.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one line feed in page order. Markup that is cut off, unclosed or wrongly nested is read
-as far as it goes. Defined results: null and empty pages, and pages without text, give the empty
+as far as it goes: only script, style and their like run to the end of the page without an end tag;
+a head ends at the first thing that can't stand in one, and an unclosed button, svg or the like at
+the next block or with its parent. Defined results: null and empty pages, and pages without text, give the empty
 string; repeated pages are read each. Other columns pass through if asked for.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -36,12 +38,19 @@ STOP_WORDS = {
 }
 _stop = {w for words in STOP_WORDS.values() for w in words.split()}
 
-#: Elements whose content is never text.
-RAW = "script style noscript template iframe object embed svg math canvas audio video textarea select option button head title".split()
+#: Elements whose content is neither text nor markup: only their own end tag ends them.
+RAW = "script style iframe textarea title".split()
+#: Elements of markup whose text is never the page's; they stand in a line.
+SKIP = set("head noscript template svg canvas select option button annotation annotation-xml".split())
+#: What may stand in a head.
+HEAD = set("base link meta noscript template".split())
+#: Start tags that end an element of SKIP without an end tag.
+BREAKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th tr ul".split())
 #: Elements that hold what is not the article.
 AROUND = set("nav footer aside form fieldset dialog menu".split())
 ARTICLE = {"article", "main"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+INLINE |= SKIP | set("object embed audio video source track param math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mfenced mover munder munderover mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose merror mspace mmultiscripts mprescripts none semantics maction".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words in class or id that name what is not the article.
@@ -58,6 +67,7 @@ _token = re.compile(
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _word = re.compile(r"[^\W\d_]+")
+_skipped = re.compile("<(?:%s)(?![a-z0-9-])" % "|".join(SKIP), re.I)
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 LONG, SHORT = 200, 70
@@ -91,11 +101,28 @@ def role_of(name: str, attrs: str, inside: bool) -> str:
     return "article" if name in ARTICLE else ""
 
 
+def unclosed(tokens: list[re.Match]) -> set[int]:
+    """Places of the start tags of SKIP that have no end tag."""
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        if (name := (m["name"] or "").lower()) in SKIP:
+            if not m["end"]:
+                opened.setdefault(name, []).append(i)
+            elif opened.get(name):
+                opened[name].pop()
+    return {i for found in opened.values() for i in found}
+
+
 def blocks(html: str) -> list[Block]:
     out: list[Block] = []
+    tokens: Iterable[re.Match] = _token.finditer(html)
+    stray: set[int] = set()
+    if _skipped.search(html):
+        tokens = list(tokens)
+        stray = unclosed(tokens)
     pieces: list[str] = []
     open_elements: list[tuple[str, str]] = []
-    around = article = links = n_articles = current = 0
+    around = article = links = n_articles = current = skipped = 0
     linked = 0
 
     def end_block() -> None:
@@ -108,46 +135,61 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     def leave(role: str, name: str) -> None:
-        nonlocal around, article, links
+        nonlocal around, article, links, skipped
+        skipped -= role in ("skip", "stray")
         around -= role == "around"
         article -= role == "article"
         links -= name == "a"
 
+    def leave_from(k: int) -> None:
+        for n, r in reversed(open_elements[k:]):
+            leave(r, n)
+        del open_elements[k:]
+
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if skipped and open_elements[-1][0] == "head" and text.strip():
+            leave_from(len(open_elements) - 1)
+        if text and not skipped:
             text = unescape(text) if "&" in text else text
             pieces.append(text)
             if links:
                 linked += len(text.strip())
 
     at = 0
-    for m in _token.finditer(html):
+    for i, m in enumerate(tokens):
         add(html[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
             continue
         name = name.lower()
-        if name not in INLINE:
+        if skipped and not m["end"]:
+            if name in BREAKS and (found := [k for k, (_, r) in enumerate(open_elements) if r == "stray"]):
+                leave_from(found[0])
+            if skipped and open_elements[-1][0] == "head" and name not in HEAD:
+                leave_from(len(open_elements) - 1)
+        if skipped:
+            pass
+        elif name not in INLINE:
             end_block()
         elif name == "br":
             pieces.append(" ")
         if m["end"]:
             for k in range(len(open_elements) - 1, -1, -1):
                 if open_elements[k][0] == name:
-                    if any(r for _, r in open_elements[k:]):
+                    roles = {r for _, r in open_elements[k:]}
+                    if roles & {"around", "article"} or roles & {"skip", "stray"} and name not in INLINE:
                         end_block()
-                    for n, r in reversed(open_elements[k:]):
-                        leave(r, n)
-                    del open_elements[k:]
+                    leave_from(k)
                     break
-                if open_elements[k][1] and name in INLINE | {"p", "li", "div"} and open_elements[k][0] not in INLINE:
+                if open_elements[k][1] in ("around", "article") and name in INLINE | {"p", "li", "div"} and open_elements[k][0] not in INLINE:
                     break  # a stray end tag does not leave a menu or an article
         elif name not in VOID and not m["attrs"].endswith("/"):
-            role = role_of(name, m["attrs"], article > 0)
-            if role:
+            role = "" if skipped else ("stray" if i in stray and name != "head" else "skip") if name in SKIP else role_of(name, m["attrs"], article > 0)
+            if role in ("around", "article"):
                 end_block()
+            skipped += role in ("skip", "stray")
             open_elements.append((name, role))
             around += role == "around"
             links += name == "a"

@@ -109,6 +109,27 @@ def test_html_blocks():
     assert html_text.main_text("<article>" + "<p>x" * 5000) == "\n".join("x" * 5000)
 
 
+def test_html_without_end_tags_is_no_prefix():
+    prose = "This is the text of the page and it is for you and all of them."
+    text = html_text.main_text
+    body = f"<article><p>{prose}</p><p>{prose}</p></article>"
+    both = f"{prose}\n{prose}"
+    assert text(f"<head><title>T</title><body>{body}") == both
+    assert text(f"<html><head><meta charset=x><title>T</title><link rel=y>{body}") == both
+    assert text(f"<head><noscript><style>p{{}}</style></noscript><script>var x='<p>';</script></head><body>{body}") == both
+    assert text(f"<title>T</title><head>{prose}") == prose
+    for name in ("button", "option", "select", "svg", "canvas", "template", "noscript"):
+        assert text(f"<article><p>{prose} <{name}>Share</p><p>{prose}</p></article>") == both
+        assert text(f"<article><{name}>Share<p>{prose}</p><p>{prose}</p></article>") == both
+        assert text(f"<article><p>{prose[:30]}<{name}><i>Share</i></{name}>{prose[30:]}</p><p>{prose}</p></article>") == both
+    for name in ("math", "video", "audio", "object"):
+        assert text(f"<article><p>{prose} <{name}>x</p><p>{prose}</p></article>") == f"{prose} x\n{prose}"
+        assert text(f"<article><p>Be <{name}>x</{name}> so.</p></article>") == "Be x so."
+    assert text("<article><p>If <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> then</p></article>") == "If x=1 then"
+    assert text("<article><button><div>Share</div></button><select><option>a<option>b</select><embed src=x><p>the end</p></article>") == "the end"
+    assert text(f"<article><p>{prose}</p><script>if (a) <p>{prose}") == prose
+
+
 @needs_data
 def test_html_of_given_pages(spark):
     import html
