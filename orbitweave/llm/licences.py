@@ -86,6 +86,22 @@ KNOWN = {
     "WTFPL": WTFPL,
 }
 
+# Digests of the canonical forms of long licences, each whole and, where there is more
+# after the terms (how to apply them, exhibits), without that. AGPL-3.0 is missing.
+LONG = {
+    "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25": "Apache-2.0",
+    "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40": "Apache-2.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+    "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de": "MPL-2.0",
+}
+
 # Names of licences in statements, and the statements' forms.
 STATED = {
     "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "BSD License": "BSD", "BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "ISC License": "ISC", "Mozilla Public License, version 2.0": "MPL-2.0",
@@ -93,8 +109,8 @@ STATED = {
     "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY-ND 4.0": "CC-BY-ND-4.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0",
 }
 FORMS = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This project is licensed under the {}", "Distributed under the {}", "Available under the {}"]
-#: What the canonical form of every statement contains.
-MARK = "licen|released under|distributed under|available under"
+#: What every line that is a statement contains, whatever stands between its words.
+MARK = "(?s)licen|(?:released|distributed|available).*under"
 
 # Spellings that licence matching guidelines hold equivalent, longer ones first.
 SPELLINGS = [
@@ -142,7 +158,10 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tex
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\r|\n"), lambda x: F.lower(x).rlike(MARK))
     stated = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: F.element_at(by_digest, digest(x))))))
     found = docs.select(*keep, digest(F.col(text)).alias("canonical_digest"), stated.alias("stated_licences"))
-    listed = F.broadcast(known(docs.sparkSession, texts))
+    listed = known(docs.sparkSession, texts)
+    if texts is None:
+        listed = listed.unionByName(docs.sparkSession.createDataFrame(sorted(LONG.items()), listed.schema))
+    listed = F.broadcast(listed)
     return found.join(listed, found["canonical_digest"] == listed["known_digest"], "left").select(*keep, "canonical_digest", "licence_id", "stated_licences")
 
 

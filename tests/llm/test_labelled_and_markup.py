@@ -203,6 +203,21 @@ def test_licences(spark):
     assert len(digests) == len(licences.KNOWN)
 
 
+def test_licences_with_marks_between_words(spark):
+    lines = ["Released under CC BY 4.0", "Released  under CC BY 4.0", "Released\tunder the CC BY 4.0.", "**Released** under CC BY 4.0", "* Available -- under: the CC BY 4.0", "_Distributed_ under the CC BY 4.0", "RELEASED, under, CC-BY 4.0", "released, but under no licence"]
+    got = {r["i"]: r["stated_licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(lines)), "i long, text string")).collect()}
+    assert got == {i: ["CC-BY-4.0"] if i < 7 else [] for i in range(8)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts")
+def test_long_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    body = {f: open(f"/usr/share/common-licenses/{f}").read() for f in files}
+    rows = [(i, t) for f, i in files.items() for t in (body[f], body[f].replace("\n", "\r\n"), body[f] + " more")] + [("MPL-2.0", " ".join(body["MPL-2.0"].upper().split()))]
+    got = licences.scan(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert all((r["licence_id"] == r["want"]) == (not r["text"].endswith(" more")) for r in got) and len(got) == 19
+
+
 @needs_data
 def test_licences_sql(spark):
     duckdb = pytest.importorskip("duckdb")
