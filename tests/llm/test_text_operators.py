@@ -245,10 +245,43 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_near_duplicates_blocks_and_shuffled_texts(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 4)
+    monkeypatch.setattr(near_dups, "SMALL", 16)
     monkeypatch.setattr(near_dups, "BROADCAST_IDS", 0)
     test_near_duplicates_against_brute_force(spark)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    # 20 ids with two texts each, and a near copy of every text under an id of its own
+    base = [" ".join(f"{x}{i}w{k}" for k in range(80)) for i in range(20) for x in "ab"]
+    rows = [(i // 2, t) for i, t in enumerate(base)] + [(100 + i, t + " more") for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", near_dups.F.col("text"))
+    got = {(r["doc_id"], r["mark"]): r["component_id"] for r in near_dups.near_duplicates(df, words=3, percent=85, keep=["mark"]).collect()}
+    assert got == {(i, t): (i if i < 100 else (i - 100) // 2) for i, t in rows}
+
+
+def test_many_unlike_documents_of_one_bucket(spark, monkeypatch):
+    # 5,000 texts that share one band and little else, and a near copy of every hundredth
+    r = random.Random(21)
+    monkeypatch.setattr(near_dups, "SMALL", 1000)
+    real = near_dups.signatures
+
+    def one_bucket(sets):
+        bands, fine, bitmaps = real(sets)
+        bands[:, 3] = 7
+        return bands, fine, bitmaps
+
+    monkeypatch.setattr(near_dups, "signatures", one_bucket)
+    docs = [" ".join(f"w{r.randrange(4000)}" for _ in range(40)) for _ in range(5000)]
+    rows = list(enumerate(docs)) + [(10_000 + i, docs[i] + " end") for i in range(0, 5000, 100)]
+    seen = []
+    whole = near_dups.written
+    monkeypatch.setattr(near_dups, "written", lambda df, name: (seen.append((name, whole(df, name))), seen[-1][1])[1])
+    got = {x["doc_id"]: x["component_id"] for x in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()}
+    assert got == {i: i if i < 10_000 else i - 10_000 for i, _ in rows}
+    # the remainder stays linear: no more cells than finer hashes, and few pairs
+    assert next(d for n, d in seen if n == "more").count() < len(rows)
+
+
 def test_near_duplicates_on_odd_input(odd, empty):
     got = near_dups.near_duplicates(odd, words=3, percent=85).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(False, 1, 1, True), (False, 2, 2, True), (False, 3, 3, True), (False, 4, 4, True), (False, 5, 4, False), (False, 5, 4, False), (False, 7, 7, True)]
