@@ -45,10 +45,11 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the one with the smallest id, of each group of near-duplicates."""
     rows, at = numbered(docs)
     doc_id, text = at["doc_id"], at["text"]
-    found = near_dups.near_duplicates(rows, doc_id=doc_id, text=text)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
-    one = rows.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id, text])
-    return one.unionByName(rows.where(F.col(doc_id).isNull())).toDF(*docs.columns)
+    rows = rows.withColumn("_key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    found = near_dups.near_duplicates(rows, doc_id=doc_id, text=text, keep=["_key"])
+    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept"), F.col("_key").alias("_text")).distinct()
+    one = rows.join(kept, (F.col(doc_id) == F.col("_kept")) & (F.col("_key") == F.col("_text")), "left_semi").dropDuplicates([doc_id, "_key"])
+    return one.unionByName(rows.where(F.col(doc_id).isNull())).drop("_key").toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
