@@ -3,14 +3,18 @@
 1. Every document is tokenised whole (word by word, with a bounded cache of words per worker), an
    end id is appended and only documents longer than a sequence are cut. The pieces are written
    to the shared folder: (doc_id, piece, start, length, ids_crc32), without texts or ids.
-2. Pieces of equal length are interchangeable, and so are gaps of equal size. Both are kept as
-   range-sorted runs (size, count), at most `capacity` of each whatever the input. Rounds run over
-   these runs: each length, from long to short, sweeps to its successor, the smallest gap that
-   holds it; when pieces outnumber the gaps of that size, or gaps the pieces, ranks decide which of
-   them match; gaps are updated, and the next round follows. What fits nowhere opens sequences.
-3. The plan - (length, first rank, count, first sequence, offset) - goes back to the rows: pieces
-   are ranked inside their length by a two-level count (no length is sorted in one task, however
-   many rows share it) and each finds its run by binary search.
+2. A piece longer than half a sequence opens one. Shorter ones follow in scales, long before short:
+   (1/4, 1/2], (1/8, 1/4] and (0, 1/8] of a sequence. In each round of a scale every gap offers as
+   many equal places as the longest piece left fits into it, one at least, and one distributed sweep
+   over places and pieces, sorted by size from large to small, gives each piece the smallest free
+   place that holds it. Who gets which place in a conflict of equals follows from ranks: a place
+   goes onto a stack, a piece takes what lies on top, so with the stack's height before each size
+   (a running sum over at most 2 x capacity sizes and RANGE-row parts of them) a row knows from its
+   rank at which height it stands, and a piece's place is the row before it at that height. Ranks and
+   heights are windows over many small groups; nothing is gathered by size. Gaps then lose what
+   they took, and the next round follows with the pieces left. Where a round places few of them,
+   sequences are opened for the rest. Rounds do not grow with the input, as each places a share.
+3. Offsets come last, from the order of rounds and places inside each sequence.
 
 Defined results: null and empty texts are one end id; repeated rows are packed each on its own;
 pieces that tie in all columns are interchangeable; an empty table gives no rows.
@@ -18,7 +22,6 @@ pieces that tie in all columns are interchangeable; an empty table gives no rows
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,8 +37,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers; beyond that it forgets all and starts again.
 CACHE_WORDS = 700_000
-#: Hash ranges in which the pieces of one length are ranked.
-BUCKETS = 16
+#: Rows of one size that are ranked together; more are ranked in parts.
+RANGE = 1_000_000
+#: A round that places less than this share of its pieces is followed by new sequences.
+SHARE = 0.1
 
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which are not of it.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -123,103 +128,85 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return arrow_map(docs, run, PIECES)
 
 
-class Gaps:
-    """Open sequences as runs of consecutive numbers, by the size of their gap."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}
-
-    def add(self, size: int, first: int, count: int) -> None:
-        if size > 0 and count > 0:
-            if size not in self.runs:
-                bisect.insort(self.sizes, size)
-                self.runs[size] = []
-            self.runs[size].append((first, count))
-
-    def take(self, size: int) -> list[tuple[int, int]]:
-        self.sizes.pop(bisect.bisect_left(self.sizes, size))
-        return self.runs.pop(size)
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """counts: pieces of each length. Rows (length, first rank, count, first sequence, offset)."""
-    left, used = dict(counts), dict.fromkeys(counts, 0)
-    gaps, moves, n_sequences = Gaps(), [], 0
-
-    def place(length: int, first: int, count: int, offset: int, then: Gaps) -> None:
-        moves.append((length, used[length], count, first, offset))
-        used[length] += count
-        left[length] -= count
-        then.add(capacity - offset - length, first, count)
-
-    for length in sorted(left, reverse=True):
-        # each round is one sweep of this length over the gaps as they stand
-        while left[length] and (k := bisect.bisect_left(gaps.sizes, length)) < len(gaps.sizes):
-            after = Gaps()
-            for size in gaps.sizes[k:]:
-                if not left[length]:
-                    break
-                for first, count in gaps.take(size):
-                    n = min(count, left[length])
-                    if n:
-                        place(length, first, n, capacity - size, after)
-                    gaps.add(size, first + n, count - n)
-            for size in after.sizes:
-                for first, count in after.runs[size]:
-                    gaps.add(size, first, count)
-        if left[length]:
-            # nothing holds it: sequences that start with this length, as many copies in each as fit
-            each, count = capacity // length, left[length]
-            full, rest = divmod(count, each)
-            for k in range(each if full else 0):
-                place(length, n_sequences, full, k * length, Gaps())
-            if full:
-                gaps.add(capacity - each * length, n_sequences, full)
-            for k in range(rest):
-                place(length, n_sequences + full, 1, k * length, Gaps())
-            if rest:
-                gaps.add(capacity - rest * length, n_sequences + full, 1)
-            n_sequences += full + bool(rest)
-    return np.array(sorted(moves), np.int64).reshape(-1, 5)
-
-
-def ranked(rows: DataFrame, by: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """rows with _rank, gapless from 0 among the rows of each value of by. A value's rows are
-    numbered in hash ranges, whose offsets come from their counts."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    starts = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    # at most capacity x buckets rows, whatever the input
-    starts = starts.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(F.broadcast(starts), (F.col(by) == F.col("_by")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_by", "_b", "_before")
+def ranked_heights(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tokens: (size, kind, id, ...), kind 0 for places and 1 for pieces. tokens with the part of its
+    size that each row is in, and (size, kind, part, height): the stack's height before each."""
+    counts = written(tokens.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")), "sizes")  # at most 2 x capacity rows
+    parts = F.ceil(F.col("n") / F.lit(RANGE))
+    if counts.where(F.col("n") > RANGE).isEmpty():
+        tokens, classes = tokens.withColumn("part", F.lit(0)), counts.withColumn("part", F.lit(0))
+    else:
+        tokens = tokens.join(F.broadcast(counts), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), parts).cast("int")).drop("n")
+        classes = tokens.groupBy("size", "kind", "part").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each size and part: the only step in one task, over no more rows than that
+    turn = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "kind", "part")
+    classes = classes.withColumn("_sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(turn))
+    classes = classes.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(turn)))
+    return tokens, written(classes.select("size", "kind", "part", F.coalesce(F.lag("_height").over(turn), F.lit(0)).alias("height")), "heights")
+
+
+def sweep(todo: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """todo: pieces with _p, a number of their own, and length; gaps: (sequence_id, gap), both written.
+    todo with sequence_id and slot, null for a piece that got no place."""
+    offers = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
+    slots = gaps.where(F.col("gap") >= shortest).select(F.floor(F.col("gap") / offers).cast("bigint").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(0), offers - 1)).alias("slot"))
+    pieces = todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("_p").alias("id"), F.lit(0).alias("slot"), *(c for c in todo.columns if c not in ("length", "_p")))
+    tokens, heights = ranked_heights(slots.unionByName(pieces, allowMissingColumns=True))
+    rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("id", "slot")) - 1
+    # a row for each size and part, at most 2 x capacity and one in RANGE rows more
+    placed = tokens.join(F.broadcast(heights), ["size", "kind", "part"]).withColumn("_at", F.when(F.col("kind") == 0, F.col("height") + rank).otherwise(F.col("height") - 1 - rank))
+    # below height 0 stand pieces only, which get nothing
+    before = F.lag(F.struct("kind", "id", "slot")).over(Window.partitionBy("_at").orderBy(F.desc("size"), "kind", "part"))
+    got = placed.withColumn("_before", before).where(F.col("kind") == 1).withColumn("_before", F.when(F.col("_before.kind") == 0, F.col("_before")))
+    return got.select(*(F.col({"length": "size", "_p": "id"}.get(c, c)).alias(c) for c in todo.columns), F.col("_before.id").alias("sequence_id"), F.col("_before.slot").alias("slot"))
+
+
+def scales(capacity: int) -> list[tuple[int, int]]:
+    """Ranges (shorter than any, longest] of lengths of pieces that are placed together."""
+    edges = [e for e in dict.fromkeys((capacity // 2, capacity // 4, capacity // 8)) if e]
+    return [(low, high) for high, low in zip(edges, [*edges[1:], 0], strict=False)]
+
+
+def left_over(pieces: DataFrame) -> tuple[int, int, int, int]:
+    """How many pieces without a sequence there are, with their total, least and largest length."""
+    r = pieces.where(F.col("sequence_id").isNull()).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.min("length").alias("low"), F.max("length").alias("high")).first()
+    return r["n"], r["total"] or 0, r["low"] or 0, r["high"] or 0
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows: pieces that are written (they are read twice), with length from 1 to capacity. Adds
-    sequence_id and offset."""
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    moves = plan(counts, capacity)
-    held = rows.sparkSession.sparkContext.broadcast(moves)
-    names = rows.columns
-    at = names.index("length")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves = held.value
-        keys = (moves[:, 0] << 44) + moves[:, 1]
-        for batch in batches:
-            length, rank = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            move = moves[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
-            columns = [*batch.columns[:-1], pa.array(move[:, 3] + rank - move[:, 1]), pa.array(move[:, 4])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
-
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id bigint, offset bigint"
-    return arrow_map(ranked(rows, "length", order), run, schema)
+    """rows: pieces with length from 1 to capacity. Adds sequence_id and offset."""
+    spark, names = rows.sparkSession, rows.columns
+    rows = written(rows.withColumn("_p", F.monotonically_increasing_id()), "pieces")
+    done = [written(rows.where(F.col("length") > capacity // 2).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("slot", F.lit(0)), "placed")]
+    gaps = written(done[0].select("sequence_id", (capacity - F.col("length")).alias("gap")).where(F.col("gap") > 0), "gaps")
+    opened = 0
+    for low, high in scales(capacity):
+        todo = rows.where((F.col("length") > low) & (F.col("length") <= high))
+        n, total, shortest, longest = left_over(todo.withColumn("sequence_id", F.lit(None)))
+        placed_share, tries = 1.0, 0
+        while n:
+            if placed_share < SHARE:
+                # first as many as the pieces fill, then as many as surely hold all
+                more = -(-total // capacity) if not tries else -(-n // (capacity // longest))
+                gaps = gaps.unionByName(spark.range(-opened - more, -opened).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("bigint").alias("gap")))
+                opened, tries = opened + more, tries + 1
+            round_ = written(sweep(todo, gaps, shortest, longest), "round")
+            hit = round_.where(F.col("sequence_id").isNotNull())
+            done.append(hit)
+            used = hit.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
+            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where(F.col("gap") > 0)
+            gaps = written(gaps, "gaps")
+            todo = round_.where(F.col("sequence_id").isNull()).select(*rows.columns)
+            before, (n, total, shortest, longest) = n, left_over(round_)
+            placed_share = 1 - n / before
+    every = done[0].withColumn("_round", F.lit(0))
+    for k, part in enumerate(done[1:], 1):
+        every = every.unionByName(part.withColumn("_round", F.lit(k)))
+    turn = Window.partitionBy("sequence_id").orderBy("_round", "slot")
+    return every.withColumn("offset", F.sum("length").over(turn) - F.col("length")).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenises and packs whole documents; one row per piece with its place."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return pack(written(pieces(source, path, capacity, end_id), "pieces"), capacity)
+    return pack(pieces(source, path, capacity, end_id), capacity)

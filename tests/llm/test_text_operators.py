@@ -139,18 +139,54 @@ def test_packing_is_exact_and_tight(spark, odd, empty):
     assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
 
 
-def test_plan_places_every_rank_once():
+def best_fit(lengths, capacity):
+    """Sequences of best-fit decreasing, one piece after another."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits, key=lambda k: gaps[k])] -= n
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("range_", [packing.RANGE, 3])
+def test_sweep_is_bracket_matching(spark, monkeypatch, range_):
+    monkeypatch.setattr(packing, "RANGE", range_)
     r = random.Random(5)
-    counts = {n: r.randint(1, 9) for n in r.sample(range(1, 101), 40)}
-    moves = packing.plan(counts, 100)
-    used = collections.Counter()
-    gaps = collections.defaultdict(int)
-    for length, first, count, sequence, offset in sorted(moves.tolist(), key=lambda m: m[4]):
-        used[length] += count
-        for k in range(count):
-            assert gaps[sequence + k] == offset
-            gaps[sequence + k] += length
-    assert used == counts and max(gaps.values()) <= 100
+    todo = [(i, r.randint(3, 20)) for i in range(60)]
+    gaps = [(1000 + i, r.randint(1, 45)) for i in range(40)]
+    got = packing.sweep(spark.createDataFrame(todo, "_p long, length long"), spark.createDataFrame(gaps, "sequence_id long, gap long"), 3, 20).collect()
+    # by hand: pieces from long to short, each takes the smallest free place
+    places = sorted(g // max(1, g // 20) for _, g in gaps if g >= 3 for _ in range(max(1, g // 20)))
+    want = 0
+    for n in sorted((n for _, n in todo), reverse=True):
+        if fit := [x for x in places if x >= n]:
+            places.remove(fit[0])
+            want += 1
+    assert len(got) == len(todo) and sum(x["sequence_id"] is not None for x in got) == want
+    size = dict(gaps)
+    used = collections.Counter((x["sequence_id"], x["slot"]) for x in got if x["sequence_id"] is not None)
+    assert max(used.values()) == 1 and all(x["length"] <= size[x["sequence_id"]] // max(1, size[x["sequence_id"]] // 20) for x in got if x["sequence_id"] is not None)
+
+
+@pytest.mark.parametrize(("capacity", "make"), [(64, lambda r: r.randint(1, 64)), (100, lambda r: r.choice([1, 7, 33, 34, 50, 51, 100])), (1, lambda r: 1)])
+def test_packing_is_as_tight_as_best_fit(spark, capacity, make):
+    r = random.Random(capacity)
+    lengths = [make(r) for _ in range(300)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), capacity).collect()
+    assert sorted((x["doc_id"], x["length"]) for x in got) == list(enumerate(lengths))
+    placed = collections.defaultdict(list)
+    for x in got:
+        placed[x["sequence_id"]].append((x["offset"], x["length"]))
+    for parts in placed.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert len(placed) <= best_fit(lengths, capacity) + 1
 
 
 def base_by_hand(text):
