@@ -1,263 +1,274 @@
 """Quality rules: word, symbol and repetition counts, and the perplexity of each document under a
 character n-gram model of its own language.
 
-The model is a modified Kneser-Ney model of order 4 over 64 symbols (a-z, other letters by class,
-digits, punctuation, noise marks, space). Spark counts the n-grams of every whole document that
-passes the base rules and has at most one noise mark in ten words; tasks fold their share into
-(language, n-gram, count) before the shuffle. The alphabet bounds a language's model to 64^4
-entries however large the corpus; languages are scored in blocks whose models stay under
-BLOCK_ENTRIES. A model is held as sorted arrays of 64-bit n-gram hashes, with log-probabilities and
-back-off weights beside them, and looked up by binary search.
-
-Each language gets an upper and a lower band on the log-perplexity (nats per symbol): the median
-over all its documents that pass the base rules, plus UPPER and minus LOWER, or further by WIDTH
-times the median absolute deviation where that is more.
+The model is a modified Kneser-Ney model of order ORDER over the characters as they are (case, letters
+of all scripts, digits and marks apart; only white space is one symbol). Spark counts the n-grams of
+every whole document that passes the base rules; lower orders, discounts, back-off weights and
+probabilities are DataFrame operations on the table of distinct n-grams, which grows with the
+corpus. Counts of n-grams that start with the padding are not continuation counts, as nothing stands
+before them. An n-gram that only one text has is pruned, so no text is judged by what it or its exact
+copies alone taught; its probability is that of backing off. Every n-gram of a judged document is in
+that table, pruned or not, so its probability is looked up directly: in arrays sorted by 64-bit hashes of n-grams, by binary search. Up to BROADCAST_ENTRIES
+n-grams the arrays go to all executors; beyond that documents are put into chunks of CHUNK_BYTES, the
+distinct n-grams of each chunk are joined with the table, and each chunk gets arrays of its own. Both
+ways give the same log-perplexities.
+
+A document's log-perplexity is in nats per word (a run of non-space with a letter or digit), of which one
+adds WORD_NATS at most: marks add to it, but are no words of their own. Each language has an upper and a lower band: its median plus UPPER
+and minus LOWER times its distance to the quartile on that side, over all its documents that pass the
+base rules; distances are drawn towards those of all languages by the weight of SHRINK documents.
+Languages of fewer than POOL documents are counted and judged together as one, so that no document goes
+unjudged; one that is alone there is its own median.
 
 Defined results: null, empty and blank texts have no words, fail the base rules and have no
-perplexity; a null language is the language ''; a language with too few documents for a band
-(MIN_DOCUMENTS) rejects by the base rules alone; repeated rows are counted and judged each.
+perplexity, as all that fail them; a null language is the language ''; repeated rows are counted
+and judged each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitweave.llm.common import arrow_map, grouped_batches, mix64, texts_of, word_hashes, written
 
-ORDER = 4
-BITS = 6
-MASK = (1 << BITS) - 1
-#: Entries of all models that are on an executor at once; 16 bytes each.
-BLOCK_ENTRIES = 8_000_000
-#: Characters of a very long text that are folded at once.
-SLICE = 1_000_000
-MIN_DOCUMENTS = 20
+ORDER = 5
+#: Stands before a text; control characters of texts are white space.
+PAD = "\x00"
+#: Bits of a character's number inside a slice, and characters of a very long text taken at once.
+BITS, SLICE = 12, 1_000_000
+#: N-grams whose probabilities are on an executor at once; 12 bytes each.
+BROADCAST_ENTRIES = 6_000_000
+#: Text of a chunk of documents.
+CHUNK_BYTES = 16_000_000
 MIN_WORDS = 50
 NOISE = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
+#: Documents of a language that is judged by itself.
+POOL = 20
+POOLED = "(pooled)"
+#: What a word can add at most, so that a key, an address or a number does not condemn a text.
+WORD_NATS = 30.0
+BROADCAST_LANGUAGES = 10_000
+UPPER, LOWER, SHRINK = 7.0, 10.0, 20
+
+_kinds: list[np.ndarray] = []
+
 
+def _tables() -> np.ndarray:
+    """Of each code point: 1 for white space and controls, 2 for letters and digits, else 0."""
+    if not _kinds:
+        kind = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            x = chr(c)
+            kind[c] = 1 if x.isspace() or c < 32 or c == 127 else 2 if x.isalnum() else 0
+        _kinds.append(kind)
+    return _kinds[0]
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x10000; above, 63 (0 is the padding before a text)."""
-    table = np.full(0x10001, 63, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if "a" <= x <= "z":
-            table[c] = 2 + c - 97
-        elif x.isalpha():
-            table[c] = 28 if x.isupper() else 39 + c % 24
-        elif x.isspace():
-            table[c] = 1
-        elif x.isdigit():
-            table[c] = 29
-        elif x in NOISE:
-            table[c] = 37
-        elif x in ".,!?;:":
-            table[c] = 30 + ".,!?;:".index(x)
-        elif c < 128:
-            table[c] = 36 if x in "'\"()-" else 38
-    return table
-
-
-_table: list[np.ndarray] = []
-
-
-def symbols(text: str, after_space: bool = True) -> np.ndarray:
-    """The symbols of a text; runs of white space are one space, and none if they follow one (as the
-    start of a text does)."""
-    if not _table:
-        _table.append(_symbols())
+
+def code_points(text: str) -> np.ndarray:
+    """Code points of a text; runs of white space are one space, none at the start."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _table[0][np.minimum(code, 0x10000)]
-    space = s == 1
-    if len(s):
-        s = s[~(space & np.concatenate(([after_space], space[:-1])))]
-    return s
-
-
-def grams(s: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-    """The n-gram that ends at each symbol: int32 codes. before: the ORDER - 1 symbols ahead of s
-    (padding at the start of a text)."""
-    padded = np.concatenate((np.zeros(ORDER - 1, np.int32) if before is None else before, s.astype(np.int32)))
-    code = np.zeros(len(s), np.int32)
+    space = _tables()[code] == 1
+    keep = ~(space & np.concatenate(([True], space[:-1]))) if len(code) else space
+    return np.where(space, 32, code)[keep].astype(np.uint32)
+
+
+def word_starts(code: np.ndarray) -> np.ndarray:
+    """Where words start, each with the space before it."""
+    return np.unique(np.concatenate(([0], np.flatnonzero(code[:-1] == 32)))) if len(code) else np.zeros(0, np.int64)
+
+
+def n_spoken(code: np.ndarray) -> int:
+    """Words with a letter or digit."""
+    return int(np.logical_or.reduceat(_tables()[code] == 2, word_starts(code)).sum()) if len(code) else 0
+
+
+def grams(codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of texts (given as code points), each ending at one of their characters: distinct
+    n-grams as rows of ORDER code points, and for each character its n-gram's row and its text. In
+    slices, which are halved where they hold more characters than BITS can number."""
+    todo, size = [], 0
+    for i, c in enumerate(codes):
+        for at in range(0, len(c), SLICE):
+            todo.append((i, at, min(len(c), at + SLICE)))
+            size += todo[-1][2] - at
+            if size >= SLICE:
+                yield from _packed(codes, todo)
+                todo, size = [], 0
+    if todo:
+        yield from _packed(codes, todo)
+
+
+def _packed(codes: list[np.ndarray], parts: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    flat, ends = [], []
+    for i, a, b in parts:
+        before = codes[i][max(0, a - ORDER + 1) : a]
+        flat += [np.zeros(ORDER - 1 - len(before), np.uint32), before, codes[i][a:b]]
+        ends += [np.zeros(ORDER - 1, bool), np.ones(b - a, bool)]
+    c, end = np.concatenate(flat), np.concatenate(ends)
+    seen = np.zeros(0x110000, bool)
+    seen[c] = True
+    alphabet = np.flatnonzero(seen)
+    if len(alphabet) > 1 << BITS:
+        if len(parts) > 1:
+            halves = parts[: len(parts) // 2], parts[len(parts) // 2 :]
+        else:
+            (i, a, b), = parts
+            halves = [(i, a, (a + b) // 2)], [(i, (a + b) // 2, b)]
+        for half in halves:
+            yield from _packed(codes, half)
+        return
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    c, last = number[c], np.flatnonzero(end)
+    packed = np.zeros(len(last), np.int64)
     for k in range(ORDER):
-        code = (code << BITS) | padded[k : k + len(s)]
-    return code
+        packed = (packed << BITS) | c[last - (ORDER - 1 - k)]
+    distinct, row = np.unique(packed, return_inverse=True)
+    rows = np.stack([alphabet[(distinct >> (BITS * (ORDER - 1 - k))) & ((1 << BITS) - 1)] for k in range(ORDER)], 1).astype(np.uint32)
+    yield rows, row, np.repeat([i for i, _, _ in parts], [b - a for _, a, b in parts])
+
 
+def tallied(row: np.ndarray, text: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram (row, all from 0 on) its count and the least and largest hash of its texts."""
+    order = np.argsort(row, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(row[order]) > 0)))
+    h = hashed[text[order]]
+    return np.diff(np.concatenate((edge, [len(row)]))), np.minimum.reduceat(h, edge), np.maximum.reduceat(h, edge)
 
-def gram_slices(text: str) -> Iterator[np.ndarray]:
-    """The n-grams of a whole text, slice by slice, so that memory stays bounded."""
-    before, after_space = np.zeros(ORDER - 1, np.int32), True
-    for at in range(0, len(text), SLICE):
-        s = symbols(text[at : at + SLICE], after_space)
-        if len(s):
-            yield grams(s, before)
-            before, after_space = np.concatenate((before, s.astype(np.int32)))[-(ORDER - 1) :], bool(s[-1] == 1)
+
+def strings(rows: np.ndarray) -> list[str]:
+    """Rows of ORDER code points as strings."""
+    text = np.ascontiguousarray(rows, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+
+
+def hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams given as rows of code points."""
+    h = np.full(len(rows), ORDER, np.uint64)
+    for k in range(ORDER):
+        h = mix64(h + rows[:, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def hashes_of(texts: list[str]) -> np.ndarray:
+    return hashes(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER))
+
+
+def passes(counts: tuple[int, int, int, int, int]) -> bool:
+    """The base rules."""
+    n_words, _, _, _, n_repeat_words = counts
+    return n_words >= MIN_WORDS and 100 * n_repeat_words <= 50 * n_words
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """docs: (lang, text). Counts of the reference documents' n-grams by language: (lang, gram, n)."""
+    """docs: (lang, text). Counts of the n-grams of documents that pass the base rules, by language, with
+    the least and largest hash of the texts that have them: (lang, gram, n, d0, d1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def folded(parts):
-            code = np.concatenate([p[0] for p in parts])
-            order = np.argsort(code)
-            code = code[order]
-            edge = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            return code[edge], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], edge)
-
-        def out():
-            for lang, parts in held.items():
-                code, n = folded(parts)
-                for at in range(0, len(code), 100_000):
-                    part = code[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + 100_000])], names=["lang", "gram", "n"])
-            held.clear()
-
-        for batch in grouped_batches(batches, 4_000_000):
+        for batch in grouped_batches(batches, 8_000_000):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
-                if is_reference(base_counts(text)):
-                    by.setdefault(lang, []).extend(gram_slices(text))
+                if passes(base_counts(text)):
+                    by.setdefault(lang, []).append(code_points(text))
             for lang, codes in by.items():
-                code = np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int32)
-                if not len(code):
-                    continue
-                edge = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                parts = held.setdefault(lang, [])
-                parts.append((code[edge], np.diff(np.concatenate((edge, [len(code)]))).astype(np.int64)))
-                if len(parts) >= 8:
-                    held[lang] = [folded(parts)]
-            size = sum(len(p[0]) for parts in held.values() for p in parts)
-            if size > 4_000_000:
-                yield from out()
-        yield from out()
-
-    return arrow_map(docs, run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """D(1), D(2), D(3+) of modified Kneser-Ney from the counts of counts; fixed values where a
+                hashed = word_hashes(c.tobytes() for c in codes).view(np.int64)
+                for rows, row, text in grams(codes):
+                    found = tallied(row, text, hashed)
+                    for at in range(0, len(rows), 100_000):
+                        part = rows[at : at + 100_000]
+                        numbers = (pa.array(x[at : at + 100_000], pa.int64()) for x in found)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(strings(part), pa.string()), *numbers], names=["lang", "gram", "n", "d0", "d1"])
+
+    return arrow_map(docs, run, "lang string, gram string, n bigint, d0 bigint, d1 bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+
+
+def discounts(c: Column) -> list[Column]:
+    """Aggregates D1, D2, D3 of modified Kneser-Ney from the counts of counts; fixed values where a
     count of counts is missing."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    if min(n1, n2, n3, n4) == 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
+    n1, n2, n3, n4 = (F.count_if(c == k) for k in (1, 2, 3, 4))
+    whole = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
     y = n1 / (n1 + 2 * n2)
-    d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
-
-
-@dataclass
-class Model:
-    """Sorted hash arrays: for each order the hashes of its n-grams with log-probabilities, and
-    the hashes of its contexts with log back-off weights."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    unknown: float
-
-    @classmethod
-    def of(cls, gram: np.ndarray, n: np.ndarray) -> Model:
-        code, count = gram.astype(np.int64), n.astype(np.int64)
-        order = np.argsort(code)
-        levels = [(code[order], count[order])]
-        for k in range(ORDER - 1, 0, -1):
-            # in how many contexts an n-gram of the lower order was seen
-            lower, cont = np.unique(levels[0][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-            levels.insert(0, (lower, cont))
-        uniform = 1.0 / (MASK + 1)
-        stored, contexts, below, unknown = [], [], None, 0.0
-        for k, (code, count) in enumerate(levels, 1):
-            d = _discounts(count)[np.minimum(count, 3)]
-            context = code >> BITS
-            edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(code) else np.zeros(0, np.int64)
-            if not len(code):
-                stored.append((np.zeros(0, np.uint64), np.zeros(0)))
-                contexts.append((np.zeros(0, np.uint64), np.zeros(0)))
-                continue
-            total = np.add.reduceat(count, edge)
-            gamma = np.add.reduceat(d, edge) / total
-            at = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(code)]))))
-            if below is None:
-                p = (count - d) / total[at] + gamma[at] * uniform
-                unknown = float(np.log(gamma[0] * uniform))
-            else:
-                p = (count - d) / total[at] + gamma[at] * below[1][np.searchsorted(below[0], code & ((1 << (BITS * (k - 1))) - 1))]
-            below = (code, p)
-            stored.append(_by_hash(code, k, np.log(p)))
-            contexts.append(_by_hash(context[edge], k, np.log(np.maximum(gamma, 1e-12))))
-        return cls(stored, contexts, unknown)
-
-    def log_p(self, code: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each n-gram given those before it."""
-        out, todo, weight = np.full(len(code), self.unknown), np.arange(len(code)), np.zeros(len(code))
-        for k in range(ORDER, 0, -1):
-            part = code[todo].astype(np.int64) & ((1 << (BITS * k)) - 1)
-            found, value = _look(self.grams[k - 1], part, k)
-            out[todo[found]] = value[found] + weight[todo[found]]
-            todo, part = todo[~found], part[~found]
-            seen, back = _look(self.contexts[k - 1], part >> BITS, k)
-            if k > 1:
-                weight[todo[seen]] += back[seen]
-        out[todo] = self.unknown + weight[todo]
-        return out
-
-
-def _hash(code: np.ndarray, k: int) -> np.ndarray:
-    return mix64(code.astype(np.uint64) + (np.uint64(k) << np.uint64(56)))
-
-
-def _by_hash(code: np.ndarray, k: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = _hash(code, k)
-    order = np.argsort(h)
-    return h[order], value[order].astype(np.float32)
-
-
-def _look(level: tuple[np.ndarray, np.ndarray], code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = level
-    if not len(keys) or not len(code):
-        return np.zeros(len(code), bool), np.zeros(len(code))
-    h = _hash(code, k)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return keys[at] == h, values[at].astype(np.float64)
-
-
-def log_likelihoods(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Of each whole text: the sum of log-probabilities, and its number of symbols. The n-grams of
-    all texts are sorted together, so each distinct one is looked up once."""
-    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    keys: list[np.ndarray] = []
-    held = 0
-
-    def add() -> None:
-        if not keys:
-            return
-        key = np.sort(np.concatenate(keys))
-        code = (key >> 32).astype(np.int32)
-        new = np.concatenate(([True], code[1:] != code[:-1]))
-        value = model.log_p(code[new])[np.cumsum(new) - 1]
-        total[:] += np.bincount(key & 0xFFFFFFFF, value, len(texts))
-        keys.clear()
-
-    for i, text in enumerate(texts):
-        for code in gram_slices(text):
-            n[i] += len(code)
-            keys.append((code.astype(np.int64) << 32) | i)
-            held += len(code)
-            if held > 2 * SLICE:
-                add()
-                held = 0
-    add()
-    return total, n
+    own = [(F.lit(1) - 2 * y * n2 / n1, 0.5), (F.lit(2) - 3 * y * n3 / n2, 0.75), (F.lit(3) - 4 * y * n4 / n3, 0.9)]
+    return [F.when(whole, F.least(F.lit(float(k)), F.greatest(F.lit(0.05), d))).otherwise(F.lit(fixed)).alias(f"_d{k}") for k, (d, fixed) in enumerate(own, 1)]
+
+
+def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """counts: count_grams(), written. (lang, gram, log_p): the log-probability of the last character of
+    each n-gram given those before it."""
+    levels = {order: counts.select("lang", F.col("gram").alias("g"), F.col("n").alias("c"), "d0", "d1")}
+    for k in range(order - 1, 0, -1):
+        above = levels[k + 1].select("lang", F.substring("g", 2, k).alias("g"), "c", "d0", "d1")
+        # in how many contexts an n-gram of the lower order was seen, or how often at a text's start
+        c = F.sum(F.when(F.substring("g", 1, 1) == PAD, F.col("c")).otherwise(1)).alias("c")
+        levels[k] = written(above.groupBy("lang", "g").agg(c, F.min("d0").alias("d0"), F.max("d1").alias("d1")), f"level{k}")
+    below = None
+    for k in range(1, order + 1):
+        rows = levels[k]
+        fixed = written(rows.groupBy("lang").agg(*discounts(F.col("c")), (F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("_uniform")), "discounts")
+        d = F.when(F.col("c") == 1, F.col("_d1")).when(F.col("c") == 2, F.col("_d2")).otherwise(F.col("_d3"))
+        rows = rows.join(few(fixed), "lang").withColumn("_d", F.least(d, F.col("c").cast("double"))).withColumn("_c", F.when(F.col("d0") != F.col("d1"), F.col("c")))
+        context = Window.partitionBy("lang", F.substring("g", 1, k - 1))
+        total, freed = F.sum("_c").over(context), F.sum(F.when(F.col("_c").isNotNull(), F.col("_d"))).over(context)
+        rows = rows.select("lang", "g", "_uniform", F.coalesce(F.col("_c") - F.col("_d"), F.lit(0.0)).alias("_left"), total.alias("_total"), freed.alias("_freed"))
+        if below is None:
+            lower = F.col("_uniform")
+        else:
+            rows = rows.withColumn("_s", F.substring("g", 2, k - 1)).join(below.select("lang", F.col("g").alias("_s"), F.col("p").alias("_below")), ["lang", "_s"])
+            lower = F.col("_below")
+        below = written(rows.select("lang", "g", F.coalesce((F.col("_left") + F.col("_freed") * lower) / F.col("_total"), lower).alias("p")), f"p{k}")
+    return below.select("lang", F.col("g").alias("gram"), F.log("p").alias("log_p"))
+
+
+def few(by_language: DataFrame) -> DataFrame:
+    """A written table of a row for each language, to be broadcast while languages are few: the rows
+    of a hot language then stay where they are."""
+    return F.broadcast(by_language) if by_language.count() <= BROADCAST_LANGUAGES else by_language.hint("merge")
+
+
+Arrays = tuple[np.ndarray, np.ndarray]
+
+
+def arrays_of(table: pa.Table) -> dict[str, Arrays]:
+    """(lang, gram, log_p) as arrays sorted by the n-grams' hashes, for each language."""
+    out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in table.to_batches(100_000):
+        lang = batch.column(0).dictionary_encode()
+        at, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+        h, p = hashes_of(batch.column(1).to_pylist()), batch.column(2).to_numpy().astype(np.float32)
+        for k, x in enumerate(names):
+            out.setdefault(x, []).append((h[at == k], p[at == k]))
+    found = {}
+    for x, parts in out.items():
+        h, p = np.concatenate([y[0] for y in parts]), np.concatenate([y[1] for y in parts])
+        order = np.argsort(h)
+        found[x] = h[order], p[order]
+    return found
+
+
+def log_perplexities(codes: list[np.ndarray], arrays: Arrays) -> np.ndarray:
+    """Of each text the nats of its words, WORD_NATS at most for each, by the number of those with a letter
+    or digit. All n-grams must be in arrays."""
+    keys, values = arrays
+    parts = []
+    for rows, row, _ in grams(codes):
+        h = hashes(rows)
+        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+        if not len(keys) or (keys[at] != h).any():
+            raise ValueError("an n-gram is not in the model")
+        parts.append(-values[at][row])
+    nats, out, at = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), np.full(len(codes), np.nan), 0
+    for i, code in enumerate(codes):
+        if len(code):
+            words = np.add.reduceat(nats[at : at + len(code)], word_starts(code))
+            out[i] = np.minimum(words, WORD_NATS).sum() / max(1, n_spoken(code))
+            at += len(code)
+    return out
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -288,103 +299,101 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def is_reference(counts: tuple[int, int, int, int, int]) -> bool:
-    """Whether the language models learn from a document with these counts."""
-    n_words, _, n_symbols, _, n_repeat_words = counts
-    return n_words >= MIN_WORDS and 100 * n_repeat_words <= 50 * n_words and 10 * n_symbols <= n_words
-
-
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCORES = ", ".join(f"{c} bigint" for c in COUNTS) + ", log_ppl double"
 
 
-def scored(docs: DataFrame, lang: str, text: str, models: dict[str, Model], keep: list[str]) -> DataFrame:
-    """docs with the counts and, where models has the language, the log-perplexity (else null)."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    at_lang, at_text = docs.columns.index(lang), docs.columns.index(text)
-    at_kept = [docs.columns.index(c) for c in keep]
+def judged(langs: list[str], texts: list[str], models: dict[str, Arrays]) -> list[pa.Array]:
+    """The columns of SCORES."""
+    counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
+    log_ppl = np.full(len(texts), np.nan)
+    own: dict[str, list[int]] = {}
+    for i, x in enumerate(langs):
+        if passes(tuple(counts[i])):
+            own.setdefault(x, []).append(i)
+    for x, at in own.items():
+        log_ppl[at] = log_perplexities([code_points(texts[i]) for i in at], models[x])
+    return [*(pa.array(counts[:, k]) for k in range(5)), pa.array(log_ppl, from_pandas=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        for batch in batches:
-            langs, texts = texts_of(batch.column(at_lang)), texts_of(batch.column(at_text))
-            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            log_ppl = np.full(len(texts), np.nan)
-            for x in set(langs) & models.keys():
-                own = np.array([i for i, y in enumerate(langs) if y == x])
-                total, n = log_likelihoods([texts[i] for i in own], models[x])
-                some = (n > 0) & (counts[own, 0] > 0)
-                log_ppl[own[some]] = -total[some] / n[some]
-            columns = [*(batch.column(k) for k in at_kept), *(pa.array(counts[:, k]) for k in range(5)), pa.array(log_ppl, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *COUNTS, "log_ppl"])
-
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return arrow_map(docs, run, f"{schema}, {SCORES}")
-
-
-def models_of(counts: DataFrame, langs: list[str]) -> dict[str, Model]:
-    """counts is written; the languages' tables come over together, at most BLOCK_ENTRIES rows."""
-    got = counts.where(F.col("lang").isin(langs)).toArrow()
-    lang = np.array(got["lang"].to_pylist(), object)
-    gram, n = got["gram"].to_numpy(), got["n"].to_numpy()
-    return {x: Model.of(gram[lang == x], n[lang == x]) for x in langs}
-
-
-def language_blocks(counts: DataFrame, most: int = BLOCK_ENTRIES) -> list[list[str]]:
-    """Languages in blocks whose n-gram tables together stay under most entries (a language that
-    alone has more is a block of its own; 64^4 bounds it)."""
-    blocks, size = [[]], 0
-    for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").toLocalIterator():
-        if blocks[-1] and size + r["n"] > most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r["lang"])
-        size += r["n"]
-    return blocks
+
+def scored(docs: DataFrame, lang: str, text: str, model: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of docs with counts and log-perplexities. model: (lang, gram, log_p), written."""
+    names = [*keep, *COUNTS, "log_ppl"]
+    schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep) + SCORES
+    at_lang, at_text, at_kept = docs.columns.index(lang), docs.columns.index(text), [docs.columns.index(c) for c in keep]
+    if model.count() <= BROADCAST_ENTRIES:
+        held = docs.sparkSession.sparkContext.broadcast(arrays_of(model.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = judged(texts_of(batch.column(at_lang)), texts_of(batch.column(at_text)), held.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at_kept), *found], names=names)
+
+        return arrow_map(docs, run, schema)
+    return by_chunks(docs, at_lang, at_text, at_kept, model, names, schema)
+
+
+def by_chunks(docs: DataFrame, at_lang: int, at_text: int, at_kept: list[int], model: DataFrame, names: list[str], schema: str) -> DataFrame:
+    """scored() for a model of any size."""
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(grouped_batches(batches, CHUNK_BYTES)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + k] * batch.num_rows, pa.int64())], names=[*batch.schema.names, "_chunk"])
+
+    rows = written(arrow_map(docs, chunked, "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "_chunk bigint"), "chunks")
+
+    def wanted(key: tuple, table: pa.Table) -> pa.Table:
+        by: dict[str, list[np.ndarray]] = {}
+        for x, t in zip(texts_of(table.column(at_lang)), texts_of(table.column(at_text)), strict=True):
+            if passes(base_counts(t)):
+                by.setdefault(x, []).append(code_points(t))
+        asked = sorted({(x, g) for x, codes in by.items() for found, _, _ in grams(codes) for g in strings(found)})
+        return pa.table({"_chunk": pa.array([key[0].as_py()] * len(asked), pa.int64()), "lang": pa.array([x for x, _ in asked], pa.string()), "gram": pa.array([g for _, g in asked], pa.string())})
+
+    asked = rows.groupBy("_chunk").applyInArrow(wanted, "_chunk bigint, lang string, gram string")
+    given = asked.join(model.hint("merge"), ["lang", "gram"]).select("_chunk", "lang", "gram", "log_p")
+
+    def answer(key: tuple, table: pa.Table, given: pa.Table) -> pa.Table:
+        found = judged(texts_of(table.column(at_lang)), texts_of(table.column(at_text)), arrays_of(given.drop_columns(["_chunk"])))
+        return pa.table([*(table.column(k) for k in at_kept), *found], names=names)
+
+    return rows.groupBy("_chunk").cogroup(given.groupBy("_chunk")).applyInArrow(answer, schema)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
 
 
-#: Least distances of the bands from a language's median log-perplexity: factors of 2.4 above and
-#: 1.65 below in perplexity; and the multiple of the median absolute deviation.
-BROADCAST_LANGUAGES = 10_000
-UPPER, LOWER, WIDTH = 0.88, 0.5, 4.0
+def assess(docs: DataFrame, lang: str = "lang", text: str = "text", upper: float = UPPER, lower: float = LOWER, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (default: all) of docs with counts, log_ppl, base_failed and kept. Every document
+    is read twice: to count n-grams, and to be scored; the scored rows are written before the bands
+    are taken. Columns keep must not have the names of the new ones."""
+    keep = docs.columns if keep is None else keep
+    if clash := {*keep} & {*COUNTS, "log_ppl", "base_failed", "kept"}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    language = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    sizes = written(docs.groupBy(language.alias("_own")).agg(F.count(F.lit(1)).alias("_n")), "languages")
+    rare = sizes.where(F.col("_n") < POOL).select("_own", F.lit(POOLED).alias("_pooled"))
+    source = docs.withColumn("_own", language).join(few(rare), "_own", "left").withColumn("_lang", F.coalesce("_pooled", "_own")).select("_lang", F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    counts = written(count_grams(source.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))), "grams")
+    rows = written(scored(source, "_lang", "_text", probabilities(counts), ["_lang", *(f"_keep{i}" for i in range(len(keep)))]), "scored")
+    return banded(rows, upper, lower).withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})
 
 
-def assess(docs: DataFrame, lang: str = "lang", text: str = "text", upper: float = UPPER, lower: float = LOWER, width: float = WIDTH, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all) of docs with counts, log_ppl, base_failed and kept. Every document is read twice: to
-    count n-grams, and to be scored; the scored rows are written before the bands are taken."""
-    language = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    counts = written(count_grams(docs.select(language.alias("lang"), F.col(text).cast("string").alias("text"))), "grams")
-    blocks, parts = language_blocks(counts), []
-    source = docs.withColumn("_lang", language)
-    keep = ["_lang", *(docs.columns if keep is None else keep)]
-    for block in blocks:
-        own = source if len(blocks) == 1 else source.where(F.col("_lang").isin(block))
-        parts.append(written(scored(own, "_lang", text, models_of(counts, block), keep), "scored"))
-    if len(blocks) > 1:  # languages without a reference document are in no table
-        parts.append(scored(source.where(~F.col("_lang").isin([x for b in blocks for x in b])), "_lang", text, {}, keep))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return banded(rows, upper, lower, width)
-
-
-def banded(rows: DataFrame, upper: float = UPPER, lower: float = LOWER, width: float = WIDTH) -> DataFrame:
+def banded(rows: DataFrame, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
     """rows: scored documents with _lang. Adds base_failed and kept, from bands over all of them."""
+    fit = rows.where(F.col("log_ppl").isNotNull())
+    q = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 5000)
+    own = fit.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), q.alias("_q")).select("_lang", "_n", F.col("_q")[1].alias("_mid"), (F.col("_q")[1] - F.col("_q")[0]).alias("_down"), (F.col("_q")[2] - F.col("_q")[1]).alias("_up"))
+    own = written(own, "quartiles")
+    share = lambda c: F.sum(F.col("_n") * F.col(c)) / F.sum("_n")
+    every = own.agg(share("_down").alias("_all_down"), share("_up").alias("_all_up"))  # one row
+    drawn = lambda c: (F.col("_n") * F.col(c) + SHRINK * F.col(f"_all{c}")) / (F.col("_n") + SHRINK)
+    bands = own.join(F.broadcast(every)).select("_lang", (F.col("_mid") - lower * drawn("_down")).alias("_low"), (F.col("_mid") + upper * drawn("_up")).alias("_high"))
+    bands = written(bands, "bands")
+    kept = F.col("log_ppl").isNotNull() & (F.col("log_ppl") >= F.col("_low")) & (F.col("log_ppl") <= F.col("_high"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    fit = rows.where(~failed & F.col("log_ppl").isNotNull())
-    middle = fit.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("log_ppl", 0.5, 2000).alias("_mid"))
-    # a row for each language of the corpus, broadcast only while these are few: a hot language's
-    # documents then stay where they are
-    middle = written(middle, "middles")
-    few = middle.count() <= BROADCAST_LANGUAGES
-    small = F.broadcast if few else lambda x: x
-    spread = fit.select("_lang", "log_ppl").join(small(middle), "_lang").groupBy("_lang").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("_mid")), 0.5, 2000).alias("_mad"))
-    bands = written(middle.join(spread, "_lang"), "bands")
-    off = F.col("log_ppl") - F.col("_mid")
-    inside = (off <= F.greatest(F.lit(upper), width * F.col("_mad"))) & (-off <= F.greatest(F.lit(lower), width * F.col("_mad")))
-    kept = ~failed & (F.coalesce(F.col("_n") < MIN_DOCUMENTS, F.lit(True)) | F.coalesce(inside, F.lit(True)))
-    return rows.join(small(bands), "_lang", "left").select(*[c for c in rows.columns if c != "_lang"], failed.alias("base_failed"), kept.alias("kept"))
+    return rows.join(few(bands), "_lang", "left").select(*[c for c in rows.columns if c != "_lang"], failed.alias("base_failed"), F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -206,22 +206,131 @@ def test_base_counts():
     assert [quality.base_counts(x) for x in some] == [base_by_hand(x) for x in some]
 
 
-def test_model_is_a_distribution():
-    grams = np.concatenate([quality.grams(quality.symbols(x)) for x in texts(7, 80)])
-    model = quality.Model.of(*np.unique(grams, return_counts=True))
-    for context in [grams[5] >> 6, 0, (28 << 12) | (28 << 6) | 28]:
-        p = np.exp(model.log_p((int(context) << 6) + np.arange(64)))
-        assert p.min() > 0 and abs(p.sum() - 1) < 1e-3
-    one, two = quality.log_likelihoods(["w1 w2 w3", ""], model)
-    assert one[0] == pytest.approx(model.log_p(quality.grams(quality.symbols("w1 w2 w3"))).sum()) and two[1] == 0
-
-
-def test_slices_of_a_text(monkeypatch):
-    some = ["a  b", " \n ab  ", "", "Über " * 9, "x"]
-    whole = [quality.grams(quality.symbols(x)).tolist() for x in some]
-    for size in (1, 2, 3, 7):
+def kneser_ney(found, order):
+    """Modified Kneser-Ney by its textbook definition, without n-grams that only one text has: a
+    function (context, character) -> p. found: {n-gram: (count, texts)}."""
+    c, texts_with = {order: {g: n for g, (n, _) in found.items()}}, {order: {g: set(x) for g, (_, x) in found.items()}}
+    for k in range(order - 1, 0, -1):
+        c[k], texts_with[k] = collections.Counter(), collections.defaultdict(set)
+        for g, n in c[k + 1].items():
+            c[k][g[1:]] += n if g[1] == "\x00" else 1
+            texts_with[k][g[1:]] |= texts_with[k + 1][g]
+    d = {}
+    for k in c:
+        n = [sum(x == j for x in c[k].values()) for j in range(5)]
+        if min(n[1:]) == 0:
+            d[k] = [0, 0.5, 0.75, 0.9]
+        else:
+            y = n[1] / (n[1] + 2 * n[2])
+            d[k] = [0] + [min(j, max(0.05, j - (j + 1) * y * n[j + 1] / n[j])) for j in (1, 2, 3)]
+
+    def p(context, x):
+        k = len(context) + 1
+        lower = p(context[1:], x) if k > 1 else 1 / (len(c[1]) + 1)
+        own = {g[-1]: n for g, n in c[k].items() if g[:-1] == context and len(texts_with[k][g]) > 1}
+        if not own:
+            return lower
+        freed = sum(min(n, d[k][min(n, 3)]) for n in own.values())
+        kept = max(0, own[x] - d[k][min(own[x], 3)]) if x in own else 0
+        return (kept + freed * lower) / sum(own.values())
+
+    return p, set(c[1])
+
+
+def grams_by_hand(text):
+    text = "\x00" * (quality.ORDER - 1) + re.sub(r"[\s\x00-\x1f\x7f]+", " ", text).removeprefix(" ")
+    return [text[i : i + quality.ORDER] for i in range(len(text) - quality.ORDER + 1)]
+
+
+SOME = ["w1 w22  w1\nw3 " + " ".join(f"w{i}" for i in range(60)), "Über ÜBER über, 日本語 の本 " + " ".join(f"ü{i}の" for i in range(60)), "a b c d e f g " * 3 + " ".join(f"abc{i}" for i in range(70)) + "$$$ x\x00y"]
+
+
+def test_model_against_kneser_ney_by_hand(spark):
+    rows = [("en" if i % 2 else "de", x) for i, x in enumerate([*texts(7, 16, vocabulary=30), *SOME, *SOME[::-1], SOME[1] + SOME[0]]) if quality.passes(quality.base_counts(x))]
+    found = {x: collections.defaultdict(lambda: [0, set()]) for x in ("en", "de")}
+    for lang, text in rows:
+        for g in grams_by_hand(text):
+            found[lang][g][0] += 1
+            found[lang][g][1].add(text)
+    counts = quality.written(quality.count_grams(spark.createDataFrame(rows, "lang string, text string").repartition(3)), "t")
+    assert {(r["lang"], r["gram"]): (r["n"], r["d0"] != r["d1"]) for r in counts.collect()} == {(x, g): (n, len(s) > 1) for x in found for g, (n, s) in found[x].items()}
+    got = {(r["lang"], r["gram"]): r["log_p"] for r in quality.probabilities(counts).collect()}
+    assert len(got) == counts.count()
+    for lang in ("en", "de"):
+        p, alphabet = kneser_ney(found[lang], quality.ORDER)
+        own = [g for x, g in got if x == lang]
+        for g in own[::7]:
+            assert np.exp(got[lang, g]) == pytest.approx(p(g[:-1], g[-1]), rel=1e-9)
+        # with the unseen, all that may follow a context sums to one
+        assert sum(p(own[0][:-1], x) for x in alphabet) + p(own[0][:-1], "unseen") == pytest.approx(1)
+
+
+def test_grams_of_slices(monkeypatch):
+    for size, bits in ((1_000_000, 12), (7, 12), (1, 12), (50, 3)):
         monkeypatch.setattr(quality, "SLICE", size)
-        assert [[int(c) for part in quality.gram_slices(x) for c in part] for x in some] == whole
+        monkeypatch.setattr(quality, "BITS", bits)
+        some = [*SOME, "", "x", " \n "]
+        found = [collections.Counter() for _ in some]
+        for rows, row, text in quality.grams([quality.code_points(x) for x in some]):
+            names = quality.strings(rows)
+            assert (quality.hashes(rows) == quality.hashes_of(names)).all()
+            for r, i in zip(row.tolist(), text.tolist(), strict=True):
+                found[i][names[r]] += 1
+        assert found == [collections.Counter(grams_by_hand(x)) for x in some]
+    assert [quality.n_spoken(quality.code_points(x)) for x in ("", "a", " a  b1 ", "$$ a| | 日本 ", "$ $")] == [0, 1, 2, 2, 0]
+
+
+def prose(seed, n, letters="abcdefghij", longest=200):
+    """Texts of words of a made-up language whose letters follow one another by rules."""
+    r = random.Random(seed)
+    parts = ["".join(r.choice(letters) for _ in range(r.randint(2, 3))) for _ in range(25)]
+    short = ["".join(r.choice(letters) for _ in range(2)) for _ in range(8)]
+    word = lambda: r.choice(short) if r.random() < 0.4 else "".join(r.choice(parts) for _ in range(r.randint(2, 3)))
+    return [" ".join(word() for _ in range(r.randint(60, longest))) for _ in range(n)]
+
+
+def quality_rows():
+    good = [(i, x, "en") for i, x in enumerate(prose(8, 150))] + [(200 + i, x, "de") for i, x in enumerate(prose(9, 60, "klmnopqrst"))]
+    r = random.Random(10)
+    shuffled = []
+    for _, x, _ in good[:3]:  # the same letters and lengths of words, in senseless order
+        letters = iter(r.sample(y := x.replace(" ", ""), len(y)))
+        shuffled.append("".join(c if c == " " else next(letters) for c in x))
+    loud = [x.replace(" ", "### ") for _, x, _ in good[3:6]]
+    bad = [(300 + i, x, "en") for i, x in enumerate(shuffled + loud)] + [(310, "ab ab " * 100, "en")]
+    common = [w for w, _ in collections.Counter(w for i, x, _ in good if i < 200 for w in x.split()).most_common(7)]
+    monotone = [(320, " ".join(r.choice(common) for _ in range(70)), "en")]
+    small = [(400 + i, x, f"x{i % 5}" if i % 2 else None) for i, x in enumerate(prose(11, 30, "uvwxyz"))]
+    odd_one = [(450, loud[0], "x1")]
+    return good, bad, monotone, small, odd_one
+
+
+def test_quality_bands(spark, odd, empty):
+    good, bad, monotone, small, odd_one = quality_rows()
+    rows = good + bad + monotone + small + odd_one
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert sum(got[i]["kept"] for i, *_ in good + small) >= 0.98 * len(good + small)
+    assert not any(got[i]["kept"] for i, *_ in bad + odd_one)
+    # what has no marks goes too: shuffled letters above the band, a monotone text below it
+    middle = sorted(got[i]["log_ppl"] for i, *_ in good if i < 200)[75]
+    assert got[300]["log_ppl"] > middle and not got[300]["base_failed"] and got[300]["n_symbols"] == 0
+    assert got[320]["log_ppl"] < middle and not got[320]["base_failed"] and not got[320]["kept"]
+    odd_rows = quality.assess(odd).collect()
+    assert len(odd_rows) == len(ODD) and all(r["base_failed"] and not r["kept"] and r["log_ppl"] is None for r in odd_rows) and quality.assess(empty).count() == 0
+    with pytest.raises(ValueError):
+        quality.assess(odd.withColumnRenamed("score", "kept"))
+
+
+def test_quality_in_chunks_is_the_same(spark, odd, monkeypatch):
+    good, bad, monotone, small, odd_one = quality_rows()
+    df = spark.createDataFrame([*good[::5], *bad, *monotone, *small, (None, good[0][1], "en"), (5, None, None), (6, "", "en")], "doc_id long, text string, lang string").repartition(3)
+    one = sorted(map(tuple, quality.assess(df).collect()), key=repr)
+    monkeypatch.setattr(quality, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 20_000)
+    two = sorted(map(tuple, quality.assess(df).collect()), key=repr)
+    assert [(*r[:8], *r[9:]) for r in one] == [(*r[:8], *r[9:]) for r in two]
+    assert all((a[8] is None and b[8] is None) or a[8] == pytest.approx(b[8], rel=1e-6) for a, b in zip(one, two, strict=True))
+    monkeypatch.undo()
 
 
 def test_ranges_of_texts():
@@ -230,17 +339,6 @@ def test_ranges_of_texts():
     assert list(spans_of_size(["aaa", "b", "cc", "ddddddd", ""], 4)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(spans_of_size([])) == []
 
 
-def test_quality_keeps_prose_and_drops_noise(spark, odd, empty):
-    prose = [(i, x, "en") for i, x in enumerate(texts(8, 60, vocabulary=400)) if len(x.split()) >= 50]
-    noise = [(900, " ".join(x + "###" for x in texts(9, 1, vocabulary=400)[0].split() or ["a"]) + " $$$ *** " * 60, "en")]
-    rows = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(prose + noise, "doc_id long, text string, lang string")).collect()}
-    assert not rows[900]["kept"] and sum(rows[i]["kept"] for i, *_ in prose) >= 0.98 * len(prose)
-    got = quality.assess(odd).collect()
-    assert len(got) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in got) and quality.assess(empty).count() == 0
-    blocks = quality.language_blocks(spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("c", 1, 1)], "lang string, gram int, n long"), most=2)
-    assert blocks == [["a"], ["b", "c"]]
-
-
 def linked(documents, words, percent):
     sets = {}
     for i, x in documents:
