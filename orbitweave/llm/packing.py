@@ -9,7 +9,7 @@
    over places and pieces, sorted by size from large to small, gives each piece the smallest free
    place that holds it. Who gets which place in a conflict of equals follows from ranks: a place
    goes onto a stack, a piece takes what lies on top, so with the stack's height before each size
-   (a running sum over at most 2 x capacity sizes and RANGE-row parts of them) a row knows from its
+   (a running sum over at most 2 x capacity sizes and PARTS parts of them) a row knows from its
    rank at which height it stands, and a piece's place is the row before it at that height. Ranks and
    heights are windows over many small groups; nothing is gathered by size. Gaps then lose what
    they took, and the next round follows with the pieces left. Where a round places few of them,
@@ -37,8 +37,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers; beyond that it forgets all and starts again.
 CACHE_WORDS = 700_000
-#: Rows of one size that are ranked together; more are ranked in parts.
-RANGE = 1_000_000
+#: Rows of one size that are ranked together; more are ranked in parts. So that parts stay few, a part
+#: is never under one in PARTS of all rows.
+RANGE, PARTS = 1_000, 100_000
 #: A round that places less than this share of its pieces is followed by new sequences.
 SHARE = 0.1
 
@@ -132,13 +133,15 @@ def ranked_heights(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tokens: (size, kind, id, ...), kind 0 for places and 1 for pieces. tokens with the part of its
     size that each row is in, and (size, kind, part, height): the stack's height before each."""
     counts = written(tokens.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")), "sizes")  # at most 2 x capacity rows
-    parts = F.ceil(F.col("n") / F.lit(RANGE))
-    if counts.where(F.col("n") > RANGE).isEmpty():
+    all_rows = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    range_ = max(RANGE, -(-(all_rows["n"] or 0) // PARTS))
+    parts = F.ceil(F.col("n") / F.lit(range_))
+    if (all_rows["most"] or 0) <= range_:
         tokens, classes = tokens.withColumn("part", F.lit(0)), counts.withColumn("part", F.lit(0))
     else:
         tokens = tokens.join(F.broadcast(counts), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), parts).cast("int")).drop("n")
         classes = tokens.groupBy("size", "kind", "part").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each size and part: the only step in one task, over no more rows than that
+    # one row for each size and part: the only step in one task, over 2 x capacity + PARTS rows at most
     turn = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "kind", "part")
     classes = classes.withColumn("_sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(turn))
     classes = classes.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(turn)))
@@ -153,7 +156,7 @@ def sweep(todo: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> Data
     pieces = todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("_p").alias("id"), F.lit(0).alias("slot"), *(c for c in todo.columns if c not in ("length", "_p")))
     tokens, heights = ranked_heights(slots.unionByName(pieces, allowMissingColumns=True))
     rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("id", "slot")) - 1
-    # a row for each size and part, at most 2 x capacity and one in RANGE rows more
+    # a row for each size and part, 2 x capacity + PARTS at most
     placed = tokens.join(F.broadcast(heights), ["size", "kind", "part"]).withColumn("_at", F.when(F.col("kind") == 0, F.col("height") + rank).otherwise(F.col("height") - 1 - rank))
     # below height 0 stand pieces only, which get nothing
     before = F.lag(F.struct("kind", "id", "slot")).over(Window.partitionBy("_at").orderBy(F.desc("size"), "kind", "part"))
