@@ -1,21 +1,28 @@
 """Main text of HTML pages by two passes over text blocks.
 
-Pass one decides each block by itself: blocks in menus, page headers, footers, sidebars, notices,
-adverts, forms and reader comments, and blocks that are mostly link text, are boilerplate; long
-blocks with many stop words are text; blocks without stop words outside an article are
-boilerplate; the rest - short blocks, and longer ones of middling stop-word density - is ambiguous.
+Pass one decides each block by what it says: blocks that are mostly link text are boilerplate; long
+blocks with many stop words are text; longer blocks without them, outside an article, are
+boilerplate, and so are labels: runs of two and more short blocks without a stop word or closing
+mark that are no headings, items or cells. The rest - short blocks, and longer ones of middling density - is
+ambiguous. Structure counts as a feature of a block: an element that the main text does not include by
+definition (menu, page header, footer, sidebar, form, advert, notice, reader comments, hidden parts)
+makes its blocks boilerplate; one whose name only hints at that (related, share, menu and the like)
+raises what a block must show, so that prose stays and labels go; an article lowers it.
 Pass two gives an ambiguous block the label of its nearest decided neighbours: inside an article
 (article, main, or an element that is named as one) the neighbours there alone count and a tie, or
 none, is text; outside an article of a page that has one, both sides must be text; on a page
-without one the nearer side decides, and a tie, or none, is text. A page without any stop word (a
-language without a list) keeps what is not boilerplate by structure or links.
+without one the nearer side decides, and a tie, or none, is text.
+
+Stop-word densities are held against the page's densest longer block: where that has less than
+STOP_HIGH, as in a language whose stop words are not listed, both limits shrink in proportion.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one line feed in page order. Markup that is cut off, unclosed or wrongly nested is read
 as far as it goes: only script, style and their like run to the end of the page without an end tag;
 a head ends at the first thing that can't stand in one, and an unclosed button, svg or the like at
 the next block or with its parent. Defined results: null and empty pages, and pages without text, give the empty
-string; repeated pages are read each. Other columns pass through if asked for.
+string; repeated pages are read each. Other columns pass through if asked for; a column text among
+them is an error.
 """
 
 from __future__ import annotations
@@ -53,8 +60,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 INLINE |= SKIP | set("object embed audio video source track param math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mfenced mover munder munderover mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose merror mspace mmultiscripts mprescripts none semantics maction".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words in class or id that name what is not the article.
-NAMES = set("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion sidebar aside widget widgets cookie cookies consent gdpr notice notices notification alert banner comment comments commentlist disqus respond reply replies social share sharing related recommended newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation pagination pager toolbar footer masthead skip login signup".split())
+#: Words in class or id that name what is not the article, and words that only hint at it.
+NAMES = set("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion sidebar aside widget widgets cookie cookies consent gdpr notice notices notification comment comments commentlist disqus newsletter breadcrumb breadcrumbs nav navbar navigation pagination pager footer masthead".split())
+HINTS = set("alert banner respond reply replies social share sharing related recommended subscribe subscription popup modal overlay menu toolbar skip login signup".split())
 HEADER = {"header", "heading", "head"}
 OWN = set("article entry post content main maincontent story body text page title".split())
 #: Names that make an element an article if nothing else is said of it.
@@ -70,20 +78,23 @@ _word = re.compile(r"[^\W\d_]+")
 _skipped = re.compile("<(?:%s)(?![a-z0-9-])" % "|".join(SKIP), re.I)
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-LONG, SHORT = 200, 70
+LONG, SHORT, LABEL = 200, 70, 40
 STOP_HIGH, STOP_LOW, LINKS = 0.3, 0.15, 0.5
+#: Elements without a meaning of their own, in which short blocks can be labels.
+LABELS_IN = set("div section center".split())
+CLOSING = tuple(".,;:!?…。！？)]}\"'”»|")
 
 
 class Block:
-    __slots__ = ("text", "linked", "around", "article", "label")
+    __slots__ = ("text", "linked", "around", "hinted", "article", "element", "label")
 
-    def __init__(self, text: str, linked: int, around: bool, article: int):
-        self.text, self.linked, self.around, self.article, self.label = text, linked, around, article, ""
+    def __init__(self, text: str, linked: int, around: bool, hinted: bool, article: int, element: str):
+        self.text, self.linked, self.around, self.hinted, self.article, self.element, self.label = text, linked, around, hinted, article, element, ""
 
 
 def role_of(name: str, attrs: str, inside: bool) -> str:
-    """'around' for an element that holds what is not the article, 'article' for one that holds
-    it, else ''. inside: whether it stands in an article already."""
+    """'around' for an element that holds what is not the article, 'hinted' for one whose name hints at
+    that, 'article' for one that holds it, else ''. inside: whether it stands in an article already."""
     if name in AROUND or name == "header" and not inside:
         return "around"
     said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attrs)} if attrs.strip() else {}
@@ -94,6 +105,8 @@ def role_of(name: str, attrs: str, inside: bool) -> str:
             words = {w.lower() for w in _parts.findall(f"{said.get('class', '')} {said.get('id', '')}")}
             if name not in ARTICLE and (words & NAMES or words & HEADER and not words & OWN and not inside and name not in INLINE):
                 return "around"
+            if name not in ARTICLE and words & HINTS:
+                return "hinted"
             if words & CONTAINERS and words <= OWN and name not in INLINE and not name.startswith("h"):
                 return "article"
             if said.get("role", "").lower() in ("main", "article") or said.get("itemprop", "") == "articleBody" or words & {"article", "entry", "post", "story"} and words & {"content", "body", "text"}:
@@ -122,7 +135,7 @@ def blocks(html: str) -> list[Block]:
         stray = unclosed(tokens)
     pieces: list[str] = []
     open_elements: list[tuple[str, str]] = []
-    around = article = links = n_articles = current = skipped = 0
+    around = hinted = article = links = n_articles = current = skipped = 0
     linked = 0
 
     def end_block() -> None:
@@ -130,14 +143,16 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, linked, around > 0, current if article else 0))
+                element = next((n for n, _ in reversed(open_elements) if n not in INLINE), "")
+                out.append(Block(text, linked, around > 0, hinted > 0, current if article else 0, element))
             pieces.clear()
         linked = 0
 
     def leave(role: str, name: str) -> None:
-        nonlocal around, article, links, skipped
+        nonlocal around, hinted, article, links, skipped
         skipped -= role in ("skip", "stray")
         around -= role == "around"
+        hinted -= role == "hinted"
         article -= role == "article"
         links -= name == "a"
 
@@ -179,19 +194,20 @@ def blocks(html: str) -> list[Block]:
             for k in range(len(open_elements) - 1, -1, -1):
                 if open_elements[k][0] == name:
                     roles = {r for _, r in open_elements[k:]}
-                    if roles & {"around", "article"} or roles & {"skip", "stray"} and name not in INLINE:
+                    if roles & {"around", "hinted", "article"} or roles & {"skip", "stray"} and name not in INLINE:
                         end_block()
                     leave_from(k)
                     break
-                if open_elements[k][1] in ("around", "article") and name in INLINE | {"p", "li", "div"} and open_elements[k][0] not in INLINE:
+                if open_elements[k][1] in ("around", "hinted", "article") and name in INLINE | {"p", "li", "div"} and open_elements[k][0] not in INLINE:
                     break  # a stray end tag does not leave a menu or an article
         elif name not in VOID and not m["attrs"].endswith("/"):
             role = "" if skipped else ("stray" if i in stray and name != "head" else "skip") if name in SKIP else role_of(name, m["attrs"], article > 0)
-            if role in ("around", "article"):
+            if role in ("around", "hinted", "article"):
                 end_block()
             skipped += role in ("skip", "stray")
             open_elements.append((name, role))
             around += role == "around"
+            hinted += role == "hinted"
             links += name == "a"
             if role == "article":
                 if not article:
@@ -212,22 +228,47 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def decide(block: Block) -> str:
-    """Pass one: 'text', 'around', or '' for an ambiguous block."""
-    n = len(block.text)
-    if block.around or block.linked > LINKS * n:
+def density(block: Block) -> float:
+    """The share of stop words."""
+    words = _word.findall(block.text.lower())
+    return sum(w in _stop for w in words) / max(1, len(words))
+
+
+def is_label(block: Block) -> bool:
+    """A short block that says nothing: no stop word, no closing mark, and no heading, paragraph, item
+    or cell."""
+    return len(block.text) < LABEL and block.element in LABELS_IN and not block.text.endswith(CLOSING) and not density(block)
+
+
+def decide(block: Block, share: float, scale: float) -> str:
+    """Pass one, of a block by itself: 'text', 'around', or '' for an ambiguous block. share: its
+    stop-word density, 0 for a short one; scale: what both limits are multiplied by."""
+    n, high, low = len(block.text), STOP_HIGH * scale, STOP_LOW * scale
+    if block.linked > LINKS * n or block.around:
         return "around"
+    if block.hinted:
+        return "text" if n >= LONG and share >= high else "" if n >= SHORT and share >= low and block.article else "around"
     if n < SHORT:
         return "" if block.article or not block.linked else "around"
-    words = _word.findall(block.text.lower())
-    share = sum(w in _stop for w in words) / max(1, len(words))
-    if share >= STOP_HIGH and (n >= LONG or block.article):
+    if share >= high and (n >= LONG or block.article):
         return "text"
-    if share >= STOP_LOW or block.article:
+    if share >= low or block.article:
         return ""
     return "around"
 
 
+def first_pass(found: list[Block]) -> None:
+    """Labels all blocks that are decided by themselves, and runs of labels."""
+    shares = [density(b) if len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) and not b.around else 0.0 for b in found]
+    scale = min(1.0, max(shares, default=0.0) / STOP_HIGH)
+    for b, share in zip(found, shares, strict=True):
+        b.label = decide(b, share, scale)
+    labels = [not b.label and is_label(b) for b in found]
+    for i, b in enumerate(found):
+        if labels[i] and (i > 0 and labels[i - 1] or i + 1 < len(found) and labels[i + 1]):
+            b.label = "around"
+
+
 def nearest(found: list[Block], order: range) -> list[tuple[int, str] | None]:
     """For each block the place and label of the decided block last seen in that order: of the same
     article, or of the page for a block in none."""
@@ -257,23 +298,26 @@ def inherited(i: int, b: Block, before: tuple[int, str] | None, after: tuple[int
     return labels[0] if labels else "text"
 
 
-def main_text(html: str) -> str:
-    found = blocks(html)
-    for b in found:
-        b.label = decide(b)
+def second_pass(found: list[Block]) -> None:
+    """Labels ambiguous blocks from their decided neighbours."""
     has_article = any(b.article for b in found)
-    if not has_article and not any(b.label == "text" for b in found):
-        for b in found:
-            b.label = "around" if b.around or b.linked > LINKS * len(b.text) else "text"
     before, after = nearest(found, range(len(found))), nearest(found, range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):
         b.label = b.label or inherited(i, b, before[i], after[i], has_article)
+
+
+def main_text(html: str) -> str:
+    found = blocks(html)
+    first_pass(found)
+    second_pass(found)
     return "\n".join(b.text for b in found if b.label == "text")
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all but html) of pages with text."""
     keep = [c for c in pages.columns if c != html] if keep is None else keep
+    if "text" in keep:
+        raise ValueError("a column text is there already")
     at, at_kept = pages.columns.index(html), [pages.columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

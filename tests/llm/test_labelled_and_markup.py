@@ -109,6 +109,51 @@ def test_html_blocks():
     assert html_text.main_text("<article>" + "<p>x" * 5000) == "\n".join("x" * 5000)
 
 
+PROSE = {
+    "en": "This is the text of the page and it is for you and all of them, as they said when we were there and had more to do. " * 2,
+    "de": "Das ist der Text der Seite und er ist für dich und für alle, die mit uns auf dem Weg in die Stadt sind und nicht zu spät. " * 2,
+    "fr": "Le texte de la page est pour vous et pour tous ceux qui sont dans la ville avec nous et qui ne sont pas en retard sur le plan. " * 2,
+    "es": "El texto de la página es para todos los que están en la ciudad con nosotros y que no llegan tarde a la cita de la plaza. " * 2,
+    "it": "Il testo della pagina è per tutti quelli che sono in città con noi e che non sono in ritardo per la cena di oggi. " * 2,
+}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_html_without_telling_names(lang):
+    p = PROSE[lang].strip()
+    text = html_text.main_text
+    menu = "".join(f"<div class='q{i}'>Menu{i}</div>" for i in range(4))
+    links = "<div class='x'>" + "".join(f"<a href='{i}'>Item {i} of it</a> " for i in range(9)) + "</div>"
+    notice = "<div class='z9'>Xyzzy plugh 2024 frobozz quux corge grault garply waldo fred plugh thud xyzzy barney wibble wobble</div>"
+    # outside and inside of an article: menus by their labels and links, prose by its words
+    assert text(f"{menu}{links}{notice}<article><h1>Title</h1><p>{p}</p>{menu}<p>{p}</p>{links}<p>Short end</p></article>{notice}{menu}") == f"Title\n{p}\n{p}\nShort end"
+    # without an article: density alone
+    assert text(f"{links}<div>{notice}</div><div>{p}</div><div>{p}</div><p>So.</p><div>{p}</div>{links}<div>Foo bar</div><div>Contact</div>") == f"{p}\n{p}\nSo.\n{p}"
+    # a name that only hints: prose stays, labels go; a name that tells: both go
+    assert text(f"<article><p>{p}</p><div class='related-work'><p>{p} {p}</p></div><div class='share'>Share it</div><section class='comments'><p>{p}</p></section></article>") == f"{p}\n{p} {p}"
+
+
+def test_html_each_pass_counts(monkeypatch):
+    p = PROSE["en"].strip()
+    page = f"<div>Site of it</div><div><a href=x>Menu</a></div><div>{p}</div><p>so</p><div>{p}</div><div>Xyzzy plugh frobozz quux corge grault garply waldo fred plugh thud xyzzy barney wibble</div><p>end</p>"
+    want = f"Site of it\n{p}\nso\n{p}"
+    assert html_text.main_text(page) in (want, f"{p}\nso\n{p}")
+    whole = html_text.main_text(page)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "second_pass", lambda found: None)
+        assert html_text.main_text(page) == f"{p}\n{p}"
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "decide", lambda block, share, scale: "")
+        assert html_text.main_text(page) not in (whole, "")
+
+
+def test_html_of_very_long_blocks(spark):
+    p = PROSE["en"] * 20_000
+    assert html_text.main_text(f"<article><p>{p}</p></article>") == " ".join(p.split())
+    with pytest.raises(ValueError):
+        html_text.extract(spark.createDataFrame([(1, "x", "y")], "page_id long, html string, text string"))
+
+
 def test_html_without_end_tags_is_no_prefix():
     prose = "This is the text of the page and it is for you and all of them."
     text = html_text.main_text
