@@ -6,12 +6,16 @@ training vectors are clustered by spherical k-means into CENTROIDS centroids; a
 language of the centroid with the highest cosine. A text farther from its nearest centroid than
 nearly all training texts of that language are from theirs is marked as rejected.
 
-The model is fitted on SAMPLE documents per language (those whose ids hash lowest) and at most
-LANGUAGES languages, the commonest; everything else covers whole texts of all documents.
+All languages that occur are learnt. The inverse document frequencies count all learnable documents
+in one pass; centroids come from SAMPLE distinct texts of each language at most, those that hash
+lowest, each language in a task of its own. Centroids go out in blocks of AT_ONCE languages, one pass
+over the texts for each block, so that what is broadcast has a bound however many languages there
+are; the best cosine over all blocks is kept.
 
 Defined results: null texts, and texts without a letter, are 'und' with score 0. Without training
-documents all are. Ties go to the language that sorts first. Repeated rows are judged each. A very
-long text is folded slice by slice, so that memory stays bounded.
+documents all are. Ties go to the language that sorts first. Repeated rows are judged each, and
+learnt from once. A very long text is folded slice by slice, so that memory stays bounded. Columns
+that are kept must not have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitweave.llm.common import arrow_map, texts_of, written
@@ -29,8 +33,11 @@ from orbitweave.llm.common import arrow_map, texts_of, written
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
 SAMPLE = 600
-LANGUAGES = 200
 CENTROIDS = 4
+#: Languages in a block of centroids: 256 x 4 x 64 KB.
+AT_ONCE = 256
+#: Chosen texts that are sent to all executors at most; with more, they are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 #: The share of a language's own training texts that its rejection distance would turn away.
 REJECT = 0.005
 SLICE = 1_000_000
@@ -75,7 +82,9 @@ def counts(text: str) -> np.ndarray | None:
 
 
 @dataclass
-class Model:
+class Block:
+    """The centroids of some languages, in the languages' order."""
+
     langs: list[str]
     owner: np.ndarray
     centroids: np.ndarray
@@ -83,20 +92,34 @@ class Model:
     #: The least cosine of each language that is not rejected.
     floor: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        langs, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        if not self.langs:
-            return langs, score, rejected
+    def predict(self, texts: list[str], best: np.ndarray, found: list[str], rejected: np.ndarray) -> None:
+        """Takes over those texts that have a higher cosine here than the best so far."""
         for at in range(0, len(texts), 64):
             got = [(at + k, c) for k, t in enumerate(texts[at : at + 64]) if (c := counts(t)) is not None]
             if not got:
                 continue
             cosine = unit(np.log1p(np.stack([c for _, c in got])) * self.idf) @ self.centroids.T
-            best = cosine.argmax(1)
-            for (i, _), k, x in zip(got, best, cosine[np.arange(len(got)), best], strict=True):
-                langs[i], score[i] = self.langs[self.owner[k]], min(1.0, max(0.0, float(x)))
-                rejected[i] = x < self.floor[self.owner[k]]
-        return langs, score, rejected
+            for (i, _), k, x in zip(got, cosine.argmax(1), cosine.max(1), strict=True):
+                if found[i] == UNDETERMINED or x > best[i]:
+                    best[i], found[i], rejected[i] = x, self.langs[self.owner[k]], x < self.floor[self.owner[k]]
+
+
+@dataclass
+class Model:
+    """langs, sorted; idf; and the written table of centroids (lang, k, vector, floor)."""
+
+    langs: list[str]
+    idf: np.ndarray
+    table: DataFrame | None
+
+    def blocks(self) -> Iterator[Block]:
+        for at in range(0, len(self.langs), AT_ONCE):
+            langs = self.langs[at : at + AT_ONCE]
+            rows = sorted(self.table.where(F.col("lang").isin(langs)).collect(), key=lambda r: (r["lang"], r["k"]))  # AT_ONCE x CENTROIDS at most
+            owner = np.array([langs.index(r["lang"]) for r in rows], int)
+            floor = np.zeros(len(langs))
+            floor[owner] = [r["floor"] for r in rows]
+            yield Block(langs, owner, np.stack([np.frombuffer(r["vector"], "<f4") for r in rows]), self.idf, floor)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -117,57 +140,96 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """docs: only those that may be learnt from."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"))
-    common = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
-    chosen = None
-    for r in sorted(x["_lang"] for x in common):
-        part = known.where(F.col("_lang") == r).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return Model([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(0))
-    # at most LANGUAGES x SAMPLE ids, from which at most as many vectors come to the driver
-    chosen = F.broadcast(written(chosen, "chosen").select("_id").distinct())
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")).where(F.col("_lang").isNotNull()).join(chosen, "_id").select("_lang", "_text")
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def chosen_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """docs: (lang, text). (lang, hash) of at most sample distinct texts of each language: those that hash
+    lowest. A language is first thinned by its number of texts, so that none is sorted whole."""
+    texts = written(docs.select("lang", F.xxhash64("text").alias("hash")).distinct(), "texts")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = (F.shiftrightunsigned("hash", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    some = texts.join(sizes.hint("merge"), "lang").where(share * F.col("n") < 2 * sample + 20)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 11), "hash"))).where(F.col("_r") <= sample).select("lang", "hash")
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs: (lang, text, hash), hash null for texts that were not chosen. Rows (bucket, n) with the number
+    of texts that have a feature, for each task; and rows (lang, hash, at, count) of chosen texts."""
+    names = ["bucket", "n", "lang", "hash", "at", "count"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total, seen = np.zeros(BUCKETS, np.int64), 0, set()
         for batch in batches:
-            langs, where, count = [], [], []
-            for x, t in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
-                if (c := counts(t)) is not None:
+            out: list[list] = [[], [], [], []]
+            for lang, text, h in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if (c := counts(text)) is None:
+                    continue
+                df += c > 0
+                total += 1
+                if h is not None and (lang, h) not in seen:
+                    seen.add((lang, h))
                     at = np.flatnonzero(c)
-                    langs.append(x)
-                    where.append(at.astype("<u2").tobytes())
-                    count.append(c[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(where, pa.binary()), pa.array(count, pa.binary())], names=["lang", "at", "n"])
-
-    got = arrow_map(rows, vectors, "lang string, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    idf = np.log((1 + len(got)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = unit(np.log1p(x) * idf)
-    langs = sorted({r["lang"] for r in got})
-    own = np.array([langs.index(r["lang"]) for r in got], int)
-    parts = [clusters(x[own == k], centroids) for k in range(len(langs))]
-    floor = np.array([np.quantile((x[own == k] @ parts[k].T).max(1), REJECT) for k in range(len(langs))])
-    return Model(langs, np.repeat(np.arange(len(langs)), [len(p) for p in parts]), np.concatenate(parts) if parts else np.zeros((0, BUCKETS), np.float32), idf, floor)
+                    for column, x in zip(out, (lang, h, at.astype("<u2").tobytes(), c[at].astype("<f4").tobytes()), strict=True):
+                        column.append(x)
+            if out[0]:
+                none = [None] * len(out[0])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, *out), types, strict=True)], names=names)
+        some = np.flatnonzero(df)
+        rows = [*some.tolist(), BUCKETS], [*df[some].tolist(), total]  # the last row tells how many texts
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*rows, *([[None] * len(rows[0])] * 4)), types, strict=True)], names=names)
+
+    return arrow_map(docs, run, "bucket int, n bigint, lang string, hash bigint, at binary, count binary")
+
+
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
+    """docs: only those that may be learnt from."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    chosen = written(chosen_texts(known, sample), "chosen")
+    few = chosen.count() <= BROADCAST_TEXTS
+    own = chosen.select(F.col("lang").alias("_l"), "hash")
+    found = known.join(F.broadcast(own) if few else own.hint("merge"), (F.col("lang") == F.col("_l")) & (F.xxhash64("text") == F.col("hash")), "left").select("lang", "text", "hash")
+    rows = written(features(found), "features")
+    counted = {r["bucket"]: r["n"] for r in rows.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # BUCKETS + 1 rows
+    df = np.zeros(BUCKETS)
+    for k, n in counted.items():
+        if k < BUCKETS:
+            df[k] = n
+    idf = (np.log((1 + counted.get(BUCKETS, 0)) / (1 + df)) + 1).astype(np.float32)
+    vectors = rows.where(F.col("hash").isNotNull()).dropDuplicates(["lang", "hash"]).select("lang", "at", "count")
+
+    def cluster(key: tuple, table: pa.Table) -> pa.Table:
+        got = sorted(zip(table.column("at").to_pylist(), table.column("count").to_pylist(), strict=True))  # sample at most
+        x = np.zeros((len(got), BUCKETS), np.float32)
+        for i, (at, n) in enumerate(got):
+            x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
+        x = unit(np.log1p(x) * idf)
+        c = clusters(x, centroids)
+        floor = float(np.quantile((x @ c.T).max(1), REJECT))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "k": pa.array(range(len(c)), pa.int32()), "vector": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary()), "floor": pa.array([floor] * len(c), pa.float64())})
+
+    table = written(vectors.groupBy("lang").applyInArrow(cluster, "lang string, k int, vector binary, floor double"), "centroids")
+    return Model(sorted(r["lang"] for r in table.select("lang").distinct().collect()), idf, table)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all) of docs with lang_pred, score (cosine to the nearest
     centroid) and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    at, at_kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
+    new = ["lang_pred", "score", "rejected"]
+    if clash := {*keep} & {*new}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    source = docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    out = source.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "rejected": F.lit(False)})
+    for block in model.blocks():
+        out = _pass(out, docs.sparkSession.sparkContext.broadcast(block))
+    return out.select(*(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"), "rejected")
+
 
+def _pass(docs: DataFrame, held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in batches:
-            langs, score, rejected = model.predict(texts_of(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at_kept), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
+            found, best, rejected = (batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))
+            best, rejected = np.array(best, np.float64), np.array(rejected, bool)
+            held.value.predict(texts_of(batch.column(0)), best, found, rejected)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, pa.string()), pa.array(best), pa.array(rejected)], names=batch.schema.names)
 
-    schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep)
-    return arrow_map(docs, run, schema + "lang_pred string, score double, rejected boolean")
+    return arrow_map(docs, run, docs.schema)

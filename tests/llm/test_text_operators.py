@@ -423,17 +423,62 @@ def test_near_duplicates_on_odd_input(odd, empty):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
-def test_language_model(spark, odd, empty):
-    r = random.Random(12)
-    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60))
-    rows = [(i, make("abcde") if i % 2 else make("eßüöä"), "xx" if i % 2 else "yy") for i in range(80)]
-    model = langid.fit(spark.createDataFrame(rows[:60], "doc_id long, text string, lang string"))
-    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(spark.createDataFrame(rows[60:], "doc_id long, text string, lang string"), model).collect()}
-    assert all(got[i] == lang for i, _, lang in rows[60:])
+def languages(seed, n):
+    r = random.Random(seed)
+    letters = ["abcde", "eßüöä", "klmno", "uvwxy", "aeiou"]
+    make = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(2, 8))) for _ in range(60))
+    return [(i, make(i % 5), f"l{i % 5}") for i in range(n)]
+
+
+LANG = "doc_id long, text string, lang string"
+
+
+def test_language_model(spark, odd, empty, monkeypatch):
+    rows = languages(12, 200)
+    train, test = spark.createDataFrame(rows[:150] + [(1, None, "l0"), (2, "x", None), (3, "", "l9")], LANG), spark.createDataFrame(rows[150:], LANG)
+    model = langid.fit(train.repartition(3))
+    assert model.langs == ["l0", "l1", "l2", "l3", "l4"]
+    got = {x["doc_id"]: x for x in langid.identify(test, model).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[150:])
+    # blocks of languages give the same as one block, and both the same as cosines one by one
+    whole = next(model.blocks())
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    for x in langid.identify(test, model).collect():
+        assert x["lang_pred"] == got[x["doc_id"]]["lang_pred"] and x["score"] == pytest.approx(got[x["doc_id"]]["score"], abs=1e-5)
+    for i, text, _ in rows[150:170]:
+        v = [float(np.log1p(c)) * float(w) for c, w in zip(langid.counts(text), model.idf, strict=True)]
+        norm = sum(x * x for x in v) ** 0.5
+        cosines = [sum(x * float(y) for x, y in zip(v, c, strict=True)) / norm for c in whole.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[i]["score"] == pytest.approx(cosines[best], abs=1e-5) and got[i]["lang_pred"] == whole.langs[whole.owner[best]]
+    # document frequencies are those of all learnable documents
+    seen = np.sum([langid.counts(x) > 0 for _, x, lang in rows[:150]], 0)
+    assert model.idf == pytest.approx(np.log(151 / (1 + seen)) + 1, rel=1e-5)
     out = langid.identify(odd.drop("score"), model).collect()
     assert len(out) == len(ODD) and {x["lang_pred"] for x in out if x["doc_id"] in (1, 2, 3)} == {"und"} and all(0 <= x["score"] <= 1 for x in out)
     nothing = langid.fit(empty)
     assert {x["lang_pred"] for x in langid.identify(odd.drop("score"), nothing).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        langid.identify(odd, model)
+
+
+def test_language_sample_is_the_lowest_hashes_of_distinct_texts(spark, monkeypatch):
+    rows = [("a" if i % 3 else "b", f"text {i % 200}") for i in range(900)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = {(r["lang"], r["hash"]) for r in langid.chosen_texts(df, 7).collect()}
+    every = {(r["lang"], r["h"]) for r in df.select("lang", langid.F.xxhash64("text").alias("h")).collect()}
+    assert got == {(x, h) for x in "ab" for h in sorted((h for y, h in every if y == x), key=lambda h: h % 2**64)[:7]}
+    monkeypatch.setattr(langid, "BROADCAST_TEXTS", 0)
+    assert langid.fit(spark.createDataFrame(languages(1, 40), LANG)).langs == [f"l{k}" for k in range(5)]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_language_query_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    rows = queries.op1_centroid_language(spark, "/root/testdata/sf0.001").join(docs, "doc_id").collect()
+    assert len(rows) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["text"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.93 * len(held) and len(held) > 20
 
 
 def test_language_counts_are_the_same_in_slices(monkeypatch):
