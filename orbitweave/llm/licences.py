@@ -127,10 +127,15 @@ def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
     t = F.regexp_replace(F.lower(text), "\\r\\n?", "\n")
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+    # each word has spaces of its own, so that neighbours are all found
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", "  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(spaced(old)), F.lit(spaced(new)))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+
+
+def spaced(words: str) -> str:
+    return " " + words.replace(" ", "  ") + " "
 
 
 def digest(text: Column) -> Column:
@@ -171,10 +176,13 @@ def canonical_sql(text: str) -> str:
     t = f"regexp_replace(lower({text}), '\\r\\n?', chr(10), 'g')"
     for line in (COPYRIGHT_LINE, RESERVED_LINE):
         t = f"regexp_replace({t}, {q(line)}, '', 'g')"
-    t = f"(' ' || trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
-    for old, new in SPELLINGS:
-        t = f"replace({t}, ' {old} ', ' {new} ')"
-    return f"trim({t})"
+    # words as a list, each by the table of spellings, with the next one where two are spelt as one
+    words = f"string_split(trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs, single = [x for x in SPELLINGS if " " in x[0]], [x for x in SPELLINGS if " " not in x[0]]
+    table = lambda rows: "MAP {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in rows) + "}"
+    step = f"""CASE WHEN len(a) > 0 AND ({table(pairs)})[a[-1] || ' ' || w] IS NOT NULL THEN list_concat(a[:-2], string_split(({table(pairs)})[a[-1] || ' ' || w], ' ')) ELSE list_append(a, w) END"""
+    joined = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({words}, lambda w: [w])), lambda a, x: {step.replace('w]', 'x[1]]').replace(', w)', ', x[1])')})"
+    return f"CASE WHEN {text} IS NOT NULL THEN array_to_string(list_transform({joined}, lambda w: coalesce(({table(single)})[w], w)), ' ') END"
 
 
 def oracle_sql() -> str:

@@ -37,6 +37,9 @@ RESPONSES = "record_id string, target_uri string, date string, http_status int,
 RECORDS = "record_type string, record_id string, refers_to string, refers_to_uri string, refers_to_date string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length bigint, block binary"
 _header_type = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
+#: Bytes of a file that are inflated at once.
+PIECE = 1 << 18
+
 _charset = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
 _link = re.compile(r"""<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
@@ -121,21 +124,29 @@ def responses_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url",
         F.array(header("Content-Type", F.lit("text/html; charset=utf-8")), header("Content-Length", F.length(body).cast("string"))).alias("http_headers"), body.alias("payload"), F.lit(None).cast("string").alias("payload_digest"))
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The members of a gzip file, one after another; a file that is not gzip is one."""
-    if raw[:2] != b"\x1f\x8b":
-        yield raw
+def _inflated(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The content of a gzip file in pieces, and whether a member ends with a piece; a file that is not
+    gzip is one member. What follows a broken member is left."""
+    view, at = memoryview(raw), 0
+    if view[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), PIECE):
+            yield bytes(view[at : at + PIECE]), at + PIECE >= len(view)
         return
-    while raw[:2] == b"\x1f\x8b":
+    while view[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        try:
-            out = z.decompress(raw) + z.flush()
-        except zlib.error:
-            return
-        if not z.eof:
-            return
-        yield out
-        raw = z.unused_data.lstrip(b"\x00")
+        while not z.eof and at < len(view):
+            part = view[at : at + PIECE]
+            try:
+                out = z.decompress(part, 16 * PIECE)
+                while z.unconsumed_tail:
+                    yield out, False
+                    out = z.decompress(z.unconsumed_tail, 16 * PIECE)
+            except zlib.error:
+                return
+            at += len(part) - len(z.unused_data)
+            yield out, z.eof
+        while at < len(view) and view[at] == 0:
+            at += 1
 
 
 def _fields(lines: list[bytes]) -> list[tuple[str, str]]:
@@ -149,20 +160,40 @@ def _fields(lines: list[bytes]) -> list[tuple[str, str]]:
     return out
 
 
+def _record(held: bytearray) -> tuple[tuple[dict[str, str], bytes] | None, int]:
+    """The first whole record, and how many bytes are done with."""
+    start = held.find(b"WARC/")
+    if start < 0:
+        return None, max(0, len(held) - 4)
+    end = held.find(b"\r\n\r\n", start)
+    if end < 0:
+        return None, start
+    head = {n.lower(): v for n, v in _fields(bytes(held[start:end]).split(b"\r\n")[1:])}
+    said = head.get("content-length", "")
+    stop = end + 4 + (int(said) if said.isdecimal() else 0)
+    return ((head, bytes(held[end + 4 : stop])), stop) if stop <= len(held) else (None, start)
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file: header fields by lower-cased name, and block."""
-    for member in _inflated(raw):
-        at = 0
-        while (start := member.find(b"WARC/", at)) >= 0:
-            end = member.find(b"\r\n\r\n", start)
-            if end < 0:
-                break
-            head = dict((n.lower(), v) for n, v in _fields(member[start:end].split(b"\r\n")[1:]))
-            size = int(head.get("content-length", "0") or 0)
-            if end + 4 + size > len(member):
+    """Records of a WARC file: header fields by lower-cased name, and block. One pass in pieces of
+    PIECE bytes; besides the file, a record or two are in memory. A record counts once the next one
+    begins or its member has ended well."""
+    held, whole = bytearray(), None
+    for piece, ended in _inflated(raw):
+        held += piece
+        while True:
+            found, used = _record(held)
+            del held[:used]
+            if found is None:
                 break
-            yield head, member[end + 4 : end + 4 + size]
-            at = end + 4 + size
+            if whole:
+                yield whole
+            whole = found
+        if ended:
+            if whole:
+                yield whole
+            whole = None
+            held.clear()
 
 
 def http_parts(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:

@@ -226,6 +226,27 @@ def test_warc_round_trip(spark, tmp_path):
         warc.write_records(warc.derive(responses), "s3://x/y")
 
 
+def test_warc_reading_is_linear_and_streams(tmp_path):
+    import time
+    import tracemalloc
+
+    r = random.Random(3)
+    block = r.randbytes(60_000)
+    one = [member("response", f"http://a/{i}", block) for i in range(8)]
+    many = b"".join(gzip.compress(x, 1) for x in one) * 150  # 70 MB, 1,200 members
+    start = time.time()
+    assert sum(b == block for _, b in warc.parse(many)) == 1200 and time.time() - start < 30
+    single = gzip.compress(b"".join(one) * 20, 1)  # all records in one member
+    tracemalloc.start()
+    assert sum(1 for _ in warc.parse(single)) == 160
+    assert tracemalloc.get_traced_memory()[1] < 6_000_000
+    tracemalloc.stop()
+    assert sum(1 for _ in warc.parse(b"".join(one))) == 8 and sum(1 for _ in warc.parse(b"".join(one)[:-100])) == 7
+    assert [len(b) for _, b in warc.parse(gzip.compress(member("response", "u", b"")) + b"junk")] == [0] and list(warc.parse(b"")) == []
+    zeros = gzip.compress(member("response", "u", bytes(50_000_000)))
+    assert [len(b) for _, b in warc.parse(zeros)] == [50_000_000]
+
+
 def test_warc_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://[bad", "<a href='http://[x'>q</a>"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string")
     got = warc.derive(warc.responses_of_pages(df), keep=["page_id"]).collect()
@@ -248,6 +269,15 @@ def test_licences(spark):
     assert len(digests) == len(licences.KNOWN)
 
 
+def test_spellings_of_neighbouring_words(spark):
+    rows = ["the licence licence of the licence", "Non-commercial non commercial, sub-licence; sub license", "per cent per cent", "non", "commercial"]
+    got = [r["c"] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(licences.canonical(licences.F.col("t")).alias("c")).collect()]
+    assert got == ["the license license of the license", "noncommercial noncommercial sublicense sublicense", "percent percent", "non", "commercial"]
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {licences.canonical_sql('t')} FROM (SELECT CAST(? AS VARCHAR) AS t)", [x]).fetchone()[0] for x in [*rows, "", "!?", None]] == [*got, "", "", None]
+
+
 def test_licences_with_marks_between_words(spark):
     lines = ["Released under CC BY 4.0", "Released  under CC BY 4.0", "Released\tunder the CC BY 4.0.", "**Released** under CC BY 4.0", "* Available -- under: the CC BY 4.0", "_Distributed_ under the CC BY 4.0", "RELEASED, under, CC-BY 4.0", "released, but under no licence"]
     got = {r["i"]: r["stated_licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(lines)), "i long, text string")).collect()}
