@@ -84,11 +84,10 @@ def confidence_of(d: Column) -> Column:
 
 def native_threshold(source_scale: Column | float, reference_scale: Column | float, noise: float = 2.5, least: float = 2.0) -> Column:
     """Inlier threshold in native pixels: the working noise at the coarser image's scale, and not
-    below least. Scales that are not positive count for nothing."""
-    def inverse(s):
-        return F.when(lit(s) > 0, F.lit(1.0) / F.when(lit(s) > 0, lit(s))).otherwise(F.lit(0.0))
-
-    return F.greatest(F.lit(float(least)), F.lit(float(noise)) * F.greatest(inverse(source_scale), inverse(reference_scale)))
+    below least. Scales that are not positive count for nothing; without any the scale is 1."""
+    inverse = lambda s: F.when(lit(s) > 0, F.lit(1.0) / F.when(lit(s) > 0, lit(s)))
+    coarser = F.coalesce(F.greatest(inverse(source_scale), inverse(reference_scale)), F.lit(1.0))
+    return F.greatest(F.lit(float(least)), F.lit(float(noise)) * coarser)
 
 
 def working_size(height: Column, width: Column, cap: int = 768) -> Column:

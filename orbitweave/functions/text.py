@@ -15,8 +15,26 @@ SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".jp2", ".img")
 MEDIA_SUFFIXES = {"image/png": ".png", "image/jpeg": ".jpg", "image/tiff": ".tif", "image/jp2": ".jp2"}
 # Display names of pipeline stages.
 STAGE_LABELS = {
-    "input_loading": "Input Loading", "preprocessing": "Preprocessing", "feature_matching": "Feature Matching", "uniform_grid_selection": "Uniform Grid Selection", "ransac": "RANSAC", "subpixel_refinement": "Sub-pixel Refinement", "dem_validation": "DEM Validation", "physical_validation": "Physical Validation", "registration": "Registration", "output_generation": "Output Generation",
-}
+    "metadata_context_check": "metadata/context check",
+    "catalog_localization": "catalog localization",
+    "dem_retrieval_validation": "DEM retrieval/validation",
+    "multi_scale_illumination_robust_preprocessing": "multi-scale illumination-robust preprocessing",
+    "working_scale_selection": "working-scale selection",
+    "loftr_or_baseline_matching": "LoFTR/baseline matching",
+    "candidate_filtering": "candidate filtering",
+    "native_coordinate_conversion": "native-coordinate conversion",
+    "uniform_grid_selection": "uniform-grid selection",
+    "image_ransac": "RANSAC",
+    "confidence_evaluation": "confidence evaluation",
+    "adaptive_subpixel_refinement": "adaptive sub-pixel refinement",
+    "adaptive_subpixel_refinement_on_ransac_inliers": "adaptive sub-pixel refinement on RANSAC inliers",
+    "dem_physical_validation_or_honest_fallback": "DEM/physical validation",
+    "native_coordinate_tie_points": "native-coordinate tie points",
+    "original_resolution_registration": "original-resolution registration",
+    "registration_outputs_and_metrics": "registration outputs and metrics",
+}
+# Display texts of what a run ended with.
+STATUS_TEXTS = {"success": "Successful", "insufficient_matches": "Insufficient matches", "failed": "Failed"}
 
 LABEL_LINE = r"^\s*([A-Za-z0-9_:^]+)\s*=\s*(.*)$"
 
@@ -66,7 +84,9 @@ def coerced_number(c: Column) -> Column:
 
 
 def coerced_boolean(c: Column) -> Column:
-    return F.when(F.nullif(c, F.lit("")).isNotNull(), F.lower(c) == "true")
+    """true or false in any case; all else is null (see unparsed_boolean)."""
+    low = F.lower(c)
+    return F.when(low == "true", True).when(low == "false", False)
 
 
 def unparsed(c: Column) -> Column:
@@ -74,6 +94,11 @@ def unparsed(c: Column) -> Column:
     return F.when((F.trim(c) != "") & c.try_cast("double").isNull(), c)
 
 
+def unparsed_boolean(c: Column) -> Column:
+    """The text of a truth column that is neither empty nor a truth value."""
+    return F.when((c != "") & coerced_boolean(c).isNull(), c)
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, "([^/\\\\]*)$", 1)
 
@@ -102,21 +127,24 @@ def label_path(path: Column) -> Column:
     return F.regexp_replace(path, "\\.[^./]*$", ".xml")
 
 
-# What a label must tell for exact camera geometry, with the words that tell it.
+# What a label must tell for exact camera geometry, with the words that tell it (a dot is
+# any character but a line feed), and what is missing where there is no label.
 CAMERA_METADATA = [
-    ("focal_length", "(?i)focal[_ ]?length"),
-    ("pixel_size", "(?i)(detector|pixel)[_ ]?(size|pitch)"),
-    ("principal_point", "(?i)(principal[_ ]?point|boresight)"),
-    ("distortion", "(?i)distortion"),
-    ("spacecraft_position", "(?i)(spacecraft[_ ]?position|ephemeris)"),
-    ("spacecraft_attitude", "(?i)(attitude|quaternion)"),
+    ("spacecraft_position", "(?id)spacecraft.*position|sub.*spacecraft"),
+    ("attitude_reference_frame", "(?id)attitude.*reference|reference.*frame"),
+    ("camera_principal_point", "(?id)principal.*point|optical.*axis"),
+    ("lens_distortion_model", "(?id)distortion"),
+    ("camera_to_spacecraft_boresight_alignment", "(?id)boresight|camera.*alignment|payload.*alignment"),
 ]
+NO_LABEL = ("source_PDS4_label", "spacecraft_position", "attitude_reference_frame", "camera_principal_point", "lens_distortion_model", "camera_to_spacecraft_boresight_alignment")
 
 
-def missing_metadata(text: Column, required_words: Sequence[tuple[str, str]] = CAMERA_METADATA, present: Sequence[str] = ()) -> Column:
-    """Names whose words the text does not hold, in order; present: names known from elsewhere."""
-    found = F.array(*(F.when(~F.coalesce(text.rlike(p), F.lit(False)), F.lit(n)) for n, p in required_words if n not in present))
-    return F.array_compact(found)
+def missing_metadata(label: Column, required_words: Sequence[tuple[str, str]] = CAMERA_METADATA, orbit: Column | None = None) -> Column:
+    """Names whose words a label's text does not hold, in order; where orbit is true, orbit records tell the
+    spacecraft's position. A null label misses all and itself."""
+    known = F.coalesce(orbit, F.lit(False)) if orbit is not None else F.lit(False)
+    found = [F.when(~(label.rlike(p) | (known if n == "spacecraft_position" else F.lit(False))), F.lit(n)) for n, p in required_words]
+    return F.when(label.isNull(), F.array(*map(F.lit, NO_LABEL))).otherwise(F.array_compact(F.array(*found)))
 
 
 def is_unavailable(c: Column) -> Column:
@@ -124,27 +152,35 @@ def is_unavailable(c: Column) -> Column:
     return c.isNull() | c.cast("string").isin("", "unavailable", "None", "null")
 
 
+def fixed_text(c: Column, places: int) -> Column:
+    """A number with that many places (0 to 2), rounded by its exact value; halves go away from zero."""
+    pattern = "0." + "0" * places if places else "0"
+    half = F.abs(c * (1 << (places + 1))) % 2 == 1
+    moved = F.when(half, c + F.signum(c) * 10.0 ** -(places + 1)).otherwise(c)
+    return F.call_function("format_number", moved.cast("double") + F.lit(0.0), F.lit(pattern))
+
+
 def percent_text(c: Column, places: int = 2) -> Column:
-    return F.when(c.isNull(), F.lit("Not available")).otherwise(F.format_string(f"%.{places}f%%", c * 100))
+    return F.when(c.isNull(), F.lit("—")).otherwise(F.concat(fixed_text(c * 100, places), F.lit("%")))
+
+
+def unit_text(c: Column, unit: str, places: int = 2) -> Column:
+    return F.when(c.isNull(), F.lit("—")).otherwise(F.concat(fixed_text(c, places), F.lit(f" {unit}")))
 
 
-def unit_text(c: Column, unit: str, places: int = 3) -> Column:
-    return F.when(c.isNull(), F.lit("Not available")).otherwise(F.format_string(f"%.{places}f {unit}", c))
+def cell_text(c: Column, places: int = 2) -> Column:
+    return F.when(c.isNull(), F.lit("Not available")).otherwise(fixed_text(c, places))
 
 
-def cell_text(c: Column, places: int = 3) -> Column:
-    return F.when(c.isNull(), F.lit("—")).otherwise(F.format_string(f"%.{places}f", c))
+def status_text(c: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for kv in STATUS_TEXTS.items() for x in kv))
+    return F.when(is_unavailable(c), F.lit("—")).otherwise(F.coalesce(F.element_at(names, c), c))
 
 
 def file_size_text(n: Column) -> Column:
-    """Bytes as B, KB or MB."""
+    """Bytes as KB, from a MiB on as MB; a dash for none."""
     d = n.cast("double")
-    return (
-        F.when(n.isNull(), F.lit("Not available"))
-        .when(n < 1024, F.format_string("%d B", n.cast("long")))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", d / 1024))
-        .otherwise(F.format_string("%.1f MB", d / 1048576))
-    )
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("—")).when(n < 1048576, F.concat(fixed_text(d / 1024, 0), F.lit(" KB"))).otherwise(F.concat(fixed_text(d / 1048576, 1), F.lit(" MB")))
 
 
 def stage_label(stage: Column) -> Column:

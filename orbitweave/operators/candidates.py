@@ -177,13 +177,32 @@ def shifted(matches: DataFrame, dx: Column, dy: Column, side: str = "source") ->
     return matches.withColumns({f"{side}_x": F.col(f"{side}_x") + dx, f"{side}_y": F.col(f"{side}_y") + dy})
 
 
-def projected_box(h, box: tuple[float, float, float, float], shape: tuple[int, int], margin: float = 0.15, least: float = 12.0) -> tuple[Column, Column, Column, Column]:
-    """Where a source box (x0, y0, x1, y1) falls in the reference image: the bounds of its corners,
-    widened by the larger of least and margin times the side, cut at the image."""
-    x0, y0, x1, y1 = box
-    corners = [g.project(F.lit(float(x)), F.lit(float(y)), h) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
-    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
-    lo_x, hi_x, lo_y, hi_y = F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
-    px, py = F.greatest(F.lit(least), F.lit(margin) * (hi_x - lo_x)), F.greatest(F.lit(least), F.lit(margin) * (hi_y - lo_y))
-    keep = lambda v, size: F.least(F.lit(float(size)), F.greatest(F.lit(0.0), v))
-    return keep(lo_x - px, shape[1]), keep(lo_y - py, shape[0]), keep(hi_x + px, shape[1]), keep(hi_y + py, shape[0])
+def _corners(h, x0, y0, x1, y1) -> tuple[list[Column], list[Column]]:
+    found = [g.project(g.lit(x), g.lit(y), h) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    return [c[0] for c in found], [c[1] for c in found]
+
+
+def overlap_box(h, source: tuple[int, int], reference: tuple[int, int]) -> Column:
+    """[x0, y0, x1, y1] of where the source image falls in the reference image, cut at it; null where a
+    corner is not finite. Shapes are (height, width); corners are the outermost pixels."""
+    xs, ys = _corners(h, 0.0, 0.0, source[1] - 1.0, source[0] - 1.0)
+    low, high = lambda v: F.greatest(F.lit(0.0), F.least(*v)), lambda v, n: F.least(F.lit(float(n)), F.greatest(*v))
+    return F.when(g.finite(*xs, *ys), F.array(low(xs), low(ys), high(xs, reference[1]), high(ys, reference[0])))
+
+
+def search_boxes(tile_table: DataFrame, source: tuple[int, int], reference: tuple[int, int], h=None, margin: float = 0.15, least_pad: float = 12.0, least: int = 32) -> DataFrame:
+    """tiles with rx0, ry0, rx1, ry1: where each tile's matches are looked for in the reference image. With h the
+    bounds of the tile's projected outermost pixels, widened by the larger of least_pad and margin times
+    the tile's longer side (a tile with a corner that is not finite goes); without, the same share of
+    the reference image. Rounded outwards, cut at the image; boxes under least pixels go."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    if h is not None:
+        xs, ys = _corners(h, x0, y0, x1 - 1, y1 - 1)
+        pad = F.greatest(F.lit(least_pad), F.lit(margin) * F.greatest(x1 - x0, y1 - y0))
+        found = [F.least(*xs) - pad, F.least(*ys) - pad, F.greatest(*xs) + pad, F.greatest(*ys) + pad]
+        tile_table = tile_table.where(g.finite(*xs, *ys))
+    else:
+        found = [v / F.lit(float(max(1, source[k]))) * F.lit(float(reference[k])) for v, k in ((x0, 1), (y0, 0), (x1, 1), (y1, 0))]
+    low, high = lambda v: F.greatest(F.lit(0), F.floor(v)).cast("int"), lambda v, n: F.least(F.lit(n), F.ceil(v) + 1).cast("int")
+    out = tile_table.withColumns({"rx0": low(found[0]), "ry0": low(found[1]), "rx1": high(found[2], reference[1]), "ry1": high(found[3], reference[0])})
+    return out.where((F.col("rx1") - F.col("rx0") >= least) & (F.col("ry1") - F.col("ry0") >= least))

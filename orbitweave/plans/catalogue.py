@@ -201,6 +201,30 @@ def q_tiles(spark, sf_dir):
     return c.tiles(spark, 1000, 1021, (2, 3))
 
 
+BOX_H = [0.98, 0.02, 40.0, -0.03, 1.01, -25.0, 0.00001, -0.00002, 1.0]
+PROJECTED = lambda x, y: tuple(f"(({BOX_H[3 * k]}E0 * {x} + {BOX_H[3 * k + 1]}E0 * {y} + {BOX_H[3 * k + 2]}E0) / (1E-5 * {x} - 2E-5 * {y} + 1E0))" for k in (0, 1))
+BOUNDS_OF = lambda x0, y0, x1, y1, k, f: f"{f}({', '.join(PROJECTED(x, y)[k] for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1)))})"
+OF_TILE = ("x0", "y0", "(x1 - 1)", "(y1 - 1)")
+
+
+@query(f"""WITH {TILES}, p AS (SELECT *, greatest(12.0E0, 0.15E0 * greatest(x1 - x0, y1 - y0)) AS pad FROM tiles),
+b AS (SELECT tile, true AS projected, greatest(0, floor({BOUNDS_OF(*OF_TILE, 0, 'least')} - pad))::INT AS rx0, greatest(0, floor({BOUNDS_OF(*OF_TILE, 1, 'least')} - pad))::INT AS ry0,
+ least(900, ceil({BOUNDS_OF(*OF_TILE, 0, 'greatest')} + pad)::INT + 1) AS rx1, least(800, ceil({BOUNDS_OF(*OF_TILE, 1, 'greatest')} + pad)::INT + 1) AS ry1 FROM p
+ UNION ALL SELECT tile, false, floor(x0 / 1021.0E0 * 900)::INT, floor(y0 / 1000.0E0 * 800)::INT, least(900, ceil(x1 / 1021.0E0 * 900)::INT + 1), least(800, ceil(y1 / 1000.0E0 * 800)::INT + 1) FROM p)
+SELECT * FROM b WHERE rx1 - rx0 >= 32 AND ry1 - ry0 >= 32""")
+def q_search_boxes(spark, sf_dir):
+    one = lambda h: c.search_boxes(c.tiles(spark, 1000, 1021, (2, 3)), (1000, 1021), (800, 900), h).withColumn("projected", F.lit(h is not None))
+    return one(BOX_H).unionByName(one(None)).select("tile", "projected", "rx0", "ry0", "rx1", "ry1")
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS part_no, (32 + p_partkey % 900)::DOUBLE AS w FROM part), e AS (SELECT *, w - 1 AS e FROM s)
+SELECT part_no, {q(f"greatest(0, {BOUNDS_OF('0E0', '0E0', 'e', '499E0', 0, 'least')})")} AS x0, {q(f"greatest(0, {BOUNDS_OF('0E0', '0E0', 'e', '499E0', 1, 'least')})")} AS y0, {q(f"least(700, {BOUNDS_OF('0E0', '0E0', 'e', '499E0', 0, 'greatest')})")} AS x1, {q(f"least(300, {BOUNDS_OF('0E0', '0E0', 'e', '499E0', 1, 'greatest')})")} AS y1 FROM e""")
+def q_overlap_box(spark, sf_dir):
+    w = (32 + F.col("p_partkey") % 900).cast("double")
+    box = c.overlap_box(BOX_H, (500, w), (300, 700))
+    return view(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), *(r(box[k]).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
 @query(f"{ctes('corr')}, {TILES} SELECT tile, match_id, {q('source_x - x0')} AS tile_x, {q('source_y - y0')} AS tile_y FROM corr JOIN tiles ON source_x >= x0 AND source_x < x1 AND source_y >= y0 AND source_y < y1")
 def q_tile_assignment(spark, sf_dir):
     return c.assign_tiles(view(spark, sf_dir, "corr"), c.tiles(spark, 1000, 1021, (2, 3))).select("tile", "match_id", r("tile_x").alias("tile_x"), r("tile_y").alias("tile_y"))
@@ -490,11 +514,13 @@ def q_dtype_resolve(spark, sf_dir):
     return spark.createDataFrame(DTYPES, "name string, bits int").withColumn("code", t.sample_type(F.col("name"), F.col("bits")))
 
 
-@query("WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'bad' ELSE CAST(event_id % 100 AS VARCHAR) || '.5' END AS s, CASE event_id % 3 WHEN 0 THEN 'True' WHEN 1 THEN '' ELSE 'false' END AS b FROM events) SELECT event_id, try_cast(nullif(trim(s), '') AS DOUBLE) AS number, CASE WHEN trim(s) <> '' AND try_cast(s AS DOUBLE) IS NULL THEN s END AS unparsed, CASE WHEN b <> '' THEN lower(b) = 'true' END AS truth FROM x")
+@query("""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'bad' ELSE CAST(event_id % 100 AS VARCHAR) || '.5' END AS s, CASE event_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN '' WHEN 2 THEN 'yes' WHEN 3 THEN 'FALSE' ELSE 'false' END AS b FROM events)
+SELECT event_id, try_cast(nullif(trim(s), '') AS DOUBLE) AS number, CASE WHEN trim(s) <> '' AND try_cast(s AS DOUBLE) IS NULL THEN s END AS unparsed, CASE b WHEN 'True' THEN true WHEN 'FALSE' THEN false WHEN 'false' THEN false END AS truth, CASE WHEN b = 'yes' THEN b END AS unparsed_truth FROM x""")
 def q_csv_coerce(spark, sf_dir):
     i = F.col("event_id")
-    rows = view(spark, sf_dir, "events").select("event_id", F.when(i % 4 == 0, "").when(i % 4 == 1, "bad").otherwise(F.concat((i % 100).cast("string"), F.lit(".5"))).alias("s"), F.when(i % 3 == 0, "True").when(i % 3 == 1, "").otherwise("false").alias("b"))
-    return rows.select("event_id", t.coerced_number(F.col("s")).alias("number"), t.unparsed(F.col("s")).alias("unparsed"), t.coerced_boolean(F.col("b")).alias("truth"))
+    truth = F.when(i % 5 == 0, "True").when(i % 5 == 1, "").when(i % 5 == 2, "yes").when(i % 5 == 3, "FALSE").otherwise("false")
+    rows = view(spark, sf_dir, "events").select("event_id", F.when(i % 4 == 0, "").when(i % 4 == 1, "bad").otherwise(F.concat((i % 100).cast("string"), F.lit(".5"))).alias("s"), truth.alias("b"))
+    return rows.select("event_id", t.coerced_number(F.col("s")).alias("number"), t.unparsed(F.col("s")).alias("unparsed"), t.coerced_boolean(F.col("b")).alias("truth"), t.unparsed_boolean(F.col("b")).alias("unparsed_truth"))
 
 
 @query("WITH p AS (SELECT page_id AS probe, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN CAST(page_id AS VARCHAR) ELSE 'none' END AS path FROM pages), k AS (SELECT p.probe, c.page_id, row_number() OVER (PARTITION BY p.probe ORDER BY c.page_id) AS k FROM p LEFT JOIN pages c ON c.url = p.path OR CAST(c.page_id AS VARCHAR) = p.path) SELECT probe, page_id AS catalog_page_id FROM k WHERE k = 1")
@@ -521,12 +547,19 @@ def q_region_overlap(spark, sf_dir):
     return lk.first_overlapping(regions, providers).select("region_id", "provider")
 
 
-WORDS = [("focal_length", "(?i)token"), ("pixel_size", "(?i)licen[cs]e"), ("principal_point", "(?i)the "), ("distortion", "(?i)[0-9]{4}")]
+LABEL = """CASE part_no % 7 WHEN 0 THEN 'Spacecraft body position and REFERENCE frame' WHEN 1 THEN 'sub-spacecraft latitude, optical axis' WHEN 2 THEN 'distortion; camera to payload alignment' WHEN 3 THEN 'spacecraft' || chr(10) || 'position' WHEN 4 THEN 'attitude in reference, boresight' WHEN 5 THEN NULL ELSE name END"""
 
 
-@query("SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT regexp_matches(text, '{p}') THEN '{n}' END" for n, p in WORDS) + ") AS missing FROM documents")
+@query(f"""WITH p AS (SELECT p_partkey AS part_no, p_name AS name FROM part), l AS (SELECT part_no, lower({LABEL}) AS l, part_no % 2 = 0 AS orbit FROM p)
+SELECT part_no, CASE WHEN l IS NULL THEN 'source_PDS4_label,spacecraft_position,attitude_reference_frame,camera_principal_point,lens_distortion_model,camera_to_spacecraft_boresight_alignment' ELSE concat_ws(',',
+ CASE WHEN NOT (orbit OR regexp_matches(l, 'spacecraft.*position') OR regexp_matches(l, 'sub.*spacecraft')) THEN 'spacecraft_position' END,
+ CASE WHEN NOT (regexp_matches(l, 'attitude.*reference') OR regexp_matches(l, 'reference.*frame')) THEN 'attitude_reference_frame' END,
+ CASE WHEN NOT (regexp_matches(l, 'principal.*point') OR regexp_matches(l, 'optical.*axis')) THEN 'camera_principal_point' END,
+ CASE WHEN NOT contains(l, 'distortion') THEN 'lens_distortion_model' END,
+ CASE WHEN NOT (contains(l, 'boresight') OR regexp_matches(l, 'camera.*alignment') OR regexp_matches(l, 'payload.*alignment')) THEN 'camera_to_spacecraft_boresight_alignment' END) END AS missing FROM l""")
 def q_missing_metadata(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", t.missing_metadata(F.col("text"), WORDS)).alias("missing"))
+    rows = view(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), F.col("p_name").alias("name")).withColumn("label", F.expr(LABEL))
+    return rows.select("part_no", F.concat_ws(",", t.missing_metadata(F.col("label"), orbit=F.col("part_no") % 2 == 0)).alias("missing"))
 
 
 @query(f"{ctes('runs')} SELECT run_id, created_at, status FROM runs ORDER BY created_at DESC, run_id LIMIT 25 OFFSET 10")
@@ -542,34 +575,69 @@ def q_run_lookup(spark, sf_dir):
 
 
 @query(f"""{ctes('corr')}, {SCORED}, p AS (SELECT md5(CAST(pair_id AS VARCHAR)) AS run_id, match_id, row_number() OVER (PARTITION BY pair_id ORDER BY match_id) AS point_id, confidence, inlier FROM scored)
-SELECT md5(CAST(k AS VARCHAR)) AS run_id, coalesce(n, 0)::INT AS tie_points, coalesce(i, 0)::INT AS inliers, first_confidence FROM range(60) r(k) LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (inlier) AS i, {q('max(confidence) FILTER (point_id = 1)')} AS first_confidence FROM p GROUP BY run_id) z ON z.run_id = md5(CAST(k AS VARCHAR))""")
+SELECT md5(CAST(k AS VARCHAR)) AS run_id, CASE k % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'insufficient_matches' ELSE 'failed' END AS status, coalesce(n, 0)::INT AS final_tie_points, k::BIGINT AS ransac_inliers, first_confidence, coalesce(n, 0) > 0 AND k % 2 = 0 AS physical_refinement_used,
+ CASE k % 4 WHEN 0 THEN false WHEN 1 THEN true END AS dem_available, CASE WHEN k % 2 = 0 THEN 'http://h/api/results/' || md5(CAST(k AS VARCHAR)) || '/candidate_matches.png' END AS correspondence_image, NULL::VARCHAR AS difference, 10 AS source_height,
+ concat_ws(',', CASE WHEN k % 4 = 0 THEN 'fallback' WHEN k % 3 < 2 THEN 'completed' ELSE 'failed' END, CASE WHEN k % 3 < 2 THEN 'completed' ELSE 'failed' END) AS stage_status
+FROM range(60) r(k) LEFT JOIN (SELECT run_id, count(*) AS n, {q('max(confidence) FILTER (point_id = 1)')} AS first_confidence FROM p GROUP BY run_id) z ON z.run_id = md5(CAST(k AS VARCHAR))""")
 def q_run_document(spark, sf_dir):
-    points = known_scored(spark, sf_dir).withColumn("run_id", F.md5(F.col("pair_id").cast("string").cast("binary")))
-    runs = spark.range(60).select(F.md5(F.col("id").cast("string").cast("binary")).alias("run_id"))
-    return d.run_documents(runs, points).select("run_id", F.col("matching")["tie_points"].alias("tie_points"), F.col("matching")["inliers"].alias("inliers"), r(F.try_element_at("tie_points", F.lit(1))["confidence"]).alias("first_confidence"))
+    points = known_scored(spark, sf_dir).withColumns({"run_id": F.md5(F.col("pair_id").cast("string").cast("binary")), "physical_geometry_used": F.col("pair_id") % 2 == 0})
+    k = F.col("id")
+    runs = spark.range(60).select(
+        F.md5(k.cast("string").cast("binary")).alias("run_id"), F.when(k % 3 == 0, "success").when(k % 3 == 1, "insufficient_matches").otherwise("failed").alias("api_status"), k.alias("ransac_inliers"), F.when(k % 4 == 0, "unavailable").when(k % 4 == 1, "available").alias("dem_elevation_validation"),
+        F.when(k % 2 == 0, F.array(F.lit("matches.png"))).otherwise(F.array(F.lit("inliers.png"))).alias("files"), F.array(F.lit("dem_retrieval_validation"), F.lit("image_ransac")).alias("pipeline_stages"), F.array(F.lit(10), F.lit(20)).alias("original_source_dimensions"))
+    got = d.run_documents(runs, points, "http://h/")
+    return got.select(
+        "run_id", "status", "matching.final_tie_points", "matching.ransac_inliers", r(F.try_element_at("tie_points", F.lit(1))["confidence"]).alias("first_confidence"), "processing.physical_refinement_used", "processing.dem_available", "outputs.correspondence_image", "outputs.difference",
+        F.col("processing.original_source_dimensions.height").alias("source_height"), F.concat_ws(",", F.transform("pipeline_stages", lambda s: s["status"])).alias("stage_status"))
 
 
-STAGES = ["preprocessing", "ransac", "dem_validation", "working_scale_selection"]
-NAMES = "CASE s WHEN 'preprocessing' THEN 'Preprocessing' WHEN 'ransac' THEN 'RANSAC' WHEN 'dem_validation' THEN 'DEM Validation' ELSE replace(s, '_', ' ') END"
+STAGES = ["dem_retrieval_validation", "image_ransac", "working_scale_selection", "dem_physical_validation_or_honest_fallback", "multi_scale_illumination_robust_preprocessing", "own_stage"]
 
 
-@query(f"""{ctes('runs')}, s AS (SELECT run_id, status, unnest({STAGES}) AS s FROM runs) SELECT run_id, {NAMES} AS stage, CASE WHEN s = 'dem_validation' THEN 'fallback' WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS status, NULL::DOUBLE AS duration_seconds, 2 AS n_preprocessing FROM s""")
+@query(f"""{ctes('runs')}, s AS (SELECT run_id, status, floor(total_seconds)::BIGINT % 3 AS k, unnest({STAGES}) AS s FROM runs)
+SELECT run_id, CASE s WHEN 'dem_retrieval_validation' THEN 'DEM retrieval/validation' WHEN 'image_ransac' THEN 'RANSAC' WHEN 'working_scale_selection' THEN 'working-scale selection' WHEN 'dem_physical_validation_or_honest_fallback' THEN 'DEM/physical validation' WHEN 'multi_scale_illumination_robust_preprocessing' THEN 'multi-scale illumination-robust preprocessing' ELSE 'own stage' END AS stage,
+ CASE WHEN s = 'dem_retrieval_validation' AND k = 0 OR s LIKE '%physical%' AND k = 1 THEN 'fallback' WHEN status IN ('success', 'insufficient_matches') THEN 'completed' ELSE 'failed' END AS status, CASE WHEN s = 'image_ransac' THEN 1.5 END::DOUBLE AS duration_seconds, 2 AS n_preprocessing FROM s""")
 def q_stage_records(spark, sf_dir):
-    stages = F.array(*map(F.lit, STAGES))
-    rows = view(spark, sf_dir, "runs").select("run_id", F.explode(d.stage_records(stages, F.col("status") == "failed")).alias("s"), F.size(d.preprocessing_stages(stages)).alias("n_preprocessing"))
+    stages, k = F.array(*map(F.lit, STAGES)), F.floor("total_seconds") % 3
+    records = d.stage_records(stages, F.col("status"), F.when(k != 2, k != 0), F.when(k != 2, k != 1), F.create_map(F.lit("image_ransac"), F.lit(1.5)))
+    rows = view(spark, sf_dir, "runs").select("run_id", F.explode(records).alias("s"), F.size(d.preprocessing_stages(stages)).alias("n_preprocessing"))
     return rows.select("run_id", "s.stage", "s.status", "s.duration_seconds", "n_preprocessing")
 
 
+@query("""WITH f(k, files) AS (VALUES (0, ['matches.png', 'inliers.png']), (1, ['source_reference.png', 'candidate_matches.png', 'matches.png', 'difference.png']), (2, ['final_tie_points.png', 'registered_source.png']), (3, CAST([] AS VARCHAR[]))),
+w(wanted, ours, other) AS (VALUES ('source_reference.png', 'source_reference.png', NULL), ('candidate_matches.png', 'candidate_matches.png', 'matches.png'), ('ransac_inliers.png', 'ransac_inliers.png', 'inliers.png'), ('final_tie_points.png', 'final_tie_points.png', 'inliers.png'), ('difference.png', 'difference.png', NULL), ('registered_source.png', 'registered_source.png', NULL))
+SELECT o_orderkey, wanted, CASE WHEN list_contains(files, ours) THEN ours WHEN list_contains(files, other) THEN other END AS found FROM orders JOIN f ON o_orderkey % 4 = k, w""")
+def q_artifact(spark, sf_dir):
+    sets = [["matches.png", "inliers.png"], ["source_reference.png", "candidate_matches.png", "matches.png", "difference.png"], ["final_tie_points.png", "registered_source.png"]]
+    k, files = F.col("o_orderkey") % 4, F.array().cast("array<string>")
+    for i, names in enumerate(sets):
+        files = F.when(k == i, F.array(*map(F.lit, names))).otherwise(files)
+    rows = view(spark, sf_dir, "orders").select("o_orderkey", files.alias("files"))
+    pairs = F.array(*(F.struct(F.lit(x).alias("wanted"), d.artifact(F.col("files"), x).alias("found")) for x in ("source_reference.png", "candidate_matches.png", "ransac_inliers.png", "final_tie_points.png", "difference.png", "registered_source.png")))
+    return rows.select("o_orderkey", F.explode(pairs).alias("p")).select("o_orderkey", "p.wanted", "p.found")
+
+
 @query("SELECT * FROM (SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS display FROM customer WHERE contains(lower(c_custkey::VARCHAR), 'build') OR contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')) WHERE display > 10 AND display <= 15")
 def q_search_page(spark, sf_dir):
     return d.search(view(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), " Build ", "c_custkey", page=3).select("c_custkey", "c_name", "c_mktsegment", "display")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Not available' ELSE printf('%.2f%%', CAST(floor(value) % 100 AS INT) / 100.0E0 * 100) END AS ratio, printf('%.3f px', value) AS px, CASE WHEN event_id * 1954 + 1 < 1024 THEN printf('%d B', event_id * 1954 + 1) WHEN event_id * 1954 + 1 < 1048576 THEN printf('%.1f KB', (event_id * 1954 + 1) / 1024.0E0) ELSE printf('%.1f MB', (event_id * 1954 + 1) / 1048576.0E0) END AS size, event_type IN ('error') AS unavailable FROM (SELECT event_id, event_type, round(value * 8) / 8 AS value FROM events)")
+# two places by the exact binary value, halves away from zero, as in web pages
+FIXED = "printf('%.{n}f', {x} + CASE WHEN abs({x} * {p}) % 2 = 1 THEN sign({x}) * {e} ELSE 0.0E0 END)"
+TWO, ONE, NONE = (lambda x, n=n: FIXED.format(x=x, n=n, p=2 ** (n + 1), e=10.0 ** -(n + 1)) for n in (2, 1, 0))
+
+
+@query(f"""WITH v AS (SELECT event_id, event_type, round(value * 8) / 8 AS v, CAST(floor(round(value * 8) / 8) AS INT) % 100 / 100.0E0 AS share, event_id * 1954 AS n FROM events)
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '—' ELSE {TWO('(share * 100)')} || '%' END AS ratio, {TWO('v')} || ' px' AS px, CASE WHEN event_id % 7 = 0 THEN 'Not available' ELSE {TWO('(-v)')} END AS cell,
+ CASE WHEN n = 0 THEN '—' WHEN n < 1048576 THEN {NONE('(n / 1024.0E0)')} || ' KB' ELSE {ONE('(n / 1048576.0E0)')} || ' MB' END AS size, event_type IN ('error') AS unavailable,
+ CASE event_id % 4 WHEN 0 THEN 'Successful' WHEN 1 THEN 'Insufficient matches' WHEN 2 THEN '—' ELSE event_type END AS status FROM v""")
 def q_metric_format(spark, sf_dir):
-    # eighths are exact, so that both engines round the same number
+    # eighths are exact in both engines, and every second one is a half at two places
     v, i = F.round(F.col("value") * 8) / 8, F.col("event_id")
-    return view(spark, sf_dir, "events").select("event_id", t.percent_text(F.when(i % 5 != 0, (F.floor(v) % 100).cast("int") / 100)).alias("ratio"), t.unit_text(v, "px").alias("px"), t.file_size_text(i * 1954 + 1).alias("size"), t.is_unavailable(F.when(F.col("event_type") != "error", F.col("event_type"))).alias("unavailable"))
+    status = F.when(i % 4 == 0, "success").when(i % 4 == 1, "insufficient_matches").when(i % 4 == 3, F.col("event_type"))
+    return view(spark, sf_dir, "events").select(
+        "event_id", t.percent_text(F.when(i % 5 != 0, (F.floor(v) % 100).cast("int") / 100)).alias("ratio"), t.unit_text(v, "px").alias("px"), t.cell_text(F.when(i % 7 != 0, -v)).alias("cell"), t.file_size_text(i * 1954).alias("size"),
+        t.is_unavailable(F.when(F.col("event_type") != "error", F.col("event_type"))).alias("unavailable"), t.status_text(status).alias("status"))
 
 
 @query()

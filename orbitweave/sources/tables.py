@@ -57,9 +57,12 @@ def homography(c) -> object:
 
 
 def coerced(rows: DataFrame) -> DataFrame:
-    """Tie points read as text, with numbers and truth values in their columns."""
+    """Tie points read as text, with numbers and truth values in their columns; what is neither is null there
+    and kept as it stands in the map unparsed, by column."""
     out = {c: t.coerced_boolean(F.col(c)) if c in t.BOOLEAN_COLUMNS else t.coerced_number(F.col(c)) if c not in TEXT_COLUMNS else F.nullif(F.col(c), F.lit("")) for c in rows.columns if c in TIE_POINTS}
-    return rows.withColumns(out)
+    left = {c: t.unparsed_boolean(F.col(c)) if c in t.BOOLEAN_COLUMNS else t.unparsed(F.col(c)) for c in out if c not in TEXT_COLUMNS}
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), v.alias("value")) for c, v in left.items())) if left else F.array().cast("array<struct<key:string,value:string>>")
+    return rows.withColumns(out | {"unparsed": F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull()))})
 
 
 def tie_points(rows: DataFrame) -> DataFrame:

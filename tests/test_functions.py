@@ -35,7 +35,7 @@ def test_homography(spark):
 def test_cells_bounds_thresholds(spark):
     assert one(spark, a=geometry.cell(L(-5), 100, 8), b=geometry.cell(L(99.9), 100, 8), c=geometry.cell(L(100), 100, 8), d=geometry.cell(L(12.5), 100, 8)) == (0, 7, 7, 1)
     assert one(spark, a=geometry.finite(L(1), L(2)), b=geometry.finite(L(1), L("nan")), c=geometry.finite(L(None)), d=geometry.finite(L("inf"))) == (True, False, False, False)
-    assert one(spark, a=geometry.native_threshold(0.5, 1.0), b=geometry.native_threshold(0.0, 0.0), c=geometry.native_threshold(1.0, 0.25, 1.5)) == (5.0, 2.0, 6.0)
+    assert one(spark, a=geometry.native_threshold(0.5, 1.0), b=geometry.native_threshold(0.0, 0.0), c=geometry.native_threshold(1.0, 0.25, 1.5)) == (5.0, 2.5, 6.0)
     assert one(spark, a=geometry.refinement_branch(L(0.75), F.lit(False), F.lit(False)), b=geometry.refinement_branch(L(0.5), F.lit(True), F.lit(True)), c=geometry.refinement_branch(L(None), F.lit(True), F.lit(False))) == ("classical", "dem_physical", "classical_fallback")
     assert one(spark, a=geometry.refinement_accepted(L(1), L(1), 10, 10, L(1), L(1 + 1e-7)), b=geometry.refinement_accepted(L(10), L(1), 10, 10, L(1), L(0)), c=geometry.refinement_accepted(L(1), L(None), 10, 10, L(1), L(0))) == (True, False, False)
 
@@ -111,8 +111,11 @@ def test_text(spark):
     assert one(spark, a=text.coerced_number(S("")), b=text.coerced_number(S("x")), c=text.coerced_number(S("2.5")), d=text.coerced_boolean(S("True")), e=text.coerced_boolean(S("")), f=text.unparsed(S("x"))) == (None, None, 2.5, True, None, "x")
     assert one(spark, a=text.stem(S("/d/a_b.c.png")), b=text.safe_suffix(S("x.PNG"), S("")), c=text.safe_suffix(S("x.exe"), S("image/jpeg")), d=text.safe_suffix(S("x"), S("a/b"))) == ("a_b.c", ".png", ".jpg", ".bin")
     assert one(spark, a=text.geometry_path(S("/m/data/c/data/x_d_img_1.png")), b=text.geometry_path(S("/x/y.png")), c=text.label_path(S("/a/b.img"))) == ("/m/data/c/geometry/x_g_grd_1.csv", None, "/a/b.xml")
-    assert one(spark, a=text.missing_metadata(S("focal length 5, pixel pitch 3, distortion none"), present=["spacecraft_position"]))[0] == ["principal_point", "spacecraft_attitude"]
-    assert one(spark, a=text.percent_text(L(0.5)), b=text.percent_text(L(None)), c=text.file_size_text(S(2048)), d=text.stage_label(S("ransac")), e=text.stage_label(S("a_b")), f=text.is_run_id(S("0" * 32)), g=text.is_run_id(S("G" * 32)), h=text.is_unavailable(S("None"))) == ("50.00%", "Not available", "2.0 KB", "RANSAC", "a b", True, False, True)
+    assert one(spark, e=text.coerced_boolean(S("yes")), f=text.unparsed_boolean(S("yes")), g=text.unparsed_boolean(S("TRUE"))) == (None, "yes", None)
+    label = S("Spacecraft body\nposition, optical axis, DISTORTION, payload to camera alignment, reference frame")
+    assert one(spark, a=text.missing_metadata(label), b=text.missing_metadata(label, orbit=F.lit(True)), c=text.missing_metadata(S(None).cast("string"))) == (["spacecraft_position"], [], list(text.NO_LABEL))
+    assert one(spark, a=text.percent_text(L(0.5)), b=text.percent_text(L(None)), c=text.file_size_text(S(2560)), d=text.stage_label(S("image_ransac")), e=text.stage_label(S("a_b")), f=text.is_run_id(S("0" * 32)), g=text.is_run_id(S("G" * 32)), h=text.is_unavailable(S("None"))) == ("50.00%", "—", "3 KB", "RANSAC", "a b", True, False, True)
+    assert one(spark, a=text.cell_text(L(0.125)), b=text.cell_text(L(-0.125)), c=text.cell_text(L(1.005)), d=text.cell_text(L(None)), e=text.unit_text(L(1234.5), "px"), f=text.file_size_text(S(0)), g=text.file_size_text(S(1_310_720)), h=text.status_text(S("success"))) == ("0.13", "-0.13", "1.00", "Not available", "1234.50 px", "—", "1.3 MB", "Successful")
     assert one(spark, a=text.row_matches([S("Abc"), S(12)], "BC"), b=text.row_matches([S("Abc"), S(12)], "12"), c=text.row_matches([S("a"), S(None).cast("string")], "z"), d=text.row_matches([S("a")], "  ")) == (True, True, False, True)
     with pytest.raises(Exception, match="required field X"):
         one(spark, a=text.required(S(None).cast("string"), "X"))

@@ -79,8 +79,11 @@ def test_tiles_and_box(spark):
     t = rows(c.tiles(spark, 100, 100))
     assert t == [(0, 0, 0, 0, 56, 0, 56), (1, 0, 1, 0, 56, 44, 100), (2, 1, 0, 44, 100, 0, 56), (3, 1, 1, 44, 100, 44, 100)]
     assert c.tiles(spark, 40, 40).count() == 0
-    box = spark.range(1).select(*(x.alias(n) for n, x in zip("abcd", c.projected_box([1, 0, 10, 0, 1, 0, 0, 0, 1], (0, 0, 100, 100), (200, 200))))).first()
-    assert tuple(box) == (0.0, 0.0, 125.0, 115.0)
+    shift = [1.0, 0.0, 10.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    assert spark.range(1).select(c.overlap_box(shift, (100, 300), (80, 200))).first()[0] == [10.0, 0.0, 200.0, 80.0]
+    # padding: 12, or 0.15 of the tile's longer side; rounded outwards; at the image's edge cut
+    assert rows(c.search_boxes(c.tiles(spark, 100, 100), (100, 100), (200, 120), shift).select("tile", "rx0", "ry0", "rx1", "ry1")) == [(0, 0, 0, 78, 68), (1, 42, 0, 120, 68), (2, 0, 32, 78, 112), (3, 42, 32, 120, 112)]
+    assert c.search_boxes(c.tiles(spark, 100, 100), (100, 100), (20, 20)).count() == 0
 
 
 def truth_matches(seed, n=80, bad=0.25, noise=0.3):
@@ -229,8 +232,8 @@ def test_documents(spark, tmp_path):
     assert [r["display"] for r in documents.search(stored, "COMPL", "created_at", page=2).collect()] == [6, 7, 8, 9, 10]
     with pytest.raises(ValueError):
         documents.page_arguments(0, 0)
-    got = spark.range(1).select(documents.artifact(F.array(F.lit("source.png")), "registered_source.png").alias("a"), documents.normal_status(F.lit("success")).alias("b")).first()
-    assert tuple(got) == ("source.png", "completed")
+    got = spark.range(1).select(documents.artifact(F.array(F.lit("inliers.png")), "final_tie_points.png").alias("a"), documents.normal_status(F.lit("success")).alias("b")).first()
+    assert tuple(got) == ("inliers.png", "completed")
 
 
 def test_registration_end_to_end(spark):
