@@ -57,13 +57,13 @@ def crc_table() -> list[int]:
     return out
 
 
-def shards(n: int, buckets: int = sharding.BUCKETS) -> str:
+def shards(n: int) -> str:
     crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT)),
  lambda c, x: xor(c >> 8, ({crc_table()}::BIGINT[])[(xor(c, x) & 255) + 1])))"""
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
 won AS (SELECT r, arg_max(k, (u, -k)) FILTER (k < {n}) AS shard, arg_max(k, (u, -k)) AS grown_shard FROM (SELECT r, k, substring(md5(k || ':' || key), 1, 13) AS u FROM t, range({n + 1}) x(k)) GROUP BY r),
-s AS (SELECT t.*, shard, grown_shard, length(h) // 2 + 16 AS size, {crc} AS text_crc32, ('0x' || substring(md5(key), 1, 8))::BIGINT % {buckets} AS bucket FROM t JOIN won USING (r))
+s AS (SELECT t.*, shard, grown_shard, length(h) // 2 + 16 AS size, {crc} AS text_crc32, ('0x' || substring(md5(key), 1, 8))::BIGINT % (SELECT greatest({sharding.BUCKETS}, count(*) // {sharding.RANGE}) FROM documents) AS bucket FROM t JOIN won USING (r))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM s"""
 
 

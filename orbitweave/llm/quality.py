@@ -39,8 +39,9 @@ from orbitweave.llm.common import arrow_map, grouped_batches, mix64, texts_of, w
 ORDER = 5
 #: Stands before a text; control characters of texts are white space.
 PAD = "\x00"
-#: Bits of a character's number inside a slice, and characters of a very long text taken at once.
-BITS, SLICE = 12, 1_000_000
+#: Characters taken at once, of one text or several; bits for the numbers of an n-gram's characters and its
+#: place in such a slice.
+SLICE, BITS = 2_000_000, 63
 #: N-grams whose probabilities are on an executor at once; 12 bytes each.
 BROADCAST_ENTRIES = 6_000_000
 #: Text of a chunk of documents.
@@ -78,68 +79,63 @@ def code_points(text: str) -> np.ndarray:
     return np.where(space, 32, code)[keep].astype(np.uint32)
 
 
-def word_starts(code: np.ndarray) -> np.ndarray:
-    """Where words start, each with the space before it."""
-    return np.unique(np.concatenate(([0], np.flatnonzero(code[:-1] == 32)))) if len(code) else np.zeros(0, np.int64)
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def n_spoken(code: np.ndarray) -> int:
-    """Words with a letter or digit."""
-    return int(np.logical_or.reduceat(_tables()[code] == 2, word_starts(code)).sum()) if len(code) else 0
-
-
-def grams(codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The n-grams of texts (given as code points), each ending at one of their characters: distinct
-    n-grams as rows of ORDER code points, and for each character its n-gram's row and its text. In
-    slices, which are halved where they hold more characters than BITS can number."""
+def grams(codes: list[np.ndarray]) -> Iterator[Grams]:
+    """The n-grams of texts (given as code points), each ending at one of their characters, slice by
+    slice: distinct n-grams as rows of ORDER code points; the slice's characters, numbered from 0, by
+    n-gram; where each n-gram starts among these; and the text of each character. A slice is halved
+    where its n-grams and places need more than BITS bits."""
     todo, size = [], 0
     for i, c in enumerate(codes):
         for at in range(0, len(c), SLICE):
             todo.append((i, at, min(len(c), at + SLICE)))
             size += todo[-1][2] - at
             if size >= SLICE:
-                yield from _packed(codes, todo)
+                yield from _sorted(codes, todo)
                 todo, size = [], 0
     if todo:
-        yield from _packed(codes, todo)
+        yield from _sorted(codes, todo)
 
 
-def _packed(codes: list[np.ndarray], parts: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _sorted(codes: list[np.ndarray], parts: list[tuple[int, int, int]]) -> Iterator[Grams]:
     flat, ends = [], []
     for i, a, b in parts:
         before = codes[i][max(0, a - ORDER + 1) : a]
         flat += [np.zeros(ORDER - 1 - len(before), np.uint32), before, codes[i][a:b]]
         ends += [np.zeros(ORDER - 1, bool), np.ones(b - a, bool)]
     c, end = np.concatenate(flat), np.concatenate(ends)
-    seen = np.zeros(0x110000, bool)
-    seen[c] = True
-    alphabet = np.flatnonzero(seen)
-    if len(alphabet) > 1 << BITS:
+    number = np.zeros(0x110000, np.int32)
+    number[c] = 1
+    alphabet = np.flatnonzero(number)
+    last = np.flatnonzero(end)
+    bits, places = max(1, (len(alphabet) - 1).bit_length()), len(last).bit_length()
+    if bits * ORDER + places > BITS and len(last) > 1:
         if len(parts) > 1:
             halves = parts[: len(parts) // 2], parts[len(parts) // 2 :]
         else:
             (i, a, b), = parts
             halves = [(i, a, (a + b) // 2)], [(i, (a + b) // 2, b)]
         for half in halves:
-            yield from _packed(codes, half)
+            yield from _sorted(codes, half)
         return
-    number = np.zeros(0x110000, np.int64)
-    number[alphabet] = np.arange(len(alphabet))
-    c, last = number[c], np.flatnonzero(end)
-    packed = np.zeros(len(last), np.int64)
-    for k in range(ORDER):
-        packed = (packed << BITS) | c[last - (ORDER - 1 - k)]
-    distinct, row = np.unique(packed, return_inverse=True)
-    rows = np.stack([alphabet[(distinct >> (BITS * (ORDER - 1 - k))) & ((1 << BITS) - 1)] for k in range(ORDER)], 1).astype(np.uint32)
-    yield rows, row, np.repeat([i for i, _, _ in parts], [b - a for _, a, b in parts])
-
-
-def tallied(row: np.ndarray, text: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each n-gram (row, all from 0 on) its count and the least and largest hash of its texts."""
-    order = np.argsort(row, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(row[order]) > 0)))
-    h = hashed[text[order]]
-    return np.diff(np.concatenate((edge, [len(row)]))), np.minimum.reduceat(h, edge), np.maximum.reduceat(h, edge)
+    number[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    c = number[c]
+    packed = c[last - (ORDER - 1)].astype(np.int64)
+    for k in range(ORDER - 2, -1, -1):
+        packed <<= bits
+        packed |= c[last - k]
+    # sorted with their places, which is faster than sorting places by n-gram
+    packed <<= places
+    packed |= np.arange(len(last))
+    packed.sort()
+    order = (packed & ((1 << places) - 1)).astype(np.int32)
+    packed >>= places
+    start = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    distinct = packed[start]
+    rows = np.stack([alphabet[(distinct >> (bits * (ORDER - 1 - k))) & ((1 << bits) - 1)] for k in range(ORDER)], 1).astype(np.uint32)
+    yield rows, order, start, np.repeat(np.array([i for i, _, _ in parts], np.int32), [b - a for _, a, b in parts])
 
 
 def strings(rows: np.ndarray) -> list[str]:
@@ -150,20 +146,18 @@ def strings(rows: np.ndarray) -> list[str]:
 
 def hashes(rows: np.ndarray) -> np.ndarray:
     """64-bit hashes of n-grams given as rows of code points."""
-    h = np.full(len(rows), ORDER, np.uint64)
-    for k in range(ORDER):
-        h = mix64(h + rows[:, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return h
+    factors = mix64(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix64((rows.astype(np.uint64) * factors).sum(1, dtype=np.uint64))
 
 
 def hashes_of(texts: list[str]) -> np.ndarray:
     return hashes(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER))
 
 
-def passes(counts: tuple[int, int, int, int, int]) -> bool:
+def passes(text: str) -> bool:
     """The base rules."""
-    n_words, _, _, _, n_repeat_words = counts
-    return n_words >= MIN_WORDS and 100 * n_repeat_words <= 50 * n_words
+    words = text.encode("utf-8", "surrogatepass").split()
+    return len(words) >= MIN_WORDS and 100 * repeat_words(words) <= 50 * len(words)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -174,12 +168,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for batch in grouped_batches(batches, 8_000_000):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
-                if passes(base_counts(text)):
+                if passes(text):
                     by.setdefault(lang, []).append(code_points(text))
             for lang, codes in by.items():
                 hashed = word_hashes(c.tobytes() for c in codes).view(np.int64)
-                for rows, row, text in grams(codes):
-                    found = tallied(row, text, hashed)
+                for rows, order, start, text in grams(codes):
+                    h = hashed[text[order]]
+                    found = np.diff(np.concatenate((start, [len(order)]))), np.minimum.reduceat(h, start), np.maximum.reduceat(h, start)
                     for at in range(0, len(rows), 100_000):
                         part = rows[at : at + 100_000]
                         numbers = (pa.array(x[at : at + 100_000], pa.int64()) for x in found)
@@ -255,19 +250,28 @@ def log_perplexities(codes: list[np.ndarray], arrays: Arrays) -> np.ndarray:
     """Of each text the nats of its words, WORD_NATS at most for each, by the number of those with a letter
     or digit. All n-grams must be in arrays."""
     keys, values = arrays
-    parts = []
-    for rows, row, _ in grams(codes):
+    sizes = np.array([len(c) for c in codes], np.int64)
+    nats, at = np.zeros(sizes.sum(), np.float32), 0
+    for rows, order, start, _ in grams(codes):
         h = hashes(rows)
-        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-        if not len(keys) or (keys[at] != h).any():
+        found = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+        if not len(keys) or (keys[found] != h).any():
             raise ValueError("an n-gram is not in the model")
-        parts.append(-values[at][row])
-    nats, out, at = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), np.full(len(codes), np.nan), 0
-    for i, code in enumerate(codes):
-        if len(code):
-            words = np.add.reduceat(nats[at : at + len(code)], word_starts(code))
-            out[i] = np.minimum(words, WORD_NATS).sum() / max(1, n_spoken(code))
-            at += len(code)
+        nats[at + order] = np.repeat(-values[found], np.diff(np.concatenate((start, [len(order)]))))
+        at += len(order)
+    out = np.full(len(codes), np.nan)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        # a word starts with the space before it, and where a text does
+        flat, begin = np.concatenate(codes), (np.cumsum(sizes) - sizes)[some]
+        first = flat == 32
+        first[(np.cumsum(sizes) - 1)[some]] = False
+        first[begin] = True
+        word = np.flatnonzero(first)
+        spoken = np.logical_or.reduceat(_tables()[flat] == 2, word)
+        capped = np.minimum(np.add.reduceat(nats.astype(np.float64), word), WORD_NATS)
+        text = np.searchsorted(word, begin)
+        out[some] = np.add.reduceat(capped, text) / np.maximum(1, np.add.reduceat(spoken.astype(np.int64), text))
     return out
 
 
@@ -309,7 +313,7 @@ def judged(langs: list[str], texts: list[str], models: dict[str, Arrays]) -> lis
     log_ppl = np.full(len(texts), np.nan)
     own: dict[str, list[int]] = {}
     for i, x in enumerate(langs):
-        if passes(tuple(counts[i])):
+        if counts[i, 0] >= MIN_WORDS and 100 * counts[i, 4] <= 50 * counts[i, 0]:
             own.setdefault(x, []).append(i)
     for x, at in own.items():
         log_ppl[at] = log_perplexities([code_points(texts[i]) for i in at], models[x])
@@ -348,9 +352,9 @@ def by_chunks(docs: DataFrame, at_lang: int, at_text: int, at_kept: list[int], m
     def wanted(key: tuple, table: pa.Table) -> pa.Table:
         by: dict[str, list[np.ndarray]] = {}
         for x, t in zip(texts_of(table.column(at_lang)), texts_of(table.column(at_text)), strict=True):
-            if passes(base_counts(t)):
+            if passes(t):
                 by.setdefault(x, []).append(code_points(t))
-        asked = sorted({(x, g) for x, codes in by.items() for found, _, _ in grams(codes) for g in strings(found)})
+        asked = sorted({(x, g) for x, codes in by.items() for found, *_ in grams(codes) for g in strings(found)})
         return pa.table({"_chunk": pa.array([key[0].as_py()] * len(asked), pa.int64()), "lang": pa.array([x for x, _ in asked], pa.string()), "gram": pa.array([g for _, g in asked], pa.string())})
 
     asked = rows.groupBy("_chunk").applyInArrow(wanted, "_chunk bigint, lang string, gram string")

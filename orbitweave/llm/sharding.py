@@ -7,8 +7,8 @@ records. Only DataFrame functions are used.
 
 Slots (gapless numbers inside a shard) come from counts, not from one sort per shard: rows are
 first aggregated by key (so a key that holds a third of all rows is one row), a shard is split
-into `buckets` hash ranges, offsets are a running sum over the (shard, bucket) counts - at most
-n_shards x buckets rows whatever the input - and rows are numbered inside a bucket.
+into hash ranges, BUCKETS or more so that none has over about RANGE rows of all shards, offsets are a
+running sum over the (shard, bucket) counts, and rows are numbered inside a bucket.
 
 Defined results: a null key hashes as the empty string. Null text: 0 bytes, CRC-32 0. Repeated
 rows get slots of their own; ties are between rows equal in all columns, which are
@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash ranges inside a shard; each is numbered by one task-local sort.
-BUCKETS = 256
+#: Hash ranges inside a shard, at least, and rows of a range in all shards together; each is numbered by
+#: one task-local sort.
+BUCKETS, RANGE = 256, 4_000_000
 #: Copies of one key that a single row is expanded to in one step; the rest is spread over tasks.
 RUN = 4096
 
@@ -47,13 +48,16 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], into: str = "shard") -> DataFrame:
     """Adds the shard of each row; row-local, without a shuffle."""
+    if into in df.columns:
+        raise ValueError(f"column {into} is there already")
     return df.withColumn(into, rendezvous(F.col(key), weights))
 
 
-def numbered(rows: DataFrame, shard: str, by: list[str], into: str = "slot", buckets: int = BUCKETS) -> DataFrame:
-    """rows with gapless numbers from 0 inside each shard, in the order of (hash range, by).
-    by: columns that tell rows apart; rows equal in all columns are counted, then expanded."""
+def numbered(rows: DataFrame, shard: str, by: list[str], into: str = "slot", range_: int = RANGE) -> DataFrame:
+    """rows (read several times, so best written) with gapless numbers from 0 inside each shard, in the
+    order of (hash range, by). by: columns that tell rows apart; rows equal in all columns are counted, then expanded."""
     own = list(rows.columns)
+    buckets = max(BUCKETS, rows.count() // range_)
     bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(by[0]).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets
     counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", bucket)
     inside = Window.partitionBy(shard, "_bucket").orderBy(*by)
@@ -63,8 +67,9 @@ def numbered(rows: DataFrame, shard: str, by: list[str], into: str = "slot", buc
         .withColumn("_start", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), "_start")
     )
-    # starts has at most shards x buckets rows, a bound that does not depend on the input
-    placed = counted.join(F.broadcast(starts), (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
+    # starts has at most shards x buckets rows: one for some thousands of the input's
+    held = F.broadcast(starts) if buckets == BUCKETS else starts
+    placed = counted.join(held, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
     first = F.coalesce("_first", F.lit(0)) + F.coalesce("_start", F.lit(0))
     runs = placed.select(*own, first.alias("_first"), "_copies").select(
         *own, "_first", "_copies", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {RUN})")).alias("_run"))

@@ -246,7 +246,7 @@ SOME = ["w1 w22  w1\nw3 " + " ".join(f"w{i}" for i in range(60)), "Über ÜBER 
 
 
 def test_model_against_kneser_ney_by_hand(spark):
-    rows = [("en" if i % 2 else "de", x) for i, x in enumerate([*texts(7, 16, vocabulary=30), *SOME, *SOME[::-1], SOME[1] + SOME[0]]) if quality.passes(quality.base_counts(x))]
+    rows = [("en" if i % 2 else "de", x) for i, x in enumerate([*texts(7, 16, vocabulary=30), *SOME, *SOME[::-1], SOME[1] + SOME[0]]) if quality.passes(x)]
     found = {x: collections.defaultdict(lambda: [0, set()]) for x in ("en", "de")}
     for lang, text in rows:
         for g in grams_by_hand(text):
@@ -266,18 +266,33 @@ def test_model_against_kneser_ney_by_hand(spark):
 
 
 def test_grams_of_slices(monkeypatch):
-    for size, bits in ((1_000_000, 12), (7, 12), (1, 12), (50, 3)):
+    some = [*SOME, "", "x", " \n ", "$$ a| | 日本 "]
+    codes = [quality.code_points(x) for x in some]
+    every = sorted({g for x in some for g in grams_by_hand(x)})
+    order = np.argsort(h := quality.hashes_of(every))
+    arrays = h[order], -np.array([len(set(g)) * 3.1 for g in every], np.float32)[order]
+    want = []
+    for x in some:  # by hand: a word has the space before it, except at the start
+        x = re.sub(r"[\s\x00-\x1f\x7f]+", " ", x).removeprefix(" ")
+        nats, words = dict(zip(range(len(x)), (len(set(g)) * 3.1 for g in grams_by_hand(x)), strict=True)), [[]]
+        for k in range(len(x)):
+            if x[k] == " " and 0 < k < len(x) - 1:
+                words.append([])
+            words[-1].append(k)
+        spoken = sum(any(x[k].isalnum() for k in w) for w in words)
+        want.append(sum(min(30, sum(nats[k] for k in w)) for w in words) / max(1, spoken) if x else np.nan)
+    for size, bits in ((1_000_000, 63), (7, 63), (1, 63), (50, 20), (50, 1)):
         monkeypatch.setattr(quality, "SLICE", size)
         monkeypatch.setattr(quality, "BITS", bits)
-        some = [*SOME, "", "x", " \n "]
         found = [collections.Counter() for _ in some]
-        for rows, row, text in quality.grams([quality.code_points(x) for x in some]):
+        for rows, places, start, text in quality.grams(codes):
             names = quality.strings(rows)
-            assert (quality.hashes(rows) == quality.hashes_of(names)).all()
-            for r, i in zip(row.tolist(), text.tolist(), strict=True):
-                found[i][names[r]] += 1
+            assert (quality.hashes(rows) == quality.hashes_of(names)).all() and sorted(places) == list(range(len(places)))
+            for name, at in zip(names, np.split(places, start[1:]), strict=True):
+                for i in text[at].tolist():
+                    found[i][name] += 1
         assert found == [collections.Counter(grams_by_hand(x)) for x in some]
-    assert [quality.n_spoken(quality.code_points(x)) for x in ("", "a", " a  b1 ", "$$ a| | 日本 ", "$ $")] == [0, 1, 2, 2, 0]
+        assert quality.log_perplexities(codes, arrays) == pytest.approx(want, rel=1e-5, nan_ok=True)
 
 
 def prose(seed, n, letters="abcdefghij", longest=200):
@@ -512,7 +527,7 @@ def test_sharding(spark, odd, empty):
     hot = spark.range(9000).select(F.lit(7).alias("k")).unionByName(keys)
     rows = sharding.assign_shards(hot, "k", equal)
     slots = collections.defaultdict(list)
-    for r in sharding.numbered(rows, "shard", ["k"], buckets=4).collect():
+    for r in sharding.numbered(rows, "shard", ["k"], range_=20).collect():
         slots[r["shard"]].append(r["slot"])
     assert sum(map(len, slots.values())) == 12000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sharding.numbered(sharding.assign_shards(odd, "doc_id", equal), "shard", ["doc_id", "text"]).count() == len(ODD)
