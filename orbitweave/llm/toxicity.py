@@ -5,13 +5,14 @@ ids hash lowest) Spark counts in how many toxic and other documents each word an
 stands; those that a likelihood-ratio test ties to the toxic ones beyond chance mark tokens of
 toxic documents as toxic. A chain model is fitted to these tags on FIT documents of each label and
 generalises by beginnings, ends and neighbours. Scoring runs forward and backward over whole texts;
-token marginals give offending spans, and their sum and maximum, through a logistic curve fitted to
+token marginals give offending spans, and the sum of their cubes and their maximum, through a logistic curve fitted to
 the sample and moved to the corpus's share of toxic labels, the document's score.
 
 Defined results: null and empty texts have no tokens and get the score of a document without toxic
 marginals; without any toxic label nothing is learnt and all scores are the share of toxic labels
 (0 without labels). A document with several labels is toxic if one says so; null labels count
-for nothing. Repeated rows are scored each. Other columns pass through if asked for.
+for nothing. Repeated rows are scored each. Other columns pass through if asked for; they must not have
+the names of the new ones.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
 #: a marking word).
-SAMPLE, FIT = {1: 4000, 0: 8000}, 300
-#: Longer documents are left out of the fit of the chain model, not of the counts or of scoring.
+SAMPLE, FIT = {1: 4000, 0: 8000}, 700
+#: Longer documents are cut into runs of so many words for the fit of the chain model.
 FIT_WORDS = 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
-#: Fainter marginals do not count in a document's sum, or long texts would collect them.
-FAINT = 0.2
+#: Marginals count in a document's sum by this power, or long texts would collect faint ones.
+POWER = 3
 CACHE_WORDS = 200_000
 THRESHOLD = 0.3
 #: How much commoner a marking word or beginning is in toxic documents.
@@ -78,13 +79,13 @@ def token_marginals(docs: list[list[str]], tagger: crf.Tagger, cache: dict[str,
 
 
 def summaries(docs: list[list[str]], model: Model, cache: dict, scores: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Largest marginal and sum of marginals of each document; all marginals; ends."""
+    """Largest marginal and sum of cubed marginals of each document; all marginals; ends."""
     p, ends = token_marginals(docs, model.tagger, cache, scores)
     some = np.array([len(d) > 0 for d in docs], bool)
     top, total = np.zeros(len(docs)), np.zeros(len(docs))
     if len(p):
         starts = np.array([e - len(d) for e, d in zip(ends, docs, strict=True)])[some]
-        top[some], total[some] = np.maximum.reduceat(p, starts), np.add.reduceat(np.where(p > FAINT, p, 0), starts)
+        top[some], total[some] = np.maximum.reduceat(p, starts), np.add.reduceat(p**POWER, starts)
     return top, total, p, ends
 
 
@@ -150,14 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts, ys, weights = [], [], []
     for y, hard in ((1, False), (0, False), (0, True)):
         # the other documents with a mark teach what a mark alone does not say
-        part = some.where((F.col("_y") == y) & (F.col("_hard") == hard) & (F.length("_text") < 8 * FIT_WORDS)).orderBy("_h", "_id").limit(fit_docs * (1 if y or hard else 2))
-        own = [d for d in (words_of(r["_text"] or "") for r in part.collect()) if 0 < len(d) <= FIT_WORDS]
+        part = some.where((F.col("_y") == y) & (F.col("_hard") == hard)).orderBy("_h", "_id").limit(fit_docs * (1 if y or hard else 2))
+        own = [d for d in (words_of(r["_text"] or "") for r in part.toLocalIterator()) if d]
         texts += own
         ys += [y] * len(own)
         weights += [sizes[y, hard] / len(own)] * len(own) if own else []
     ys, weights = np.array(ys), np.array(weights)
     tags = [np.array([y == 1 and any(f in toxic for f in marks(w)) for w in d], float) for d, y in zip(texts, ys, strict=True)]
-    tagger = crf.fit(texts, tags)
+    # a very long document is several runs of the chain, all of them learnt from
+    runs = [(d[k : k + FIT_WORDS], t[k : k + FIT_WORDS]) for d, t in zip(texts, tags, strict=True) for k in range(0, len(d), FIT_WORDS)]
+    tagger = crf.fit([d for d, _ in runs], [t for _, t in runs])
     model = Model(tagger, (0.0, 0.0, 0.0))
     top, total, _, _ = summaries(texts, model, {}, [np.zeros((0, 3))])
     model.curve = _curve(np.stack([np.ones(len(top)), top, np.log1p(total)], 1), ys, weights / weights.mean(), float(odds))
@@ -182,6 +185,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     offsets [start, end) of runs of tokens whose marginal is SPAN or more, with the largest)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
+    if clash := {*keep} & {"toxic_score", "toxic_spans"}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     at, at_kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
