@@ -12,7 +12,7 @@ of all passes at once, and takes the passes again over the documents that it cut
 left, so the blocks do not show in the result.
 
 Defined results: null and empty texts have no words and are never hit; items without words have no
-phrase; an item without an id can hit but is not named; equal items each count; repeated
+phrase; an item without an id can hit but is not named or counted; equal items each count; repeated
 rows are scanned as they come; a very long text is cut into overlapping segments, so that no
 occurrence is lost; an empty benchmark hits nothing. Other columns pass through.
 """
@@ -182,6 +182,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """docs with the columns n_words, items (ids of the benchmark items with a phrase in the text,
     sorted) and spans (merged runs of hit words). With remove, the text loses its spans; spans and
     items then still tell what went. docs must not have columns of these names."""
+    if clash := {*docs.columns} & {*FOUND}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     spark = docs.sparkSession
     session_for_texts(spark)
     source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
