@@ -80,8 +80,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: The stages fit models and search indexes, which SQL can't express; tests compare them with
-#: brute-force versions.
+#: The stages fit models and search indexes, which SQL can't express; tests hold each stage's operator
+#: against a brute-force version, and the stages against what they must leave.
 ORACLE_SQL = None
 
 

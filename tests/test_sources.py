@@ -144,3 +144,23 @@ def test_inputs(spark, tmp_path):
     rows_ = {r["image_id"]: r for r in tables.inputs(images_, catalog, files).collect()}
     assert rows_[1]["geometry_path"].endswith("x_g_grd_1.csv") and rows_[1]["label_path"].endswith(".xml") and rows_[1]["sensor"] == "cam"
     assert rows_[2]["native_path"] == "/other.png" and rows_[2]["label_path"] is None and rows_[2]["product_id"] is None
+
+
+def test_written_tables_are_shared_and_cleared(spark, monkeypatch):
+    from orbitweave import storage
+
+    one = storage.written(spark.range(3), "own")
+    assert one.count() == 3 and storage._paths
+    kept, storage._paths[:] = storage._paths[:-1], storage._paths[-1:]
+    assert storage.clear_written(spark) == 1 and storage.clear_written(spark) == 0
+    storage._paths[:] = kept
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session)
