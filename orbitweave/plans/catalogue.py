@@ -682,8 +682,11 @@ def q_image_metadata(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from orbitweave.plans import more_queries  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
