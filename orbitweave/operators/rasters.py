@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import geometry as g
 from orbitweave.functions.projection import PolarStereographic
+from orbitweave.operators.quantiles import quantiles
 
 VALID, OUT_OF_BOUNDS, INVALID = "ok", "outside_dem_coverage", "invalid_dem_value"
 
@@ -24,7 +25,7 @@ def percentile_stretch(pixels: DataFrame, dummy: float | None = None, low: float
     """Adds u8: v between the image's exact percentiles as 0 to 255, truncated (after nine places, so that a last bit does not count); invalid pixels 0. An
     image of one value, or without valid pixels, does not divide by 0."""
     v = F.col("v").cast("double")
-    stats = pixels.where(is_valid(F.col("v"), dummy)).groupBy("image_id").agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    stats = quantiles(pixels.where(is_valid(F.col("v"), dummy)), "image_id", v, [low, high]).select("image_id", F.col("q").alias("_p"))
     joined = pixels.join(stats, "image_id", "left")
     lo = F.col("_p")[0]
     hi = F.when(F.col("_p")[1] <= lo, lo + 1).otherwise(F.col("_p")[1])

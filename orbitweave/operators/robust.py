@@ -1,6 +1,7 @@
 """Robust projective models per image pair: deterministic RANSAC, iterative tightening, refinement
-with refit. Models are fitted from a bounded sample of a pair's rows (SAMPLE, the lowest hashes of
-match_id), so no group is gathered whole in one task; all rows are then scored by expressions.
+with refit. A pair of up to SAMPLE rows is fitted in one task. Of a larger one only hypotheses come from
+SAMPLE of its rows (the lowest hashes of match_id); which of them wins, refits (sums of the 9 x 9 normal
+matrix), medians, tightening and ranks take all its rows, by aggregations over tasks.
 
 Determinism: hypotheses are drawn with a seed from pair_id over rows sorted by match_id; a model is
 refitted by least squares on its inliers and rescored before it is returned. Pairs with fewer than
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from orbitweave import workers
 from orbitweave.functions import geometry as g
+from orbitweave.operators.quantiles import beside, quantiles
+from orbitweave.storage import written
 
 SAMPLE = 20_000
+#: Hypotheses of a large pair that all its rows decide between.
+TOP = 8
+POINTS = ["source_x", "source_y", "reference_x", "reference_y"]
 ITERATIONS, CONFIDENCE, ROUNDS = 5000, 0.999, 3
 MODEL = "pair_id long, h array<double>, threshold double, n_fit long"
 
@@ -62,12 +68,13 @@ def _degenerate(p: np.ndarray) -> bool:
     return False
 
 
-def ransac(a: np.ndarray, b: np.ndarray, threshold: float, seed: int) -> np.ndarray | None:
-    """The model with most inliers over seeded minimal samples, refitted on them and rescored."""
+def hypotheses(a: np.ndarray, b: np.ndarray, threshold: float, seed: int) -> list[np.ndarray]:
+    """Models of seeded minimal samples, each with more inliers than the one before."""
+    found: list[np.ndarray] = []
     if len(a) < 4:
-        return None
+        return found
     rng = np.random.default_rng(seed)
-    best, count, needed, k = None, 0, ITERATIONS, 0
+    count, needed, k = 0, ITERATIONS, 0
     while k < min(needed, ITERATIONS):
         k += 1
         pick = rng.choice(len(a), 4, replace=False)
@@ -75,9 +82,17 @@ def ransac(a: np.ndarray, b: np.ndarray, threshold: float, seed: int) -> np.ndar
             continue
         n = int((errors(h, a, b) <= threshold).sum())
         if n > count:
-            best, count = h, n
+            found.append(h)
+            count = n
             share = min(n / len(a), 1 - 1e-9)
             needed = int(np.ceil(np.log(1 - CONFIDENCE) / np.log(max(1e-12, 1 - share**4)))) if share > 0 else ITERATIONS
+    return found
+
+
+def ransac(a: np.ndarray, b: np.ndarray, threshold: float, seed: int) -> np.ndarray | None:
+    """The model with most inliers over seeded minimal samples, refitted on them and rescored."""
+    found = hypotheses(a, b, threshold, seed)
+    best = found[-1] if found else None
     for _ in range(3):
         if best is None:
             break
@@ -130,9 +145,9 @@ def iterative(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds:
 def fit_models(matches: DataFrame, threshold: float = 3.0, iterate: bool = False, sample: int = SAMPLE) -> DataFrame:
     """A row of MODEL for each pair."""
     workers.prepare(matches.sparkSession)
-    usable = matches.where(g.finite(*(F.col(c) for c in ("source_x", "source_y", "reference_x", "reference_y"))))
+    usable = matches.where(g.finite(*(F.col(c) for c in POINTS))).select("pair_id", "match_id", *POINTS)
     first = Window.partitionBy("pair_id").orderBy(F.xxhash64("match_id"), "match_id")
-    bounded = usable.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("pair_id", "match_id", "source_x", "source_y", "reference_x", "reference_y")
+    some = usable.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).drop("_rank")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("match_id")
@@ -141,7 +156,105 @@ def fit_models(matches: DataFrame, threshold: float = 3.0, iterate: bool = False
         h, limit = iterative(a, b, threshold, seed) if iterate else (ransac(a, b, threshold, seed), threshold)
         return pd.DataFrame({"pair_id": [key[0]], "h": [h.ravel().tolist() if h is not None else None], "threshold": [limit], "n_fit": [len(rows)]})
 
-    return bounded.groupBy("pair_id").applyInPandas(fit, MODEL)
+    large = usable.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_fit")).where(F.col("n_fit") > sample)
+    large = written(large, "large")
+    if large.isEmpty():
+        return some.groupBy("pair_id").applyInPandas(fit, MODEL)
+    whole = fit_large(beside(usable, large, "pair_id"), written(beside(some, large.select("pair_id"), "pair_id"), "some"), threshold, iterate)
+    return some.join(F.broadcast(large) if large.count() <= 10_000 else large, "pair_id", "left_anti").groupBy("pair_id").applyInPandas(fit, MODEL).unionByName(whole)
+
+
+def _error(h: str = "h"):
+    return g.reprojection_error(*(F.col(c) for c in POINTS), F.col(h))
+
+
+def ranked(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """models (pair_id, k, h, limit, ...) with rank: inliers over all rows, their share, minus their root mean
+    square error."""
+    e = beside(rows, models.select("pair_id", "k", "h", "limit"), "pair_id").select("pair_id", "k", _error().alias("_e"), "limit")
+    inlier = F.coalesce(F.col("_e") <= F.col("limit"), F.lit(False))
+    rank = e.groupBy("pair_id", "k").agg(F.struct(F.count_if(inlier).alias("n"), (F.count_if(inlier) / F.count(F.lit(1))).alias("share"), F.coalesce(-F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))), F.lit(float("-inf"))).alias("rmse")).alias("rank"))
+    return models.join(rank, ["pair_id", "k"])
+
+
+def least_squares_of(rows: DataFrame) -> DataFrame:
+    """(pair_id, h): the direct linear transform over all rows of each pair, from sums."""
+    sides = [("source_x", "source_y", "a"), ("reference_x", "reference_y", "b")]
+    middle = written(rows.groupBy("pair_id").agg(*(F.avg(c).alias(f"{s}{i}") for x, y, s in sides for i, c in enumerate((x, y))), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 4), "middles")
+    rows = beside(rows, middle, "pair_id")
+    far = rows.groupBy("pair_id").agg(*(F.avg(F.hypot(F.col(x) - F.col(f"{s}0"), F.col(y) - F.col(f"{s}1"))).alias(f"{s}d") for x, y, s in sides))
+    scale = written(middle.join(far, "pair_id").select("pair_id", *(F.when(F.col(f"{s}d") > 1e-12, F.sqrt(F.lit(2.0)) / F.col(f"{s}d")).otherwise(1.0).alias(f"{s}s") for _, _, s in sides)), "scales")
+    (x, y), (u, v) = [((F.col(p) - F.col(f"{s}0")) * F.col(f"{s}s"), (F.col(r) - F.col(f"{s}1")) * F.col(f"{s}s")) for p, r, s in sides]
+    rows = beside(rows, scale, "pair_id").select("pair_id", *(c.alias(n) for c, n in zip((x, y, u, v), "xyuv", strict=True)))
+    x, y, u, v, one, zero = F.col("x"), F.col("y"), F.col("u"), F.col("v"), F.lit(1.0), F.lit(0.0)
+    first, second = [x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v]
+    pairs = [(i, j) for i in range(9) for j in range(i, 9)]
+    sums = rows.groupBy("pair_id").agg(F.array(*(F.sum(first[i] * first[j] + second[i] * second[j]) for i, j in pairs)).alias("m"))
+    table = sums.join(middle.drop("_n"), "pair_id").join(scale, "pair_id")
+
+    def solve(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                m = np.zeros((9, 9))
+                for (i, j), value in zip(pairs, r.m, strict=True):
+                    m[i, j] = m[j, i] = value
+                ta, tb = (np.array([[s, 0, -s * c0], [0, s, -s * c1], [0, 0, 1]]) for s, c0, c1 in ((r.as_, r.a0, r.a1), (r.bs, r.b0, r.b1)))
+                h = np.linalg.inv(tb) @ np.linalg.eigh(m)[1][:, 0].reshape(3, 3) @ ta
+                out.append((h / h[2, 2]).ravel().tolist() if abs(h[2, 2]) > 1e-12 else None)
+            yield pd.DataFrame({"pair_id": part.pair_id, "h": out})
+
+    return table.withColumnRenamed("as", "as_").mapInPandas(solve, "pair_id long, h array<double>")
+
+
+def search(rows: DataFrame, some: DataFrame, limits: DataFrame, shift: int) -> DataFrame:
+    """(pair_id, k, h, limit, rank): the hypothesis from some that most of all rows agree with, refitted up to
+    three times on all its inliers while these do not get fewer. limits: (pair_id, limit), written."""
+
+    def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("match_id")
+        found = hypotheses(own[["source_x", "source_y"]].to_numpy(), own[["reference_x", "reference_y"]].to_numpy(), float(own["limit"].iloc[0]), (int(key[0]) & 0x7FFFFFFF) + shift)[-TOP:]
+        return pd.DataFrame({"pair_id": [key[0]] * len(found), "k": range(len(found)), "h": [h.ravel().tolist() for h in found], "limit": [float(own["limit"].iloc[0])] * len(found)})
+
+    drawn = written(beside(some, limits, "pair_id").groupBy("pair_id").applyInPandas(draw, "pair_id long, k long, h array<double>, limit double"), "drawn")
+    best = ranked(rows, drawn).groupBy("pair_id").agg(F.max_by(F.struct("k", "h", "limit", "rank"), F.struct(F.col("rank")["n"], "k")).alias("m")).select("pair_id", "m.*")
+    best = written(best, "best")
+    for _ in range(3):
+        inliers = beside(rows, best.select("pair_id", "h", "limit"), "pair_id").where(_error() <= F.col("limit")).select("pair_id", *POINTS)
+        again = written(least_squares_of(inliers).where(F.col("h").isNotNull()).join(best.select("pair_id", "k", "limit"), "pair_id"), "again")
+        both = best.select("pair_id", "k", "h", "limit", "rank", F.lit(0).alias("_new")).unionByName(ranked(rows, again).select("pair_id", "k", "h", "limit", "rank", F.lit(1).alias("_new")))
+        best = written(both.groupBy("pair_id").agg(F.max_by(F.struct("k", "h", "limit", "rank"), F.struct(F.col("rank")["n"], "_new")).alias("m")).select("pair_id", "m.*"), "best")
+    return best
+
+
+def fit_large(rows: DataFrame, some: DataFrame, threshold: float, iterate: bool) -> DataFrame:
+    """Models of pairs of any size, as of ransac and iterative. rows: all rows, with n_fit; some: those that
+    hypotheses are drawn from."""
+    sizes = rows.select("pair_id", "n_fit").distinct()
+    best = search(rows, some, written(some.select("pair_id").distinct().withColumn("limit", F.lit(float(threshold))), "limits"), 0)
+    for k in range(ROUNDS if iterate else 0):
+        if k == 0:
+            near = beside(rows, best.select("pair_id", "h", "limit"), "pair_id").select("pair_id", _error().alias("_e"), "limit").where("_e <= limit")
+            bounds = tightened_over(near)
+            limited = written(best.join(bounds, "pair_id", "left").select("pair_id", F.lit(0).alias("k"), "h", F.coalesce(F.least("limit", "_bound"), "limit").alias("limit")), "limited")
+            best, open_pairs = written(ranked(rows, limited), "best"), limited.select("pair_id")
+        own = lambda table: beside(table, best.join(open_pairs, "pair_id", "left_semi").select("pair_id", "h", "limit"), "pair_id").where(_error() <= F.col("limit"))
+        inliers, limits = written(own(rows).select("pair_id", *POINTS), "inliers"), written(best.join(open_pairs, "pair_id", "left_semi").select("pair_id", "limit"), "limits")
+        found = search(inliers, own(some).select("pair_id", "match_id", *POINTS), limits, k + 1)
+        new = ranked(rows, written(found.select("pair_id", "k", "h", "limit"), "found")).select("pair_id", F.struct("k", "h", "limit", "rank").alias("_m"))
+        joined = written(best.join(new, "pair_id", "left").withColumn("_better", F.coalesce(F.col("_m.rank") > F.col("rank"), F.lit(False))), "rounds")
+        open_pairs = written(joined.where("_better").select("pair_id"), "open")
+        best = written(joined.select("pair_id", *(F.when(F.col("_better"), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) for c in ("k", "h", "limit", "rank"))), "best")
+        if open_pairs.isEmpty():
+            break
+    return sizes.join(best, "pair_id", "left").select("pair_id", "h", F.coalesce("limit", F.lit(float(threshold))).alias("threshold"), "n_fit")
+
+
+def tightened_over(near: DataFrame) -> DataFrame:
+    """near: (pair_id, _e) of inliers. (pair_id, _bound): max(2, median + 3 sigma) where there are four."""
+    middle = written(quantiles(near, "pair_id", F.col("_e"), [0.5]).where(F.col("n") >= 4).select("pair_id", F.col("q")[0].alias("_middle")), "medians")
+    mad = quantiles(beside(near, middle, "pair_id"), "pair_id", F.abs(F.col("_e") - F.col("_middle")), [0.5]).select("pair_id", F.col("q")[0].alias("_mad"))
+    return middle.join(mad, "pair_id").select("pair_id", F.greatest(F.lit(2.0), F.col("_middle") + 3 * F.lit(1.4826) * F.col("_mad")).alias("_bound"))
 
 
 def scored(matches: DataFrame, models: DataFrame) -> DataFrame:
@@ -155,8 +268,9 @@ def noise_bound(scored_matches: DataFrame, by: str = "pair_id") -> DataFrame:
     """Per pair, by exact medians of inlier errors: median, mad, bound and effective threshold (the
     smaller of threshold and bound, given at least four inliers)."""
     inliers = scored_matches.where("inlier").select(by, "reprojection_error", "threshold")
-    middle = inliers.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median("reprojection_error").alias("median"), F.max("threshold").alias("threshold"))
-    mad = inliers.join(middle.select(by, "median"), by).groupBy(by).agg(F.median(F.abs(F.col("reprojection_error") - F.col("median"))).alias("mad"))
+    middle = quantiles(inliers, by, F.col("reprojection_error"), [0.5]).select(by, "n", F.col("q")[0].alias("median"))
+    middle = written(middle.join(inliers.groupBy(by).agg(F.max("threshold").alias("threshold")), by), "medians")
+    mad = quantiles(beside(inliers.drop("threshold"), middle.select(by, "median"), by), by, F.abs(F.col("reprojection_error") - F.col("median")), [0.5]).select(by, F.col("q")[0].alias("mad"))
     bound = F.greatest(F.lit(2.0), F.col("median") + 3 * F.lit(1.4826) * F.col("mad"))
     return middle.join(mad, by).withColumn("bound", bound).withColumn("effective", F.when(F.col("n") >= 4, F.least("threshold", "bound")).otherwise(F.col("threshold")))
 

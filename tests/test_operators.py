@@ -248,3 +248,29 @@ def test_registration_end_to_end(spark):
     assert one.metrics.first()["ransac_inliers"] > 50 and one.histogram.count() == 64
     with pytest.raises(NotImplementedError):
         registration.unavailable_matcher("network")(forward, 1.0)
+
+
+@pytest.mark.parametrize("iterate", [False, True])
+def test_large_pairs_are_fitted_over_all_rows(spark, iterate):
+    data = [(seed * 10_000 + x[0], seed, *x[2:]) for seed in (0, 1) for x in truth_matches(seed, 3000, bad=0.3)[0]]
+    few = spark.createDataFrame([*data, *((i + 50_000, 5, *x[2:]) for i, x in enumerate(data[900:960])), *((i + 60_000, 6, *x[2:]) for i, x in enumerate(data[:3]))], MATCH)
+    whole = {r["pair_id"]: r for r in robust.fit_models(few, 3.0, iterate).collect()}
+    got = {r["pair_id"]: r for r in robust.fit_models(few, 3.0, iterate, sample=150).collect()}
+    assert got.keys() == whole.keys() and got[0]["n_fit"] == 3000 and got[5]["h"] == whole[5]["h"] and got[6]["h"] is None
+    for k in (0, 1):
+        assert got[k]["threshold"] == pytest.approx(whole[k]["threshold"], rel=0.02)
+        a, b = ({r["match_id"] for r in robust.scored(few.where(F.col("pair_id") == k), spark.createDataFrame([x[k]], robust.MODEL)).where("inlier").collect()} for x in (whole, got))
+        assert len(a ^ b) <= 0.002 * len(a)
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from orbitweave.operators import quantiles as qu
+
+    r = np.random.default_rng(4)
+    rows = [(int(k), float(v)) for k, n in ((0, 5000), (1, 1), (2, 2), (3, 700)) for v in (r.normal(size=n) ** 3 if k else np.round(r.normal(size=n), 1))] + [(4, 1e300), (4, -1e300), (4, 5.0), (0, float("nan"))] + [(0, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    want = {k: np.percentile([v for x, v in rows if x == k and v is not None and v == v], [0, 1, 25, 50, 99, 100]) for k in range(5)}
+    for whole in (100_000, 1, 0):
+        monkeypatch.setattr(qu, "WHOLE", whole)
+        got = {x["g"]: x["q"] for x in qu.quantiles(df, "g", F.col("v"), [0, 0.01, 0.25, 0.5, 0.99, 1]).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
