@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orbitweave import workers
 from orbitweave.functions import geometry as g
+from orbitweave.storage import written
 
 #: Rows of a side that are held in memory at once by a nearest-neighbour search.
 BLOCK_ROWS = 50_000
@@ -94,6 +95,9 @@ def nearest_grid_point(points: DataFrame, grid: DataFrame, x: str = "x", y: str
         part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == k)).orderBy("idx").toPandas()
         held = points.sparkSession.sparkContext.broadcast([part[c].to_numpy(float if c != "idx" else np.int64) for c in ("idx", "pixel", "scan", "longitude", "latitude")])
         out = _nearest_pass(out, held, at_x, at_y, len(schema))
+        if blocks > 1:  # a block leaves driver and executors before the next one comes
+            out = written(out, "nearest")
+            held.destroy()
     return out.drop("_d", "_idx")
 
 
@@ -156,6 +160,9 @@ def descriptor_neighbours(source: DataFrame, reference: DataFrame, k: int = 2) -
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["source_id", "reference_id", "distance"])
 
         part = source.select("id", "embedding").mapInArrow(run, schema)
+        if blocks > 1:  # a block leaves driver and executors before the next one comes
+            part = written(part, "neighbours")
+            held.destroy()
         parts = part if parts is None else parts.unionByName(part)
     best = Window.partitionBy("source_id").orderBy("distance", "reference_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

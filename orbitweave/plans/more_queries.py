@@ -136,3 +136,17 @@ def q_physical_validation(spark, sf_dir):
     located = points.where(i % 3 != 0).select("match_id", (F.col("source_x") / 10).alias("longitude"), (F.col("source_y") / 20).alias("latitude"))
     elevations = points.where(i % 4 != 0).select("match_id", (F.col("reference_x") * 2).alias("elevation_m"), (i % 5 != 0).alias("valid"))
     return physical_validation(points, located, elevations).select("match_id", r("longitude").alias("longitude"), r("elevation_m").alias("elevation_m"), "validity", "residual_px")
+
+
+# rows one by one, from strong to weak in each pair, each held against those kept so far
+GREEDY = """o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, match_id) AS n FROM corr),
+g AS (SELECT DISTINCT pair_id, 0::BIGINT AS n, CAST([] AS STRUCT(sx DOUBLE, sy DOUBLE, rx DOUBLE, ry DOUBLE)[]) AS kept, NULL::BIGINT AS match_id FROM corr
+ UNION ALL SELECT pair_id, n, CASE WHEN fits THEN list_append(kept, p) ELSE kept END, CASE WHEN fits THEN id END FROM (
+  SELECT g.pair_id, o.n, g.kept, {'sx': o.source_x, 'sy': o.source_y, 'rx': o.reference_x, 'ry': o.reference_y} AS p, o.match_id AS id,
+   len(list_filter(g.kept, lambda k: sqrt((k.sx - o.source_x) * (k.sx - o.source_x) + (k.sy - o.source_y) * (k.sy - o.source_y)) <= 30.0E0 AND sqrt((k.rx - o.reference_x) * (k.rx - o.reference_x) + (k.ry - o.reference_y) * (k.ry - o.reference_y)) <= 30.0E0)) = 0 AS fits
+  FROM g JOIN o ON o.pair_id = g.pair_id AND o.n = g.n + 1))"""
+
+
+@query(f"{ctes('corr').replace('WITH', 'WITH RECURSIVE', 1)}, {GREEDY} SELECT match_id, pair_id FROM g WHERE match_id IS NOT NULL")
+def q_greedy_chains(spark, sf_dir):
+    return c.deduplicate(view(spark, sf_dir, "corr").drop("event_type"), 30.0).select("match_id", "pair_id")
