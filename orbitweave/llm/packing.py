@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
@@ -39,9 +39,9 @@ END_ID = 1
 CACHE_WORDS = 700_000
 #: Rows of one size that are ranked together; more are ranked in parts. So that parts stay few, a part
 #: is never under one in PARTS of all rows.
-RANGE, PARTS = 1_000, 100_000
+RANGE, PARTS = 250, 100_000
 #: A round that places less than this share of its pieces is followed by new sequences.
-SHARE = 0.1
+SHARE = 0.3
 
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which are not of it.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -129,23 +129,25 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return arrow_map(docs, run, PIECES)
 
 
-def ranked_heights(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """tokens: (size, kind, id, ...), kind 0 for places and 1 for pieces. tokens with the part of its
-    size that each row is in, and (size, kind, part, height): the stack's height before each."""
-    counts = written(tokens.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")), "sizes")  # at most 2 x capacity rows
-    all_rows = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    range_ = max(RANGE, -(-(all_rows["n"] or 0) // PARTS))
-    parts = F.ceil(F.col("n") / F.lit(range_))
-    if (all_rows["most"] or 0) <= range_:
-        tokens, classes = tokens.withColumn("part", F.lit(0)), counts.withColumn("part", F.lit(0))
+def with_heights(tokens: DataFrame) -> DataFrame:
+    """tokens: (size, kind, id, ...), kind 0 for places and 1 for pieces. Adds part, the part of its size that
+    each row is in, and height: the stack's height before that part."""
+    spark = tokens.sparkSession
+    counts = tokens.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 x capacity rows
+    total, most = sum(r["n"] for r in counts), max((r["n"] for r in counts), default=0)
+    range_ = max(RANGE, -(-total // PARTS))
+    classes = spark.createDataFrame(counts, "size bigint, kind int, n bigint").coalesce(1)
+    if most <= range_:
+        tokens, classes = tokens.withColumn("part", F.lit(0)), classes.withColumn("part", F.lit(0))
     else:
-        tokens = tokens.join(F.broadcast(counts), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), parts).cast("int")).drop("n")
+        tokens = tokens.join(F.broadcast(classes), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("n") / F.lit(range_))).cast("int")).drop("n")
         classes = tokens.groupBy("size", "kind", "part").agg(F.count(F.lit(1)).alias("n"))
     # one row for each size and part: the only step in one task, over 2 x capacity + PARTS rows at most
     turn = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "kind", "part")
     classes = classes.withColumn("_sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(turn))
     classes = classes.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(turn)))
-    return tokens, written(classes.select("size", "kind", "part", F.coalesce(F.lag("_height").over(turn), F.lit(0)).alias("height")), "heights")
+    heights = classes.select("size", "kind", "part", F.coalesce(F.lag("_height").over(turn), F.lit(0)).alias("height"))
+    return tokens.join(F.broadcast(heights), ["size", "kind", "part"])
 
 
 def sweep(todo: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> DataFrame:
@@ -154,10 +156,9 @@ def sweep(todo: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> Data
     offers = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
     slots = gaps.where(F.col("gap") >= shortest).select(F.floor(F.col("gap") / offers).cast("bigint").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(0), offers - 1)).alias("slot"))
     pieces = todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("_p").alias("id"), F.lit(0).alias("slot"), *(c for c in todo.columns if c not in ("length", "_p")))
-    tokens, heights = ranked_heights(slots.unionByName(pieces, allowMissingColumns=True))
+    tokens = with_heights(slots.unionByName(pieces, allowMissingColumns=True))
     rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("id", "slot")) - 1
-    # a row for each size and part, 2 x capacity + PARTS at most
-    placed = tokens.join(F.broadcast(heights), ["size", "kind", "part"]).withColumn("_at", F.when(F.col("kind") == 0, F.col("height") + rank).otherwise(F.col("height") - 1 - rank))
+    placed = tokens.withColumn("_at", F.when(F.col("kind") == 0, F.col("height") + rank).otherwise(F.col("height") - 1 - rank))
     # below height 0 stand pieces only, which get nothing
     before = F.lag(F.struct("kind", "id", "slot")).over(Window.partitionBy("_at").orderBy(F.desc("size"), "kind", "part"))
     got = placed.withColumn("_before", before).where(F.col("kind") == 1).withColumn("_before", F.when(F.col("_before.kind") == 0, F.col("_before")))
@@ -170,10 +171,27 @@ def scales(capacity: int) -> list[tuple[int, int]]:
     return [(low, high) for high, low in zip(edges, [*edges[1:], 0], strict=False)]
 
 
-def left_over(pieces: DataFrame) -> tuple[int, int, int, int]:
-    """How many pieces without a sequence there are, with their total, least and largest length."""
-    r = pieces.where(F.col("sequence_id").isNull()).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.min("length").alias("low"), F.max("length").alias("high")).first()
-    return r["n"], r["total"] or 0, r["low"] or 0, r["high"] or 0
+Left = tuple[int, int, int, int]
+
+
+def observed(pieces: DataFrame, name: str) -> tuple[DataFrame, Left]:
+    """pieces, written, and of those without a sequence how many there are, their total, least and largest length."""
+    seen = Observation()
+    left = F.col("sequence_id").isNull()
+    length = F.when(left, F.col("length"))
+    out = written(pieces.observe(seen, F.count_if(left).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"), F.coalesce(F.min(length), F.lit(0)).alias("low"), F.coalesce(F.max(length), F.lit(0)).alias("high")), name)
+    r = seen.get
+    return out, (r["n"], r["total"], r["low"], r["high"])
+
+
+def left_over(pieces: DataFrame, scales_: list[tuple[int, int]]) -> list[Left]:
+    """The same of pieces of each scale, in one pass."""
+    aggs = []
+    for k, (low, high) in enumerate(scales_):
+        length = F.when((F.col("length") > low) & (F.col("length") <= high), F.col("length"))
+        aggs += [F.count(length).alias(f"n{k}"), F.coalesce(F.sum(length), F.lit(0)).alias(f"t{k}"), F.coalesce(F.min(length), F.lit(0)).alias(f"l{k}"), F.coalesce(F.max(length), F.lit(0)).alias(f"h{k}")]
+    r = pieces.agg(*aggs).first() if aggs else None
+    return [(r[f"n{k}"], r[f"t{k}"], r[f"l{k}"], r[f"h{k}"]) for k in range(len(scales_))]
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -183,9 +201,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = [written(rows.where(F.col("length") > capacity // 2).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("slot", F.lit(0)), "placed")]
     gaps = written(done[0].select("sequence_id", (capacity - F.col("length")).alias("gap")).where(F.col("gap") > 0), "gaps")
     opened = 0
-    for low, high in scales(capacity):
+    parts = scales(capacity)
+    for (low, high), (n, total, shortest, longest) in zip(parts, left_over(rows, parts), strict=True):
         todo = rows.where((F.col("length") > low) & (F.col("length") <= high))
-        n, total, shortest, longest = left_over(todo.withColumn("sequence_id", F.lit(None)))
         placed_share, tries = 1.0, 0
         while n:
             if placed_share < SHARE:
@@ -193,14 +211,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 more = -(-total // capacity) if not tries else -(-n // (capacity // longest))
                 gaps = gaps.unionByName(spark.range(-opened - more, -opened).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("bigint").alias("gap")))
                 opened, tries = opened + more, tries + 1
-            round_ = written(sweep(todo, gaps, shortest, longest), "round")
+            before = n
+            round_, (n, total, shortest, longest) = observed(sweep(todo, gaps, shortest, longest), "round")
             hit = round_.where(F.col("sequence_id").isNotNull())
             done.append(hit)
             used = hit.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
             gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where(F.col("gap") > 0)
             gaps = written(gaps, "gaps")
             todo = round_.where(F.col("sequence_id").isNull()).select(*rows.columns)
-            before, (n, total, shortest, longest) = n, left_over(round_)
             placed_share = 1 - n / before
     every = done[0].withColumn("_round", F.lit(0))
     for k, part in enumerate(done[1:], 1):
