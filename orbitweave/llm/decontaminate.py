@@ -47,27 +47,27 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct phrases of a block of items, and which items hold each."""
+    """The distinct phrases of a block of items, and which items hold each: one row of numbers for each
+    phrase of an item, sorted once."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.ids: list[str | None] = []
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item_id, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text or "")]
-            if words:
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text or "")], np.int32)
+            if len(words):
+                # an item of fewer words is one row, filled up with zeros
+                own = np.lib.stride_tricks.sliding_window_view(np.pad(words, (0, max(0, window - len(words)))), window)
+                rows.append(own)
+                owners.append(np.full(len(own), len(self.ids)))
                 self.ids.append(item_id)
-                for i in range(max(1, len(words) - window + 1)):
-                    found.setdefault(tuple(words[i : i + window]), set()).add(len(self.ids) - 1)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int32)
-        for k, p in enumerate(found):
-            self.patterns[k, : len(p)] = p
-        held = [sorted(x) for x in found.values()]
-        self.item_start = np.concatenate(([0], np.cumsum([len(x) for x in held], dtype=np.int64))).astype(np.int64)
-        self.items = np.array([i for x in held for i in x], np.int64)
-        self.shortest = int(self.lengths.min()) if len(held) else 0
-        self.longest = int(self.lengths.max()) if len(held) else 0
+        self.patterns, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(1)
+        held = np.unique(np.stack([phrase.ravel(), np.concatenate(owners)], 1), axis=0)
+        self.items, self.item_start = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.patterns) + 1))
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        self.longest = int(self.lengths.max()) if len(self.lengths) else 0
         self.n_symbols = len(self.vocabulary) + 2
 
     def numbers(self, text: str) -> np.ndarray:
