@@ -38,6 +38,8 @@ CENTROIDS = 4
 AT_ONCE = 256
 #: Chosen texts that are sent to all executors at most; with more, they are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
+#: Languages whose numbers of texts are sent to all executors; with more, a merge join splits hot ones.
+BROADCAST_LANGUAGES = 10_000
 #: The share of a language's own training texts that its rejection distance would turn away.
 REJECT = 0.005
 SLICE = 1_000_000
@@ -144,9 +146,10 @@ def chosen_texts(docs: DataFrame, sample: int) -> DataFrame:
     """docs: (lang, text). (lang, hash) of at most sample distinct texts of each language: those that hash
     lowest. A language is first thinned by its number of texts, so that none is sorted whole."""
     texts = written(docs.select("lang", F.xxhash64("text").alias("hash")).distinct(), "texts")
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes.hint("merge")
     share = (F.shiftrightunsigned("hash", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    some = texts.join(sizes.hint("merge"), "lang").where(share * F.col("n") < 2 * sample + 20)
+    some = texts.join(sizes, "lang").where(share * F.col("n") < 2 * sample + 20)
     return some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 11), "hash"))).where(F.col("_r") <= sample).select("lang", "hash")
 
 
