@@ -349,15 +349,18 @@ def by_chunks(docs: DataFrame, at_lang: int, at_text: int, at_kept: list[int], m
 
     rows = written(arrow_map(docs, chunked, "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "_chunk bigint"), "chunks")
 
-    def wanted(key: tuple, table: pa.Table) -> pa.Table:
-        by: dict[str, list[np.ndarray]] = {}
-        for x, t in zip(texts_of(table.column(at_lang)), texts_of(table.column(at_text)), strict=True):
-            if passes(t):
-                by.setdefault(x, []).append(code_points(t))
-        asked = sorted({(x, g) for x, codes in by.items() for found, *_ in grams(codes) for g in strings(found)})
-        return pa.table({"_chunk": pa.array([key[0].as_py()] * len(asked), pa.int64()), "lang": pa.array([x for x, _ in asked], pa.string()), "gram": pa.array([g for _, g in asked], pa.string())})
-
-    asked = rows.groupBy("_chunk").applyInArrow(wanted, "_chunk bigint, lang string, gram string")
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a chunk come together; where a read cuts one in two, some n-grams are asked for twice
+        for batch in grouped_batches(batches, CHUNK_BYTES):
+            by: dict[tuple[int, str], list[np.ndarray]] = {}
+            for chunk, x, t in zip(batch.column(batch.num_columns - 1).to_pylist(), texts_of(batch.column(at_lang)), texts_of(batch.column(at_text)), strict=True):
+                if passes(t):
+                    by.setdefault((chunk, x), []).append(code_points(t))
+            for (chunk, x), codes in by.items():
+                for found, *_ in grams(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array([x] * len(found), pa.string()), pa.array(strings(found), pa.string())], names=["_chunk", "lang", "gram"])
+
+    asked = arrow_map(rows, wanted, "_chunk bigint, lang string, gram string")
     given = asked.join(model.hint("merge"), ["lang", "gram"]).select("_chunk", "lang", "gram", "log_p")
 
     def answer(key: tuple, table: pa.Table, given: pa.Table) -> pa.Table:
