@@ -32,9 +32,10 @@ from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
 #: a marking word).
-SAMPLE, FIT = {1: 4000, 0: 8000}, 700
-#: Longer documents are cut into runs of so many words for the fit of the chain model.
-FIT_WORDS = 2000
+SAMPLE, FIT = {1: 4000, 0: 8000}, 400
+#: Words of each of these three groups after which no further document is taken for the chain model, whose
+#: fit is in the driver's memory; longer documents are cut into runs of so many words for it.
+FIT_TOTAL, FIT_WORDS = 150_000, 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
 #: Marginals count in a document's sum by this power, or long texts would collect faint ones.
@@ -152,7 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for y, hard in ((1, False), (0, False), (0, True)):
         # the other documents with a mark teach what a mark alone does not say
         part = some.where((F.col("_y") == y) & (F.col("_hard") == hard)).orderBy("_h", "_id").limit(fit_docs * (1 if y or hard else 2))
-        own = [d for d in (words_of(r["_text"] or "") for r in part.toLocalIterator()) if d]
+        own, total = [], 0
+        for r in part.toLocalIterator():
+            if d := words_of(r["_text"] or ""):
+                own.append(d)
+                total += len(d)
+            if total > FIT_TOTAL:
+                break
         texts += own
         ys += [y] * len(own)
         weights += [sizes[y, hard] / len(own)] * len(own) if own else []
