@@ -35,7 +35,7 @@ from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
 SAMPLE, FIT = {1: 4000, 0: 8000}, 400
 #: Words of each of these three groups after which no further document is taken for the chain model, whose
 #: fit is in the driver's memory; longer documents are cut into runs of so many words for it.
-FIT_TOTAL, FIT_WORDS = 150_000, 2000
+FIT_TOTAL, FIT_WORDS = 120_000, 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
 #: Marginals count in a document's sum by this power, or long texts would collect faint ones.
