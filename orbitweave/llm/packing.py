@@ -159,7 +159,8 @@ def sweep(todo: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> Data
     tokens = with_heights(slots.unionByName(pieces, allowMissingColumns=True))
     rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("id", "slot")) - 1
     placed = tokens.withColumn("_at", F.when(F.col("kind") == 0, F.col("height") + rank).otherwise(F.col("height") - 1 - rank))
-    # below height 0 stand pieces only, which get nothing
+    # below height 0 stand pieces only, which get nothing: anywhere there will do
+    placed = placed.withColumn("_at", F.when(F.col("_at") >= 0, F.col("_at")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
     before = F.lag(F.struct("kind", "id", "slot")).over(Window.partitionBy("_at").orderBy(F.desc("size"), "kind", "part"))
     got = placed.withColumn("_before", before).where(F.col("kind") == 1).withColumn("_before", F.when(F.col("_before.kind") == 0, F.col("_before")))
     return got.select(*(F.col({"length": "size", "_p": "id"}.get(c, c)).alias(c) for c in todo.columns), F.col("_before.id").alias("sequence_id"), F.col("_before.slot").alias("slot"))
