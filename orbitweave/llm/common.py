@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orbitweave import workers
 from orbitweave.storage import shared_folder, table, written
 
-__all__ = ["arrow_map", "batch_of", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "spans_of_size", "table", "texts_of", "word_hashes", "written"]
+__all__ = ["arrow_map", "batch_of", "counted_out", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "spans_of_size", "table", "texts_of", "word_hashes", "written"]
 
 #: Rows in an Arrow batch. Texts can be 100 KB and more, so batches are kept short.
 BATCH_ROWS = 500
@@ -32,6 +32,14 @@ def crc32_of(column: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def counted_out(rows: DataFrame, own: list[str], first: str, copies: str, into: str, run: int = 4096) -> DataFrame:
+    """own columns of each row as often as its copies say, numbered from first. Runs of copies are dealt
+    out before they are expanded, so a row that stands for a third of all is not one task's work."""
+    runs = rows.withColumn("_run", F.explode(F.expr(f"sequence(0L, ({copies} - 1) div {run})")))
+    numbers = F.expr(f"sequence({first} + _run * {run}, {first} + least({copies}, (_run + 1) * {run}) - 1)")
+    return runs.select(*own, F.explode(numbers).alias(into))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty string."""
     return [x if x is not None else "" for x in column.to_pylist()]

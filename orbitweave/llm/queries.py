@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import decontaminate, html_text, langid, licences, near_dups, oracles, packing, quality, sharding, toxicity, warc
+from orbitweave.llm import audit, decontaminate, html_text, importance, langid, licences, link_trust, near_dups, oracles, packing, quality, sharding, toxicity, warc
 from orbitweave.llm.common import crc32_of, table, written
 
 N_SHARDS = 40
@@ -81,6 +81,18 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_centroid_language": op1_centroid_language,
@@ -93,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_perplexity_quality": op8_perplexity_quality,
         "op9_odd_sketch_near_dups": op9_odd_sketch_near_dups,
         "op10_rendezvous_shards": op10_rendezvous_shards,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_link_trust": op12_link_trust,
+        "op13_source_audit": op13_source_audit,
     }
 
 
