@@ -120,7 +120,7 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = 12, factor: int = 1, domains: bool = True, url: str = "url", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
     """keep columns with host, path, rule, verdict, trust and distrust of every page."""
     new = ("host", "path", "rule", "verdict", "trust", "distrust")
-    keep = [c for c in dict.fromkeys(keep) if c not in new]
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in new]
     host, path = parts(F.col(url))
     rows = pages.select(host.alias("host"), path.alias("path"), F.col(html).alias("html"), F.struct(*(F.col(c) for c in keep)).alias("own") if keep else F.lit(None).alias("own"))
     chosen, kind = fitting(F.col("host"), F.col("path"), rules)
