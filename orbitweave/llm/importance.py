@@ -48,14 +48,12 @@ def features(text: Column, longest: int = 1, buckets: int = BUCKETS) -> Column:
     if longest == 1:
         return F.transform(words, bucket)
 
-    def runs(w: Column) -> Column:
-        of = [F.transform(w, bucket)]
-        for k in range(2, longest + 1):
-            starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
-            of.append(F.transform(starts, lambda i, k=k: bucket(F.array_join(F.slice(w, i, k), " "))))
-        return F.concat(*of)
-
-    return F.transform(F.array(words), runs)[0]  # the words are made once
+    def runs(w: Column, k: int) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(w, i, k), " ")))
+
+    # the words are made once
+    return F.transform(F.array(words), lambda w: F.concat(F.transform(w, bucket), *(runs(w, k) for k in range(2, longest + 1))))[0]
 
 
 def totals(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
