@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitweave.functions import text as t
+from orbitweave.operators import ranges
 
 # Files that may stand for an output, the first that exists; outputs of a run with the file that
 # shows each, and its address where the name differs.
@@ -117,8 +118,8 @@ def connect(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def numbered(tie_points: DataFrame, by: str = "run_id", order: str = "match_id") -> DataFrame:
-    """point_id from 1 in order, in each run."""
-    return tie_points.withColumn("point_id", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    """point_id from 1 in order, in each run. A long run is numbered in ranges (ranges.numbered)."""
+    return ranges.numbered(tie_points, [order], [by], "point_id")
 
 
 def stage_records(stages: Column, api_status: Column, terrain: Column, physical: Column, durations: Column | None = None) -> Column:

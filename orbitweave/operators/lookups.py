@@ -3,19 +3,13 @@ descriptor space, overlapping regions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave import workers
 from orbitweave.functions import geometry as g
-from orbitweave.storage import written
-
-#: Rows of a side that are held in memory at once by a nearest-neighbour search.
-BLOCK_ROWS = 50_000
+from orbitweave.operators import metric_join, place_index, ranges
 
 
 def any_key_lookup(probe: DataFrame, key: str, catalog: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
@@ -61,111 +55,36 @@ def first_overlapping(regions: DataFrame, providers: DataFrame, ordinal: str = "
     return regions.join(best, "region_id", "left")
 
 
-def nearest_in_time(probes: DataFrame, records: DataFrame, by: str, time: str = "time", record: str = "record_number", probe: str = "probe_id") -> DataFrame:
+def nearest_in_time(probes: DataFrame, records: DataFrame, by: str, time: str = "time", record: str = "record_number", probe: str = "probe_id", range_rows: int | None = None) -> DataFrame:
     """probes with the nearest record of the same series, before or after; ties to the earlier one,
-    then to the lowest record. One sort of both sides together: the last record at or before and
-    the first after each probe."""
+    then to the lowest record. Both sides are sorted together: the last record at or before and the
+    first after each probe. A long series is cut into ranges of time, each a window of its own, and
+    the records at their edges are carried across (ranges.carried). A probe without a time has no record."""
+    of = dict(records.dtypes)
+    kind = f"struct<t:{of[time]},r:{of[record]}>"
     held = F.struct(F.col(time).alias("t"), F.col(record).alias("r"))
-    rows = probes.select(by, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col(probe).alias("_probe"), F.lit(None).cast(f"struct<t:{dict(records.dtypes)[time]},r:{dict(records.dtypes)[record]}>").alias("_rec"))
-    firsts = records.groupBy(by, time).agg(F.min(record).alias(record))
+    rows = probes.select(by, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col(probe).alias("_probe"), F.lit(None).cast(kind).alias("_rec"))
+    firsts = records.where(F.col(time).isNotNull()).groupBy(by, time).agg(F.min(record).alias(record))
     rows = rows.unionByName(firsts.select(by, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(dict(probes.dtypes)[probe]).alias("_probe"), held.alias("_rec")))
-    order = Window.partitionBy(by).orderBy("_t", "_kind")
-    before = F.last("_rec", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_rec", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = rows.withColumns({"_before": before, "_after": after}).where("_kind = 1")
+    cut = ranges.ranged(rows, [by], ["_t", "_kind"], "_probe", range_rows)
+    near = ranges.carried(cut, by, ["_t", "_kind"], "_rec").where("_kind = 1")
     gap = lambda a, b: F.abs(F.unix_micros(F.to_timestamp(a)) - F.unix_micros(F.to_timestamp(b)))
     d0, d1 = gap(F.col("_t"), F.col("_before")["t"]), gap(F.col("_after")["t"], F.col("_t"))
-    pick = F.when(F.col("_after").isNull() | (d0 <= d1), F.col("_before")).otherwise(F.col("_after"))
-    return near.select(by, F.col("_probe").alias(probe), F.col("_t").alias(time), pick["r"].alias(record), (F.when(F.col("_after").isNull() | (d0 <= d1), d0).otherwise(d1) / 1e6).alias("gap_seconds"))
+    earlier = F.col("_after").isNull() | (d0 <= d1)
+    pick = F.when(F.col("_t").isNotNull(), F.when(earlier, F.col("_before")).otherwise(F.col("_after")))
+    return near.select(by, F.col("_probe").alias(probe), F.col("_t").alias(time), pick["r"].alias(record), (F.when(earlier, d0).otherwise(d1) / 1e6).alias("gap_seconds"))
 
 
 def nearest_grid_point(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """points with longitude and latitude of the nearest grid point (pixel, scan), ties to the
-    lowest idx. Of grid points at one place only the lowest idx can win, so the others go first;
-    the rest is held in blocks of BLOCK_ROWS, each scanned by numpy, and the best of all blocks is
-    kept by an aggregation-free fold."""
-    workers.prepare(points.sparkSession)
-    rows = grid.groupBy("pixel", "scan").agg(F.min(F.struct("idx", "longitude", "latitude")).alias("_g")).select("_g.idx", "pixel", "scan", "_g.longitude", "_g.latitude")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    schema = points.schema
-    out = points.select("*", F.lit(None).cast("double").alias("_d"), F.lit(None).cast("long").alias("_idx"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("latitude"))
-    at_x, at_y = points.columns.index(x), points.columns.index(y)
-    for k in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == k)).orderBy("idx").toPandas()
-        held = points.sparkSession.sparkContext.broadcast([part[c].to_numpy(float if c != "idx" else np.int64) for c in ("idx", "pixel", "scan", "longitude", "latitude")])
-        out = _nearest_pass(out, held, at_x, at_y, len(schema))
-        if blocks > 1:  # a block leaves driver and executors before the next one comes
-            out = written(out, "nearest")
-            held.destroy()
-    return out.drop("_d", "_idx")
-
-
-def _nearest_pass(points: DataFrame, held, at_x: int, at_y: int, n_own: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx, px, py, lon, lat = held.value
-        for batch in batches:
-            x, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (at_x, at_y))
-            d0 = batch.column(n_own).to_numpy(zero_copy_only=False).astype(float)
-            i0 = batch.column(n_own + 1).to_pylist()
-            best = [(d if d == d else None, i, lo, la) for d, i, lo, la in zip(d0, i0, batch.column(n_own + 2).to_pylist(), batch.column(n_own + 3).to_pylist(), strict=True)]
-            for at in range(0, len(x), 256):
-                if not len(idx):
-                    break
-                d = (x[at : at + 256, None] - px[None]) ** 2 + (y[at : at + 256, None] - py[None]) ** 2
-                for k, j in enumerate(np.where(np.isnan(d), np.inf, d).argmin(1), at):
-                    new = float(d[k - at, j])
-                    if new == new and (best[k][0] is None or (new, idx[j]) < (best[k][0], best[k][1])):
-                        best[k] = (new, int(idx[j]), float(lon[j]), float(lat[j]))
-            extra = [pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.float64()), pa.array([b[3] for b in best], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], *extra], names=batch.schema.names)
-
-    return points.mapInArrow(run, points.schema)
+    lowest idx: a descent through a tree of cells (place_index)."""
+    return place_index.nearest_place(points, grid, x, y)
 
 
 def descriptor_neighbours(source: DataFrame, reference: DataFrame, k: int = 2) -> DataFrame:
-    """(source_id, rank, reference_id, distance): the k nearest descriptors by Euclidean distance,
-    ties to the lowest id. Both sides: (id, embedding). The smaller of the work: the reference is
-    held in blocks of BLOCK_ROWS; each gives its k best, and the best over blocks are kept."""
-    workers.prepare(source.sparkSession)
-    n = reference.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    schema = "source_id long, reference_id long, distance double"
-    parts = None
-    for b in range(blocks):
-        rows = (reference if blocks == 1 else reference.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()
-        ids = rows["id"].to_numpy()
-        matrix = np.array(rows["embedding"].to_pylist(), np.float64).reshape(len(ids), -1)
-        held = source.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            square = (matrix**2).sum(1)
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                out: list[list] = [[], [], []]
-                for at in range(0, len(own), 512):
-                    x = np.array(batch.column(1).slice(at, 512).to_pylist(), np.float64)
-                    if not len(ids) or not len(x):
-                        continue
-                    d = (x**2).sum(1)[:, None] - 2 * x @ matrix.T + square[None]
-                    # a few more than k by the fast formula, then exactly
-                    some = np.argpartition(d, min(k + 3, d.shape[1] - 1), 1)[:, : k + 4]
-                    for i in range(len(x)):
-                        exact = np.sqrt(((matrix[some[i]] - x[i]) ** 2).sum(1))
-                        for j in np.lexsort((ids[some[i]], exact))[:k]:
-                            out[0].append(int(own[at + i]))
-                            out[1].append(int(ids[some[i][j]]))
-                            out[2].append(float(exact[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["source_id", "reference_id", "distance"])
-
-        part = source.select("id", "embedding").mapInArrow(run, schema)
-        if blocks > 1:  # a block leaves driver and executors before the next one comes
-            part = written(part, "neighbours")
-            held.destroy()
-        parts = part if parts is None else parts.unionByName(part)
-    best = Window.partitionBy("source_id").orderBy("distance", "reference_id")
-    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """(source_id, reference_id, distance, rank): the k nearest descriptors by Euclidean distance,
+    ties to the lowest id. Both sides: (id, embedding). A metric join (metric_join)."""
+    return metric_join.nearest(source, reference, k)
 
 
 def ratio_test(neighbours: DataFrame, ratio: float = 0.75) -> DataFrame:
