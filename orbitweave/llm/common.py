@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orbitweave import workers
 from orbitweave.storage import shared_folder, table, written
 
-__all__ = ["arrow_map", "batch_of", "counted_out", "crc32_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "spans_of_size", "table", "texts_of", "word_hashes", "written"]
+__all__ = ["arrow_map", "batch_of", "counted_out", "crc32_of", "free_of", "grouped_batches", "mix64", "session_for_texts", "shared_folder", "spans_of_size", "table", "texts_of", "word_hashes", "written"]
 
 #: Rows in an Arrow batch. Texts can be 100 KB and more, so batches are kept short.
 BATCH_ROWS = 500
@@ -40,6 +40,12 @@ def counted_out(rows: DataFrame, own: list[str], first: str, copies: str, into:
     return runs.select(*own, F.explode(numbers).alias(into))
 
 
+def free_of(keep: Iterable[str], new: Iterable[str]) -> list[str]:
+    """The columns keep, each once, less those whose names new columns take (in any case of letters)."""
+    taken = {n.lower() for n in new}
+    return [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty string."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, grouped_batches, session_for_texts, written
+from orbitweave.llm.common import arrow_map, free_of, grouped_batches, session_for_texts, written
 from orbitweave.llm.fm_index import FMIndex
 
 #: Words of a phrase.
@@ -181,9 +181,9 @@ def clean(text: str, spans: list[tuple[int, int]], phrases: Phrases) -> str:
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", remove: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the columns n_words, items (ids of the benchmark items with a phrase in the text,
     sorted) and spans (merged runs of hit words). With remove, the text loses its spans; spans and
-    items then still tell what went. docs must not have columns of these names."""
-    if clash := {*docs.columns} & {*FOUND}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    items then still tell what went. Columns of docs that have one of these names are not kept: the new
+    ones win."""
+    docs = docs.select(free_of(docs.columns, FOUND))
     spark = docs.sparkSession
     session_for_texts(spark)
     source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())

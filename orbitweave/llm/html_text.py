@@ -34,7 +34,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbitweave.llm.common import arrow_map, texts_of
+from orbitweave.llm.common import arrow_map, free_of, texts_of
 
 # Common words of each language that hardly stand in menus and labels.
 STOP_WORDS = {
@@ -314,10 +314,9 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default: all but html) of pages with text."""
-    keep = [c for c in pages.columns if c != html] if keep is None else keep
-    if "text" in keep:
-        raise ValueError("a column text is there already")
+    """The columns keep (default: all but html) of pages with text. A column of pages of that name is not
+    kept: the new one wins."""
+    keep = free_of([c for c in pages.columns if c != html] if keep is None else keep, ["text"])
     at, at_kept = pages.columns.index(html), [pages.columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

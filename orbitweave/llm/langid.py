@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, texts_of, written
+from orbitweave.llm.common import arrow_map, free_of, texts_of, written
 
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
@@ -215,11 +215,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = S
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all) of docs with lang_pred, score (cosine to the nearest
-    centroid) and rejected."""
-    keep = docs.columns if keep is None else keep
-    new = ["lang_pred", "score", "rejected"]
-    if clash := {*keep} & {*new}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    centroid) and rejected. A column of docs that has one of these names is not kept: the new ones win."""
+    keep = free_of(docs.columns if keep is None else keep, ("lang_pred", "score", "rejected"))
     source = docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     out = source.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "rejected": F.lit(False)})
     for block in model.blocks():

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitweave.llm.common import free_of
+
 # The standard texts of short public licences, without their copyright lines.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -157,17 +159,19 @@ def statements(spark: SparkSession) -> dict[str, str]:
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, texts: dict[str, str] | None = None) -> DataFrame:
     """The columns keep (default: all) of docs with canonical_digest, licence_id (null: the whole
-    text is no known licence) and stated_licences (those of its lines that are a statement)."""
-    keep = docs.columns if keep is None else keep
+    text is no known licence) and stated_licences (those of its lines that are a statement). A column
+    of docs that has one of these names is not kept: the new ones win."""
+    keep = free_of(docs.columns if keep is None else keep, ("canonical_digest", "licence_id", "stated_licences"))
+    names = [f"_keep{i}" for i in range(len(keep))]
     by_digest = F.create_map(*(F.lit(x) for pair in sorted(statements(docs.sparkSession).items()) for x in pair))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\r|\n"), lambda x: F.lower(x).rlike(MARK))
     stated = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: F.element_at(by_digest, digest(x))))))
-    found = docs.select(*keep, digest(F.col(text)).alias("canonical_digest"), stated.alias("stated_licences"))
+    found = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), digest(F.col(text)).alias("canonical_digest"), stated.alias("stated_licences"))
     listed = known(docs.sparkSession, texts)
     if texts is None:
         listed = listed.unionByName(docs.sparkSession.createDataFrame(sorted(LONG.items()), listed.schema))
     listed = F.broadcast(listed)
-    return found.join(listed, found["canonical_digest"] == listed["known_digest"], "left").select(*keep, "canonical_digest", "licence_id", "stated_licences")
+    return found.join(listed, found["canonical_digest"] == listed["known_digest"], "left").select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "canonical_digest", "licence_id", "stated_licences")
 
 
 def canonical_sql(text: str) -> str:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, mix64, texts_of, word_hashes, written
+from orbitweave.llm.common import arrow_map, free_of, mix64, texts_of, word_hashes, written
 
 WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, ROWS, BITS = 200, 24, 5, 512
@@ -57,6 +57,8 @@ BLOCK = 1024
 SMALL, FINE, FINE_ROWS = 4096, 40, 8
 #: Ids that are sent to all executors at most; with more, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes of a component that may meet in one task.
+HUB = 256
 SLICE_BYTES = 4_000_000
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -162,7 +164,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k[:, 0]), pa.array(k[:, 1]), *hashes, *(pa.array(bitmaps[:, k]) for k in range(len(BITMAPS))), *batch.columns[2:]], names=["doc_id", "n", "k1", "k2", "bands", "fine", *BITMAPS, *others])
 
     kept = "".join(f", `{c}` {t}" for c, t in docs.dtypes[2:])
-    return arrow_map(docs, run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, fine array<bigint>, " + ", ".join(f"{s} bigint" for s in BITMAPS) + kept)
+    return arrow_map(docs, run, f"doc_id {docs.dtypes[0][1]}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, fine array<bigint>, " + ", ".join(f"{s} bigint" for s in BITMAPS) + kept)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -174,7 +176,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
             k = keys_of(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "shingles"])
 
-    return arrow_map(docs, run, "doc_id bigint, k1 bigint, k2 bigint, shingles array<bigint>")
+    return arrow_map(docs, run, f"doc_id {docs.dtypes[0][1]}, k1 bigint, k2 bigint, shingles array<bigint>")
 
 
 def most_flips(percent: int) -> int:
@@ -253,11 +255,25 @@ def cells(marked: DataFrame, signs: DataFrame) -> DataFrame:
     return small.unionByName(fine.drop("size").join(sizes.hint("merge"), "cell"))
 
 
+def with_first(named: DataFrame) -> DataFrame:
+    """named (k1, k2, doc_id, _group) with _component, the smallest doc_id of its group. Groups of more
+    than HUB nodes, of which there is one for HUB nodes at most, go to all tasks, so that a large
+    component does not meet in one; beyond BROADCAST_IDS of them all are joined alike."""
+    first = written(named.groupBy("_group").agg(F.min("doc_id").alias("_component"), F.count(F.lit(1)).alias("_n")), "first")
+    large = first.where(F.col("_n") > HUB).drop("_n")
+    rest = first.drop("_n").hint("merge")
+    if not 0 < large.count() <= BROADCAST_IDS:
+        return named.join(rest, "_group")
+    large = F.broadcast(large)
+    return named.join(large, "_group").unionByName(named.join(large.select("_group"), "_group", "left_anti").join(rest, "_group"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links),
-    kept (component_id = doc_id), and the columns keep."""
-    keep = keep or []
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    kept (component_id = doc_id), and the columns keep, of which those that have one of these names
+    are left out. Ids may be of any type that has an order."""
+    keep = free_of(keep or [], ("doc_id", "n_shingles", "component_id", "kept"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     signs = written(signed(source, words), "signs")
     able = signs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # equal sets are one node: found before anything is paired, partly before the shuffle; nodes have
@@ -310,8 +326,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if joined is not None:
         named = named.join(joined.select(F.col("node").alias("_group"), F.col("component").alias("_joined")).hint("merge"), "_group", "left").select("k1", "k2", "doc_id", F.coalesce("_joined", "_group").alias("_group"))
     named = written(named, "named")
-    first = named.groupBy("_group").agg(F.min("doc_id").alias("_component"))
-    named = named.join(first.hint("merge"), "_group").select("k1", "k2", "_component")
+    named = with_first(named).select("k1", "k2", "_component")
     component = F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     out = signs.select("doc_id", "n", "k1", "k2", *(f"_keep{i}" for i in range(len(keep)))).join(named.hint("merge"), ["k1", "k2"], "left")
     component_id = F.when(F.col("doc_id").isNotNull(), component)

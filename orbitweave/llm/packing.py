@@ -105,8 +105,8 @@ def _learn(new: list[str], model, cache: dict[str, bytes], is_end: np.ndarray) -
         cache[w] = cache[b] + cache[t] if t else cache[b]
 
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+_PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -124,9 +124,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     part = ids[start : start + capacity]
                     for column, x in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE_TYPES, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            types = [batch.schema.field(0).type, *_PIECE_TYPES]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow_map(docs, run, PIECES)
+    return arrow_map(docs, run, f"doc_id {docs.dtypes[0][1]}, {PIECES}")
 
 
 def with_heights(tokens: DataFrame) -> DataFrame:
@@ -229,6 +230,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenises and packs whole documents; one row per piece with its place."""
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Tokenises and packs whole documents; one row per piece with its place. Ids may be of any type."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return pack(pieces(source, path, capacity, end_id), capacity)

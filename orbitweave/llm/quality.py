@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, grouped_batches, mix64, texts_of, word_hashes, written
+from orbitweave.llm.common import arrow_map, free_of, grouped_batches, mix64, texts_of, word_hashes, written
 
 ORDER = 5
 #: Stands before a text; control characters of texts are white space.
@@ -377,14 +377,13 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 def assess(docs: DataFrame, lang: str = "lang", text: str = "text", upper: float = UPPER, lower: float = LOWER, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all) of docs with counts, log_ppl, base_failed and kept. Every document
     is read twice: to count n-grams, and to be scored; the scored rows are written before the bands
-    are taken. Columns keep must not have the names of the new ones."""
-    keep = docs.columns if keep is None else keep
-    if clash := {*keep} & {*COUNTS, "log_ppl", "base_failed", "kept"}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    are taken. A column of docs that has the name of a new one is not kept: the new ones win."""
+    keep = free_of(docs.columns if keep is None else keep, (*COUNTS, "log_ppl", "base_failed", "kept"))
     language = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     sizes = written(docs.groupBy(language.alias("_own")).agg(F.count(F.lit(1)).alias("_n")), "languages")
     rare = sizes.where(F.col("_n") < POOL).select("_own", F.lit(POOLED).alias("_pooled"))
-    source = docs.withColumn("_own", language).join(few(rare), "_own", "left").withColumn("_lang", F.coalesce("_pooled", "_own")).select("_lang", F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    source = docs.select(language.alias("_own"), F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    source = source.join(few(rare), "_own", "left").withColumn("_lang", F.coalesce("_pooled", "_own")).drop("_own", "_pooled")
     counts = written(count_grams(source.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))), "grams")
     rows = written(scored(source, "_lang", "_text", probabilities(counts), ["_lang", *(f"_keep{i}" for i in range(len(keep)))]), "scored")
     return banded(rows, upper, lower).withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})

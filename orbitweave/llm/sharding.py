@@ -47,9 +47,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], into: str = "shard") -> DataFrame:
-    """Adds the shard of each row; row-local, without a shuffle."""
-    if into in df.columns:
-        raise ValueError(f"column {into} is there already")
+    """Adds the shard of each row, in place of a column of that name; row-local, without a shuffle."""
     return df.withColumn(into, rendezvous(F.col(key), weights))
 
 

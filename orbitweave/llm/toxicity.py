@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm import crf
-from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
+from orbitweave.llm.common import arrow_map, free_of, spans_of_size, texts_of, written
 
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
@@ -189,11 +189,10 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, odds: float, l2: fl
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (default: all) of docs with toxic_score (0 to 1) and toxic_spans (character
-    offsets [start, end) of runs of tokens whose marginal is SPAN or more, with the largest)."""
+    offsets [start, end) of runs of tokens whose marginal is SPAN or more, with the largest). A column of docs that has one of these
+    names is not kept: the new ones win."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
-    if clash := {*keep} & {"toxic_score", "toxic_spans"}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    keep = free_of(docs.columns if keep is None else keep, ("toxic_score", "toxic_spans"))
     at, at_kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map
+from orbitweave.llm.common import arrow_map, free_of
 from orbitweave.llm.html_text import blocks
 
 RESPONSES = "record_id string, target_uri string, date string, http_status int, http_headers array<struct<name: string, value: string>>, payload binary, payload_digest string"
@@ -98,8 +98,8 @@ _TYPES = [pa.int64() if n == "content_length" else pa.binary() if n == "block" e
 
 def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """responses: the columns of RESPONSES, with more or without. Two records of RECORDS for each,
-    after the columns keep."""
-    keep = keep or []
+    after the columns keep, of which those that have the name of a record's field are left out."""
+    keep = free_of(keep or [], _NAMES)
     names = responses.columns
     own = ["record_id", "target_uri", "date", "http_status", "http_headers", "payload", "payload_digest"]
 

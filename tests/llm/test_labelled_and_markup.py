@@ -150,8 +150,8 @@ def test_html_each_pass_counts(monkeypatch):
 def test_html_of_very_long_blocks(spark):
     p = PROSE["en"] * 20_000
     assert html_text.main_text(f"<article><p>{p}</p></article>") == " ".join(p.split())
-    with pytest.raises(ValueError):
-        html_text.extract(spark.createDataFrame([(1, "x", "y")], "page_id long, html string, text string"))
+    clash = html_text.extract(spark.createDataFrame([(1, "<p>x</p>", "y")], "page_id long, html string, TEXT string"))
+    assert clash.columns == ["page_id", "text"]
 
 
 def test_html_without_end_tags_is_no_prefix():
@@ -341,3 +341,12 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
             docs = p.written(stage(spark, docs, str(tmp_path)), name)
             assert docs.columns == odd.columns
         assert p.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_markup_names_that_are_taken(spark):
+    docs = spark.createDataFrame([(1, "Licensed under the MIT License", "mine", "own", "x")], "doc_id long, text string, licence_id string, Stated_Licences string, known_digest string")
+    got = licences.scan(docs)
+    assert got.columns == ["doc_id", "text", "known_digest", "canonical_digest", "licence_id", "stated_licences"] and got.first()["known_digest"] == "x"
+    pages = spark.createDataFrame([(1, "http://a/b", "<p>x</p>")], "page_id long, url string, html string")
+    records = warc.derive(warc.responses_of_pages(pages), keep=["page_id", "target_uri", "PAYLOAD_digest", "date"])
+    assert records.count() == 2 and len({c.lower() for c in records.columns}) == len(records.columns)

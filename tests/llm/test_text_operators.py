@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbitweave.llm import decontaminate, fm_index, langid, near_dups, packing, quality, queries, sharding
 
@@ -332,8 +333,8 @@ def test_quality_bands(spark, odd, empty):
     assert got[320]["log_ppl"] < middle and not got[320]["base_failed"] and not got[320]["kept"]
     odd_rows = quality.assess(odd).collect()
     assert len(odd_rows) == len(ODD) and all(r["base_failed"] and not r["kept"] and r["log_ppl"] is None for r in odd_rows) and quality.assess(empty).count() == 0
-    with pytest.raises(ValueError):
-        quality.assess(odd.withColumnRenamed("score", "kept"))
+    clash = quality.assess(odd.withColumnsRenamed({"score": "Kept"}).withColumn("_own", F.lit("mine")))
+    assert [c for c in clash.columns if c.lower() == "kept"] == ["kept"] and {r["_own"] for r in clash.collect()} == {"mine"}
 
 
 def test_quality_in_chunks_is_the_same(spark, odd, monkeypatch):
@@ -473,8 +474,7 @@ def test_language_model(spark, odd, empty, monkeypatch):
     assert len(out) == len(ODD) and {x["lang_pred"] for x in out if x["doc_id"] in (1, 2, 3)} == {"und"} and all(0 <= x["score"] <= 1 for x in out)
     nothing = langid.fit(empty)
     assert {x["lang_pred"] for x in langid.identify(odd.drop("score"), nothing).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.identify(odd, model)
+    assert langid.identify(odd, model).columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
 
 
 def test_language_sample_is_the_lowest_hashes_of_distinct_texts(spark, monkeypatch):
@@ -532,3 +532,27 @@ def test_sharding(spark, odd, empty):
     assert sum(map(len, slots.values())) == 12000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sharding.numbered(sharding.assign_shards(odd, "doc_id", equal), "shard", ["doc_id", "text"]).count() == len(ODD)
     assert sharding.numbered(sharding.assign_shards(empty, "doc_id", equal), "shard", ["doc_id"]).count() == 0
+
+
+def test_names_that_are_taken_and_ids_of_any_type(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [("b", text, "x"), ("a", text + " more", "y"), ("c", "quite another text", "z")]
+    for name in ("n_shingles", "KEPT", "component_id", "_keep0"):
+        docs = spark.createDataFrame(rows, f"doc_id string, text string, {name} string")
+        got = near_dups.near_duplicates(docs, words=3, percent=80, keep=["doc_id", name])
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {"a": "a", "b": "a", "c": "c"}
+        assert got.columns[4:] == ([name] if name == "_keep0" else [])
+        pieces = packing.pack_documents(docs, queries.tokenizer_path()).collect()
+        assert sorted(r["doc_id"] for r in pieces) == ["a", "b", "c"]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, items string")
+    found = decontaminate.scan(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {"a": ["1"], "b": ["1"], "c": []}
+    assert {r["items"] for r in sharding.assign_shards(docs, "doc_id", [1.0, 1.0], "items").collect()} <= {0, 1}
+
+
+def test_a_large_component_is_named_in_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HUB", 3)
+    text = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*text, f"end{i}"])) for i in range(20)] + [(100 + i, f"alone {i} {i} {i * 7}") for i in range(5)] + [(200, "two of these are alike here"), (201, "two of these are alike here")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 20 else 200 if i >= 200 else i for i, _ in rows}
