@@ -94,35 +94,63 @@ def mutual(forward: DataFrame, reverse: DataFrame, radius: float = 3.0) -> DataF
     return best.where(back <= radius).withColumns({"confidence": F.least("confidence", F.col("_best")["_conf"]), "rev_id": F.col("_best")["_rev"]}).select(*forward.columns, "rev_id")
 
 
-def conflicts(matches: DataFrame, radius: float) -> DataFrame:
-    """(pair_id, match_id, stronger): rows with a stronger one within radius at both ends."""
-    sx, sy = F.col("source_x"), F.col("source_y")
-    a = matches.select("pair_id", "match_id", *POINTS, "confidence", F.explode(neighbourhood(sx, sy, radius)).alias("_cell"))
-    b = matches.select(F.col("pair_id").alias("_pair"), F.col("match_id").alias("stronger"), *(F.col(c).alias(f"_{c}") for c in POINTS), F.col("confidence").alias("_conf"), F.struct(F.floor(sx / radius).alias("i"), F.floor(sy / radius).alias("j")).alias("_at"))
-    stronger = (F.col("_conf") > F.col("confidence")) | (F.col("_conf") == F.col("confidence")) & (F.col("stronger") < F.col("match_id"))
-    near = (g.distance(F.col("source_x"), F.col("source_y"), F.col("_source_x"), F.col("_source_y")) <= radius) & (g.distance(F.col("reference_x"), F.col("reference_y"), F.col("_reference_x"), F.col("_reference_y")) <= radius)
-    return a.join(b, (F.col("pair_id") == F.col("_pair")) & (F.col("_cell") == F.col("_at")) & stronger & near).select("pair_id", "match_id", "stronger").distinct()
+#: Parts of the radius: rows of one knot are within it of each other at both ends (its diagonal is 0.99
+#: of it), and what is within it of a knot's box touches two cells in each direction at most.
+KNOT, CELL = 0.7, 3.0
+
+
+def _spread(rows: DataFrame, low: dict[str, Column], high: dict[str, Column], size: float) -> DataFrame:
+    """rows once for each cell (_c0 to _c3) of that size, over both ends, that their box touches."""
+    for k, c in enumerate(POINTS):
+        rows = rows.withColumn(f"_c{k}", F.explode(F.array_distinct(F.array(F.floor(low[c] / size), F.floor(high[c] / size)))))
+    return rows
 
 
 def deduplicate(matches: DataFrame, radius: float = 3.0) -> DataFrame:
     """Greedy by confidence: a row goes if a kept stronger row is within radius at both ends. The
-    same as visiting rows one by one, without the order: in each round rows without an undecided or
-    kept stronger neighbour are kept, and rows with a kept one go. Rounds are as many as the longest
-    chain of ever weaker neighbours; decisions are written between them."""
-    edges = written(conflicts(matches, radius), "conflicts")
-    open_edges, dropped = edges, None
+    same as visiting rows one by one, without the order, and without pairs of rows.
+
+    Rows stand in knots, cells over both ends (four dimensions) so small that all rows of one are
+    within radius of each other: of a knot at most one row can be kept, and only its strongest row, its
+    head, need be looked at. In each round a head is kept if no head of a knot within reach is
+    stronger (of a knot of several rows the reach is that of the box around them); rows within radius
+    of a kept one go. Knots and rows meet in cells of three radii, heads in each that they can reach,
+    so a crowd of any size is one row of a join. The strongest open row is always kept, so every
+    round gets on; rounds follow the chains of ever weaker neighbours.
+
+    Rows with a null or NaN coordinate or confidence match nothing and stay.
+    """
+    ends = [F.col(c) for c in POINTS]
+    rows = matches.where(g.finite(*ends, F.col("confidence"))).select("pair_id", "match_id", *POINTS, "confidence")
+    size = CELL * radius
+    cells = {f"_c{k}": F.floor(F.col(c) / size) for k, c in enumerate(POINTS)}
+    open_ = written(rows.withColumns({f"_k{k}": F.floor(F.col(c) / (KNOT * radius)) for k, c in enumerate(POINTS)}), "open")
+    knot, cell = ["pair_id", "_k0", "_k1", "_k2", "_k3"], ["pair_id", "_c0", "_c1", "_c2", "_c3"]
+    box = {f"{e}_{c}": f(c) for c in POINTS for e, f in (("_lo", F.min), ("_hi", F.max))}
+    away = lambda x, lo, hi: F.greatest(lo - x, x - hi, F.lit(0.0))
+    dropped = None
     while True:
-        undecided = open_edges.select("pair_id", "match_id").distinct()
-        # stronger rows that nothing open stands against are kept, and drop their neighbours
-        kept = open_edges.join(undecided.select(F.col("pair_id"), F.col("match_id").alias("stronger")), ["pair_id", "stronger"], "left_anti")
-        gone = kept.select("pair_id", "match_id").distinct()
-        gone = written(gone, "dropped")
-        if gone.isEmpty():
+        head = F.max(F.struct("confidence", (-F.col("match_id")).alias("order"), "match_id", *POINTS))
+        heads = open_.groupBy(*knot).agg(head.alias("_h"), *(c.alias(n) for n, c in box.items())).select("pair_id", "_h.*", *box)
+        heads = written(heads, "heads")
+        near = _spread(heads, {c: F.col(f"_lo_{c}") - radius for c in POINTS}, {c: F.col(f"_hi_{c}") + radius for c in POINTS}, size)
+        near = near.select(*cell, F.col("confidence").alias("_conf"), F.col("order").alias("_order"), *box)
+        stronger = (F.col("_conf") > F.col("confidence")) | (F.col("_conf") == F.col("confidence")) & (F.col("_order") > F.col("order"))
+        gap = [away(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in POINTS]
+        reach = (F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) <= radius) & (F.sqrt(gap[2] * gap[2] + gap[3] * gap[3]) <= radius)
+        own = heads.drop(*box).withColumns(cells)
+        blocked = own.join(near, cell).where(stronger & reach).select("pair_id", "match_id").distinct()
+        kept = written(heads.drop(*box).join(blocked, ["pair_id", "match_id"], "left_anti"), "kept")
+        if kept.isEmpty():
             break
+        by = _spread(kept, {c: F.col(c) - radius for c in POINTS}, {c: F.col(c) + radius for c in POINTS}, size)
+        by = by.select(*cell, F.col("match_id").alias("_by"), *(F.col(c).alias(f"_{c}") for c in POINTS))
+        within = [g.distance(*(F.col(n) for n in (x, y, f"_{x}", f"_{y}"))) <= radius for x, y in (POINTS[:2], POINTS[2:])]
+        met = open_.select("pair_id", "match_id", *POINTS).withColumns(cells).join(by, cell).where(within[0] & within[1])
+        met = written(met.groupBy("pair_id", "match_id").agg(F.max(F.col("match_id") == F.col("_by")).alias("_kept")), "met")
+        gone = met.where("NOT _kept").select("pair_id", "match_id")
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        # edges of dropped rows, as the weaker or the stronger side, no longer count
-        left = open_edges.join(gone, ["pair_id", "match_id"], "left_anti").join(gone.withColumnRenamed("match_id", "stronger"), ["pair_id", "stronger"], "left_anti")
-        open_edges = written(left.select("pair_id", "match_id", "stronger"), "conflicts")
+        open_ = written(open_.join(met, ["pair_id", "match_id"], "left_anti"), "open")
     return matches if dropped is None else matches.join(dropped, ["pair_id", "match_id"], "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.functions import geometry as g
-from orbitweave.functions.projection import PolarStereographic
+from orbitweave.functions.projection import PolarStereographic, unwrap_longitude
 from orbitweave.operators.quantiles import quantiles
 
 VALID, OUT_OF_BOUNDS, INVALID = "ok", "outside_dem_coverage", "invalid_dem_value"
@@ -85,7 +85,7 @@ def warped(pixels: DataFrame, inverse: list[float], height: int, width: int, by:
 def elevation_at(points: DataFrame, dem: DataFrame, x: Column, y: Column, height: int, width: int, least: float, most: float, dummy: float) -> DataFrame:
     """points with elevation_m, valid and reason at the nearest pixel (halves to even). The pixel is
     checked after rounding. dem: (y, x, v) of one raster, joined by pixel."""
-    probe = points.withColumns({"_px": F.bround(x, 0).cast("long"), "_py": F.bround(y, 0).cast("long")})
+    probe = points.withColumns({"_px": F.bround(x, 0).try_cast("long"), "_py": F.bround(y, 0).try_cast("long")})
     cells = dem.select(F.col("y").alias("_dy"), F.col("x").alias("_dx"), F.col("v").cast("double").alias("_v"))
     joined = probe.join(cells, (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy")), "left")
     within = F.coalesce((F.col("_px") >= 0) & (F.col("_px") < width) & (F.col("_py") >= 0) & (F.col("_py") < height), F.lit(False))
@@ -137,8 +137,9 @@ def resample_points(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 def geographic_pixel(latitude: Column, longitude: Column, tie: tuple[float, float, float, float], scale: tuple[float, float]) -> tuple[Column, Column]:
     """Pixel of a raster in degrees with north up. tie: (i, j, longitude, latitude) of one pixel;
-    scale: degrees per pixel in x and y."""
+    scale: degrees per pixel in x and y. Longitudes are taken within half a turn of the tie's."""
     i, j, lon0, lat0 = tie
+    longitude = unwrap_longitude(longitude, F.lit(float(lon0)))
     return (longitude - F.lit(float(lon0))) / F.lit(float(scale[0])) + F.lit(float(i)), (F.lit(float(lat0)) - latitude) / F.lit(float(scale[1])) + F.lit(float(j))
 
 

@@ -1,9 +1,7 @@
-"""Sub-pixel refinement of correspondences and terrain intersection of camera rays."""
+"""Sub-pixel refinement of correspondences."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,51 +84,3 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, window:
         return out[[*names, "refined_reference_x", "refined_reference_y", "subpixel_diagnostic", "refine_status"]]
 
     return matches.groupBy("pair_id").cogroup(pixels.groupBy("pair_id")).applyInPandas(run, f"{fields}, refined_reference_x double, refined_reference_y double, subpixel_diagnostic double, refine_status string")
-
-
-def terrain_hits(rays: DataFrame, elevation: Callable[[np.ndarray, np.ndarray], np.ndarray], radius_m: float = 1_737_400.0, rounds: int = 12, tolerance_m: float = 1e-4) -> DataFrame:
-    """rays (ox, oy, oz, dx, dy, dz: origin and unit direction) with the first hit of the terrain:
-    hit_x, hit_y, hit_z, hit_elevation_m, hit_rounds, hit_status. The sphere is hit first, then the
-    sphere of the elevation there, and so on until the elevation settles. elevation: a function of
-    arrays of latitude and longitude in degrees, NaN where unknown; it goes to the workers."""
-    workers.prepare(rays.sparkSession)
-    fields = ", ".join(f"`{c}` {t}" for c, t in rays.dtypes)
-
-    def run(frames):
-        for rows in frames:
-            o, d = rows[["ox", "oy", "oz"]].to_numpy(float), rows[["dx", "dy", "dz"]].to_numpy(float)
-            e, used = np.zeros(len(rows)), np.zeros(len(rows), int)
-            status = np.full(len(rows), "not_converged", object)
-            hit = np.full((len(rows), 3), np.nan)
-            live = np.arange(len(rows))
-            for _ in range(rounds):
-                if not len(live):
-                    break
-                b = (o[live] * d[live]).sum(1)
-                disc = b * b - (o[live] ** 2).sum(1) + (radius_m + e[live]) ** 2
-                root = np.sqrt(np.where(disc >= 0, disc, np.nan))
-                t = np.where(-b - root > 0, -b - root, -b + root)
-                miss = ~(t > 0)
-                status[live[miss]] = "no_intersection"
-                live, t = live[~miss], t[~miss]
-                p = o[live] + t[:, None] * d[live]
-                r = np.sqrt((p**2).sum(1))
-                new = elevation(np.degrees(np.arcsin(p[:, 2] / r)), np.degrees(np.arctan2(p[:, 1], p[:, 0])) % 360)
-                used[live] += 1
-                gone = np.isnan(new)
-                status[live[gone]] = "dem_unavailable"
-                live, p, new = live[~gone], p[~gone], new[~gone]
-                done = np.abs(new - e[live]) < tolerance_m
-                hit[live] = p
-                e[live] = new
-                status[live[done]] = "ok"
-                live = live[~done]
-            out = rows.copy()
-            ok = status == "ok"
-            for k, c in enumerate(("hit_x", "hit_y", "hit_z")):
-                out[c] = np.where(ok, hit[:, k], np.nan)
-            out["hit_elevation_m"], out["hit_rounds"], out["hit_status"] = np.where(ok, e, np.nan), used, status
-            yield out
-
-    hits = rays.mapInPandas(run, f"{fields}, hit_x double, hit_y double, hit_z double, hit_elevation_m double, hit_rounds int, hit_status string")
-    return hits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("hit_x", "hit_y", "hit_z", "hit_elevation_m")})

@@ -230,20 +230,22 @@ def q_tile_assignment(spark, sf_dir):
     return c.assign_tiles(view(spark, sf_dir, "corr"), c.tiles(spark, 1000, 1021, (2, 3))).select("tile", "match_id", r("tile_x").alias("tile_x"), r("tile_y").alias("tile_y"))
 
 
-@query(f"""{ctes('corr')}, p AS (SELECT * FROM corr WHERE confidence >= 0.97 AND match_id % 2 = 0), rich AS (SELECT pair_id FROM p GROUP BY pair_id HAVING count(*) >= 8),
-f AS (SELECT match_id + 10000000 AS match_id, pair_id FROM corr WHERE confidence >= 0.6 AND match_id % 7 = 3)
-SELECT match_id, pair_id FROM p UNION ALL SELECT match_id, pair_id FROM f WHERE pair_id NOT IN (SELECT pair_id FROM rich) AND match_id - 10000000 NOT IN (SELECT match_id FROM p)""")
+# rows of poor pairs one by one, from strong to weak, each held against those kept so far
+FALLBACK = """p AS (SELECT *, count(*) FILTER (confidence >= 0.97) OVER (PARTITION BY pair_id) AS n FROM corr),
+rows AS (SELECT match_id, pair_id, confidence, source_x AS sx, source_y AS sy, reference_x AS rx, reference_y AS ry FROM p WHERE n < 8 AND confidence >= 0.97
+ UNION ALL SELECT match_id + 10000000, pair_id, confidence, source_x, source_y, reference_x, reference_y FROM p WHERE n < 8 AND confidence >= 0.6),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY confidence DESC, match_id) AS k FROM rows),
+g AS (SELECT DISTINCT pair_id, 0::BIGINT AS k, CAST([] AS STRUCT(sx DOUBLE, sy DOUBLE, rx DOUBLE, ry DOUBLE)[]) AS kept, NULL::BIGINT AS match_id FROM rows
+ UNION ALL SELECT pair_id, k, CASE WHEN fits THEN list_append(kept, spot) ELSE kept END, CASE WHEN fits THEN id END FROM (
+  SELECT g.pair_id, o.k, g.kept, {'sx': o.sx, 'sy': o.sy, 'rx': o.rx, 'ry': o.ry} AS spot, o.match_id AS id,
+   len(list_filter(g.kept, lambda x: sqrt((x.sx - o.sx) * (x.sx - o.sx) + (x.sy - o.sy) * (x.sy - o.sy)) <= 2.0E0 AND sqrt((x.rx - o.rx) * (x.rx - o.rx) + (x.ry - o.ry) * (x.ry - o.ry)) <= 2.0E0)) = 0 AS fits
+  FROM g JOIN o ON o.pair_id = g.pair_id AND o.k = g.k + 1))"""
+
+
+@query(f"""{ctes('corr').replace('WITH', 'WITH RECURSIVE', 1)}, {FALLBACK}
+SELECT match_id, pair_id FROM p WHERE n >= 8 AND confidence >= 0.97 UNION ALL SELECT match_id, pair_id FROM g WHERE match_id IS NOT NULL""")
 def q_adaptive_fallback(spark, sf_dir):
-    rows = view(spark, sf_dir, "corr").drop("event_type")
-    primary = rows.where("confidence >= 0.97 AND match_id % 2 = 0")
-    half = rows.where("confidence >= 0.6 AND match_id % 7 = 3").withColumns({x: F.col(x) * 0.5 for x in c.POINTS}).withColumn("match_id", F.col("match_id") + 10_000_000)
-    # a tiny radius merges only what coincides: the same row in both passes
-    return c.with_fallback(primary, half, radius=1e-6).select("match_id", "pair_id")
-
-
-@query()
-def q_adaptive_fallback_all(spark, sf_dir):
-    # both passes from all rows at the operator's radius; the greedy merge is not to be had in SQL
+    # both passes from all rows at the operator's radius
     rows = view(spark, sf_dir, "corr").drop("event_type")
     half = rows.where("confidence >= 0.6").withColumns({x: F.col(x) * 0.5 for x in c.POINTS}).withColumn("match_id", F.col("match_id") + 10_000_000)
     return c.with_fallback(rows.where("confidence >= 0.97"), half).select("match_id", "pair_id")
@@ -366,19 +368,6 @@ def q_ray_sphere(spark, sf_dir):
     return view(spark, sf_dir, "events").select("event_id", r(ray, 4).alias("t"))
 
 
-def wave(latitude: np.ndarray, longitude: np.ndarray) -> np.ndarray:
-    """A smooth elevation for tests of the intersection."""
-    return 500 * np.sin(np.radians(latitude * 3)) + 200 * np.cos(np.radians(longitude * 2))
-
-
-@query()
-def q_ray_dem(spark, sf_dir):
-    i = F.col("event_id")
-    rays = view(spark, sf_dir, "events").select("event_id", F.lit(2_000_000.0).alias("ox"), ((i % 17) * 1000).cast("double").alias("oy"), ((i % 11) * 2000).cast("double").alias("oz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    got = rf.terrain_hits(rays, wave)
-    return got.select("event_id", r("hit_x", 3).alias("hit_x"), r("hit_elevation_m", 3).alias("hit_elevation_m"), "hit_status")
-
-
 @query(f"""{ctes('pixels')}, s AS (SELECT image_id, quantile_cont(v::DOUBLE, 0.01) AS lo, quantile_cont(v::DOUBLE, 0.99) AS hi FROM pixels WHERE v <> -9999 GROUP BY image_id)
 SELECT image_id, y, x, CASE WHEN v <> -9999 THEN CAST(floor(round(least(1.0E0, greatest(0.0E0, (v - lo) / (CASE WHEN hi <= lo THEN lo + 1 ELSE hi END - lo))) * 255, 9)) AS INT) ELSE 0 END AS u8 FROM pixels LEFT JOIN s USING (image_id)""")
 def q_percentile_stretch(spark, sf_dir):
@@ -395,33 +384,18 @@ def q_area_resize(spark, sf_dir):
     return ra.area_resized(view(spark, sf_dir, "pixels"), 2, -9999).withColumn("v", r("v"))
 
 
-@query(f"{ctes('pixels')} SELECT a.y, a.x, {q('0.5 * a.v + 0.5 * b.v')} AS blend, {q('abs(a.v - b.v)::DOUBLE')} AS difference FROM pixels a JOIN pixels b ON a.y = b.y AND a.x = b.x AND a.image_id = 1 AND b.image_id = 2")
-def q_blend_absdiff(spark, sf_dir):
-    p = view(spark, sf_dir, "pixels")
-    return ra.blended(p.where("image_id = 1"), p.where("image_id = 2")).select("y", "x", r("blend").alias("blend"), r("difference").alias("difference"))
-
-
 @query(f"{ctes('pixels')} SELECT a.image_id, a.y, a.x, {q('0.5 * a.v + 0.5 * b.v')} AS blend, {q('abs(a.v - b.v)::DOUBLE')} AS difference FROM pixels a JOIN pixels b ON a.y = b.y AND a.x = b.x AND b.image_id = a.image_id + 1")
-def q_blend_absdiff_all(spark, sf_dir):
+def q_blend_absdiff(spark, sf_dir):
     # each image with the one after it
     p = view(spark, sf_dir, "pixels")
     return ra.blended(p, p.withColumn("image_id", F.col("image_id") - 1), by=["image_id"]).select("image_id", "y", "x", r("blend").alias("blend"), r("difference").alias("difference"))
 
 
-@query(f"""{ctes('pixels')}, o AS (SELECT (i // 32)::BIGINT AS y, (i % 32)::BIGINT AS x FROM range(1024) r(i)), s AS (SELECT y, x, 0.9E0 * x + 0.05E0 * y + 1.3E0 AS sx, -0.04E0 * x + 0.95E0 * y + 0.7E0 AS sy FROM o),
-f AS (SELECT *, floor(sx)::BIGINT AS ix, floor(sy)::BIGINT AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s), p AS (SELECT * FROM pixels WHERE image_id = 1)
-SELECT f.y, f.x, {q('coalesce(a.v, 0) * (1 - fx) * (1 - fy) + coalesce(b.v, 0) * fx * (1 - fy) + coalesce(c.v, 0) * (1 - fx) * fy + coalesce(d.v, 0) * fx * fy', 4)} AS v
-FROM f LEFT JOIN p a ON a.x = ix AND a.y = iy LEFT JOIN p b ON b.x = ix + 1 AND b.y = iy LEFT JOIN p c ON c.x = ix AND c.y = iy + 1 LEFT JOIN p d ON d.x = ix + 1 AND d.y = iy + 1""")
-def q_warp_bilinear(spark, sf_dir):
-    p = view(spark, sf_dir, "pixels").where("image_id = 1").select("y", "x", "v")
-    return ra.warped(p, [0.9, 0.05, 1.3, -0.04, 0.95, 0.7, 0, 0, 1], 32, 32).withColumn("v", r("v", 4))
-
-
 @query(f"""{ctes('pixels')}, o AS (SELECT image_id, (i // 32)::BIGINT AS y, (i % 32)::BIGINT AS x FROM (SELECT DISTINCT image_id FROM pixels), range(1024) r(i)), s AS (SELECT image_id, y, x, 0.9E0 * x + 0.05E0 * y + 1.3E0 AS sx, -0.04E0 * x + 0.95E0 * y + 0.7E0 AS sy FROM o),
 f AS (SELECT *, floor(sx)::BIGINT AS ix, floor(sy)::BIGINT AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s)
 SELECT f.image_id, f.y, f.x, {q('coalesce(a.v, 0) * (1 - fx) * (1 - fy) + coalesce(b.v, 0) * fx * (1 - fy) + coalesce(c.v, 0) * (1 - fx) * fy + coalesce(d.v, 0) * fx * fy', 4)} AS v
 FROM f LEFT JOIN pixels a ON a.image_id = f.image_id AND a.x = ix AND a.y = iy LEFT JOIN pixels b ON b.image_id = f.image_id AND b.x = ix + 1 AND b.y = iy LEFT JOIN pixels c ON c.image_id = f.image_id AND c.x = ix AND c.y = iy + 1 LEFT JOIN pixels d ON d.image_id = f.image_id AND d.x = ix + 1 AND d.y = iy + 1""")
-def q_warp_bilinear_all(spark, sf_dir):
+def q_warp_bilinear(spark, sf_dir):
     p = view(spark, sf_dir, "pixels").select("image_id", "y", "x", "v")
     return ra.warped(p, [0.9, 0.05, 1.3, -0.04, 0.95, 0.7, 0, 0, 1], 32, 32, by=["image_id"]).withColumn("v", r("v", 4))
 
@@ -462,17 +436,10 @@ def q_dem_resample(spark, sf_dir):
     return got.select("i", "j", "elevation_m", "valid")
 
 
-@query(f"""{ctes('corr')}, grid AS (SELECT o_orderkey AS idx, (o_orderkey * 37 % 1024)::DOUBLE AS px, (o_orderkey * 53 % 1024)::DOUBLE AS py, (o_orderkey % 360)::DOUBLE AS lon, (o_orderkey % 90)::DOUBLE AS lat FROM orders WHERE o_orderkey <= 400),
-k AS (SELECT match_id, lon, lat, row_number() OVER (PARTITION BY match_id ORDER BY (source_x - px) * (source_x - px) + (source_y - py) * (source_y - py), idx) AS k FROM corr, grid) SELECT match_id, lon AS longitude, lat AS latitude FROM k WHERE k = 1""")
+@query(f"""{ctes('corr')}, grid AS (SELECT o_orderkey AS idx, (o_orderkey * 37 % 1024)::DOUBLE AS px, (o_orderkey * 53 % 1024)::DOUBLE AS py, (o_orderkey % 360)::DOUBLE AS lon, (o_orderkey % 90)::DOUBLE AS lat FROM orders),
+k AS (SELECT match_id, arg_min({{'lon': lon, 'lat': lat}}, ((source_x - px) * (source_x - px) + (source_y - py) * (source_y - py), idx)) AS g FROM corr, grid GROUP BY match_id)
+SELECT match_id, g.lon AS longitude, g.lat AS latitude FROM k""")
 def q_nearest_geolocation(spark, sf_dir):
-    o = F.col("o_orderkey")
-    grid = view(spark, sf_dir, "orders").where(o <= 400).select(o.alias("idx"), (o * 37 % 1024).cast("double").alias("pixel"), (o * 53 % 1024).cast("double").alias("scan"), (o % 360).cast("double").alias("longitude"), (o % 90).cast("double").alias("latitude"))
-    return lk.nearest_grid_point(view(spark, sf_dir, "corr").select("match_id", "source_x", "source_y"), grid, "source_x", "source_y").select("match_id", "longitude", "latitude")
-
-
-@query()
-def q_nearest_geolocation_all(spark, sf_dir):
-    # all orders are the grid; a cross join in SQL is too slow on whole tables
     o = F.col("o_orderkey")
     grid = view(spark, sf_dir, "orders").select(o.alias("idx"), (o * 37 % 1024).cast("double").alias("pixel"), (o * 53 % 1024).cast("double").alias("scan"), (o % 360).cast("double").alias("longitude"), (o % 90).cast("double").alias("latitude"))
     return lk.nearest_grid_point(view(spark, sf_dir, "corr").select("match_id", "source_x", "source_y"), grid, "source_x", "source_y").select("match_id", "longitude", "latitude")
@@ -682,7 +649,7 @@ def q_image_metadata(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from orbitweave.plans import more_queries  # noqa: F401  (adds its own)
+    from orbitweave.plans import more_queries, terrain_queries  # noqa: F401  (they add their own)
 
     return dict(QUERIES)
 

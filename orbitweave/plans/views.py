@@ -35,6 +35,14 @@ FROM {corr} WHERE match_id % 5 = 0"""),
 SELECT CAST(floor(o_orderkey / 1024) AS BIGINT) AS image_id, CAST(floor((o_orderkey % 1024) / 32) AS BIGINT) AS y, o_orderkey % 32 AS x,
        CASE WHEN o_orderkey % 29 = 0 THEN -9999 ELSE CAST(floor(o_totalprice / 100.0E0) AS INT) END AS v
 FROM {orders}"""),
+    "terrain": (["pixels"], """
+SELECT y + 32 * CAST(floor(image_id / 8) AS BIGINT) AS y, x + 32 * (image_id % 8) AS x, CASE WHEN v = -9999 THEN -9999 ELSE v + 1737400 END AS v FROM {pixels}"""),
+    "rays": (["events"], """
+WITH p AS (SELECT event_id, radians(28.0E0 + CAST((event_id * 7919) % 36000 AS DOUBLE) / 1000.0E0) AS lo, radians(21.0E0 - CAST((event_id * 104729) % 10000 AS DOUBLE) / 1000.0E0) AS la,
+                  radians(CAST(event_id % 5 AS DOUBLE) * 5.0E0) AS tilt, CASE WHEN event_id % 97 = 0 THEN -1.0E0 ELSE 1.0E0 END AS side FROM {events})
+SELECT event_id, 1837400.0E0 * cos(la) * cos(lo) AS ox, 1837400.0E0 * cos(la) * sin(lo) AS oy, 1837400.0E0 * sin(la) AS oz,
+       -side * cos(tilt) * cos(la) * cos(lo) - sin(tilt) * sin(lo) AS dx, -side * cos(tilt) * cos(la) * sin(lo) + sin(tilt) * cos(lo) AS dy, -side * cos(tilt) * sin(la) AS dz
+FROM p"""),
     "series": (["events"], "SELECT user_id % 50 AS series_id, event_id AS record_number, ts AS time, value FROM {events} WHERE event_type = 'view'"),
     "probe": (["events"], "SELECT user_id % 50 AS series_id, event_id AS probe_id, ts AS time FROM {events} WHERE event_type = 'click'"),
     "oat_lines": (["events"], """

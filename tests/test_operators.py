@@ -201,10 +201,6 @@ def test_refinement(spark):
     assert status == "refined" and abs(dx - 2) < 0.5 and abs(dy - 1) < 0.5 and response > 0.2
     assert refinement.local_shift(image, image, 1, 1, 30, 30)[3] == "patch_outside_image"
     assert refinement.local_shift(np.zeros((64, 64)), image, 30, 30, 30, 30)[3] == "low_texture"
-    rays = spark.createDataFrame([(2e6, 0.0, 0.0, -1.0, 0.0, 0.0), (2e6, 0.0, 0.0, 1.0, 0.0, 0.0)], "ox double, oy double, oz double, dx double, dy double, dz double")
-    got = rows(refinement.terrain_hits(rays, lambda la, lo: np.full(len(la), 100.0)).select("hit_status", "hit_x"))
-    assert got == [("no_intersection", None), ("ok", 1_737_500.0)]
-    assert {x["hit_status"] for x in refinement.terrain_hits(rays.limit(1), lambda la, lo: np.full(len(la), np.nan)).collect()} == {"dem_unavailable"}
 
 
 def test_contrast(spark):
