@@ -101,9 +101,11 @@ KNOT, CELL = 0.7, 3.0
 
 def _spread(rows: DataFrame, low: dict[str, Column], high: dict[str, Column], size: float) -> DataFrame:
     """rows once for each cell (_c0 to _c3) of that size, over both ends, that their box touches."""
-    for k, c in enumerate(POINTS):
-        rows = rows.withColumn(f"_c{k}", F.explode(F.array_distinct(F.array(F.floor(low[c] / size), F.floor(high[c] / size)))))
-    return rows
+    ends = [(F.floor(low[c] / size), F.floor(high[c] / size)) for c in POINTS]
+    rows = rows.withColumns({f"_e{k}{j}": e[j] for k, e in enumerate(ends) for j in (0, 1)})
+    corners = F.array(*(F.struct(*(F.col(f"_e{k}{j >> k & 1}").alias(f"_c{k}") for k in range(4))) for j in range(16)))
+    rows = rows.withColumn("_cell", F.explode(F.array_distinct(corners)))
+    return rows.withColumns({f"_c{k}": F.col("_cell")[f"_c{k}"] for k in range(4)}).drop("_cell", *(f"_e{k}{j}" for k in range(4) for j in (0, 1)))
 
 
 def deduplicate(matches: DataFrame, radius: float = 3.0) -> DataFrame:
@@ -223,6 +225,7 @@ def search_boxes(tile_table: DataFrame, source: tuple[int, int], reference: tupl
     bounds of the tile's projected outermost pixels, widened by the larger of least_pad and margin times
     the tile's longer side (a tile with a corner that is not finite goes); without, the same share of
     the reference image. Rounded outwards, cut at the image; boxes under least pixels go."""
+    tile_table = written(tile_table, "tiles")  # else the tiles' own expressions stand in each of these
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
     if h is not None:
         xs, ys = _corners(h, x0, y0, x1 - 1, y1 - 1)

@@ -87,10 +87,10 @@ def descriptor_neighbours(source: DataFrame, reference: DataFrame, k: int = 2) -
     return metric_join.nearest(source, reference, k)
 
 
-def ratio_test(neighbours: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Source descriptors whose nearest neighbour is nearer than ratio times the second (both must
-    exist); with confidence 1 / (1 + distance)."""
-    both = neighbours.groupBy("source_id").agg(F.max(F.when(F.col("rank") == 1, F.col("reference_id"))).alias("reference_id"), F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("second_distance"))
+def ratio_test(neighbours: DataFrame, ratio: float = 0.75, by: Sequence[str] = ()) -> DataFrame:
+    """Source descriptors (of each group of by) whose nearest neighbour is nearer than ratio times the
+    second (both must exist); with confidence 1 / (1 + distance)."""
+    both = neighbours.groupBy(*by, "source_id").agg(F.max(F.when(F.col("rank") == 1, F.col("reference_id"))).alias("reference_id"), F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("distance"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("second_distance"))
     return both.where(F.col("distance") < F.lit(ratio) * F.col("second_distance")).withColumn("confidence", g.confidence_of(F.col("distance")))
 
 

@@ -23,7 +23,7 @@ different lengths are an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -191,31 +191,40 @@ def best_of(space: Space, ids: np.ndarray, y: np.ndarray, x: np.ndarray, most: n
             yield ids[near][order], exact[order], len(near)
 
 
-def _compared(visits: DataFrame, reference: DataFrame, held, k: int) -> DataFrame:
-    """(source_id, reference_ids, distances, compared) of each visit. A part that many visit is repeated,
-    for VISITS of them at a time."""
-    salts = visits.groupBy("ring", "part").agg(F.expr(f"1 + (count(*) - 1) div {VISITS}").alias("salts"))
-    left = reference.join(salts, ["ring", "part"]).select("id", "embedding", "ring", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    right = visits.join(salts, ["ring", "part"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+def _compared(visits: DataFrame, reference: DataFrame, held, k: int, keys: Sequence[str] = ("ring",)) -> DataFrame:
+    """keys with (source_id, reference_ids, distances, compared) of each visit: source and reference rows
+    meet in a part of equal keys. A part that many visit is repeated, for VISITS of them at a time."""
+    salts = visits.groupBy(*keys, "part").agg(F.expr(f"1 + (count(*) - 1) div {VISITS}").alias("salts"))
+    left = reference.join(salts, [*keys, "part"]).select("id", "embedding", *keys, "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    right = visits.join(salts, [*keys, "part"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out = left["id"].to_numpy(), []
         if left.num_rows and right.num_rows:
             order = np.argsort(ids)
             out = list(best_of(held.value, ids[order], matrix(left["embedding"])[order], matrix(right["embedding"]), right["most"].to_numpy(), k))
-        own = right["id"].combine_chunks() if out else pa.array([], pa.int64())
-        return pa.table([own, pa.array([o[0].tolist() for o in out], pa.list_(pa.int64())), pa.array([o[1].tolist() for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.int64())], names=["source_id", "reference_ids", "distances", "compared"])
+        own = right.slice(0, len(out)).select([*keys, "id"])
+        return pa.table([*own.columns, pa.array([o[0].tolist() for o in out], pa.list_(pa.int64())), pa.array([o[1].tolist() for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.int64())], names=[*keys, "source_id", "reference_ids", "distances", "compared"])
 
-    schema = "source_id long, reference_ids array<long>, distances array<double>, compared long"
-    return left.groupBy("ring", "part", "salt").cogroup(right.groupBy("ring", "part", "salt")).applyInArrow(run, schema)
+    fields = "".join(f"`{c}` {t}, " for c, t in visits.select(*keys).dtypes)
+    groups = [*keys, "part", "salt"]
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(run, f"{fields}source_id long, reference_ids array<long>, distances array<double>, compared long")
+
+
+def _vectors(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return rows.select(*keys, "id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull())
+
+
+def _sample(reference: DataFrame) -> np.ndarray:
+    return matrix(reference.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()["embedding"])
 
 
 def visited(source: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """(source_id, reference_ids, distances, compared) of all visits of both rounds, written."""
     spark = source.sparkSession
     workers.prepare(spark)
-    source, reference = (x.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull()) for x in (source, reference))
-    sample = matrix(reference.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["embedding"])
+    source, reference = (_vectors(x) for x in (source, reference))
+    sample = _sample(reference)
     empty = "source_id long, reference_ids array<long>, distances array<double>, compared long"
     if not len(sample):
         return spark.createDataFrame([], empty)
@@ -248,6 +257,30 @@ def visited(source: DataFrame, reference: DataFrame, k: int) -> DataFrame:
 def nearest(source: DataFrame, reference: DataFrame, k: int = 2) -> DataFrame:
     """(source_id, reference_id, distance, rank): the k nearest reference vectors of each source vector.
     Both sides: id (long), embedding (array of numbers)."""
-    found = visited(source, reference, k).select("source_id", F.explode(F.arrays_zip(F.col("reference_ids").alias("reference_id"), F.col("distances").alias("distance"))).alias("_n")).select("source_id", "_n.reference_id", "_n.distance")
-    best = Window.partitionBy("source_id").orderBy("distance", "reference_id")
+    return _ranked(visited(source, reference, k), (), k)
+
+
+def _ranked(found: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    one = F.explode(F.arrays_zip(F.col("reference_ids").alias("reference_id"), F.col("distances").alias("distance")))
+    found = found.select(*keys, "source_id", one.alias("_n")).select(*keys, "source_id", "_n.reference_id", "_n.distance")
+    best = Window.partitionBy(*keys, "source_id").orderBy("distance", "reference_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def nearest_within(source: DataFrame, reference: DataFrame, keys: Sequence[str], k: int = 2) -> DataFrame:
+    """keys, source_id, reference_id, distance, rank: nearest() inside each group of equal keys, all groups in
+    one plan. Groups are small (what one tile shows), so they have no rings; one of more than PART
+    reference vectors is met part by part."""
+    spark = source.sparkSession
+    workers.prepare(spark)
+    source, reference = (_vectors(x, keys) for x in (source, reference))
+    sample = _sample(reference)
+    if not len(sample):
+        sample = np.zeros((1, 1))
+    held = spark.sparkContext.broadcast(Space(sample[:1], sample))
+    parts = reference.groupBy(*keys).agg(F.expr(f"1 + (count(*) - 1) div {PART}").alias("parts"))
+    placed = reference.join(parts, [*keys]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    visits = source.join(parts, [*keys]).withColumns({"most": F.lit(float("inf")), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))}).drop("parts")
+    # both sides may stem from one table, which a written one no longer tells
+    visits, placed = written(visits, "visits"), written(placed, "parts")
+    return _ranked(written(_compared(visits, placed, held, k, keys), "compared"), keys, k)

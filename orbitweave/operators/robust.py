@@ -142,25 +142,29 @@ def iterative(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds:
     return best, limit
 
 
-def fit_models(matches: DataFrame, threshold: float = 3.0, iterate: bool = False, sample: int = SAMPLE) -> DataFrame:
-    """A row of MODEL for each pair."""
+def fit_models(matches: DataFrame, threshold: float | DataFrame = 3.0, iterate: bool = False, sample: int = SAMPLE) -> DataFrame:
+    """A row of MODEL for each pair. threshold: in pixels, or a table (pair_id, limit) of each pair's own."""
     workers.prepare(matches.sparkSession)
     usable = matches.where(g.finite(*(F.col(c) for c in POINTS))).select("pair_id", "match_id", *POINTS)
     first = Window.partitionBy("pair_id").orderBy(F.xxhash64("match_id"), "match_id")
     some = usable.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).drop("_rank")
+    if isinstance(threshold, DataFrame):
+        some = some.join(threshold.select("pair_id", F.col("limit").cast("double").alias("_limit")), "pair_id")
+    else:
+        some = some.withColumn("_limit", F.lit(float(threshold)))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("match_id")
         a, b = rows[["source_x", "source_y"]].to_numpy(), rows[["reference_x", "reference_y"]].to_numpy()
-        seed = int(key[0]) & 0x7FFFFFFF
-        h, limit = iterative(a, b, threshold, seed) if iterate else (ransac(a, b, threshold, seed), threshold)
+        seed, limit = int(key[0]) & 0x7FFFFFFF, float(rows["_limit"].iloc[0])
+        h, limit = iterative(a, b, limit, seed) if iterate else (ransac(a, b, limit, seed), limit)
         return pd.DataFrame({"pair_id": [key[0]], "h": [h.ravel().tolist() if h is not None else None], "threshold": [limit], "n_fit": [len(rows)]})
 
     large = usable.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_fit")).where(F.col("n_fit") > sample)
     large = written(large, "large")
     if large.isEmpty():
         return some.groupBy("pair_id").applyInPandas(fit, MODEL)
-    whole = fit_large(beside(usable, large, "pair_id"), written(beside(some, large.select("pair_id"), "pair_id"), "some"), threshold, iterate)
+    whole = fit_large(beside(usable, large, "pair_id"), written(beside(some, large.select("pair_id"), "pair_id"), "some"), iterate)
     return some.join(F.broadcast(large) if large.count() <= 10_000 else large, "pair_id", "left_anti").groupBy("pair_id").applyInPandas(fit, MODEL).unionByName(whole)
 
 
@@ -227,11 +231,13 @@ def search(rows: DataFrame, some: DataFrame, limits: DataFrame, shift: int) -> D
     return best
 
 
-def fit_large(rows: DataFrame, some: DataFrame, threshold: float, iterate: bool) -> DataFrame:
+def fit_large(rows: DataFrame, some: DataFrame, iterate: bool) -> DataFrame:
     """Models of pairs of any size, as of ransac and iterative. rows: all rows, with n_fit; some: those that
-    hypotheses are drawn from."""
-    sizes = rows.select("pair_id", "n_fit").distinct()
-    best = search(rows, some, written(some.select("pair_id").distinct().withColumn("limit", F.lit(float(threshold))), "limits"), 0)
+    hypotheses are drawn from, with _limit."""
+    own_limits = written(some.groupBy("pair_id").agg(F.first("_limit").alias("limit")), "limits")
+    sizes = rows.select("pair_id", "n_fit").distinct().join(own_limits.withColumnRenamed("limit", "_limit"), "pair_id")
+    some = some.drop("_limit")
+    best = search(rows, some, own_limits, 0)
     for k in range(ROUNDS if iterate else 0):
         if k == 0:
             near = beside(rows, best.select("pair_id", "h", "limit"), "pair_id").select("pair_id", _error().alias("_e"), "limit").where("_e <= limit")
@@ -247,7 +253,7 @@ def fit_large(rows: DataFrame, some: DataFrame, threshold: float, iterate: bool)
         best = written(joined.select("pair_id", *(F.when(F.col("_better"), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) for c in ("k", "h", "limit", "rank"))), "best")
         if open_pairs.isEmpty():
             break
-    return sizes.join(best, "pair_id", "left").select("pair_id", "h", F.coalesce("limit", F.lit(float(threshold))).alias("threshold"), "n_fit")
+    return sizes.join(best, "pair_id", "left").select("pair_id", "h", F.coalesce("limit", "_limit").alias("threshold"), "n_fit")
 
 
 def tightened_over(near: DataFrame) -> DataFrame:

@@ -649,7 +649,7 @@ def q_image_metadata(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from orbitweave.plans import more_queries, terrain_queries  # noqa: F401  (they add their own)
+    from orbitweave.plans import matching_queries, more_queries, terrain_queries  # noqa: F401  (they add their own)
 
     return dict(QUERIES)
 

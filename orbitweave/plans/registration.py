@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitweave.functions import geometry as g
@@ -95,6 +95,55 @@ def finish(selected: DataFrame, models: DataFrame, s: Settings) -> Result:
     return Result(models, keyed, measured, c.grid_histogram(selected, s.grid))
 
 
+#: Attempts of a pair at different working scales, at most; a pair and its attempt are one number then.
+MOST_ATTEMPTS = 64
+
+
+@dataclass
+class Search:
+    """attempts: all that were made, with their measures; chosen: the one of each pair; models and selected:
+    the models and candidates of chosen ones, keyed by pair_id."""
+
+    attempts: DataFrame
+    chosen: DataFrame
+    models: DataFrame
+    selected: DataFrame
+
+
+def search_scales(attempts: DataFrame, s: Settings = Settings()) -> Search:
+    """The working scale of each pair. attempts: candidates of all attempts (pair_id, attempt from 1, match_id,
+    points in working pixels, confidence, source_scale, reference_scale: working to native).
+
+    One after another an attempt is brought to native pixels, its candidates are spread over the grid and a
+    model is fitted; attempts end at the first one that is good enough, and the best of those made by then
+    is chosen: most inliers, then the higher share of them, then the lower error, then the earlier
+    one. Here all attempts are rows, fitted in one job; which of them would not have been made is decided
+    from their measures, as a minimum over the good ones.
+    """
+    native = attempts.withColumns({f"{side}_{a}": F.col(f"{side}_{a}") / F.col(f"{side}_scale") for side in ("source", "reference") for a in "xy"})
+    limit = F.greatest(F.lit(2.0), F.lit(s.noise) / F.least("source_scale", "reference_scale"))
+    native = native.withColumns({"_pair": F.col("pair_id"), "_limit": limit, "pair_id": F.col("pair_id") * F.lit(MOST_ATTEMPTS) + F.col("attempt")})
+    native = native.where(c.in_bounds(s.source_shape, s.reference_shape))
+    selected = written(c.grid_select(native, s.reference_shape, s.grid, s.per_cell), "selected")
+    limits = selected.groupBy("pair_id").agg(F.first("_limit").alias("limit"))  # one value for each
+    models = written(rb.fit_models(selected, limits, iterate=True), "models")
+    scored = rb.scored(selected, models)
+    error = F.when(F.col("inlier"), F.col("reprojection_error") * F.col("reprojection_error"))
+    made = scored.groupBy("_pair", "attempt").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("inlier").alias("inliers"), (F.count_if("inlier") / F.count(F.lit(1))).alias("inlier_ratio"), F.sqrt(F.avg(error)).alias("rmse"), F.max("threshold").alias("threshold"))
+    good = (F.col("inliers") >= 12) & (F.col("inlier_ratio") >= 0.75) & (F.col("rmse") <= F.col("threshold"))
+    made = written(made.withColumn("sufficient", F.coalesce(good, F.lit(False))), "attempts")
+    pair = Window.partitionBy("_pair")  # a pair has MOST_ATTEMPTS rows at most
+    last = F.coalesce(F.min(F.when(F.col("sufficient"), F.col("attempt"))).over(pair), F.max("attempt").over(pair))
+    made = made.withColumn("attempts_made", last).where(F.col("attempt") <= F.col("attempts_made"))
+    best = pair.orderBy(F.desc("inliers"), F.desc("inlier_ratio"), F.asc_nulls_last("rmse"), "attempt")
+    chosen = written(made.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k"), "chosen")
+    of = chosen.select((F.col("_pair") * F.lit(MOST_ATTEMPTS) + F.col("attempt")).alias("_key"), "_pair")
+    back = lambda rows: rows.join(of, F.col("pair_id") == F.col("_key")).withColumn("pair_id", F.col("_pair")).drop("_key", "_pair")
+    named = lambda rows: rows.withColumnRenamed("_pair", "pair_id")
+    return Search(named(made), named(chosen), back(models), back(selected.drop("_pair", "_limit")))
+
+
 def physical_validation(points: DataFrame, located: DataFrame, elevations: DataFrame) -> DataFrame:
     """Per inlier: place (located: match_id, longitude, latitude), elevation (match_id, elevation_m,
     valid) and what of them is there. Predicted positions need exact camera geometry and are null."""
