@@ -11,8 +11,8 @@ the sample and moved to the corpus's share of toxic labels, the document's score
 Defined results: null and empty texts have no tokens and get the score of a document without toxic
 marginals; without any toxic label nothing is learnt and all scores are the share of toxic labels
 (0 without labels). A document with several labels is toxic if one says so; null labels count
-for nothing. Repeated rows are scored each. Other columns pass through if asked for; they must not have
-the names of the new ones.
+for nothing. Repeated rows are scored each. Other columns pass through if asked for, but for those that have
+the names of new ones.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from orbitweave.llm.common import arrow_map, free_of, spans_of_size, texts_of, w
 #: Documents of each label from which words and beginnings are counted, and toxic documents to
 #: which the chain model is fitted (with twice as many others, and as many others that hold
 #: a marking word).
-SAMPLE, FIT = {1: 4000, 0: 8000}, 400
-#: Words of each of these three groups after which no further document is taken for the chain model, whose
-#: fit is in the driver's memory; longer documents are cut into runs of so many words for it.
-FIT_TOTAL, FIT_WORDS = 120_000, 2000
+SAMPLE, FIT = {1: 4000, 0: 8000}, 700
+#: Words of each of these three groups after which no further document is taken for the chain model, which
+#: one task fits; longer documents are cut into runs of so many words for it.
+FIT_TOTAL, FIT_WORDS = 300_000, 2000
 #: A token in a span has at least this marginal.
 SPAN = 0.5
 #: Marginals count in a document's sum by this power, or long texts would collect faint ones.
@@ -149,31 +149,63 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     some = arrow_map(rows.select("_id", "_text", "_y"), flagged, f"_id {id_type}, _text string, _y int, _hard boolean").withColumn("_h", F.xxhash64("_id"))
     some = written(some, "flagged")
     sizes = {(r["_y"], r["_hard"]): r["n"] for r in some.groupBy("_y", "_hard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts, ys, weights = [], [], []
-    for y, hard in ((1, False), (0, False), (0, True)):
-        # the other documents with a mark teach what a mark alone does not say
+    parts = None
+    for k, (y, hard) in enumerate(GROUPS):
         part = some.where((F.col("_y") == y) & (F.col("_hard") == hard)).orderBy("_h", "_id").limit(fit_docs * (1 if y or hard else 2))
-        own, total = [], 0
-        for r in part.toLocalIterator():
-            if d := words_of(r["_text"] or ""):
-                own.append(d)
-                total += len(d)
-            if total > FIT_TOTAL:
-                break
-        texts += own
-        ys += [y] * len(own)
-        weights += [sizes[y, hard] / len(own)] * len(own) if own else []
-    ys, weights = np.array(ys), np.array(weights)
+        part = part.select(F.lit(k).alias("_k"), "_h", "_id", "_text")
+        parts = part if parts is None else parts.unionByName(part)
+    given = [sizes.get(group, 0) for group in GROUPS]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = chain(((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True)), toxic, given, float(odds))
+        if model:
+            yield pa.RecordBatch.from_arrays(_rows_of(model), names=["name", "w"])
+
+    # the rows are a bounded sample, so that one task may fit them; what comes back are weights
+    one = arrow_map(parts.coalesce(1).sortWithinPartitions("_k", "_h", "_id").select("_k", "_text"), learn, "name string, w array<double>").toArrow()
+    return _model_of(one) if one.num_rows else Model(crf.Tagger(), (float(odds), 0.0, 0.0))
+
+
+#: Toxic documents, others, and others with a mark: these teach what a mark alone does not say.
+GROUPS = ((1, False), (0, False), (0, True))
+
+
+def chain(rows: Iterator[tuple[int, str]], toxic: set[str], sizes: list[int], odds: float) -> Model | None:
+    """The model from rows (place in GROUPS, text), sorted by group; sizes: how many documents each group has in
+    the sample. Of each group documents are taken until they have FIT_TOTAL words."""
+    texts, group, total = [], [], [0] * len(GROUPS)
+    for k, text in rows:
+        if total[k] <= FIT_TOTAL and (d := words_of(text)):
+            texts.append(d)
+            group.append(k)
+            total[k] += len(d)
+    if not texts:
+        return None
+    group = np.array(group)
+    ys = np.array([y for y, _ in GROUPS])[group]
+    weights = (np.array(sizes) / np.maximum(1, np.bincount(group, minlength=len(GROUPS))))[group]
     tags = [np.array([y == 1 and any(f in toxic for f in marks(w)) for w in d], float) for d, y in zip(texts, ys, strict=True)]
     # a very long document is several runs of the chain, all of them learnt from
     runs = [(d[k : k + FIT_WORDS], t[k : k + FIT_WORDS]) for d, t in zip(texts, tags, strict=True) for k in range(0, len(d), FIT_WORDS)]
-    tagger = crf.fit([d for d, _ in runs], [t for _, t in runs])
-    model = Model(tagger, (0.0, 0.0, 0.0))
+    model = Model(crf.fit([d for d, _ in runs], [t for _, t in runs]), (0.0, 0.0, 0.0))
     top, total, _, _ = summaries(texts, model, {}, [np.zeros((0, 3))])
-    model.curve = _curve(np.stack([np.ones(len(top)), top, np.log1p(total)], 1), ys, weights / weights.mean(), float(odds))
+    model.curve = _curve(np.stack([np.ones(len(top)), top, np.log1p(total)], 1), ys, weights / weights.mean(), odds)
     return model
 
 
+def _rows_of(model: Model) -> list[pa.Array]:
+    """A model as names and weights: features, and under names without a colon what belongs to none."""
+    t = model.tagger
+    rows = {"bias": [t.bias], "transition": t.transition.ravel().tolist(), "start": list(t.start), "curve": list(model.curve), **{f: list(w) for f, w in t.weights.items()}}
+    return [pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.list_(pa.float64()))]
+
+
+def _model_of(rows: pa.Table) -> Model:
+    of = dict(zip(rows["name"].to_pylist(), rows["w"].to_pylist(), strict=True))
+    bias, transition, start, curve = (of.pop(n) for n in ("bias", "transition", "start", "curve"))
+    return Model(crf.Tagger({f: tuple(w) for f, w in of.items()}, bias[0], np.array(transition).reshape(2, 2), np.array(start)), tuple(curve))
+
+
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, odds: float, l2: float = 0.05) -> tuple[float, float, float]:
     """Logistic regression by Newton's method; the intercept is moved from the sample's share of
     toxic documents to the corpus's."""
