@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave import workers
+from orbitweave.functions import geometry as g
 
 WINDOW = 17
 RESULT = "dx double, dy double, response double, refine_status string"
@@ -84,3 +87,85 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, window:
         return out[[*names, "refined_reference_x", "refined_reference_y", "subpixel_diagnostic", "refine_status"]]
 
     return matches.groupBy("pair_id").cogroup(pixels.groupBy("pair_id")).applyInPandas(run, f"{fields}, refined_reference_x double, refined_reference_y double, subpixel_diagnostic double, refine_status string")
+
+
+#: (source x, source y, elevation in metres) of a point to where it must be in the reference image.
+Projector = Callable[[float, float, float], tuple[float, float]]
+PROJECTED = "struct<x: double, y: double, failure: string>"
+
+
+def projected(matches: DataFrame, projector: Projector | None, threshold: float = 0.75) -> DataFrame:
+    """matches (with confidence, elevation_m, dem_valid, physical) with refinement_branch, predicted_x,
+    predicted_y, physical_residual, physical_geometry_used and projection_reason.
+
+    Only rows of the branch dem_physical go to the projector, in Arrow batches. A row for which it
+    fails, or gives no number, falls back alone, and the reason names the failure; without a projector all
+    of them do."""
+    workers.prepare(matches.sparkSession)
+    rows = matches.withColumn("_branch", g.refinement_branch(F.col("confidence"), F.coalesce("dem_valid", F.lit(False)), F.coalesce("physical", F.lit(False)), threshold))
+    asked = F.col("_branch") == "dem_physical"
+    if projector is None:
+        rows = rows.withColumn("_p", F.when(asked, F.from_json(F.lit('{"failure": "physical_projector_not_supplied"}'), PROJECTED)))
+    else:
+        @F.pandas_udf(PROJECTED)
+        def run(x: pd.Series, y: pd.Series, elevation: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+            out = []
+            for a, b, e, w in zip(x, y, elevation, wanted, strict=True):
+                if not w:
+                    out.append((None, None, None))
+                    continue
+                try:
+                    px, py = map(float, projector(float(a), float(b), float(e)))
+                    out.append((px, py, None) if np.isfinite((px, py)).all() else (None, None, "physical_projection_failed:ValueError"))
+                except Exception as error:  # whatever the projector raises is that row's reason
+                    out.append((None, None, f"physical_projection_failed:{type(error).__name__}"))
+            return pd.DataFrame(out, columns=["x", "y", "failure"])
+
+        rows = rows.withColumn("_p", run("source_x", "source_y", F.col("elevation_m").cast("double"), asked))
+    used = F.col("_p")["x"].isNotNull()
+    dx, dy = F.col("_p")["x"] - F.col("reference_x"), F.col("_p")["y"] - F.col("reference_y")
+    branch = F.when(asked & ~F.coalesce(used, F.lit(False)), F.lit("classical_fallback")).otherwise(F.col("_branch"))
+    reason = F.when(used, F.lit("physical_dem_projection_used")).otherwise(F.col("_p")["failure"])
+    return rows.select(
+        *matches.columns, branch.alias("refinement_branch"), F.col("_p")["x"].alias("predicted_x"), F.col("_p")["y"].alias("predicted_y"), F.sqrt(dx * dx + dy * dy).alias("physical_residual"),
+        F.coalesce(used, F.lit(False)).alias("physical_geometry_used"), reason.alias("projection_reason"))
+
+
+#: What refine() says, in the words of a result.
+LOCAL_REASONS = {"refined": "phase_correlation_subpixel", "patch_outside_image": "boundary_or_invalid_patch", "low_texture": "low_texture_patch", "image_unavailable": "image_patches_not_supplied"}
+
+
+def refine_points(matches: DataFrame, source: DataFrame | None = None, reference: DataFrame | None = None, projector: Projector | None = None, threshold: float = 0.75, window: int = WINDOW) -> DataFrame:
+    """Each correspondence by the branch that suits it: where terrain and geometry are there the projector's
+    place, then, with images, the local shift from there. Adds refined_source_x, refined_source_y,
+    refined_reference_x, refined_reference_y, refinement_method, reprojection_error (of the local shift),
+    physical_residual, physical_geometry_used, status and reason. matches: pair_id, match_id, points,
+    confidence, elevation_m, dem_valid, physical; source, reference: pixels as for refine()."""
+    found = projected(matches, projector, threshold)
+    at = {f"reference_{c}": F.coalesce(f"predicted_{c}", f"reference_{c}") for c in "xy"}
+    used, classical = F.col("physical_geometry_used"), F.col("refinement_branch") == "classical"
+    own = {f"_was_{c}": F.col(f"reference_{c}") for c in "xy"}
+    if source is not None and reference is not None:
+        rows = refine(found.withColumns(own).withColumns(at), source, reference, window)
+        local = F.create_map(*(F.lit(x) for pair in LOCAL_REASONS.items() for x in pair))[F.col("refine_status")]
+        method = F.when(used, F.lit("physics_dem_then_classical_subpixel")).when(classical, F.lit("classical_subpixel")).otherwise(F.lit("classical_fallback_subpixel"))
+        error, status = F.col("subpixel_diagnostic"), F.lit("available")
+    else:
+        rows = found.withColumns(own).withColumns(at).withColumns({f"refined_reference_{c}": F.col(f"reference_{c}") for c in "xy"})
+        local = F.lit("image_patches_not_supplied")
+        method = F.when(used, F.lit("physical_dem")).when(classical, F.lit("classical")).otherwise(F.lit("classical_fallback"))
+        error, status = F.lit(None).cast("double"), F.when(used | classical, F.lit("available")).otherwise(F.lit("retained"))
+    rows = rows.withColumns({"refinement_method": method, "reprojection_error": error, "status": status, "reason": F.coalesce("projection_reason", local), "refined_source_x": F.col("source_x"), "refined_source_y": F.col("source_y")})
+    rows = rows.withColumns({f"reference_{c}": F.col(f"_was_{c}") for c in "xy"})
+    return rows.select(*matches.columns, "refined_source_x", "refined_source_y", "refined_reference_x", "refined_reference_y", "refinement_method", "reprojection_error", "physical_residual", "physical_geometry_used", "status", "reason")
+
+
+def accepted(refined: DataFrame, models: DataFrame, source_shape: tuple[int, int], reference_shape: tuple[int, int]) -> DataFrame:
+    """refined (refine_points() of inliers of models) with accepted, and the points of accepted rows moved to
+    their refined places: both inside their images, and the error under the first model not grown."""
+    rows = refined.join(models.select("pair_id", "h"), "pair_id")
+    error = lambda side: g.reprojection_error(F.col(f"{side}source_x"), F.col(f"{side}source_y"), F.col(f"{side}reference_x"), F.col(f"{side}reference_y"), F.col("h"))
+    inside = F.coalesce(g.inside(F.col("refined_source_x"), F.col("refined_source_y"), source_shape[1], source_shape[0]), F.lit(False))
+    ok = inside & g.refinement_accepted(F.col("refined_reference_x"), F.col("refined_reference_y"), reference_shape[1], reference_shape[0], error(""), error("refined_"))
+    rows = rows.withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    return rows.withColumns({c: F.when(F.col("accepted"), F.col(f"refined_{c}")).otherwise(F.col(c)) for c in ("source_x", "source_y", "reference_x", "reference_y")}).select(*refined.columns, "accepted")

@@ -281,18 +281,25 @@ def noise_bound(scored_matches: DataFrame, by: str = "pair_id") -> DataFrame:
     return middle.join(mad, by).withColumn("bound", bound).withColumn("effective", F.when(F.col("n") >= 4, F.least("threshold", "bound")).otherwise(F.col("threshold")))
 
 
-def refit(refined: DataFrame, initial: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """Models after refinement: of a fit on the refined inliers and the initial one, the better by
-    rank over the refined rows; ties stay with the new fit. refined: rows with refined coordinates
-    in place; initial: models."""
-    new = fit_models(refined, threshold, iterate=True)
-
-    def ranks(models: DataFrame, order: int) -> DataFrame:
-        s = scored(refined, models).groupBy("pair_id").agg(
-            F.struct(F.count_if("inlier").alias("n"), (F.count_if("inlier") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("share"), (-F.sqrt(F.avg(F.when(F.col("inlier"), F.col("reprojection_error") * F.col("reprojection_error"))))).alias("rmse"), F.lit(order).alias("order")).alias("rank"))
-        return s.join(models, "pair_id")
-
-    both = ranks(new, 1).unionByName(ranks(initial.select("pair_id", "h", "threshold", "n_fit"), 0))
-    return both.groupBy("pair_id").agg(F.max_by(F.struct("h", "threshold", "n_fit"), "rank").alias("m")).select("pair_id", "m.h", "m.threshold", "m.n_fit")
-
-
+def refit(refined: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """Models after refinement: pair_id, h, threshold, n_fit and model. refined: matches with refined
+    coordinates in place and inlier, whether the first model took them. Two models are fitted on those
+    inliers anew, one by least squares (refit) and one robustly (second_pass); the better by rank over
+    them (more inliers, then the lower error, to a billionth of a pixel) is taken, ties to the refit. The first model, which is of
+    other coordinates, is not looked at. A pair for which neither can be fitted has a null h."""
+    rows = written(refined.where("inlier").select("pair_id", "match_id", *POINTS), "inliers")
+    sizes = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_fit"))
+    whole = least_squares_of(rows).join(sizes, "pair_id").select("pair_id", "h", F.lit(float(threshold)).alias("threshold"), "n_fit", F.lit("refit").alias("model"))
+    again = fit_models(rows, threshold, iterate=True).withColumn("model", F.lit("second_pass"))
+    models = written(whole.unionByName(again).where(F.col("h").isNotNull()), "refits")
+
+    def ranks(name: str, order: int) -> DataFrame:
+        own = models.where(F.col("model") == name)
+        error = F.avg(F.when(F.col("inlier"), F.col("reprojection_error") * F.col("reprojection_error")))
+        s = scored(rows, own).where(F.col("h").isNotNull()).groupBy("pair_id").agg(F.struct(F.count_if("inlier").alias("n"), F.coalesce(-F.round(F.sqrt(error), 9), F.lit(float("-inf"))).alias("rmse"), F.lit(order).alias("order")).alias("rank"))
+        return s.join(own, "pair_id")
+
+    both = ranks("refit", 1).unionByName(ranks("second_pass", 0))
+    best = both.groupBy("pair_id").agg(F.max_by(F.struct("h", "threshold", "model"), "rank").alias("m"))
+    every = refined.select("pair_id").distinct().join(best, "pair_id", "left").join(sizes, "pair_id", "left")
+    return every.select("pair_id", "m.h", F.coalesce("m.threshold", F.lit(float(threshold))).alias("threshold"), F.coalesce("n_fit", F.lit(0).cast("long")).alias("n_fit"), "m.model")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitweave.operators import candidates as c
+from orbitweave.operators import refinement as rf
+from orbitweave.operators import robust as rb
 from orbitweave.operators import tiled
 from orbitweave.plans import registration as rg
-from orbitweave.plans.catalogue import BOUNDS, TILES, q, query, r
+from orbitweave.plans.catalogue import BOUNDS, TILES, known_scored, q, query, r
 from orbitweave.plans.views import ctes, view
 
 #: Descriptors with places: the reference image shows the same ones, shrunk, with noise that hides every fifth.
@@ -75,3 +77,35 @@ def q_scale_search(spark, sf_dir):
     working = rows.withColumns({x: F.col(x) * scale("attempt") for x in c.POINTS}).withColumns({"source_scale": scale("attempt"), "reference_scale": scale("attempt")})
     found = rg.search_scales(working, rg.Settings((2048, 2048), (2048, 2048), noise=0.5))
     return found.chosen.select("pair_id", "attempt", "candidates", "inliers", r("inlier_ratio").alias("inlier_ratio"), "sufficient", "attempts_made")
+
+
+def predicted(x: float, y: float, elevation: float) -> tuple[float, float]:
+    """Where a point is by terrain and camera; for some places there is no answer."""
+    if elevation > 1500:
+        raise ArithmeticError("too high")
+    return (x * 1.02 + 0.01 * y + 5.0 + 100.0 / (elevation // 100 - 3), 0.98 * y - 0.01 * x - 3.0)  # a pole at 300 m
+
+
+WHY = "CASE WHEN branch <> 'dem_physical' THEN 'image_patches_not_supplied' WHEN elevation > 1500 THEN 'physical_projection_failed:ArithmeticError' WHEN elevation // 100 = 3 THEN 'physical_projection_failed:ZeroDivisionError' ELSE 'physical_dem_projection_used' END"
+RIGHT = "1.02E0 * source_x + 0.01E0 * source_y + 5.0E0", "0.98E0 * source_y - 0.01E0 * source_x - 3.0E0"
+
+
+@query(f"""{ctes('corr')}, b AS (SELECT *, match_id * 37 % 2000 AS elevation, CASE WHEN confidence >= 0.75 THEN 'classical' WHEN match_id % 3 <> 0 AND match_id % 7 <> 0 THEN 'dem_physical' ELSE 'classical_fallback' END AS branch FROM corr),
+w AS (SELECT *, {WHY} AS reason FROM b), p AS (SELECT *, reason = 'physical_dem_projection_used' AS used, {RIGHT[0]} + CASE WHEN reason = 'physical_dem_projection_used' THEN 100.0E0 / (elevation // 100 - 3) END AS px, {RIGHT[1]} AS py FROM w)
+SELECT match_id, {q('CASE WHEN used THEN px ELSE reference_x END')} AS refined_reference_x, {q('CASE WHEN used THEN py ELSE reference_y END')} AS refined_reference_y, {q('CASE WHEN used THEN sqrt((px - reference_x) * (px - reference_x) + (py - reference_y) * (py - reference_y)) END')} AS physical_residual,
+ CASE WHEN used THEN 'physical_dem' WHEN branch = 'classical' THEN 'classical' ELSE 'classical_fallback' END AS refinement_method, used AS physical_geometry_used, CASE WHEN used OR branch = 'classical' THEN 'available' ELSE 'retained' END AS status, reason FROM p""")
+def q_refine_points(spark, sf_dir):
+    i = F.col("match_id")
+    rows = view(spark, sf_dir, "corr").withColumns({"elevation_m": (i * 37 % 2000).cast("double"), "dem_valid": i % 3 != 0, "physical": i % 7 != 0})
+    got = rf.refine_points(rows, projector=predicted)
+    return got.select("match_id", *(r(x).alias(x) for x in ("refined_reference_x", "refined_reference_y", "physical_residual")), "refinement_method", "physical_geometry_used", "status", "reason")
+
+
+# inliers are moved to where another model has them, which both new models must find
+@query(f"""{ctes('corr')}, e AS (SELECT *, sqrt(({RIGHT[0]} - reference_x) * ({RIGHT[0]} - reference_x) + ({RIGHT[1]} - reference_y) * ({RIGHT[1]} - reference_y)) <= 3.0 AS inlier FROM corr)
+SELECT pair_id, count(*) FILTER (inlier) AS n_fit, 1.02E0 AS h0, 5.25E0 AS h2, 0.98E0 AS h4, -3.5E0 AS h5 FROM e GROUP BY pair_id HAVING count(*) FILTER (inlier) >= 4""")
+def q_refit(spark, sf_dir):
+    rows = known_scored(spark, sf_dir)
+    moved = rows.withColumns({"reference_x": F.lit(1.02) * F.col("source_x") + F.lit(0.01) * F.col("source_y") + F.lit(5.25), "reference_y": F.lit(0.98) * F.col("source_y") - F.lit(0.01) * F.col("source_x") - F.lit(3.5)})
+    got = rb.refit(moved.drop("reprojection_error", "threshold")).where(F.col("h").isNotNull())
+    return got.select("pair_id", "n_fit", *(r(F.col("h")[k], 4).alias(f"h{k}") for k in (0, 2, 4, 5)))

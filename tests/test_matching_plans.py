@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.operators import candidates as c
 from orbitweave.operators import metric_join, tiled
+from orbitweave.operators import refinement as rf
 from orbitweave.plans import registration as rg
 
 R = np.random.default_rng(21)
@@ -96,3 +97,42 @@ def test_scale_search(spark):
     h = {r["pair_id"]: r["h"] for r in found.models.collect()}
     assert set(h) == {1, 2, 3, 4} and h[4] is None and h[1] == pytest.approx([1, 0, 7, 0, 0.9, 5, 0, 0, 1], abs=1e-6)
     assert found.selected.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("pair_id = 1").first()["n"] == 44
+
+
+INPUT = "pair_id long, match_id long, source_x double, source_y double, reference_x double, reference_y double, confidence double, elevation_m double, dem_valid boolean, physical boolean"
+
+
+def test_one_bad_row_degrades_alone(spark):
+    def projector(x, y, e):  # here, as workers can't import a test
+        if e < 0:
+            raise KeyError("below")
+        return (float("nan"), 1.0) if e == 7 else (x + e, y)
+
+    row = lambda i, conf, e, dem=True, phys=True: (1, i, 10.0, 12.0, 11.0, 12.0, conf, e, dem, phys)
+    df = spark.createDataFrame([row(1, 0.9, 5.0), row(2, 0.5, 5.0), row(3, 0.5, -5.0), row(4, 0.5, 7.0), row(5, 0.5, 5.0, False), row(6, None, None, None, None), row(7, 0.5, None)], INPUT)
+    got = {r["match_id"]: r for r in rf.refine_points(df, projector=projector).collect()}
+    said = {i: (r["refinement_method"], r["reason"], r["status"]) for i, r in got.items()}
+    assert said[1] == ("classical", "image_patches_not_supplied", "available") and said[2] == ("physical_dem", "physical_dem_projection_used", "available")
+    assert said[3] == ("classical_fallback", "physical_projection_failed:KeyError", "retained") and said[4][1] == "physical_projection_failed:ValueError"
+    assert said[5] == said[6] == ("classical_fallback", "image_patches_not_supplied", "retained") and said[7][1].startswith("physical_projection_failed:")
+    assert (got[2]["refined_reference_x"], got[2]["physical_residual"]) == (15.0, 4.0) and got[3]["refined_reference_x"] == 11.0 and got[3]["physical_residual"] is None
+    none = {r["match_id"]: r["reason"] for r in rf.refine_points(df).collect()}
+    assert none[2] == "physical_projector_not_supplied" and none[1] == none[5] == "image_patches_not_supplied"
+
+
+def test_images_and_acceptance(spark):
+    image = R.uniform(0, 255, (48, 48))
+    image = (image + np.roll(image, 1, 0) + np.roll(image, 1, 1)) / 3
+    pixels = lambda a: spark.createDataFrame([(1, y, x, float(a[y, x])) for y in range(48) for x in range(48)], "pair_id long, y long, x long, v double")
+    df = spark.createDataFrame([(1, 1, 24.0, 24.0, 24.0, 24.0, 0.9, None, False, False), (1, 2, 24.0, 24.0, 2.0, 24.0, 0.9, None, False, False), (1, 3, 24.0, 24.0, 24.0, 24.0, 0.1, 1.0, True, True)], INPUT)
+    got = rf.refine_points(df, pixels(image), pixels(np.roll(image, (1, 2), (0, 1))), lambda x, y, e: (x + 2, y + 1))
+    r = {x["match_id"]: x for x in got.collect()}
+    assert r[1]["refinement_method"] == "classical_subpixel" and r[1]["reason"] == "phase_correlation_subpixel" and abs(r[1]["refined_reference_x"] - 26) < 0.5
+    assert r[2]["reason"] == "boundary_or_invalid_patch" and r[2]["refined_reference_x"] == 2.0
+    assert r[3]["refinement_method"] == "physics_dem_then_classical_subpixel" and abs(r[3]["refined_reference_x"] - 26) < 0.5 and r[3]["reference_x"] == 24.0
+    models = spark.createDataFrame([(1, [1.0, 0.0, 2.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0])], "pair_id long, h array<double>")
+    moved = {x["match_id"]: x for x in rf.accepted(got, models, (48, 48), (48, 48)).collect()}
+    assert moved[1]["accepted"] and moved[1]["reference_x"] == moved[1]["refined_reference_x"] != 24.0
+    away = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "pair_id long, h array<double>")
+    back = {x["match_id"]: x for x in rf.accepted(got, away, (48, 48), (48, 48)).collect()}
+    assert not back[1]["accepted"] and back[1]["reference_x"] == 24.0

@@ -113,12 +113,20 @@ def test_robust_models(spark, iterate):
     assert all(r["threshold"] <= 3.0 for r in models.collect())
 
 
-def test_refit_keeps_the_better(spark):
+def test_refit_takes_the_better_of_two_new_models(spark):
     m, outlier = truth_matches(4)
-    df = spark.createDataFrame(m, MATCH)
-    bad = spark.createDataFrame([(4, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 3.0, 80)], robust.MODEL)
-    best = robust.refit(df, bad).first()
-    assert robust.scored(df, spark.createDataFrame([best], robust.MODEL)).where("inlier").count() == (~outlier).sum()
+    good = [x for x, o in zip(m, outlier, strict=True) if not o]
+    other = [(7000 + x[0], 5, *x[2:]) for x in m]
+    few = [(8000 + x[0], 6, *x[2:]) for x in good[:3]]
+    df = spark.createDataFrame(m + other + few, MATCH)
+    keep = {x[0] for x in good} | {x[0] for x in other} | {x[0] for x in few}
+    refined = df.withColumn("inlier", F.col("match_id").isin(*keep))
+    got = {r["pair_id"]: r for r in robust.refit(refined).collect()}
+    # right inliers give the refit; with outliers among them only the second pass holds
+    assert got[4]["model"] == "refit" and got[4]["n_fit"] == len(good) and got[5]["model"] == "second_pass" and got[6]["h"] is None
+    models = spark.createDataFrame([(p, r["h"], r["threshold"], r["n_fit"]) for p, r in got.items()], robust.MODEL)
+    n = {r["pair_id"]: r["n"] for r in robust.scored(refined, models).where("inlier").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {4: len(good), 5: len(good)}
 
 
 def test_tightening_never_loosens():
