@@ -1,4 +1,4 @@
-"""Queries that match: tiles of images, and the search for a working scale."""
+"""Queries that match: tiles of images, the search for a working scale, refinement; and the store of runs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from orbitweave.operators import candidates as c
 from orbitweave.operators import refinement as rf
 from orbitweave.operators import robust as rb
+from orbitweave.operators import run_store
 from orbitweave.operators import tiled
 from orbitweave.plans import registration as rg
 from orbitweave.plans.catalogue import BOUNDS, TILES, known_scored, q, query, r
 from orbitweave.plans.views import ctes, view
+from orbitweave.storage import fresh_folder
 
 #: Descriptors with places: the reference image shows the same ones, shrunk, with noise that hides every fifth.
 KEYPOINTS = """
@@ -109,3 +111,13 @@ def q_refit(spark, sf_dir):
     moved = rows.withColumns({"reference_x": F.lit(1.02) * F.col("source_x") + F.lit(0.01) * F.col("source_y") + F.lit(5.25), "reference_y": F.lit(0.98) * F.col("source_y") - F.lit(0.01) * F.col("source_x") - F.lit(3.5)})
     got = rb.refit(moved.drop("reprojection_error", "threshold")).where(F.col("h").isNotNull())
     return got.select("pair_id", "n_fit", *(r(F.col("h")[k], 4).alias(f"h{k}") for k in (0, 2, 4, 5)))
+
+
+@query(f"""{ctes('runs')} SELECT run_id, status, {q('total_seconds')} AS total_seconds, strftime(created_at, '%Y-%m') AS month FROM runs""")
+def q_run_store(spark, sf_dir):
+    # all runs, in two appends that overlap, and once more: each is stored once
+    runs = view(spark, sf_dir, "runs")
+    path = fresh_folder(spark, "store")
+    for part in (runs.where("status <> 'failed'"), runs, runs):
+        run_store.append(part, path)
+    return run_store.read(spark, path, runs.schema).select("run_id", "status", r("total_seconds").alias("total_seconds"), F.date_format("month", "yyyy-MM").alias("month"))

@@ -25,13 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: list[str] = []
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; clear_written removes what comes to stand there."""
+    _paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again. That cuts the lineage: a lost
     executor costs a re-read of the file, not a recomputation, and non-deterministic row ids are
     fixed once and for all. The files stay until clear_written or the folder's owner removes them."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    path = fresh_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

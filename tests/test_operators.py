@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from orbitweave.operators import candidates as c
+from orbitweave.operators import candidates as c, metric_join
 from orbitweave.operators import contrast, documents, lookups, metrics, rasters, refinement, robust
 from orbitweave.plans import registration
 
@@ -167,17 +167,16 @@ def test_nearest_in_time(spark):
     assert got == {1: (10, 5.0), 2: (10, 5.0), 3: (9, 0.0), 4: (12, 4.0), 5: (12, 79.0), 6: (None, None)}
 
 
-def test_descriptors_in_blocks(spark, monkeypatch):
+def test_descriptors_in_parts(spark, monkeypatch):
     r = np.random.default_rng(2)
     a, b = r.normal(size=(30, 8)), r.normal(size=(50, 8))
     df = lambda x: spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, embedding array<double>")
     want = {(i, int(j)) for i, v in enumerate(a) for j in np.argsort(((b - v) ** 2).sum(1))[:2]}
-    for block in (1000, 20):
-        monkeypatch.setattr(lookups, "BLOCK_ROWS", block)
+    for part in (1000, 20):
+        monkeypatch.setattr(metric_join, "PART", part)
         assert {(x["source_id"], x["reference_id"]) for x in lookups.descriptor_neighbours(df(a), df(b)).collect()} == want
     pts = spark.createDataFrame([(0.2, 0.1), (9.0, 9.0)], "x double, y double")
     grid = spark.createDataFrame([(i, float(i), float(i), float(i), -float(i)) for i in range(10)], "idx long, pixel double, scan double, longitude double, latitude double")
-    monkeypatch.setattr(lookups, "BLOCK_ROWS", 4)
     assert rows(lookups.nearest_grid_point(pts, grid).select("longitude", "latitude")) == [(0.0, 0.0), (9.0, -9.0)]
 
 
