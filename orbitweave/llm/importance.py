@@ -35,7 +35,7 @@ from orbitweave.llm.common import counted_out, written
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
 SEED = "2024"
-#: Noise lies between -3,136 and 22,874, since h is one of 2**32 values. A gain is a thousand logarithms
+#: Noise lies between -3,130 and 22,873, since h is one of 2**32 values. A gain is a thousand logarithms
 #: of a ratio of counts: of 10**15 features it stays within 35,000 on either side. So there are
 #: fewer than SPAN scores, whatever the number of documents.
 SPAN = 100_000

@@ -112,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others fit models, read markup or use tokenizers, which SQL can't express; tests compare
-    them with brute-force versions."""
+    """The others fit models, read markup or use tokenizers, which SQL can't express; tests compare op1,
+    op7 and op8 with brute-force versions, hold op2 to its marginals by enumeration and its held-out
+    labels, op4 to round trips and op6 to pages made by hand."""
     return oracles.all_sql(N_SHARDS)
