@@ -131,7 +131,7 @@ def projected(matches: DataFrame, projector: Projector | None, threshold: float
         F.coalesce(used, F.lit(False)).alias("physical_geometry_used"), reason.alias("projection_reason"))
 
 
-#: What refine() says, in the words of a result.
+#: What refine() says, in the words of a result. Those of methods and failures stand below.
 LOCAL_REASONS = {"refined": "phase_correlation_subpixel", "patch_outside_image": "boundary_or_invalid_patch", "low_texture": "low_texture_patch", "image_unavailable": "image_patches_not_supplied"}
 
 

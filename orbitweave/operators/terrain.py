@@ -23,6 +23,7 @@ STEP_DEGREES = 1e-4
 #: Rounds of the intersection, and the movement in metres at which it has settled.
 ROUNDS, SETTLED_M = 12, 1e-4
 
+# The reasons that results tell.
 MISSES_SPHERE = "camera_ray_misses_lunar_reference_sphere"
 MISSES_SURFACE = "ray_misses_dem_surface"
 MEETS = "dem_intersection"
