@@ -11,6 +11,9 @@ The upper levels have at most TOP cells by construction, and these go to all exe
 
 Bounds are formed as distances are, from differences, squares and a sum, which rounding keeps in order: the
 result is that of a comparison of all pairs, ties to the lowest idx included.
+
+Points at one place are looked up once. Tables with a row for each point never go to all executors: Spark would
+take the size of their files, which compress well, for that of their rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitweave import workers
@@ -32,6 +35,8 @@ LEAF = 32
 TOP = FANOUT**6
 #: No cell is cut deeper: its places differ by less than the square's side over 4**26, as near as doubles tell.
 DEEPEST = 26
+#: Places that go to all executors, at most.
+BROADCAST_PLACES = 10_000
 
 
 def _cell(x: Column, low: float, side: float, level: int) -> Column:
@@ -128,14 +133,13 @@ def candidates(points: DataFrame, cells: DataFrame, first: int, deepest: int) ->
         open_ = found.where("NOT leaf").select("_row", "_x", "_y", "most", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
         low, high = _low_high(F.col("_x"), F.col("_y"))
         step = open_.join(below, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))).withColumns({"low": low, "high": high}).where("low <= most")
-        best = step.groupBy("_row").agg(F.min(F.least("high", "most")).alias("_best"))
-        found = written(step.join(best.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r")).where("low <= _best").select("_row", "_x", "_y", "level", "cx", "cy", "leaf", F.col("_best").alias("most")), "descent")
+        best = F.min(F.least("high", "most")).over(Window.partitionBy("_row"))
+        found = written(step.withColumn("_best", best).where("low <= _best").select("_row", "_x", "_y", "level", "cx", "cy", "leaf", F.col("_best").alias("most")), "descent")
         if level + 1 >= first and found.where("NOT leaf").isEmpty():
             kept = kept.unionByName(found.select(*kept.columns))
             break
     # leaves of several levels: the best of all of them is known only now
-    best = kept.groupBy(F.col("_row").alias("_r")).agg(F.min("most").alias("_best"))
-    return kept.join(best, F.col("_row") == F.col("_r")).drop("_r", "most")
+    return kept.withColumn("_best", F.min("most").over(Window.partitionBy("_row"))).drop("most")
 
 
 def nearest_place(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -146,14 +150,17 @@ def nearest_place(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y"
     px, py = F.col("pixel").cast("double"), F.col("scan").cast("double")
     one = grid.where(finite(px) & finite(py)).groupBy(px.alias("px"), py.alias("py")).agg(F.min(F.struct("idx", "longitude", "latitude")).alias("_g")).select("px", "py", "_g")
     one = written(one, "places")
-    rows = written(points.withColumns({"_row": F.monotonically_increasing_id(), "_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")}), "points")
+    rows = written(points.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")}), "points")
     if one.isEmpty():
         return points.withColumns({"longitude": F.lit(None).cast("double"), "latitude": F.lit(None).cast("double")})
     cells, places, first, deepest = tree(one)
-    asked = candidates(rows.where(finite(F.col("_x")) & finite(F.col("_y"))).select("_row", "_x", "_y"), cells, first, deepest)
+    asked = rows.where(finite(F.col("_x")) & finite(F.col("_y"))).select("_x", "_y").distinct()
+    asked = written(asked.select(F.monotonically_increasing_id().alias("_row"), "_x", "_y"), "asked")
+    asked = candidates(asked, cells, first, deepest)
     at = places.select(F.col("level").alias("_level"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "px", "py", "_g")
+    at = F.broadcast(at) if places.count() <= BROADCAST_PLACES else at.hint("merge")
     met = asked.join(at, (F.col("level") == F.col("_level")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")))
     d = (F.col("_x") - F.col("px")) * (F.col("_x") - F.col("px")) + (F.col("_y") - F.col("py")) * (F.col("_y") - F.col("py"))
-    best = met.groupBy(F.col("_row").alias("_r")).agg(F.min(F.struct(d.alias("d"), F.col("_g")["idx"].alias("idx"), F.col("_g")["longitude"].alias("longitude"), F.col("_g")["latitude"].alias("latitude"))).alias("_best"))
-    out = rows.join(best, F.col("_row") == F.col("_r"), "left")
+    best = met.groupBy(F.col("_x").alias("_ax"), F.col("_y").alias("_ay")).agg(F.min(F.struct(d.alias("d"), F.col("_g")["idx"].alias("idx"), F.col("_g")["longitude"].alias("longitude"), F.col("_g")["latitude"].alias("latitude"))).alias("_best"))
+    out = rows.join(best.hint("merge"), (F.col("_x") == F.col("_ax")) & (F.col("_y") == F.col("_ay")), "left")
     return out.select(*points.columns, F.col("_best")["longitude"].cast("double").alias("longitude"), F.col("_best")["latitude"].cast("double").alias("latitude"))
