@@ -48,17 +48,19 @@ def _same(by: Sequence[str]) -> Column:
 
 def carried(cut: DataFrame, by: str, order: Sequence[Column | str], value: str) -> DataFrame:
     """cut (with _range) with _before and _after: the last value that is not null at or before each row,
-    and the first at or after it, over all ranges of its group. Edges of ranges are one row each."""
-    local = Window.partitionBy(by, "_range").orderBy(*order)
+    and the first at or after it, over all ranges of its group. Edges of ranges are one row each. What follows is
+    what precedes in the reverse order: a frame that ends with the group would be gone through anew by each row."""
+    back = lambda c: (F.col(c) if isinstance(c, str) else c).desc_nulls_last()
+    so_far = lambda *o: Window.partitionBy(by, "_range").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumns({
-        "_before": F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first(value, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing))})
+        "_before": F.last(value, ignorenulls=True).over(so_far(*order)),
+        "_after": F.last(value, ignorenulls=True).over(so_far(*map(back, order)))})
     # the ends of a range are its extreme values; the ranges of a group are as many as its rows allow
     ends = cut.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_b"), F.col("_range").alias("_r")).agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
     every = cut.select(F.col(by).alias("_b"), F.col("_range").alias("_r")).distinct().join(ends, ["_b", "_r"], "left")
-    across = Window.partitionBy("_b").orderBy("_r")
+    across = lambda o: Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     every = every.select(
-        "_b", "_r", F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"),
-        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+        "_b", "_r", F.last("_last", ignorenulls=True).over(across(F.asc("_r"))).alias("_from"),
+        F.last("_first", ignorenulls=True).over(across(F.desc("_r"))).alias("_to"))
     joined = rows.join(every, F.col(by).eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")))
     return joined.withColumns({"_before": F.coalesce("_before", "_from"), "_after": F.coalesce("_after", "_to")}).drop("_b", "_r", "_from", "_to")

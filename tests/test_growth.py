@@ -37,3 +37,11 @@ def test_points_are_not_broadcast(spark, monkeypatch):
     assert "BroadcastExchange" not in plan_of(got)
     want = [(i, (min(29.0, max(0.0, float(i % 31)))) + 30.0 * (i % 7)) for i in range(3000)]
     assert sorted((r["match_id"], r["longitude"]) for r in got.collect()) == want
+
+
+def test_frames_of_a_series_only_look_back(spark):
+    cut = spark.range(1000).select(F.lit("a").alias("s"), F.col("id").alias("t"), F.when(F.col("id") % 10 == 3, F.col("id")).alias("v"), F.floor(F.col("id") / 300).cast("int").alias("_range"))
+    got = ranges.carried(cut, "s", ["t"], "v")
+    assert "unboundedfollowing" not in plan_of(got)
+    down, up = lambda t: t - (t - 3) % 10, lambda t: t + (3 - t) % 10
+    assert {tuple(r) for r in got.select("t", "_before", "_after").collect()} == {(t, down(t) if down(t) >= 0 else None, up(t) if up(t) < 1000 else None) for t in range(1000)}
