@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import geometry as g
 from orbitweave.operators import metric_join, place_index, ranges
+from orbitweave.storage import written
 
 
 def any_key_lookup(probe: DataFrame, key: str, catalog: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
@@ -43,16 +44,55 @@ def overlaps(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Colu
     return (lo <= other_hi) & (other_lo <= hi)
 
 
+def _spans(level: int) -> Column:
+    """The nodes (level, node) of a binary tree over places 0, 1, ... that make up _lo to _hi: two of a level at most."""
+    a, b = "(-shiftright(-_lo, k))", "shiftright(_hi + 1, k)"
+    two = ", ".join(f"struct(k AS level, IF({x} % 2 = 1 AND {a} < {b}, {n}, NULL) AS node)" for x, n in ((a, a), (b, f"{b} - 1")))
+    return F.expr(f"filter(flatten(transform(sequence(0, {level}), k -> array({two}))), n -> n.node IS NOT NULL)")
+
+
+def _above(level: int) -> Column:
+    """The nodes that hold the place _lo."""
+    return F.expr(f"transform(sequence(0, {level}), k -> struct(k AS level, shiftright(_lo, k) AS node))")
+
+
 def first_overlapping(regions: DataFrame, providers: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """regions (region_id, lat_lo, lat_hi) with the provider of lowest ordinal whose latitudes
     overlap (longitudes are not looked at), null without one. providers: ordinal, provider, p_lo,
-    p_hi. The interval join goes by whole degrees: both sides stand in each degree that they
-    touch, so it is an equi-join."""
-    a = regions.withColumn("_deg", F.explode(F.sequence(F.floor("lat_lo"), F.floor("lat_hi"))))
-    b = providers.withColumn("_d", F.explode(F.sequence(F.floor("p_lo"), F.floor("p_hi"))))
-    hit = a.join(b, (F.col("_deg") == F.col("_d")) & overlaps(F.col("lat_lo"), F.col("lat_hi"), F.col("p_lo"), F.col("p_hi")))
-    best = hit.groupBy("region_id").agg(F.min(F.struct(ordinal, "provider")).alias("_b")).select("region_id", F.col("_b")["provider"].alias("provider"))
-    return regions.join(best, "region_id", "left")
+    p_hi.
+
+    No pairs are formed. Equal ranges are one, with the first of their providers. All bounds are numbered in their
+    order, and these places are the leaves of a binary tree. A provider overlaps if it holds a region's lower
+    bound - its range is a few nodes, the bound stands under one of each level - or begins in the region, which is
+    the same with the sides changed. A node keeps its first provider only, so both are an equi-join of regions with
+    one row. Ranges whose ends are the wrong way round are compared with the others in each whole degree."""
+    asked = regions.select("lat_lo", "lat_hi").where("lat_lo IS NOT NULL AND lat_hi IS NOT NULL").distinct()
+    first = F.min(F.struct(ordinal, "provider")).alias("_b")
+    held = written(providers.where("p_lo IS NOT NULL AND p_hi IS NOT NULL").groupBy("p_lo", "p_hi").agg(first), "providers")
+    asked = written(asked, "regions")
+    values = [t.select(F.col(c).cast("double").alias("_v")) for t, cs in ((asked, ("lat_lo", "lat_hi")), (held, ("p_lo", "p_hi"))) for c in cs]
+    places = written(ranges.numbered(values[0].unionByName(values[1]).unionByName(values[2]).unionByName(values[3]).distinct(), ["_v"], into="_place"), "bounds")
+    level = max(0, places.count().bit_length())
+
+    def placed(table: DataFrame, lo: str, hi: str) -> DataFrame:
+        for c, name in ((lo, "_lo"), (hi, "_hi")):
+            own = places.select(F.col("_v").alias(f"_v{name}"), F.col("_place").alias(name))
+            table = table.join(own.hint("merge"), F.col(c).cast("double") == F.col(f"_v{name}")).drop(f"_v{name}")
+        return written(table, "placed")
+
+    a, b = placed(asked, "lat_lo", "lat_hi"), placed(held, "p_lo", "p_hi")
+    right = F.col("_lo") <= F.col("_hi")
+    nodes = lambda table, begins, kind, *more: table.where(right).select(*more, F.lit(kind).alias("kind"), F.explode((_above if begins else _spans)(level)).alias("_n")).select(*more, "kind", "_n.*")
+    of = nodes(b, False, "holds", "_b").unionByName(nodes(b, True, "begins", "_b")).groupBy("kind", "level", "node").agg(F.min("_b").alias("_b"))
+    hit = nodes(a, True, "holds", "lat_lo", "lat_hi").unionByName(nodes(a, False, "begins", "lat_lo", "lat_hi")).join(of.hint("merge"), ["kind", "level", "node"]).select("lat_lo", "lat_hi", "_b")
+    for own, other in ((a.where(~right), b.where(right)), (a.where(right), b.where(~right))):
+        own = own.withColumn("_deg", F.explode(F.sequence(F.floor("lat_lo"), F.floor("lat_hi"))))
+        other = other.select("p_lo", "p_hi", "_b", F.explode(F.sequence(F.floor("p_lo"), F.floor("p_hi"))).alias("_d"))
+        met = own.join(other, (F.col("_deg") == F.col("_d")) & overlaps(F.col("lat_lo"), F.col("lat_hi"), F.col("p_lo"), F.col("p_hi")))
+        hit = hit.unionByName(met.select("lat_lo", "lat_hi", "_b"))
+    best = hit.groupBy(F.col("lat_lo").alias("_a"), F.col("lat_hi").alias("_z")).agg(F.min("_b").alias("_b"))
+    out = regions.join(best.hint("merge"), (F.col("lat_lo") == F.col("_a")) & (F.col("lat_hi") == F.col("_z")), "left")
+    return out.select(*regions.columns, F.col("_b")["provider"].alias("provider"))
 
 
 def nearest_in_time(probes: DataFrame, records: DataFrame, by: str, time: str = "time", record: str = "record_number", probe: str = "probe_id", range_rows: int | None = None) -> DataFrame:

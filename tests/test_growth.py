@@ -45,3 +45,27 @@ def test_frames_of_a_series_only_look_back(spark):
     assert "unboundedfollowing" not in plan_of(got)
     down, up = lambda t: t - (t - 3) % 10, lambda t: t + (3 - t) % 10
     assert {tuple(r) for r in got.select("t", "_before", "_after").collect()} == {(t, down(t) if down(t) >= 0 else None, up(t) if up(t) < 1000 else None) for t in range(1000)}
+
+
+def overlap_tables(spark, a, b):
+    f = lambda v: None if v is None else float(v)
+    return (spark.createDataFrame([(i, f(x), f(y)) for i, (x, y) in enumerate(a)], "region_id long, lat_lo double, lat_hi double"),
+            spark.createDataFrame([(i, f"p{i}", f(x), f(y)) for i, (x, y) in enumerate(b)], "ordinal long, provider string, p_lo double, p_hi double"))
+
+
+def test_first_overlapping_against_all_pairs(spark):
+    r = np.random.default_rng(5)
+    spans = lambda n, w: [(x, x + y) for x, y in zip(r.uniform(-90, 90, n).round(1), (r.random(n) * w).round(1), strict=True)]
+    a, b = spans(300, 20.0) + [(5, 5), (7, 3), (None, 1)], spans(60, 3.0)[::-1] + [(5, 5), (40, 38), (1, None), (6.5, 6.5), (-0.0, 0.0)]
+    got = {x["region_id"]: x["provider"] for x in lookups.first_overlapping(*overlap_tables(spark, a, b)).collect()}
+    over = lambda s, t: None not in (*s, *t) and s[0] <= t[1] and t[0] <= s[1]
+    assert got == {i: next((f"p{j}" for j, t in enumerate(b) if over(s, t)), None) for i, s in enumerate(a)}
+
+
+def test_many_ranges_of_one_degree_form_no_pairs(spark):
+    n = 3000
+    a = spark.range(n).select(F.col("id").alias("region_id"), (F.col("id") / n * 0.5).alias("lat_lo"), (F.col("id") / n * 0.5 + 0.4).alias("lat_hi"))
+    b = spark.range(n).select((F.lit(n) - F.col("id")).alias("ordinal"), F.col("id").cast("string").alias("provider"), (F.col("id") / n * 0.9).alias("p_lo"), (F.col("id") / n * 0.9 + 0.01).alias("p_hi"))
+    got = lookups.first_overlapping(a, b)
+    assert got.where("provider IS NULL").isEmpty() and got.count() == n
+    assert most_rows(got) < 100 * n
