@@ -156,12 +156,37 @@ def deduplicate(matches: DataFrame, radius: float = 3.0) -> DataFrame:
     return matches if dropped is None else matches.join(dropped, ["pair_id", "match_id"], "left_anti")
 
 
-def merge(passes: list[DataFrame], radius: float = 2.0) -> DataFrame:
-    """All passes together, then de-duplicated."""
+def without_weaker(matches: DataFrame, radius: float = 3.0) -> DataFrame:
+    """Rows without any stronger row within radius at both ends, whether that one is kept or not. A chain of
+    ever weaker neighbours leaves its strongest row only, where deduplicate() also keeps those that lost
+    their stronger neighbour.
+
+    Only the strongest row of a knot (deduplicate) can be left; it is held against the strongest row of each
+    place in the cells that it can reach, so a crowd is looked at by as many heads as there are knots around it.
+    Rows with a null or NaN coordinate or confidence match nothing and stay."""
+    usable = F.coalesce(g.finite(*(F.col(c) for c in POINTS), F.col("confidence")), F.lit(False))
+    size = CELL * radius
+    strongest = F.max(F.struct("confidence", (-F.col("match_id")).alias("order"))).alias("_s")
+    spots = written(matches.where(usable).groupBy("pair_id", *POINTS).agg(strongest).select("pair_id", *POINTS, "_s.*"), "spots")
+    knot = [F.floor(F.col(c) / (KNOT * radius)) for c in POINTS]
+    heads = written(spots.groupBy("pair_id", *knot).agg(F.max(F.struct("confidence", "order", *POINTS)).alias("_h")).select("pair_id", "_h.*"), "heads")
+    cell = ["pair_id", "_c0", "_c1", "_c2", "_c3"]
+    others = spots.select("pair_id", *(F.floor(F.col(c) / size).alias(f"_c{k}") for k, c in enumerate(POINTS)), F.col("confidence").alias("_conf"), F.col("order").alias("_order"), *(F.col(c).alias(f"_{c}") for c in POINTS))
+    near = _spread(heads, {c: F.col(c) - radius for c in POINTS}, {c: F.col(c) + radius for c in POINTS}, size)
+    within = [g.distance(*(F.col(n) for n in (x, y, f"_{x}", f"_{y}"))) <= radius for x, y in (POINTS[:2], POINTS[2:])]
+    stronger = (F.col("_conf") > F.col("confidence")) | (F.col("_conf") == F.col("confidence")) & (F.col("_order") > F.col("order"))
+    met = near.join(others.hint("merge"), cell).where(stronger & within[0] & within[1])
+    blocked = met.select("pair_id", (-F.col("order")).alias("match_id")).distinct()
+    kept = heads.select("pair_id", (-F.col("order")).alias("match_id")).join(blocked.hint("merge"), ["pair_id", "match_id"], "left_anti")
+    return matches.where(usable).join(kept.hint("merge"), ["pair_id", "match_id"], "left_semi").select(*matches.columns).unionByName(matches.where(~usable))
+
+
+def merge(passes: list[DataFrame], radius: float = 2.0, chains: bool = True) -> DataFrame:
+    """All passes together, then de-duplicated: greedily, or with chains=False against all stronger rows."""
     rows = passes[0]
     for p in passes[1:]:
         rows = rows.unionByName(p)
-    return deduplicate(rows, radius)
+    return deduplicate(rows, radius) if chains else without_weaker(rows, radius)
 
 
 def unscaled(matches: DataFrame, scale: float) -> DataFrame:

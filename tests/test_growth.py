@@ -69,3 +69,21 @@ def test_many_ranges_of_one_degree_form_no_pairs(spark):
     got = lookups.first_overlapping(a, b)
     assert got.where("provider IS NULL").isEmpty() and got.count() == n
     assert most_rows(got) < 100 * n
+
+
+@pytest.mark.parametrize("radius", [2.0, 3.0])
+def test_without_weaker_against_all_pairs(spark, radius):
+    r = np.random.default_rng(8)
+    data = [(1, i, *map(float, p), float(c)) for i, (p, c) in enumerate(zip(np.r_[r.uniform(0, 9, (250, 4)), np.tile([4.0, 4, 4, 4], (50, 1))], r.integers(0, 40, 300) / 40, strict=True))]
+    data += [(2, 1, 0.0, 0.0, 0.0, 0.0, 0.9), (2, 2, 1.5, 0.0, 1.5, 0.0, 0.8), (2, 3, 3.0, 0.0, 3.0, 0.0, 0.7), (2, 4, float("nan"), 0.0, 0.0, 0.0, 0.1), (2, 5, None, 0.0, 0.0, 0.0, 0.1)]
+    table = spark.createDataFrame(data, "pair_id long, match_id long, source_x double, source_y double, reference_x double, reference_y double, confidence double")
+    ok = lambda m: all(v is not None and v == v for v in m[2:])
+    near = lambda a, b: ok(a) and ok(b) and all(np.hypot(a[k] - b[k], a[k + 1] - b[k + 1]) <= radius for k in (2, 4))
+    want = [m[:2] for m in data if not any(o[0] == m[0] and (-o[6], o[1]) < (-m[6], m[1]) and near(o, m) for o in data)]
+    assert rows(candidates.merge([table], radius, chains=False).select("pair_id", "match_id")) == sorted(want, key=repr)
+
+
+def test_chains_differ_in_the_two_forms(spark):
+    table = spark.createDataFrame([(2, i, 1.5 * i, 0.0, 1.5 * i, 0.0, 1.0 - i / 10) for i in range(3)], "pair_id long, match_id long, source_x double, source_y double, reference_x double, reference_y double, confidence double")
+    assert rows(candidates.merge([table], 2.0).select("match_id")) == [(0,), (2,)]
+    assert rows(candidates.merge([table], 2.0, chains=False).select("match_id")) == [(0,)]
