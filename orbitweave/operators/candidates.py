@@ -67,29 +67,28 @@ def grid_histogram(celled: DataFrame, grid: tuple[int, int] = (8, 8)) -> DataFra
     return cells.join(counts, ["pair_id", "grid_row", "grid_col"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def neighbourhood(x: Column, y: Column, radius: float) -> Column:
-    """The 3 x 3 cells of size radius around a point, as (i, j) structs."""
-    i, j = F.floor(x / radius), F.floor(y / radius)
-    return F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-
-
 def mutual(forward: DataFrame, reverse: DataFrame, radius: float = 3.0) -> DataFrame:
     """forward rows whose nearest reverse row - by the distance of the forward reference point from
     the reverse source point, ties to the lowest rev_id - is within radius, and leads back to
     within radius of the source point. The confidence is the lower of both. reverse: rev_id instead
     of match_id, its source in the forward reference image.
 
-    A nearest row beyond radius drops the forward row whatever it is, so only the 3 x 3 cells of
-    size radius around a point are looked at: an equi-join on cells instead of all pairs.
+    A nearest row beyond radius drops the forward row whatever it is, so only cells of two radii
+    around a point are looked at: an equi-join on cells instead of all pairs. A reverse row stands in the
+    four cells that it can reach, a forward row in its own only: all that it meets is in one task, and one row
+    of it is left before the next shuffle. Of reverse rows at one place only the lowest rev_id can win.
     """
-    left = forward.withColumn("_cell", F.explode(neighbourhood(F.col("reference_x"), F.col("reference_y"), radius)))
-    left = left.withColumns({"_i": F.col("_cell")["i"], "_j": F.col("_cell")["j"]}).drop("_cell")
-    right = reverse.select(
-        F.col("pair_id").alias("_pair"), F.floor(F.col("source_x") / radius).alias("_ri"), F.floor(F.col("source_y") / radius).alias("_rj"), F.col("rev_id").alias("_rev"), F.col("source_x").alias("_x"), F.col("source_y").alias("_y"), F.col("reference_x").alias("_bx"), F.col("reference_y").alias("_by"), F.col("confidence").alias("_conf"))
-    near = left.join(right, (F.col("pair_id") == F.col("_pair")) & (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj")))
+    size = 2.0 * radius
+    left = forward.withColumns({"_i": F.floor(F.col("reference_x") / size), "_j": F.floor(F.col("reference_y") / size)})
+    one = reverse.groupBy(F.col("pair_id").alias("_pair"), F.col("source_x").alias("_x"), F.col("source_y").alias("_y")).agg(
+        F.min(F.struct(F.col("rev_id").alias("_rev"), F.col("reference_x").alias("_bx"), F.col("reference_y").alias("_by"), F.col("confidence").alias("_conf"))).alias("_to"))
+    reach = lambda c: F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size))
+    one = one.where(g.finite(F.col("_x"), F.col("_y")))
+    right = one.select("_pair", "_x", "_y", "_to", F.explode(reach("_x")).alias("_ri")).select("*", F.explode(reach("_y")).alias("_rj"))
+    near = left.join(right.hint("merge"), (F.col("pair_id") == F.col("_pair")) & (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj")))
     near = near.withColumn("_d", g.distance(F.col("reference_x"), F.col("reference_y"), F.col("_x"), F.col("_y"))).where(F.col("_d") <= radius)
     names = [c for c in forward.columns if c not in ("pair_id", "match_id")]
-    best = near.groupBy("pair_id", "match_id").agg(*(F.first(c).alias(c) for c in names), F.min(F.struct("_d", "_rev", "_bx", "_by", "_conf")).alias("_best"))
+    best = near.groupBy("pair_id", "match_id").agg(*(F.first(c).alias(c) for c in names), F.min(F.struct("_d", "_to._rev", "_to._bx", "_to._by", "_to._conf")).alias("_best"))
     back = g.distance(F.col("source_x"), F.col("source_y"), F.col("_best")["_bx"], F.col("_best")["_by"])
     return best.where(back <= radius).withColumns({"confidence": F.least("confidence", F.col("_best")["_conf"]), "rev_id": F.col("_best")["_rev"]}).select(*forward.columns, "rev_id")
 

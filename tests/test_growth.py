@@ -87,3 +87,26 @@ def test_chains_differ_in_the_two_forms(spark):
     table = spark.createDataFrame([(2, i, 1.5 * i, 0.0, 1.5 * i, 0.0, 1.0 - i / 10) for i in range(3)], "pair_id long, match_id long, source_x double, source_y double, reference_x double, reference_y double, confidence double")
     assert rows(candidates.merge([table], 2.0).select("match_id")) == [(0,), (2,)]
     assert rows(candidates.merge([table], 2.0, chains=False).select("match_id")) == [(0,)]
+
+
+def test_mutual_against_all_pairs_in_little_shuffle(spark):
+    r = np.random.default_rng(4)
+    p = lambda n: r.uniform(-15, 25, (n, 4)).round(0)
+    f, b = [(1, i, *map(float, x), 0.5) for i, x in enumerate(p(400))], [(1, i, *map(float, x), 0.25) for i, x in enumerate(p(300))]
+    schema = "pair_id long, {} long, source_x double, source_y double, reference_x double, reference_y double, confidence double"
+    forward, reverse = spark.createDataFrame(f, schema.format("match_id")), spark.createDataFrame(b, schema.format("rev_id"))
+    got = candidates.mutual(forward, reverse)
+    want = []
+    for m in f:
+        d, _, o = min((np.hypot(m[4] - o[2], m[5] - o[3]), o[1], o) for o in b)
+        if d <= 3.0 and np.hypot(m[2] - o[4], m[3] - o[5]) <= 3.0:
+            want.append((m[1], o[1], 0.25))
+    assert rows(got.select("match_id", "rev_id", "confidence")) == sorted(want, key=repr) and want
+
+
+def test_mutual_of_copies_forms_no_pairs(spark):
+    n = 1500
+    at = {c: F.lit(4.0) for c in candidates.POINTS} | {"pair_id": F.lit(1), "confidence": F.lit(0.5)}
+    got = candidates.mutual(spark.range(n).withColumnRenamed("id", "match_id").withColumns(at), spark.range(n).withColumnRenamed("id", "rev_id").withColumns(at))
+    assert most_rows(got) < 10 * n
+    assert got.count() == n and got.where("rev_id <> 0").isEmpty()
