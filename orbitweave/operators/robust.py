@@ -146,12 +146,11 @@ def fit_models(matches: DataFrame, threshold: float | DataFrame = 3.0, iterate:
     """A row of MODEL for each pair. threshold: in pixels, or a table (pair_id, limit) of each pair's own."""
     workers.prepare(matches.sparkSession)
     usable = matches.where(g.finite(*(F.col(c) for c in POINTS))).select("pair_id", "match_id", *POINTS)
-    first = Window.partitionBy("pair_id").orderBy(F.xxhash64("match_id"), "match_id")
-    some = usable.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).drop("_rank")
-    if isinstance(threshold, DataFrame):
-        some = some.join(threshold.select("pair_id", F.col("limit").cast("double").alias("_limit")), "pair_id")
-    else:
-        some = some.withColumn("_limit", F.lit(float(threshold)))
+
+    def limited(rows: DataFrame) -> DataFrame:
+        if isinstance(threshold, DataFrame):
+            return rows.join(threshold.select("pair_id", F.col("limit").cast("double").alias("_limit")), "pair_id")
+        return rows.withColumn("_limit", F.lit(float(threshold)))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("match_id")
@@ -163,9 +162,26 @@ def fit_models(matches: DataFrame, threshold: float | DataFrame = 3.0, iterate:
     large = usable.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_fit")).where(F.col("n_fit") > sample)
     large = written(large, "large")
     if large.isEmpty():
-        return some.groupBy("pair_id").applyInPandas(fit, MODEL)
-    whole = fit_large(beside(usable, large, "pair_id"), written(beside(some, large.select("pair_id"), "pair_id"), "some"), iterate)
-    return some.join(F.broadcast(large) if large.count() <= 10_000 else large, "pair_id", "left_anti").groupBy("pair_id").applyInPandas(fit, MODEL).unionByName(whole)
+        return limited(usable).groupBy("pair_id").applyInPandas(fit, MODEL)
+    rows = beside(usable, large, "pair_id")
+    whole = fit_large(rows, written(limited(sampled(rows, sample)), "some"), iterate)
+    few = usable.join(F.broadcast(large) if large.count() <= 10_000 else large, "pair_id", "left_anti")
+    return limited(few).groupBy("pair_id").applyInPandas(fit, MODEL).unionByName(whole)
+
+
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """The rows of the sample lowest hashes of each pair. rows: with n_fit, the pair's rows. Hashes are even, so a
+    bound somewhat above the wanted share leaves few rows to be sorted; a pair for which it leaves too
+    few, as with ids that repeat, is sorted whole."""
+    first = Window.partitionBy("pair_id").orderBy(F.xxhash64("match_id"), "match_id")
+    lowest = lambda t: t.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).drop("_rank", "n_fit")
+    share = F.lit(sample + 6.0 * sample**0.5 + 100.0) / F.col("n_fit")
+    some = written(lowest(rows.where(F.xxhash64("match_id").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))), "sampled")
+    full = some.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= sample).select("pair_id")
+    short = written(rows.select("pair_id").distinct().join(full, "pair_id", "left_anti"), "short")
+    if short.isEmpty():
+        return some
+    return some.join(full, "pair_id", "left_semi").unionByName(lowest(beside(rows, short, "pair_id")).select(*some.columns))
 
 
 def _error(h: str = "h"):
@@ -173,47 +189,58 @@ def _error(h: str = "h"):
 
 
 def ranked(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """models (pair_id, k, h, limit, ...) with rank: inliers over all rows, their share, minus their root mean
-    square error."""
-    e = beside(rows, models.select("pair_id", "k", "h", "limit"), "pair_id").select("pair_id", "k", _error().alias("_e"), "limit")
+    """models (pair_id, k, h, limit, ...) with, from one pass over all rows, rank: inliers, their share, minus
+    their root mean square error; middle: the means of their points; and mark, which tells sets of inliers apart."""
+    e = beside(rows, models.select("pair_id", "k", "h", "limit"), "pair_id").select("pair_id", "k", *POINTS, _error().alias("_e"), "limit")
     inlier = F.coalesce(F.col("_e") <= F.col("limit"), F.lit(False))
-    rank = e.groupBy("pair_id", "k").agg(F.struct(F.count_if(inlier).alias("n"), (F.count_if(inlier) / F.count(F.lit(1))).alias("share"), F.coalesce(-F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))), F.lit(float("-inf"))).alias("rmse")).alias("rank"))
-    return models.join(rank, ["pair_id", "k"])
+    rank = F.struct(F.count_if(inlier).alias("n"), (F.count_if(inlier) / F.count(F.lit(1))).alias("share"), F.coalesce(-F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))), F.lit(float("-inf"))).alias("rmse"))
+    middle = F.struct(*(F.avg(F.when(inlier, F.col(c))).alias(n) for c, n in zip(POINTS, MIDDLE, strict=True)))
+    measured = e.groupBy("pair_id", "k").agg(rank.alias("rank"), middle.alias("middle"), F.bit_xor(F.when(inlier, F.xxhash64(*POINTS))).alias("mark"))
+    return models.join(measured, ["pair_id", "k"])
+
+
+#: Means of the four coordinates.
+MIDDLE = ("a0", "a1", "b0", "b1")
 
 
 def least_squares_of(rows: DataFrame) -> DataFrame:
     """(pair_id, h): the direct linear transform over all rows of each pair, from sums."""
-    sides = [("source_x", "source_y", "a"), ("reference_x", "reference_y", "b")]
-    middle = written(rows.groupBy("pair_id").agg(*(F.avg(c).alias(f"{s}{i}") for x, y, s in sides for i, c in enumerate((x, y))), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 4), "middles")
-    rows = beside(rows, middle, "pair_id")
-    far = rows.groupBy("pair_id").agg(*(F.avg(F.hypot(F.col(x) - F.col(f"{s}0"), F.col(y) - F.col(f"{s}1"))).alias(f"{s}d") for x, y, s in sides))
-    scale = written(middle.join(far, "pair_id").select("pair_id", *(F.when(F.col(f"{s}d") > 1e-12, F.sqrt(F.lit(2.0)) / F.col(f"{s}d")).otherwise(1.0).alias(f"{s}s") for _, _, s in sides)), "scales")
-    (x, y), (u, v) = [((F.col(p) - F.col(f"{s}0")) * F.col(f"{s}s"), (F.col(r) - F.col(f"{s}1")) * F.col(f"{s}s")) for p, r, s in sides]
-    rows = beside(rows, scale, "pair_id").select("pair_id", *(c.alias(n) for c, n in zip((x, y, u, v), "xyuv", strict=True)))
-    x, y, u, v, one, zero = F.col("x"), F.col("y"), F.col("u"), F.col("v"), F.lit(1.0), F.lit(0.0)
-    first, second = [x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v]
-    pairs = [(i, j) for i in range(9) for j in range(i, 9)]
-    sums = rows.groupBy("pair_id").agg(F.array(*(F.sum(first[i] * first[j] + second[i] * second[j]) for i, j in pairs)).alias("m"))
-    table = sums.join(middle.drop("_n"), "pair_id").join(scale, "pair_id")
+    middle = written(rows.groupBy("pair_id").agg(*(F.avg(c).alias(n) for c, n in zip(POINTS, MIDDLE, strict=True))), "middles")
+    return least_squares_about(beside(rows, middle, "pair_id"))
+
+
+def least_squares_about(rows: DataFrame) -> DataFrame:
+    """least_squares_of rows that hold the means of their pair. With p = (x, y, 1) the 9 x 9 normal matrix is made
+    of the sums of p p', u p p', v p p' and (u u + v v) p p', so one pass gives it; it is scaled afterwards."""
+    x, y, u, v = (F.col(c) - F.col(n) for c, n in zip(POINTS, MIDDLE, strict=True))
+    rows = rows.select("pair_id", *MIDDLE, x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    x, y, u, v = (F.col(c) for c in "xyuv")
+    products = [F.lit(1.0), x, y, x * x, x * y, y * y]
+    weights = [F.lit(1.0), u, v, u * u + v * v]
+    sums = rows.groupBy("pair_id").agg(*(F.first(n).alias(n) for n in MIDDLE), F.avg(F.hypot(x, y)).alias("ad"), F.avg(F.hypot(u, v)).alias("bd"), F.array(*(F.sum(w * p) for w in weights for p in products)).alias("m"))
 
     def solve(parts):
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                m = np.zeros((9, 9))
-                for (i, j), value in zip(pairs, r.m, strict=True):
-                    m[i, j] = m[j, i] = value
-                ta, tb = (np.array([[s, 0, -s * c0], [0, s, -s * c1], [0, 0, 1]]) for s, c0, c1 in ((r.as_, r.a0, r.a1), (r.bs, r.b0, r.b1)))
+                sa, sb = (np.sqrt(2) / d if d > 1e-12 else 1.0 for d in (r.ad, r.bd))
+                own = np.array(r.m, float).reshape(4, 6)[:, [[0, 1, 2], [1, 3, 4], [2, 4, 5]]][:, [[1], [2], [0]], [1, 2, 0]]
+                scale = np.array([sa, sa, 1.0])
+                one, by_u, by_v, by_w = own * np.outer(scale, scale) * np.array([1.0, sb, sb, sb * sb])[:, None, None]
+                zero = np.zeros((3, 3))
+                m = np.block([[one, zero, -by_u], [zero, one, -by_v], [-by_u, -by_v, by_w]])
+                ta, tb = (np.array([[s, 0, -s * c0], [0, s, -s * c1], [0, 0, 1]]) for s, c0, c1 in ((sa, r.a0, r.a1), (sb, r.b0, r.b1)))
                 h = np.linalg.inv(tb) @ np.linalg.eigh(m)[1][:, 0].reshape(3, 3) @ ta
                 out.append((h / h[2, 2]).ravel().tolist() if abs(h[2, 2]) > 1e-12 else None)
             yield pd.DataFrame({"pair_id": part.pair_id, "h": out})
 
-    return table.withColumnRenamed("as", "as_").mapInPandas(solve, "pair_id long, h array<double>")
+    return sums.where(F.col("m")[0] >= 4).mapInPandas(solve, "pair_id long, h array<double>")
 
 
 def search(rows: DataFrame, some: DataFrame, limits: DataFrame, shift: int) -> DataFrame:
     """(pair_id, k, h, limit, rank): the hypothesis from some that most of all rows agree with, refitted up to
-    three times on all its inliers while these do not get fewer. limits: (pair_id, limit), written."""
+    three times on all its inliers while these do not get fewer; a refit that leaves the inliers as they were is
+    the last, for the next would be the same. limits: (pair_id, limit), written."""
 
     def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("match_id")
@@ -221,14 +248,23 @@ def search(rows: DataFrame, some: DataFrame, limits: DataFrame, shift: int) -> D
         return pd.DataFrame({"pair_id": [key[0]] * len(found), "k": range(len(found)), "h": [h.ravel().tolist() for h in found], "limit": [float(own["limit"].iloc[0])] * len(found)})
 
     drawn = written(beside(some, limits, "pair_id").groupBy("pair_id").applyInPandas(draw, "pair_id long, k long, h array<double>, limit double"), "drawn")
-    best = ranked(rows, drawn).groupBy("pair_id").agg(F.max_by(F.struct("k", "h", "limit", "rank"), F.struct(F.col("rank")["n"], "k")).alias("m")).select("pair_id", "m.*")
-    best = written(best, "best")
+    agreed = beside(rows, drawn, "pair_id").groupBy("pair_id", "k").agg(F.count_if(_error() <= F.col("limit")).alias("_n"))
+    first = written(agreed.groupBy("pair_id").agg(F.max_by("k", F.struct("_n", "k")).alias("k")).join(drawn, ["pair_id", "k"]), "first")
+    columns = ["k", "h", "limit", "rank", "middle", "mark"]
+    open_, done = written(ranked(rows, first).select("pair_id", *columns), "best"), None
     for _ in range(3):
-        inliers = beside(rows, best.select("pair_id", "h", "limit"), "pair_id").where(_error() <= F.col("limit")).select("pair_id", *POINTS)
-        again = written(least_squares_of(inliers).where(F.col("h").isNotNull()).join(best.select("pair_id", "k", "limit"), "pair_id"), "again")
-        both = best.select("pair_id", "k", "h", "limit", "rank", F.lit(0).alias("_new")).unionByName(ranked(rows, again).select("pair_id", "k", "h", "limit", "rank", F.lit(1).alias("_new")))
-        best = written(both.groupBy("pair_id").agg(F.max_by(F.struct("k", "h", "limit", "rank"), F.struct(F.col("rank")["n"], "_new")).alias("m")).select("pair_id", "m.*"), "best")
-    return best
+        inliers = beside(rows, open_.select("pair_id", "h", "limit", "middle.*"), "pair_id").where(_error() <= F.col("limit"))
+        again = written(least_squares_about(inliers).where(F.col("h").isNotNull()).join(open_.select("pair_id", "k", "limit"), "pair_id"), "again")
+        new = ranked(rows, again).select("pair_id", F.struct(*columns).alias("_m"))
+        both = open_.join(new, "pair_id", "left").withColumn("_new", F.coalesce(F.col("_m.rank.n") >= F.col("rank.n"), F.lit(False)))
+        both = both.select("pair_id", *(F.when(F.col("_new"), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) for c in columns), (F.col("_new") & ~F.col("_m.mark").eqNullSafe(F.col("mark"))).alias("_moved"))
+        both = written(both, "best")
+        rest = both.where("NOT _moved").drop("_moved")
+        done = rest if done is None else done.unionByName(rest)
+        open_ = both.where("_moved").drop("_moved")
+        if open_.isEmpty():
+            break
+    return written(done.unionByName(open_).select("pair_id", "k", "h", "limit", "rank"), "found")
 
 
 def fit_large(rows: DataFrame, some: DataFrame, iterate: bool) -> DataFrame:
@@ -241,9 +277,9 @@ def fit_large(rows: DataFrame, some: DataFrame, iterate: bool) -> DataFrame:
     for k in range(ROUNDS if iterate else 0):
         if k == 0:
             near = beside(rows, best.select("pair_id", "h", "limit"), "pair_id").select("pair_id", _error().alias("_e"), "limit").where("_e <= limit")
-            bounds = tightened_over(near)
+            bounds = tightened_over(written(near.select("pair_id", "_e"), "errors"))
             limited = written(best.join(bounds, "pair_id", "left").select("pair_id", F.lit(0).alias("k"), "h", F.coalesce(F.least("limit", "_bound"), "limit").alias("limit")), "limited")
-            best, open_pairs = written(ranked(rows, limited), "best"), limited.select("pair_id")
+            best, open_pairs = written(ranked(rows, limited).drop("middle", "mark"), "best"), limited.select("pair_id")
         own = lambda table: beside(table, best.join(open_pairs, "pair_id", "left_semi").select("pair_id", "h", "limit"), "pair_id").where(_error() <= F.col("limit"))
         inliers, limits = written(own(rows).select("pair_id", *POINTS), "inliers"), written(best.join(open_pairs, "pair_id", "left_semi").select("pair_id", "limit"), "limits")
         found = search(inliers, own(some).select("pair_id", "match_id", *POINTS), limits, k + 1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from orbitweave.operators import candidates, lookups, place_index, ranges
+from orbitweave.operators import candidates, lookups, place_index, ranges, robust
 
 
 def plan_of(df):
@@ -110,3 +110,40 @@ def test_mutual_of_copies_forms_no_pairs(spark):
     got = candidates.mutual(spark.range(n).withColumnRenamed("id", "match_id").withColumns(at), spark.range(n).withColumnRenamed("id", "rev_id").withColumns(at))
     assert most_rows(got) < 10 * n
     assert got.count() == n and got.where("rev_id <> 0").isEmpty()
+
+
+def planted(spark, n, seed=6):
+    """Two pairs under one homography, with every fifth row wrong; those of the second pair share a few ids."""
+    r = np.random.default_rng(seed)
+    a = r.uniform(0, 1000, (2 * n, 2))
+    b = a @ np.array([[1.02, -0.01], [0.01, 0.98]]) + [5, -3] + r.normal(0, 0.2, (2 * n, 2)) + np.where(np.arange(2 * n) % 5 == 0, 60.0, 0.0)[:, None]
+    data = [(i % 2, i if i % 2 == 0 else i % 7, *map(float, a[i]), *map(float, b[i])) for i in range(2 * n)]
+    return spark.createDataFrame(data, "pair_id long, match_id long, source_x double, source_y double, reference_x double, reference_y double"), a, b
+
+
+def test_sample_is_that_of_the_lowest_hashes(spark):
+    table, _, _ = planted(spark, 3000)
+    got = robust.sampled(table.withColumn("n_fit", F.lit(3000)), 200)
+    hashed = sorted((r[0], r[1], r[2]) for r in table.select("pair_id", F.xxhash64("match_id"), "match_id").collect())
+    want = [x for pair in (0, 1) for x in [h for h in hashed if h[0] == pair][:200]]
+    assert rows(got.select("pair_id", F.xxhash64("match_id"), "match_id")) == sorted(want, key=repr)
+
+
+def test_least_squares_from_sums(spark):
+    table, a, b = planted(spark, 500)
+    got = {r["pair_id"]: r["h"] for r in robust.least_squares_of(table).collect()}
+    for pair in (0, 1):
+        assert np.allclose(np.array(got[pair]).reshape(3, 3), robust.least_squares(a[pair::2], b[pair::2]), rtol=1e-7, atol=1e-9)
+
+
+def test_a_refit_that_changes_no_inlier_is_the_last(spark, monkeypatch):
+    table, a, b = planted(spark, 1500)
+    passes = []
+    ranked = robust.ranked
+    monkeypatch.setattr(robust, "ranked", lambda *x: passes.append(1) or ranked(*x))
+    got = {r["pair_id"]: np.array(r["h"]).reshape(3, 3) for r in robust.fit_models(table, 3.0, sample=300).collect()}
+    assert len(passes) <= 3
+    for pair in (0, 1):
+        right = np.arange(1500) * 2 % 5 != 0 if pair == 0 else (np.arange(1500) * 2 + 1) % 5 != 0
+        assert ((robust.errors(got[pair], a[pair::2], b[pair::2]) <= 3.0) == right).all()
+        assert np.allclose(got[pair], robust.least_squares(a[pair::2][right], b[pair::2][right]), rtol=1e-6, atol=1e-8)
