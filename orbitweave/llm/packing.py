@@ -28,15 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from orbitweave.llm.common import arrow_map, spans_of_size, texts_of, written
+from orbitweave.llm.common import arrow_map, grouped_batches, spans_of_size, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a worker remembers; beyond that it forgets all and starts again.
+#: Parts of words that a worker remembers; beyond that it forgets all and starts again.
 CACHE_WORDS = 700_000
+#: Bytes of batches and characters of texts whose different words are parted together.
+TOGETHER = 8_000_000
 #: Rows of one size that are ranked together; more are ranked in parts. So that parts stay few, a part
 #: is never under one in PARTS of all rows.
 RANGE, PARTS = 250, 100_000
@@ -47,14 +50,18 @@ SHARE = 0.3
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\\x1c-\\x1f]")
 
-#: A Latin word whose lower-casing and composition need no context, and the marks after it. Its ids
-#: are those of the lower-cased letters and then those of the marks.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?#*$%&]*)")
+#: Latin letters whose lower-casing and composition need no context, and marks that may stand after a word of
+#: them. The ids of such a plain word are those of the lower-cased letters and then those of the marks.
+LETTERS = "".join(filter(re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]").match, map(chr, range(0x250))))
+MARKS = ".,;:!?#*$%&"
 JOINED = 4000
 
 _tokenizers: dict[str, object] = {}
 _ends: dict[str, np.ndarray] = {}
-_cache: dict[str, dict[str, bytes]] = {}
+#: Parts of words, how many ids each has, and all their ids in turn.
+Known = tuple[pa.Array, np.ndarray, np.ndarray]
+NOTHING: Known = (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+_known: dict[str, Known] = {}
 
 
 def tokenizer(path: str):
@@ -66,7 +73,6 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-        _cache[path] = {}
         ids = _tokenizers[path].get_vocab()
         _ends[path] = np.zeros(max(ids.values()) + 1, bool)
         _ends[path][[i for w, i in ids.items() if w.endswith("</w>")]] = True
@@ -75,34 +81,69 @@ def tokenizer(path: str):
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """uint32 ids of each whole text, without special tokens. The vocabulary's pre-tokenizer never
-    crosses white space, so ids of a text are those of its words, in turn."""
-    model, cache = tokenizer(path), _cache[path]
-    split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    _learn(list({w for words in split for w in words if w not in cache}), model, cache, _ends[path])
-    return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
-
-
-def _learn(new: list[str], model, cache: dict[str, bytes], is_end: np.ndarray) -> None:
-    """Adds the ids of words to the cache. Plain words go to the tokenizer together, and their ids
-    are parted at the tokens that end a word; all others go one by one."""
-    parted = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))]
-    plain = list({b for _, b, _ in parted if b not in cache})
-    for at in range(0, len(plain), JOINED):
-        part = plain[at : at + JOINED]
-        ids = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        ends, raw, last = 4 * (np.flatnonzero(is_end[ids]) + 1), ids.tobytes(), 0
-        if len(ends) != len(part):
+    crosses white space, so ids of a text are those of its words, in turn. Each different word is
+    parted once, and the ids of all are gathered by number."""
+    words, ends = _words(texts)
+    parts = pa.concat_arrays(_parted(words.dictionary)).dictionary_encode()
+    number, (_, sizes, ids) = _numbers(parts.dictionary, path)
+    both = number[parts.indices.to_numpy()].reshape(2, -1)[:, words.indices.to_numpy()].T.ravel()
+    lengths = sizes[both]
+    upto = np.concatenate(([0], np.cumsum(lengths)))
+    # the place of an id among those remembered: where its part's begin, and how far into it
+    ids = ids[np.repeat((np.cumsum(sizes) - sizes)[both] - upto[:-1], lengths) + np.arange(upto[-1])]
+    bounds = upto[2 * ends].tolist()
+    return [ids[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
+
+def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, one after another, and how many there are up to the end of each text."""
+    if any(map(SEPARATORS.search, texts)):
+        split = [[w for w in SPACE.split(t) if w] for t in texts]
+        return pa.array([w for words in split for w in words], pa.string()).dictionary_encode(), np.cumsum([len(words) for words in split])
+    lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))  # at the same characters as str.split()
+    words, ends = lists.flatten(), lists.offsets.to_numpy()[1:]
+    filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    if not filled.all():  # white space at an end of a text leaves an empty word there
+        words, ends = words.filter(pa.array(filled)), np.concatenate(([0], np.cumsum(filled)))[ends]
+    return words.dictionary_encode(), ends
+
+
+def _parted(words: pa.Array) -> list[pa.Array]:
+    """Of each word two parts whose ids follow each other: of a plain one its letters, in lower case, and
+    its marks; of any other itself and nothing."""
+    marks = pc.utf8_ltrim(words, characters=LETTERS)
+    plain = pc.and_(pc.not_equal(marks, words), pc.equal(pc.ascii_trim(marks, characters=MARKS), ""))
+    letters = pc.utf8_lower(pc.ascii_rtrim(words, characters=MARKS))
+    return [pc.if_else(plain, letters, words), pc.if_else(plain, marks, "")]
+
+
+def _numbers(parts: pa.Array, path: str) -> tuple[np.ndarray, Known]:
+    """The numbers of different parts among those remembered, all of them by now."""
+    known = _known[path] if path in _known and len(_known[path][0]) <= CACHE_WORDS else NOTHING
+    new = parts.filter(pc.invert(pc.is_in(parts, value_set=known[0])))
+    if len(new) or known is NOTHING:
+        known = tuple(join([a, b]) for join, a, b in zip((pa.concat_arrays, np.concatenate, np.concatenate), known, _learnt(new, path), strict=True))
+        _known[path] = known
+    return pc.index_in(parts, value_set=known[0]).to_numpy(), known
+
+
+def _learnt(new: pa.Array, path: str) -> Known:
+    """Letters alone go to the tokenizer together, and their ids are parted at the tokens that end a
+    word; all others go one by one."""
+    model = tokenizer(path)
+    plain = pc.and_(pc.equal(pc.utf8_ltrim(new, characters=LETTERS), ""), pc.not_equal(new, ""))
+    together, alone = new.filter(plain), new.filter(pc.invert(plain))
+    words, sizes, ids = together.to_pylist(), [], []
+    for at in range(0, len(words), JOINED):
+        part = words[at : at + JOINED]
+        ids.append(np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4"))
+        sizes.append(np.diff(np.flatnonzero(_ends[path][ids[-1]]), prepend=-1))
+        if len(sizes[-1]) != len(part):
             raise ValueError("the tokenizer has no ends of words")
-        for w, end in zip(part, ends.tolist(), strict=True):
-            cache[w] = raw[last:end]
-            last = end
-    single = [w for w in {*new, *(t for _, _, t in parted if t)} - {w for w, _, _ in parted} if w not in cache]
-    for w, e in zip(single, model.encode_batch_fast(single, add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    for w, b, t in parted:
-        cache[w] = cache[b] + cache[t] if t else cache[b]
+    each = [e.ids for e in model.encode_batch_fast(alone.to_pylist(), add_special_tokens=False)]
+    sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+    ids.append(np.fromiter((i for e in each for i in e), np.uint32))
+    return pa.concat_arrays([together, alone]), np.concatenate(sizes), np.concatenate(ids)
 
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -114,10 +155,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in grouped_batches(batches, TOGETHER):
             out: list[list] = [[], [], [], [], []]
             texts = texts_of(batch.column(1))
-            tokens = (ids for a, b in spans_of_size(texts) for ids in token_ids(texts[a:b], path))
+            tokens = (ids for a, b in spans_of_size(texts, TOGETHER) for ids in token_ids(texts[a:b], path))
             for doc, ids in zip(batch.column(0).to_pylist(), tokens, strict=True):
                 ids = np.concatenate((ids, end))
                 for k, start in enumerate(range(0, len(ids), capacity)):
