@@ -178,12 +178,18 @@ def with_heights(tokens: DataFrame) -> DataFrame:
     counts = tokens.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 x capacity rows
     total, most = sum(r["n"] for r in counts), max((r["n"] for r in counts), default=0)
     range_ = max(RANGE, -(-total // PARTS))
-    classes = spark.createDataFrame(counts, "size bigint, kind int, n bigint").coalesce(1)
     if most <= range_:
-        tokens, classes = tokens.withColumn("part", F.lit(0)), classes.withColumn("part", F.lit(0))
-    else:
-        tokens = tokens.join(F.broadcast(classes), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("n") / F.lit(range_))).cast("int")).drop("n")
-        classes = tokens.groupBy("size", "kind", "part").agg(F.count(F.lit(1)).alias("n"))
+        # every size is one part, so the counts at hand give the heights
+        before, sum_, low, heights = 0, 0, 0, []
+        for size, kind, n in sorted(counts, key=lambda r: (-r["size"], r["kind"])):
+            heights.append((size, kind, before))
+            sum_ += n if kind == 0 else -n
+            low = min(low, sum_)
+            before = sum_ - low
+        return tokens.withColumn("part", F.lit(0)).join(F.broadcast(spark.createDataFrame(heights, "size bigint, kind int, height bigint")), ["size", "kind"])
+    classes = spark.createDataFrame(counts, "size bigint, kind int, n bigint").coalesce(1)
+    tokens = tokens.join(F.broadcast(classes), ["size", "kind"]).withColumn("part", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("n") / F.lit(range_))).cast("int")).drop("n")
+    classes = tokens.groupBy("size", "kind", "part").agg(F.count(F.lit(1)).alias("n"))
     # one row for each size and part: the only step in one task, over 2 x capacity + PARTS rows at most
     turn = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "kind", "part")
     classes = classes.withColumn("_sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(turn))
@@ -258,8 +264,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             round_, (n, total, shortest, longest) = observed(sweep(todo, gaps, shortest, longest), "round")
             hit = round_.where(F.col("sequence_id").isNotNull())
             done.append(hit)
-            used = hit.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
-            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where(F.col("gap") > 0)
+            gaps = gaps.unionByName(hit.select("sequence_id", (-F.col("length")).alias("gap"))).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).where(F.col("gap") > 0)
             gaps = written(gaps, "gaps")
             todo = round_.where(F.col("sequence_id").isNull()).select(*rows.columns)
             placed_share = 1 - n / before

@@ -27,7 +27,7 @@ and judged each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,23 +229,53 @@ def few(by_language: DataFrame) -> DataFrame:
 Arrays = tuple[np.ndarray, np.ndarray]
 
 
-def arrays_of(table: pa.Table) -> dict[str, Arrays]:
-    """(lang, gram, log_p) as arrays sorted by the n-grams' hashes, for each language."""
-    out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in table.to_batches(100_000):
+def parts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Of each language in each batch of (lang, gram, log_p) the n-grams' hashes and their log-probabilities."""
+    for batch in batches:
         lang = batch.column(0).dictionary_encode()
         at, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
         h, p = hashes_of(batch.column(1).to_pylist()), batch.column(2).to_numpy().astype(np.float32)
         for k, x in enumerate(names):
-            out.setdefault(x, []).append((h[at == k], p[at == k]))
+            yield x, h[at == k], p[at == k]
+
+
+def sorted_arrays(parts: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> dict[str, Arrays]:
+    """parts_of() as arrays sorted by the n-grams' hashes, for each language."""
+    out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for x, h, p in parts:
+        out.setdefault(x, []).append((h, p))
     found = {}
-    for x, parts in out.items():
-        h, p = np.concatenate([y[0] for y in parts]), np.concatenate([y[1] for y in parts])
+    for x in list(out):
+        own = out.pop(x)
+        h, p = np.concatenate([y[0] for y in own]), np.concatenate([y[1] for y in own])
         order = np.argsort(h)
         found[x] = h[order], p[order]
     return found
 
 
+def arrays_of(table: pa.Table) -> dict[str, Arrays]:
+    """(lang, gram, log_p) as arrays sorted by the n-grams' hashes, for each language."""
+    return sorted_arrays(parts_of(table.to_batches(100_000)))
+
+
+def packed(model: DataFrame) -> DataFrame:
+    """model: (lang, gram, log_p). A row for each language of each batch: hashes and log-probabilities as bytes, 12
+    for each n-gram, and no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped_batches(batches, 4_000_000):
+            parts = list(parts_of([batch]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in parts], pa.string()), *(pa.array([y[k].tobytes() for y in parts], pa.binary()) for k in (1, 2))], names=["lang", "h", "p"])
+
+    return arrow_map(model, run, "lang string, h binary, p binary")
+
+
+def gathered(model: DataFrame) -> dict[str, Arrays]:
+    """arrays_of a written model of BROADCAST_ENTRIES n-grams at most, hashed by the tasks that read it."""
+    rows = (r for batch in packed(model).toArrow().to_batches() for r in zip(*batch.columns, strict=True))
+    return sorted_arrays((x.as_py(), np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.float32)) for x, h, p in rows)
+
+
 def log_perplexities(codes: list[np.ndarray], arrays: Arrays) -> np.ndarray:
     """Of each text the nats of its words, WORD_NATS at most for each, by the number of those with a letter
     or digit. All n-grams must be in arrays."""
@@ -326,7 +356,7 @@ def scored(docs: DataFrame, lang: str, text: str, model: DataFrame, keep: list[s
     schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep) + SCORES
     at_lang, at_text, at_kept = docs.columns.index(lang), docs.columns.index(text), [docs.columns.index(c) for c in keep]
     if model.count() <= BROADCAST_ENTRIES:
-        held = docs.sparkSession.sparkContext.broadcast(arrays_of(model.toArrow()))
+        held = docs.sparkSession.sparkContext.broadcast(gathered(model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
